@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
@@ -40,3 +42,34 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) ->
 
 def table_of(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(k).type) for k, c in columns.items()], schema=schema)
+
+
+WIDE_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+MIX, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MORE
+    return (x ^ (x >> np.uint64(27))) * MIX
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the texts' words in lower case, where each text's begin and the end). Words end at white space."""
+    lines = [(WIDE_SPACE.sub(" ", t) if WIDE_SPACE.search(t) else t).lower().encode("utf-8", "surrogatepass") for t in texts]
+    whole = b"\n".join(lines) + b"\n" + bytes(8)
+    size = len(whole) - 8
+    space = SPACE[np.frombuffer(whole, np.uint8, size)]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    loads = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,))
+    length = ends - starts
+    h = mixed(length.astype(np.uint64) + MIX)
+    left, at = np.arange(len(starts)), 0
+    while len(left):
+        h[left] = mixed(h[left] ^ (loads[starts[left] + at] & MASKS[np.minimum(length[left] - at, 8)]))
+        at += 8
+        left = left[length[left] > at]
+    return h, np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]))

@@ -18,7 +18,6 @@ the first step's economy. Pairs within a class are never made.
 from __future__ import annotations
 
 import hashlib
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,46 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import blocked_bloom
-from vellum.llm.columns import shared_folder, table_of, text_slices
+from vellum.llm.columns import MIX, MORE, mixed, shared_folder, table_of, text_slices, word_hashes
 from vellum.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold shares one value with a probability of 0.8 ** 4 = 0.41, none of 28 with one of 4e-7.
 LENGTH, COUNT = 4, 28
-WIDE_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
-MIX, MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SEEDS = np.array([int.from_bytes(hashlib.sha256(f"order {i}".encode()).digest()[:8], "little") | 1 for i in range(256)], np.uint64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MORE
-    return (x ^ (x >> np.uint64(27))) * MIX
-
-
 def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the texts' labelled k-mers in their order, where each text's begin and the end).
 
     Words are in lower case and split at white space. A text of one to four words has
     one k-mer, an empty one none. Within a text all of them differ.
     """
-    lines = [(WIDE_SPACE.sub(" ", t) if WIDE_SPACE.search(t) else t).lower().encode("utf-8", "surrogatepass") for t in texts]
-    whole = b"\n".join(lines) + b"\n" + bytes(8)
-    size = len(whole) - 8
-    space = SPACE[np.frombuffer(whole, np.uint8, size)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    loads = np.ndarray((len(whole) - 7,), "<u8", whole, strides=(1,))
-    length = ends - starts
-    h = _mixed(length.astype(np.uint64) + MIX)
-    left, at = np.arange(len(starts)), 0
-    while len(left):
-        h[left] = _mixed(h[left] ^ (loads[starts[left] + at] & MASKS[np.minimum(length[left] - at, 8)]))
-        at += 8
-        left = left[length[left] > at]
-    bounds = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(x) + 1 for x in lines])]))
+    h, bounds = word_hashes(texts)
     words = np.diff(bounds)
     count = np.where(words > 0, np.maximum(words - WORDS + 1, 1), 0)
     upto = np.concatenate([[0], np.cumsum(count)])
@@ -81,8 +56,8 @@ def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         word = h[first + j]
         word[first + j >= bounds[doc + 1]] = 0
         g = g * MORE + word
-    g = _mixed(g)
-    with_doc = g ^ _mixed(doc.astype(np.uint64) + MIX)
+    g = mixed(g)
+    with_doc = g ^ mixed(doc.astype(np.uint64) + MIX)
     order = np.argsort(with_doc, kind="stable")
     s = with_doc[order]
     new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
@@ -91,7 +66,7 @@ def labelled_kmers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         before = place - np.maximum.accumulate(np.where(new, place, 0))
         occurrence = np.empty(len(s), np.uint64)
         occurrence[order] = before
-        g = np.where(occurrence > 0, _mixed(g + occurrence * MIX), g)
+        g = np.where(occurrence > 0, mixed(g + occurrence * MIX), g)
     return g, upto
 
 
@@ -123,7 +98,7 @@ def sketches(texts: list[str], count: int = COUNT, length: int = LENGTH) -> tupl
         rank = np.arange(len(d)) - np.searchsorted(d, np.arange(len(texts)))[d]
         for r in range(length):
             own = few[rank == r]
-            value[doc[own]] = _mixed(value[doc[own]] * MIX + g[own])
+            value[doc[own]] = mixed(value[doc[own]] * MIX + g[own])
         out[:, i] = value.view(np.int64)
     return out, n
 

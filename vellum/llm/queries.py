@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, line_quality, near_dedup, packing, secrets, sharding, url_filter
+from vellum.llm import bpe, exact_dedup, line_quality, near_dedup, packing, pseudo_likelihood, rp_forest, secrets, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -57,15 +61,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
 
 
+def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score_documents(docs, pseudo_likelihood.fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_line_quality": op4_line_quality,
+    "op5_rp_forest": op5_rp_forest,
     "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_near_dedup": op8_near_dedup,
     "op9_sharding": op9_sharding,
+    "op10_pseudo_likelihood": op10_pseudo_likelihood,
 }
 
 OP2_SQL = """
