@@ -57,3 +57,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (alone | (F.col("_keep._row") == F.col("_row"))).alias("kept"),
         *[F.col(f"_c_{k}").alias(k) for k in (carry or {})],
     )
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that exact_dedup() keeps, with all their columns.
+
+    Only dropped rows are looked up: a filter of fixed size, made of their (id, text
+    hash) pairs, lets all others through without a shuffle, and only what it stops is
+    joined. Of rows that agree in id and text one stays. Both passes read the same
+    ``docs``, which must give the same rows again, as a table does.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    pair = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.sha2(text, 256))
+    found = exact_dedup(docs, id_col, text_col, carry={"_pair": pair}).groupBy("_pair").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    # a pair that occurs more than once needs a look even where its row is kept
+    doubtful = found.where("not kept or n > 1")
+    bloom = blocked_bloom.build(doubtful, F.col("_pair"))
+    rows = docs.withColumn("_pair", pair)
+    stopped = blocked_bloom.might_contain(bloom.scalar(), F.col("_pair"))
+    sure = rows.where(~stopped).select(docs.columns)
+    rest = rows.where(stopped).join(doubtful.where("not kept").select("_pair"), "_pair", "left_anti")
+    return sure.unionByName(rest.dropDuplicates(["_pair"]).select(docs.columns))
