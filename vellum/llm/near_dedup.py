@@ -9,10 +9,10 @@ the band that the threshold leaves: the longest common subsequence L of sequence
 lengths m and n must have L / (m + n - L) >= 0.8.
 
 Scale: identical texts are collapsed first, so that copies cost one row each. In a
-bucket every member is compared with the least and the greatest member only. The links
-found give classes; then, in buckets that still hold several classes, members of
-different classes are compared with each other, so no link between classes is lost to
-the first step's economy. Pairs within a class are never made.
+bucket every member is compared with a hub only, the member that shares most buckets
+with most others, and the links found give classes. Then members of
+different classes that still share a bucket are compared with each other, so no link
+between classes is lost to the hubs' economy. Pairs within a class are never made.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ from vellum.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold shares one value with a probability of 0.8 ** 4 = 0.41, none of 28 with one of 4e-7.
 LENGTH, COUNT = 4, 28
+#: Times that buckets are linked through hubs before what is still apart is compared in full.
+HUB_TURNS = 1
+#: Buckets with more members than this are looked at by what their texts share before pairs are made.
+CROWD, RARE = 8, 8
 SEEDS = np.array([int.from_bytes(hashlib.sha256(f"order {i}".encode()).digest()[:8], "little") | 1 for i in range(256)], np.uint64)
 
 
@@ -171,6 +175,67 @@ def _verified(pairs: DataFrame, prepared: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """(a, b): the members of each bucket with the bucket's hub, where their classes differ.
+
+    The hub is the member that shares most buckets with most others. In a family of
+    edited copies that is the text from which all were made: it is closer to every copy
+    than they are to each other.
+    """
+    degree = buckets.groupBy("node").agg(F.sum("size").alias("degree"))
+    known = buckets.join(degree, "node")
+    hubs = known.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("node")).alias("m"), "comp")).alias("h")).select("bucket", (-F.col("h.m")).alias("hub"), F.col("h.comp").alias("hub_comp"))
+    pairs = buckets.join(hubs, "bucket").where("hub <> node and hub_comp <> comp")
+    return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
+
+
+def _rest(buckets: DataFrame, prepared: DataFrame, least: float, folder: str) -> DataFrame:
+    """(a, b): members of different classes that share a bucket and can be similar.
+
+    In crowded buckets a text's rare k-mers, those in at most RARE texts of all crowded
+    buckets, tell most pairs apart. Two texts with m and n k-mers, r and s of them rare
+    and c of those in common, share at most min(m - r, n - s) + c. Pairs with c > 0 are
+    read off the rare k-mers themselves, at most RARE texts each; for all others c = 0,
+    and texts that could then reach the threshold with nothing are left out before pairs
+    are made. Both bounds are exact: no similar pair is lost.
+    """
+    spark, ratio = prepared.sparkSession, least / (1 + least)
+    crowded = buckets.where(F.col("size") > CROWD)
+    nodes = crowded.select(F.col("node").alias("row")).distinct()
+    bloom = blocked_bloom.build(nodes, F.col("row"))
+    texts = prepared.where(blocked_bloom.might_contain(bloom.scalar(), F.col("row"))).select("row", "text").join(nodes, "row", "left_semi")
+
+    def kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(b.schema.get_field_index("row")).to_numpy()
+            for start, part in text_slices(b, "text"):
+                g, upto = labelled_kmers(part)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows[start : start + len(part)], np.diff(upto))), pa.array(g.view(np.int64))], names=["node", "kmer"])
+
+    texts.mapInArrow(kmers, "node long, kmer long").write.option("compression", "zstd").parquet(f"{folder}/kmers")
+    all_kmers = spark.read.parquet(f"{folder}/kmers")
+    rare = all_kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") <= RARE)
+    all_kmers.join(rare, "kmer").write.option("compression", "zstd").parquet(f"{folder}/rare")
+    rare = spark.read.parquet(f"{folder}/rare")
+    known = crowded.select("node", "n", "comp").distinct().join(rare.groupBy("node").agg(F.count(F.lit(1)).alias("r")), "node", "left").withColumn("can", F.col("n") - F.coalesce("r", F.lit(0))).drop("r")
+    known.write.parquet(f"{folder}/crowd")
+    known = spark.read.parquet(f"{folder}/crowd")
+    two = rare.where("texts > 1").select("kmer", "node")
+    other = two.select("kmer", F.col("node").alias("node_"))
+    together = two.join(other, "kmer").where("node < node_").groupBy("node", "node_").agg(F.count(F.lit(1)).alias("c"))
+    named = lambda df: df.select(*[F.col(c).alias(f"{c}_") for c in ("node", "n", "comp", "can")])
+    common = together.join(known, "node").join(named(known), "node_").where((F.col("comp") != F.col("comp_")) & (F.least("can", "can_") + F.col("c") >= ratio * (F.col("n") + F.col("n_")) - 1e-6))
+    out = common.select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    few = buckets.where(F.col("size") <= CROWD).withColumn("can", F.col("n"))
+    many = crowded.join(known.where(F.col("can") >= least * F.col("n")).select("node", "can"), "node")
+    for part in (few, many):
+        left = part.select("bucket", "node", "n", "comp", "can")
+        right = part.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "comp", "can")])
+        fits = (F.col("node") < F.col("node_")) & (F.col("comp") != F.col("comp_")) & (F.least("can", "can_") >= ratio * (F.col("n") + F.col("n_")) - 1e-6)
+        out = out.union(left.join(right, (left["bucket"] == right["bucket"]) & fits).select(F.col("node").alias("a"), F.col("node_").alias("b")))
+    return out.distinct()
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count: int = COUNT, length: int = LENGTH, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, prepared): row, id, class_id, class_size, kept; and all of ``docs`` by row, in the struct ``doc``.
 
@@ -188,27 +253,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = spark.read.parquet(f"{folder}/members")
     # sketch values of different texts, by bucket; blank texts are in none
     spread = members.where("sketch is not null and n > 0").select("node", "n", F.posexplode("sketch").alias("i", "value")).select(F.xxhash64("i", "value").alias("bucket"), "node", "n")
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1").select("bucket", "low", "high")
-    spread.join(shared, "bucket").write.parquet(f"{folder}/buckets")
-    buckets = spark.read.parquet(f"{folder}/buckets")
-    stars = buckets.select(F.explode(F.array("low", "high")).alias("hub"), "node").where("hub <> node").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
-    stars.write.parquet(f"{folder}/pairs-1")
-    _verified(spark.read.parquet(f"{folder}/pairs-1"), prepared, least).write.parquet(f"{folder}/edges-1")
-    first = spark.read.parquet(f"{folder}/edges-1")
-    comps = components(first, f"{folder}/classes-1")
-    # what is still apart in a bucket
-    named = buckets.select("bucket", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    apart = named.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("bucket")
-    named.join(apart, "bucket", "left_semi").write.parquet(f"{folder}/apart")
-    left = spark.read.parquet(f"{folder}/apart")
-    right = left.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "comp")])
-    fits = (F.col("node") < F.col("node_")) & (F.col("comp") != F.col("comp_")) & (F.least("n", "n_") >= least * F.greatest("n", "n_"))
-    rest = left.join(right, (left["bucket"] == right["bucket"]) & fits).select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct()
-    rest.join(spark.read.parquet(f"{folder}/pairs-1"), ["a", "b"], "left_anti").write.parquet(f"{folder}/pairs-2")
-    _verified(spark.read.parquet(f"{folder}/pairs-2"), prepared, least).write.parquet(f"{folder}/edges-2")
-    second = spark.read.parquet(f"{folder}/edges-2")
-    if second.limit(1).count():
-        comps = components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(second), f"{folder}/classes-2")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    spread.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("comp"), "size").write.parquet(f"{folder}/buckets")
+    buckets, done, comps = spark.read.parquet(f"{folder}/buckets"), None, None
+    for turn in range(HUB_TURNS + 1):
+        if turn < HUB_TURNS:
+            pairs = _hub_pairs(buckets)
+        else:
+            pairs = _rest(buckets, prepared, least, folder)
+        if done is not None:
+            pairs = pairs.join(done, ["a", "b"], "left_anti")
+        pairs.write.parquet(f"{folder}/pairs-{turn}")
+        pairs = spark.read.parquet(f"{folder}/pairs-{turn}")
+        _verified(pairs, prepared, least).write.parquet(f"{folder}/edges-{turn}")
+        found = spark.read.parquet(f"{folder}/edges-{turn}")
+        if comps is None or found.limit(1).count():
+            links = found if comps is None else comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found)
+            comps = components(links, f"{folder}/classes-{turn}")
+        if turn < HUB_TURNS:
+            done = pairs if done is None else done.union(pairs)
+            named = buckets.select("bucket", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            apart = named.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count(F.lit(1)).alias("size")).where("p <> q").select("bucket", "size")
+            named.join(apart, "bucket").write.parquet(f"{folder}/apart-{turn}")
+            buckets = spark.read.parquet(f"{folder}/apart-{turn}")
     members.select("row", "id", "node").join(comps, "node", "left").select("row", "id", F.coalesce("comp", "node").alias("comp")).write.parquet(f"{folder}/classed")
     classed = spark.read.parquet(f"{folder}/classed")
     classes = classed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("class_size"))
