@@ -4,7 +4,9 @@ Every tree halves the vectors again and again by their projection on a random di
 the thresholds are medians of a bounded sample. A query walks all trees at once through
 one priority queue of branches, ordered by how far on the wrong side of a split the
 query lies at worst, and takes leaves off it until it has its number of leaves. All
-vectors of those leaves are then scored exactly, in double precision.
+vectors of those leaves are then scored exactly, in double precision. The sample is one
+more leaf that all queries visit: its neighbours give each query a floor, and leaves
+hand on only what reaches it.
 
 How many leaves a query takes is measured, not guessed: the least number with which
 sampled queries find TARGET of their true neighbours in the sample.
@@ -129,6 +131,16 @@ def enough_leaves(forest: Forest, sample: np.ndarray, k: int, target: float) ->
     return int(np.ceil(np.quantile(when, target)))
 
 
+def _best(query: np.ndarray, scores: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, exact scores) of the vectors with the largest inner products, ties to the smaller id; scores: those products nearly."""
+    most = min(most, len(scores))
+    floor = np.partition(scores, len(scores) - most)[len(scores) - most]
+    near = np.flatnonzero(scores >= floor - 1e-9 * abs(floor))
+    exact = (vectors[near] * query).sum(1)
+    order = np.lexsort((firsts[near], -exact))[:most]
+    return near[order], exact[order]
+
+
 def _usable(vector: Column) -> Column:
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     return vector.isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False)) & F.exists(vector, lambda x: x != 0)
@@ -166,14 +178,29 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     classes = spark.read.parquet(f"{folder}/classes")
     count, longest = classes.agg(F.count(F.lit(1)), F.max("norm")).first()
     asking = classes.where("asks").count() if count else 0
-    sample = np.array([r.v for r in classes.orderBy(F.xxhash64("first"), "first").limit(SAMPLE).select("v").collect()], np.float64).reshape(-1, max(d, 1))
+    drawn = classes.orderBy(F.xxhash64("first"), "first").limit(SAMPLE).select("key", "first", "v").collect()
+    sample = np.array([r.v for r in drawn], np.float64).reshape(-1, max(d, 1))
+    sample_keys, sample_firsts = [bytes(r.key) for r in drawn], np.array([r.first for r in drawn], np.int64)
     forest = grow(sample, count, longest or 1.0, trees, k, leaf)
     size = -(-count // (1 << forest.depth))
     parts = max(1, -(-2 * size // BLOCK))  # blocks of a leaf's vectors, and of its queries
     askers = max(1, -(-2 * asking * forest.leaves // (len(forest.directions) << forest.depth) // BLOCK))
 
+    def best_of_sample(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, exact scores) of each query's k + 1 nearest in the sample, nearest first."""
+        return [_best(x[i], s, sample, sample_firsts, k + 1) for i, s in enumerate(x @ sample.T)]
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The sample's neighbours count as found: it is one more leaf, which all queries visit."""
+        schema = pa.schema([("asker", pa.binary()), ("key", pa.binary()), ("first", pa.int64()), ("score", pa.float64())])
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
+                out = [(key, sample_keys[p], int(sample_firsts[p]), float(s)) for key, (at, scores) in zip(b.column(0).to_pylist(), best_of_sample(x), strict=True) for p, s in zip(at.tolist(), scores.tolist(), strict=True)]
+                yield table_of(schema, **{n: [r[i] for r in out] for i, n in enumerate(schema.names)})
+
     def spread(visiting: bool):
-        schema = pa.schema([("cell", pa.int64())])
+        schema = pa.schema([("cell", pa.int64()), ("floor", pa.float64())])
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -189,33 +216,35 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
                             cells += [base + p * askers + int(firsts[i]) % askers for p in range(parts)] if visiting else [base + int(firsts[i]) % parts * askers + a for a in range(askers)]
                             of += [i] * (parts if visiting else askers)
                     rows = b.take(pa.array(of, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([*rows.columns, *table_of(schema, cell=cells).columns], names=["key", "v", "first", "cell"])
+                    floor = np.array([s[-1] if len(s) > k else -np.inf for _, s in best_of_sample(x)]) if visiting else np.zeros(len(x))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, *table_of(schema, cell=cells, floor=floor[of]).columns], names=["key", "v", "first", *schema.names])
 
         return place
 
-    fields = "key binary, v array<double>, first long, cell long"
+    fields = "key binary, v array<double>, first long, cell long, floor double"
     placed = classes.select("key", "v", "first").mapInArrow(spread(False), fields)
     asked = classes.where("asks").select("key", "v", "first").mapInArrow(spread(True), fields)
 
     def search(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        """The k + 1 best classes of the cell for each query that visits it."""
-        if not len(ours) or not len(theirs):
-            return pd.DataFrame({"asker": [], "key": [], "first": [], "score": []})
-        x, firsts = np.stack(ours["v"].to_list()), ours["first"].to_numpy()
-        out = []
-        for a in range(0, len(theirs), 512):
-            q = np.stack(theirs["v"].iloc[a : a + 512].to_list())
-            s = q @ x.T
-            most = min(k + 1, len(x))
-            floor = np.partition(s, len(x) - most, axis=1)[:, len(x) - most]
-            for i in range(len(q)):
-                best = np.flatnonzero(s[i] >= floor[i] - 1e-9 * abs(floor[i]))
-                exact = (x[best] * q[i]).sum(1)
-                order = np.lexsort((firsts[best], -exact))[:most]
-                out.append(pd.DataFrame({"asker": theirs["key"].iloc[a + i], "key": ours["key"].to_numpy()[best[order]], "first": firsts[best[order]], "score": exact[order]}))
-        return pd.concat(out)
+        """The k + 1 best classes of the cell for each query that visits it, without those beyond the sample's."""
+        out = {"asker": [], "key": [], "first": [], "score": []}
+        if len(ours) and len(theirs):
+            x, firsts, keys = np.stack(ours["v"].to_list()), ours["first"].to_numpy(), ours["key"].to_numpy()
+            for a in range(0, len(theirs), 512):
+                part = theirs.iloc[a : a + 512]
+                q, floors = np.stack(part["v"].to_list()), part["floor"].to_numpy()
+                for i, s in enumerate(q @ x.T):
+                    near = np.flatnonzero(s >= floors[i] - 1e-9 * abs(floors[i]))
+                    if len(near):
+                        at, scores = _best(q[i], s[near], x[near], firsts[near], k + 1)
+                        out["asker"] += [part["key"].iloc[i]] * len(at)
+                        out["key"] += keys[near[at]].tolist()
+                        out["first"] += firsts[near[at]].tolist()
+                        out["score"] += scores.tolist()
+        return pd.DataFrame(out)
 
     found = placed.groupBy("cell").cogroup(asked.groupBy("cell")).applyInPandas(search, "asker binary, key binary, first long, score double")
+    found = found.union(classes.where("asks").select("key", "v").mapInArrow(seeds, "asker binary, key binary, first long, score double"))
     # a class found in several trees has the same score in each; `first` tells classes apart
     found = found.groupBy("asker", "first").agg(F.max("score").alias("score"), F.first("key").alias("key"))
     best = found.withColumn("n", F.row_number().over(W.partitionBy("asker").orderBy(F.desc("score"), "first"))).where(F.col("n") <= k + 1)
