@@ -72,7 +72,7 @@ def test_urls(spark):
     df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(URLS + URLS[-3:])], "page_id long, url string, host string, canonical string")
     listed = spark.createDataFrame([("spam-farm.example.net/nl/1",), (None,), ("",), ("spam-farm.example.net/nl/1",)], "canonical string")
     want = [judge(u, {"spam-farm.example.net/nl/1"}) for u in URLS + URLS[-3:]]
-    for blocks in (1, 8192):
+    for blocks in (1, 32768):
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, listed, blocks=blocks).collect()}
         assert [got[i] for i in range(len(want))] == want
     assert url_filter.filter_urls(df.limit(0), listed).count() == 0

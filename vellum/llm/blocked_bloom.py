@@ -1,9 +1,9 @@
 """Blocked Bloom filter made and probed by SQL expressions only.
 
-The filter is ``blocks`` blocks of eight 64-bit words. A key picks one block and
-sets one bit in each word, so a probe touches one block. The whole filter is one
-row of fixed size (64 bytes a block, whatever the number of keys), which queries
-use as a scalar subquery; too many keys only raise the share of false hits.
+The filter is ``blocks`` blocks of one 64-bit word. A key picks one block and sets BITS
+bits in it, so a probe reads one word. The whole filter is one row of fixed size (8
+bytes a block, whatever the number of keys), which queries use as a scalar subquery;
+too many keys only raise the share of false hits.
 """
 
 from __future__ import annotations
@@ -11,40 +11,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORDS = 8
-BLOCKS = 8192
+BITS = 5
+BLOCKS = 32768
 
 
-def _place(key: Column, blocks: int) -> tuple[Column, list[Column]]:
-    """The block of a key and its bit in each word; key must not be null."""
+def _place(key: Column, blocks: int) -> tuple[Column, Column]:
+    """The block of a key and the word with its bits; key must not be null."""
     h = F.xxhash64(key)
     g = F.xxhash64(h, F.lit(17))
-    bits = [F.shiftright(g, 6 * j).bitwiseAND(F.lit(63)).cast("int") for j in range(WORDS)]
-    return F.pmod(h, F.lit(blocks)).cast("int"), bits
+    one, word = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    for j in range(BITS):
+        word = word.bitwiseOR(F.call_function("shiftleft", one, F.shiftright(g, 6 * j).bitwiseAND(F.lit(63)).cast("int")))
+    return F.pmod(h, F.lit(blocks)).cast("int"), word
 
 
 def build(keys: DataFrame, key: Column, blocks: int = BLOCKS) -> DataFrame:
-    """One row, one column ``filter``: an array of blocks by index.
+    """One row, one column ``filter``: the blocks' words by index.
 
     Null keys are not added; an empty input gives an all-zero filter.
     """
-    block, bits = _place(key, blocks)
-    one = F.lit(1).cast("bigint")
-    words = [F.bit_or(F.call_function("shiftleft", one, b)).alias(f"w{j}") for j, b in enumerate(bits)]
-    filled = keys.where(key.isNotNull()).groupBy(block.alias("block")).agg(*words)
-    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    zero = F.lit(0).cast("bigint")
-    names = [f"w{j}" for j in range(WORDS)]
-    full = every.unionByName(filled, allowMissingColumns=True).groupBy("block").agg(*[F.coalesce(F.max(n), zero).alias(n) for n in names])
-    # max of a block's only value and null is that value: `filled` has one row a block
-    return full.agg(F.array_sort(F.collect_list(F.struct("block", F.array(*names).alias("w")))).alias("filter"))
+    block, word = _place(key, blocks)
+    filled = keys.where(key.isNotNull()).groupBy(block.alias("block")).agg(F.bit_or(word).alias("word"))
+    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), F.lit(0).cast("bigint").alias("word"))
+    full = every.unionByName(filled).groupBy("block").agg(F.bit_or("word").alias("word"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("block", "word"))), lambda x: x["word"])
+    return full.agg(words.alias("filter"))
 
 
 def might_contain(filter_: Column, key: Column, blocks: int = BLOCKS) -> Column:
-    """False only for keys that were not added; null keys give false."""
-    block, bits = _place(key, blocks)
-    words = F.get(filter_, block)["w"]
-    hit = F.lit(True)
-    for j, b in enumerate(bits):
-        hit = hit & (F.call_function("shiftright", F.get(words, F.lit(j)), b).bitwiseAND(F.lit(1)) == 1)
-    return F.coalesce(key.isNotNull() & hit, F.lit(False))
+    """False only for keys that were not added; null keys give false.
+
+    ``filter_`` stands in the expression once, so a plan holds its subquery once.
+    """
+    block, word = _place(key, blocks)
+    return F.coalesce(key.isNotNull() & (F.get(filter_, block).bitwiseAND(word) == word), F.lit(False))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import blocked_bloom
+from vellum.llm.columns import shared_folder
 
 PREFIX = 64
 
@@ -71,7 +72,9 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     pair = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.sha2(text, 256))
     found = exact_dedup(docs, id_col, text_col, carry={"_pair": pair}).groupBy("_pair").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     # a pair that occurs more than once needs a look even where its row is kept
-    doubtful = found.where("not kept or n > 1")
+    folder = shared_folder(docs.sparkSession)
+    found.where("not kept or n > 1").write.parquet(f"{folder}/doubtful")
+    doubtful = docs.sparkSession.read.parquet(f"{folder}/doubtful")
     bloom = blocked_bloom.build(doubtful, F.col("_pair"))
     rows = docs.withColumn("_pair", pair)
     stopped = blocked_bloom.might_contain(bloom.scalar(), F.col("_pair"))

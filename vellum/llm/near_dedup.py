@@ -290,7 +290,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     stops, few more than those dropped, go through a join.
     """
     rows, prepared = near_classes(docs, id_col, text_col)
-    out = rows.where("not kept").select("row")
+    folder = shared_folder(docs.sparkSession)
+    rows.where("not kept").select("row").write.parquet(f"{folder}/dropped")
+    out = docs.sparkSession.read.parquet(f"{folder}/dropped")
     bloom = blocked_bloom.build(out, F.col("row"))
     stopped = blocked_bloom.might_contain(bloom.scalar(), F.col("row"))
     sure = prepared.where(~stopped).select("doc.*")
