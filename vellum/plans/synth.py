@@ -59,20 +59,21 @@ select o_orderkey as job_id, case o_orderstatus when 'F' then 'approved' when 'O
 from orders
 """
 
-#: Trails from events, a job a user: file order is (ts, event_id); some entries are tampered with.
+#: Trails from events, a job a user: file order is (ts, event_id); marks say how an entry is to be damaged.
 TRAIL = """
-select user_id as job_id, event_id, row_number() over (partition by user_id order by ts, event_id) as file_line,
-  case when row_number() over (partition by user_id order by ts, event_id) = 1 and user_id % 13 <> 0 then 'job.created'
-       else case event_type when 'click' then 'review.opened' when 'view' then 'download.served' when 'purchase' then 'content.edited'
-            when 'signup' then 'content.approved' when 'error' then 'nonsense' else 'package.exported' end end as event,
-  cast(value as bigint) as value, event_id % 41 = 0 as tampered, event_id % 53 = 0 as unhashed
-from events
+select cast(user_id as string) as job_id, line as file_line, cast(case when event_id % 89 = 0 then line + 2 else line end as bigint) as seq,
+  '2024-01-' || lpad(cast(1 + cast(floor(line / 1440) as int) % 27 as string), 2, '0') || 'T' || lpad(cast(cast(floor(line / 60) as int) % 24 as string), 2, '0') || ':' || lpad(cast(line % 60 as string), 2, '0')
+    || case when event_id % 71 = 0 then ':00.000000' else ':00.000000+00:00' end as ts,
+  case when line = 1 and user_id % 13 <> 0 then 'job.created' when event_id % 97 = 0 then 'nonsense'
+    else case event_id % 7 when 0 then 'content.edited' when 1 then 'content.approved' when 2 then 'package.exported' when 3 then 'content.generated' when 4 then 'review.opened' else 'download.served' end end as event,
+  'user' || (event_id % 5) as actor, event_id % 101 = 0 as tampered, event_id % 67 = 0 as unhashed, event_id % 3 as version
+from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as line from events)
 """
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above over the tables in ``sf_dir``."""
-    table = sql.rsplit("from ", 1)[1].split()[0]
-    head, _, _ = sql.rpartition(f"from {table}")
+    table = sql.rsplit("from ", 1)[1].split()[0].rstrip(")")
+    head, _, tail = sql.rpartition(f"from {table}")
     # the statement's table is given by argument, so that no view's name is taken
-    return spark.sql(head + "from {t}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return spark.sql(f"{head}from {{t}}{tail}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
