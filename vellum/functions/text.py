@@ -100,17 +100,23 @@ def sentences(x: Column, least: int = 20) -> Column:
     return F.filter(F.transform(F.split(collapse(x), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= max(least, 1))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def altered(x: Column) -> Column:
     """A false variant by the first flip that fits, at its first place; null if none does."""
-    t = collapse(x)
 
-    def flip(old: str, new: str) -> Column:
-        at = F.regexp_instr(t, F.lit(rf"(?i)\b{old}\b"))
-        upper = F.substring(t, at, F.lit(1)).rlike("^[A-Z]")
-        word = F.when(upper, F.lit(new[:1].upper() + new[1:])).otherwise(F.lit(new))
-        return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), word, F.substring(t, at + len(old), F.length(t))))
+    def flip(t: Column, old: str, new: str) -> Column:
+        def swap(at: Column) -> Column:
+            upper = F.substring(t, at, F.lit(1)).rlike("^[A-Z]")
+            word = F.when(upper, F.lit(new[:1].upper() + new[1:])).otherwise(F.lit(new))
+            return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), word, F.substring(t, at + len(old), F.length(t))))
+
+        return let(F.regexp_instr(t, F.lit(rf"(?i)\b{old}\b")), swap)
 
-    return F.coalesce(*[flip(*f) for f in FLIPS])
+    return let(collapse(x), lambda t: F.coalesce(*[flip(t, *f) for f in FLIPS]))
 
 
 def words(x: Column) -> Column:
@@ -141,7 +147,14 @@ def register(x: Column) -> Column:
 
 def _udf(f: Callable, kind: str, *x: Column) -> Column:
     """f over batches of values; made when it is called, as it needs a session."""
-    return F.pandas_udf(lambda *s: pd.Series([None if None in v else f(*v) for v in zip(*s, strict=True)], dtype="object"), kind, F.PandasUDFType.SCALAR)(*x)
+
+    def one(s: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else f(v) for v in s], dtype="object")
+
+    def two(s: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or w is None else f(v, w) for v, w in zip(s, t, strict=True)], dtype="object")
+
+    return F.pandas_udf(one if len(x) == 1 else two, kind)(*x)
 
 
 def nfkc(x: Column) -> Column:
