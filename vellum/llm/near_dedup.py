@@ -189,7 +189,7 @@ def _hub_pairs(buckets: DataFrame) -> DataFrame:
     return pairs.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
 
-def _rest(buckets: DataFrame, prepared: DataFrame, least: float, folder: str) -> DataFrame:
+def _rest(buckets: DataFrame, prepared: DataFrame, members: DataFrame, least: float, folder: str) -> DataFrame:
     """(a, b): members of different classes that share a bucket and can be similar.
 
     In crowded buckets a text's rare k-mers, those in at most RARE texts of all crowded
@@ -228,11 +228,14 @@ def _rest(buckets: DataFrame, prepared: DataFrame, least: float, folder: str) ->
     out = common.select(F.col("node").alias("a"), F.col("node_").alias("b"))
     few = buckets.where(F.col("size") <= CROWD).withColumn("can", F.col("n"))
     many = crowded.join(known.where(F.col("can") >= least * F.col("n")).select("node", "can"), "node")
+    sketch = members.where("sketch is not null").select("node", "sketch")
     for part in (few, many):
-        left = part.select("bucket", "node", "n", "comp", "can")
-        right = part.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "comp", "can")])
+        left = part.select("bucket", "i", "node", "n", "comp", "can").join(sketch, "node")
+        right = left.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("node", "n", "comp", "can", "sketch")])
         fits = (F.col("node") < F.col("node_")) & (F.col("comp") != F.col("comp_")) & (F.least("can", "can_") >= ratio * (F.col("n") + F.col("n_")) - 1e-6)
-        out = out.union(left.join(right, (left["bucket"] == right["bucket"]) & fits).select(F.col("node").alias("a"), F.col("node_").alias("b")))
+        # a pair is made in the first bucket that it shares only
+        earlier = F.exists(F.arrays_zip(F.slice("sketch", F.lit(1), F.col("i")).alias("x"), F.slice("sketch_", F.lit(1), F.col("i")).alias("y")), lambda z: z["x"] == z["y"])
+        out = out.union(left.join(right, (left["bucket"] == right["bucket"]) & fits & ~earlier).select(F.col("node").alias("a"), F.col("node_").alias("b")))
     return out.distinct()
 
 
@@ -252,15 +255,15 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prepared.join(least_row, F.col("digest") == F.col("_d")).select("row", F.col(f"doc.`{id_col}`").alias("id"), "node", "n", F.when(F.col("row") == F.col("node"), F.col("sketch")).alias("sketch")).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
     # sketch values of different texts, by bucket; blank texts are in none
-    spread = members.where("sketch is not null and n > 0").select("node", "n", F.posexplode("sketch").alias("i", "value")).select(F.xxhash64("i", "value").alias("bucket"), "node", "n")
+    spread = members.where("sketch is not null and n > 0").select("node", "n", F.posexplode("sketch").alias("i", "value")).select(F.xxhash64("i", "value").alias("bucket"), "i", "node", "n")
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    spread.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("comp"), "size").write.parquet(f"{folder}/buckets")
+    spread.join(shared, "bucket").select("bucket", "i", "node", "n", F.col("node").alias("comp"), "size").write.parquet(f"{folder}/buckets")
     buckets, done, comps = spark.read.parquet(f"{folder}/buckets"), None, None
     for turn in range(HUB_TURNS + 1):
         if turn < HUB_TURNS:
             pairs = _hub_pairs(buckets)
         else:
-            pairs = _rest(buckets, prepared, least, folder)
+            pairs = _rest(buckets, prepared, members, least, folder)
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs.write.parquet(f"{folder}/pairs-{turn}")
@@ -272,7 +275,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             comps = components(links, f"{folder}/classes-{turn}")
         if turn < HUB_TURNS:
             done = pairs if done is None else done.union(pairs)
-            named = buckets.select("bucket", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            named = buckets.select("bucket", "i", "node", "n").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
             apart = named.groupBy("bucket").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count(F.lit(1)).alias("size")).where("p <> q").select("bucket", "size")
             named.join(apart, "bucket").write.parquet(f"{folder}/apart-{turn}")
             buckets = spark.read.parquet(f"{folder}/apart-{turn}")
