@@ -71,6 +71,17 @@ from (select user_id, event_id, row_number() over (partition by user_id order by
 """
 
 
+#: Questions of assessments from order lines: a document an order.
+QUESTIONS = """
+select l_orderkey as doc_id, cast(ln as int) as ord, 'q' || ln as id, n_options, case when tf then 'true_false' when ln % 5 = 0 then 'sequence' else 'multiple_choice' end as type,
+  cast(case when tf then l_partkey % 2 else l_suppkey % n_options end as int) as correct_answer, cast(case when tf then 1 + l_partkey % 2 else 2 * (1 + l_suppkey % 2) end as int) as points,
+  cast(10 + l_partkey % 90 as int) as len_a, cast(10 + l_suppkey % 70 as int) as len_b, cast(10 + l_orderkey % 80 as int) as len_c, cast(10 + (l_partkey + ln) % 60 as int) as len_d,
+  ln % 3 = 0 as fixed, cast(l_quantity as int) as pick, l_partkey
+from (select *, ln % 4 = 1 as tf, cast(case when ln % 4 = 1 then 2 else 2 + l_partkey % 3 end as int) as n_options
+  from (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as ln from lineitem))
+"""
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above over the tables in ``sf_dir``."""
     table = sql.rsplit("from ", 1)[1].split()[0].rstrip(")")
