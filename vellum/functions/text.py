@@ -68,6 +68,11 @@ def strings(words: list[str]) -> Column:
     return F.array(*map(F.lit, words))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends, line feeds and tabs included."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -80,11 +85,15 @@ def collapse(x: Column) -> Column:
 
 def clip(x: Column, limit: int = OPTION_CHARS) -> Column:
     """At most ``limit`` characters with the ellipsis, cut at a word where one ends late enough."""
-    t, budget = collapse(x), limit - len(ELLIPSIS)
-    head = F.substring(t, 1, budget + 1)
-    space = F.length(head) - F.locate(" ", F.reverse(head))  # 0-based place of the last space
-    cut = F.when((F.locate(" ", head) > 0) & (space > budget * 0.6), F.substring(head, F.lit(1), space)).otherwise(F.substring(t, 1, budget))
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:.\-]+$", ""), F.lit(ELLIPSIS)))
+    budget = limit - len(ELLIPSIS)
+
+    def cut(t: Column) -> Column:
+        head = F.substring(t, 1, budget + 1)
+        space = F.length(head) - F.locate(" ", F.reverse(head))  # 0-based place of the last space
+        short = F.when((F.locate(" ", head) > 0) & (space > budget * 0.6), F.substring(head, F.lit(1), space)).otherwise(F.substring(t, 1, budget))
+        return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.regexp_replace(short, r"[ ,;:.\-]+$", ""), F.lit(ELLIPSIS)))
+
+    return let(collapse(x), cut)
 
 
 def truncate(x: Column, most: int) -> Column:
@@ -100,11 +109,6 @@ def sentences(x: Column, least: int = 20) -> Column:
     return F.filter(F.transform(F.split(collapse(x), r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= max(least, 1))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def altered(x: Column) -> Column:
     """A false variant by the first flip that fits, at its first place; null if none does."""
 
@@ -125,24 +129,31 @@ def words(x: Column) -> Column:
 
 def register(x: Column) -> Column:
     """The opening form of a sentence: statement, imperative or role."""
-    t = collapse(x)
-    own = words(t)
-    opens = F.array_contains(strings(CLAUSE_OPENERS), F.lower(F.get(own, F.lit(0)))) & t.contains(",")
-    tokens = F.when(opens, words(F.substring(t, F.locate(",", t) + 1, F.length(t)))).otherwise(own)
-    # leading adverbs fall away while something follows them
-    start = F.aggregate(tokens, F.struct(F.lit(0).alias("i"), F.lit(True).alias("on")), lambda s, w: F.struct((s["i"] + F.when(s["on"] & F.lower(w).endswith("ly"), 1).otherwise(0)).alias("i"), (s["on"] & F.lower(w).endswith("ly")).alias("on")))["i"]
-    at = F.least(start, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    first, second = F.lower(F.get(tokens, at)), F.lower(F.coalesce(F.get(tokens, at + 1), F.lit("")))
     has = lambda names, w: F.array_contains(strings(names), w)
-    return (
-        F.when(t.rlike(r"^[A-Z][\w/&.\-]*(?:\s+[A-Za-z][\w/&.\-]*){0,4}:\s+\S"), "role")
-        .when(F.size(tokens) == 0, "statement")
-        .when(has(STATEMENT_OPENERS, first), "statement")
-        .when(has(IMPERATIVE_VERBS, first), "imperative")
-        .when(has(PREDICATES, second), "statement")
-        .when(has(DETERMINERS, second), "imperative")
-        .otherwise("statement")
-    )
+
+    def form(t: Column, tokens: Column) -> Column:
+        adverb = lambda s, w: s["on"] & F.lower(w).endswith("ly")
+        # leading adverbs fall away while something follows them
+        start = F.aggregate(tokens, F.struct(F.lit(0).alias("i"), F.lit(True).alias("on")), lambda s, w: F.struct((s["i"] + F.when(adverb(s, w), 1).otherwise(0)).alias("i"), adverb(s, w).alias("on")))["i"]
+        return let(F.least(start, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda at: judged(t, tokens, F.lower(F.get(tokens, at)), F.lower(F.coalesce(F.get(tokens, at + 1), F.lit("")))))
+
+    def judged(t: Column, tokens: Column, first: Column, second: Column) -> Column:
+        return (
+            F.when(t.rlike(r"^[A-Z][\w/&.\-]*(?:\s+[A-Za-z][\w/&.\-]*){0,4}:\s+\S"), "role")
+            .when(F.size(tokens) == 0, "statement")
+            .when(has(STATEMENT_OPENERS, first), "statement")
+            .when(has(IMPERATIVE_VERBS, first), "imperative")
+            .when(has(PREDICATES, second), "statement")
+            .when(has(DETERMINERS, second), "imperative")
+            .otherwise("statement")
+        )
+
+    def opened(t: Column, own: Column) -> Column:
+        opens = has(CLAUSE_OPENERS, F.lower(F.get(own, F.lit(0)))) & t.contains(",")
+        tokens = F.when(opens, words(F.substring(t, F.locate(",", t) + 1, F.length(t)))).otherwise(own)
+        return let(tokens, lambda k: form(t, k))
+
+    return let(collapse(x), lambda t: let(words(t), lambda own: opened(t, own)))
 
 
 def _udf(f: Callable, kind: str, *x: Column) -> Column:
