@@ -13,7 +13,8 @@ UNKNOWN_SOURCE = "(unknown source)"
 def seconds_between(start: Column, end: Column) -> Column:
     """Seconds from one ISO timestamp to another, never below 0, null if one can't be read."""
     a, b = F.try_to_timestamp(start), F.try_to_timestamp(end)
-    return F.greatest(F.lit(0.0), F.timestamp_diff("MICROSECOND", a, b) / 1e6)
+    apart = F.timestamp_diff("MICROSECOND", a, b) / 1e6
+    return F.when(apart.isNotNull(), F.greatest(F.lit(0.0), apart))
 
 
 def editable_items(objectives: Column, sections: Column, questions: Column) -> Column:
