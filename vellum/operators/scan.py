@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import rules as R
+from vellum.functions.guards import required
 from vellum.functions.text import collapse, strings, strip
 
 Rule = tuple[str, bool, str]
@@ -30,17 +31,26 @@ def negated(line: Column, at: Column) -> Column:
     return F.substring(line, start, at - start).rlike("(?i)" + R.NEGATION)
 
 
-def rule_hit(line: Column, rule: Rule) -> Column:
+def rule_hit(line: Column, rule: Rule, low: Column | None = None) -> Column:
+    """Whether the line meets the rule. ``low``, the line in lower case, is first searched for what every match must hold."""
     hit = line.rlike(pattern(rule))
-    # only the first match of an override rule is looked at
-    return hit & ~negated(line, F.regexp_instr(line, F.lit(pattern(rule)))) if rule[0] == "instruction_override" else hit
-
-
-def rule_kinds(line: Column, rules: Sequence[Rule] = R.RULES) -> Column:
+    if rule[0] == "instruction_override":  # only the first match of an override rule is looked at
+        hit = hit & ~negated(line, F.regexp_instr(line, F.lit(pattern(rule))))
+    needs = required(rule[2])
+    if not needs:
+        return hit
+    low = F.lower(line) if low is None else low
+    some = low.contains(needs[0])
+    for n in needs[1:]:
+        some = some | low.contains(n)
+    return some & hit
+
+
+def rule_kinds(line: Column, rules: Sequence[Rule] = R.RULES, low: Column | None = None) -> Column:
     """The kinds of rules that the line meets, each once, in order."""
     by: dict[str, Column] = {}
     for r in rules:
-        by[r[0]] = by[r[0]] | rule_hit(line, r) if r[0] in by else rule_hit(line, r)
+        by[r[0]] = by[r[0]] | rule_hit(line, r, low) if r[0] in by else rule_hit(line, r, low)
     return F.filter(F.array(*[F.when(hit, F.lit(k)) for k, hit in by.items()]), lambda k: k.isNotNull())
 
 
@@ -100,8 +110,9 @@ def for_terminal(x: Column) -> Column:
 def findings(lines: DataFrame, rules: Sequence[Rule] = R.RULES, hidden: bool = True, blobs: bool = True) -> DataFrame:
     """(doc_id, line_no, kind, line): rule hits, hidden characters and hits inside decoded base64; a kind once a line, but for decoded ones."""
     line = F.col("line")
-    kinds = F.concat(rule_kinds(line, rules), hidden_kinds(line)) if hidden else rule_kinds(line, rules)
-    out = lines.where("line <> ''").select("doc_id", "line_no", F.explode(kinds).alias("kind"), "line")
+    kinds = rule_kinds(line, rules, F.col("_low"))
+    kinds = F.concat(kinds, hidden_kinds(line)) if hidden else kinds
+    out = lines.where("line <> ''").withColumn("_low", F.lower("line")).select("doc_id", "line_no", F.explode(kinds).alias("kind"), "line")
     if not blobs:
         return out
     text = lines.where(line.rlike(R.BASE64)).select("doc_id", "line_no", decoded_blob(line).alias("line")).where("line is not null")

@@ -18,7 +18,7 @@ SPAN = "case when (doc_id + line_no) % 11 = 0 then 9999 else line_no end"
 
 
 def claims(spark, sf_dir):
-    docs = Q.sops(spark, sf_dir)
+    docs = synth.dealt(Q.sops(spark, sf_dir), "doc_id")
     df = S.lines(docs).where("line <> ''").select("doc_id", F.col("line_no").alias("cid"), F.expr(CLAIM).alias("text"), F.col("line_no").alias("s"), F.expr(SPAN).alias("e"))
     out = G.verified(df, docs)
     return out.select("doc_id", "cid", "ok", F.array_join("reasons", "; ").alias("reasons"), "overlap", F.array_join("unsupported", " ").alias("unsupported"), F.array_join("added", " ").alias("added"))

@@ -16,7 +16,7 @@ def hostile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
+    return synth.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id")
 
 
 def _plain(docs: DataFrame) -> DataFrame:

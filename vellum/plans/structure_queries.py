@@ -15,7 +15,7 @@ def sops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.marked(S.lines(sops(spark, sf_dir)))
+    return S.marked(S.lines(synth.dealt(sops(spark, sf_dir), "doc_id")))
 
 
 def headings(spark, sf_dir):

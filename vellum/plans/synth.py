@@ -82,6 +82,12 @@ from (select *, ln % 4 = 1 as tf, cast(case when ln % 4 = 1 then 2 else 2 + l_pa
 """
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows over all cores where the input has fewer parts than there are cores, as small files do; else as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The rows of one of the statements above over the tables in ``sf_dir``."""
     table = sql.rsplit("from ", 1)[1].split()[0].rstrip(")")

@@ -12,7 +12,7 @@ from vellum.plans import synth
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return synth.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
 
 def _lines(spark, sf_dir):
@@ -70,7 +70,7 @@ def unicode_keys(spark, sf_dir):
 
 
 def objectives(spark, sf_dir):
-    return G.objectives(Q.marked(spark, sf_dir))
+    return G.objectives(S.marked(S.lines(Q.sops(spark, sf_dir))))
 
 
 def sections(spark, sf_dir):
