@@ -280,3 +280,16 @@ def numbered(line_no: Column, line: Column) -> Column:
 
 def scaled_points(points: Column, options: Column) -> Column:
     return F.when(options <= 2, F.greatest(F.lit(1), F.floor(points / 2).cast("int"))).otherwise(points)
+
+
+def timespan(seconds: Column) -> Column:
+    """Seconds as HHHH:MM:SS.CC, at most 9999:59:59.99; negative or missing ones as none."""
+    cs = F.least(F.coalesce(F.greatest(F.floor(seconds * 100), F.lit(0)), F.lit(0)).cast("long"), F.lit(3599999999))
+    part = lambda of, per: F.floor(F.pmod(cs, F.lit(of)) / per).cast("long")
+    return F.format_string("%04d:%02d:%02d.%02d", F.floor(cs / 360000).cast("long"), part(360000, 6000), part(6000, 100), F.pmod(cs, F.lit(100)))
+
+
+def duration(seconds: Column) -> Column:
+    """Seconds as PT#H#M#.##S, all three parts always there."""
+    cs = F.coalesce(F.greatest(F.floor(seconds * 100), F.lit(0)), F.lit(0)).cast("long")
+    return F.format_string("PT%dH%dM%.2fS", F.floor(cs / 360000).cast("long"), F.floor(F.pmod(cs, F.lit(360000)) / 6000).cast("long"), F.pmod(cs, F.lit(6000)) / 100.0)

@@ -112,6 +112,28 @@ def definitions(marked_: DataFrame) -> DataFrame:
     return df.select("doc_id", F.row_number().over(by_doc("_first")).alias("ord"), "term", "definition", "line_no")
 
 
+def purpose_and_scope(docs: DataFrame, marked_: DataFrame) -> DataFrame:
+    """(doc_id, section, text, s): the sections' texts; for documents without such a heading, what a phrase in the text introduces."""
+    out = section_texts(marked_).where("section in ('purpose', 'scope')").select("doc_id", "section", "text", "s")
+    for section, names in (("purpose", "purpose|objective"), ("scope", "scope")):
+        headed = marked_.where((F.col("heading") == section) & F.col("first")).select("doc_id")
+        loose = fallback_text(docs.join(headed, "doc_id", "left_anti"), names).where("found <> ''")
+        out = out.unionByName(loose.select("doc_id", F.lit(section).alias("section"), F.col("found").alias("text"), "s"))
+    return out
+
+
+def loose_definitions(docs: DataFrame, marked_: DataFrame) -> DataFrame:
+    """(doc_id, ord, term, definition, line_no) of documents without the heading, from the block that the word introduces, up to a line that reads like a label."""
+    pattern = r"(?is)definitions?\s*:?\s*\n(.*?)(?:\n[A-Z][A-Za-z /]*:|\z)"
+    headed = marked_.where((F.col("heading") == "definitions") & F.col("first")).select("doc_id")
+    rest = docs.join(headed, "doc_id", "left_anti").where(F.col("text").rlike(pattern))
+    before = F.regexp_extract("text", r"(?is)^(.*?definitions?\s*:?\s*\n)(?:.*?)(?:\n[A-Z][A-Za-z /]*:|\z)", 1)
+    block = rest.select("doc_id", line_at(F.col("text"), F.length(before) + 1).alias("at"), F.posexplode(F.split(F.regexp_extract("text", pattern, 1), "\n")).alias("p", "line"))
+    df = split_definition(block.select("doc_id", (F.col("at") + F.col("p")).alias("line_no"), strip(F.col("line")).alias("body")))
+    df = df.groupBy("doc_id", "term").agg(F.max_by("definition", "line_no").alias("definition"), F.max("line_no").alias("line_no"), F.min("line_no").alias("_first"))
+    return df.select("doc_id", F.row_number().over(by_doc("_first")).alias("ord"), "term", "definition", "line_no")
+
+
 def warnings(marked_: DataFrame) -> DataFrame:
     """(doc_id, idx from 0, text, s, e): markers with the lines that continue them; of equal texts the first."""
     starts, stops = F.col("line").rlike(MARKER), (F.col("body") == "") | F.col("line").rlike(STOP) | F.col("heading").isNotNull()

@@ -77,11 +77,28 @@ def purpose_fallback(spark, sf_dir):
     return S.fallback_text(docs, "purpose|objective")
 
 
+def _loose(spark, sf_dir):
+    """Texts whose sections are introduced by words, not by headings."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    text = F.concat(F.lit("About it\n"), F.when(F.col("p_partkey") % 2 == 0, F.lit("PURPOSE:\nTo have a heading\n\n")).otherwise(F.lit("The purpose: keep ")), F.col("p_brand"), F.lit("\n\nSome definitions \nA: one\nnothing\nB - two\nA: "), F.col("p_type"), F.lit("\nMore: end"))
+    return p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+
+
+def loose_sections(spark, sf_dir):
+    docs = _loose(spark, sf_dir)
+    return S.purpose_and_scope(docs, S.marked(S.lines(docs)))
+
+
+def loose_definitions(spark, sf_dir):
+    docs = _loose(spark, sf_dir)
+    return S.loose_definitions(docs, S.marked(S.lines(docs)))
+
+
 def citation_lines(spark, sf_dir):
     return S.lines(sops(spark, sf_dir)).select("doc_id", "line_no", T.numbered(F.col("line_no"), F.col("line")).alias("numbered"))
 
 
-QUERIES = {f"structure_{f.__name__}": f for f in (headings, section_texts, title_version_date, responsibilities, definitions, warnings, steps, substeps, step_order, provenance_counts, warning_excerpts, purpose_fallback, citation_lines)}
+QUERIES = {f"structure_{f.__name__}": f for f in (headings, section_texts, title_version_date, responsibilities, definitions, warnings, steps, substeps, step_order, provenance_counts, warning_excerpts, purpose_fallback, loose_sections, loose_definitions, citation_lines)}
 
 _strip = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 _collapse = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
@@ -157,5 +174,7 @@ ORACLE_SQL = {
         union all select section, doc_id, s, e from {_texts} where section in ('purpose', 'scope') union all select 'responsibilities', doc_id, line_no, line_no from {_resp} union all select 'definition', doc_id, line_no, line_no from definitions union all select 'safety', doc_id, s, e from warnings union all select 'step', doc_id, s, e from steps)
         select kind, count(*) as spans, count(distinct doc_id) as docs, sum(e - s + 1)::bigint as lines from every group by kind""",
     "structure_purpose_fallback": f"select p_partkey as doc_id, {_collapse('regexp_extract(text, $$(?is)(?:purpose|objective)[:\\s]+(.*?)(?:\\n\\n|\\n[A-Z]|\\z)$$, 1)')} as found, 2 as s from (select p_partkey, 'About ' || p_name || chr(10) || 'Objective: keep  the ' || p_brand || chr(10) || 'in order' || chr(10) || chr(10) || 'End of text' as text from part)",
+    "structure_loose_sections": "select p_partkey as doc_id, 'purpose' as section, case when p_partkey % 2 = 0 then 'To have a heading ' || p_brand || ' Some definitions A: one nothing B - two' else 'keep ' || p_brand end as text, case when p_partkey % 2 = 0 then 3 else 2 end as s from part",
+    "structure_loose_definitions": "select p_partkey as doc_id, 1 as ord, 'A' as term, 'one' as definition, l as line_no from (select *, case when p_partkey % 2 = 0 then 8 else 5 end as l from part) union all select p_partkey, 2, 'B', 'two', l + 2 from (select *, case when p_partkey % 2 = 0 then 8 else 5 end as l from part)",
     "structure_citation_lines": f"{_w} select doc_id, line_no, 'L' || lpad(line_no::varchar, 4, '0') || ': ' || line as numbered from lines",
 }

@@ -63,6 +63,11 @@ def formats(spark, sf_dir):
     return p.select("p_partkey", html.alias("html"), T.slug(F.concat("p_name", F.lit(" -- "), "p_brand")).alias("slug"), T.listed(F.slice(F.array("p_name", "p_brand", "p_type"), F.lit(1), F.pmod("p_partkey", F.lit(3)).cast("int") + 1)).alias("listed"), T.scaled_points(F.col("p_size"), F.pmod("p_partkey", F.lit(5))).alias("points"))
 
 
+def durations_of_attempts(spark, sf_dir):
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") * 37 % 100000 / 4.0 - 10).alias("s"))
+    return o.select("o_orderkey", T.timespan(F.col("s")).alias("timespan"), T.duration(F.col("s")).alias("duration"))
+
+
 def unicode_keys(spark, sf_dir):
     """Option keys with compatibility forms unified, over documents written in them."""
     df = _docs(spark, sf_dir).select("doc_id", F.translate("text", "aeio", "ａｅｉｏ").alias("text"))
@@ -109,7 +114,7 @@ def reports(spark, sf_dir):
     return G.reports(docs, S.marked(S.lines(docs)), risks)
 
 
-QUERIES = {f"text_{f.__name__}": f for f in (sentences, clipped, altered, registers, option_keys, content_words, numbers, keys, formats, unicode_keys)} | {f"content_{f.__name__}": f for f in (objectives, sections, durations, definition_html, citation_coverage, reports)}
+QUERIES = {f"text_{f.__name__}": f for f in (sentences, clipped, altered, registers, option_keys, content_words, numbers, keys, formats, durations_of_attempts, unicode_keys)} | {f"content_{f.__name__}": f for f in (objectives, sections, durations, definition_html, citation_coverage, reports)}
 
 _c = Q._collapse
 _l = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -137,6 +142,7 @@ ORACLE_SQL = {
     "text_keys": f"select p_partkey, {_key} as document_key, left(sha256({_key} || '|q1|salt'), 32) as salt, sha256(left(sha256({_key} || '|q1|salt'), 32) || '|' || {_okey('p_type')}) as answer_hash, sha256({_key} || '|q1') as digest from part",
     "text_formats": """select p_partkey, replace(replace(replace(replace(replace('<b>' || p_name || '</b> & ''x'' "y"', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') as html, regexp_replace(lower(p_name || ' -- ' || p_brand), '[^a-z0-9]+', '_', 'g') as slug,
         case p_partkey % 3 when 0 then p_name when 1 then p_name || ' and ' || p_brand else p_name || ', ' || p_brand || ' and ' || p_type end as listed, case when p_partkey % 5 <= 2 then greatest(1, p_size // 2) else p_size end as points from part""",
+    "text_durations_of_attempts": "select o_orderkey, printf('%04d:%02d:%02d.%02d', cs // 360000, cs % 360000 // 6000, cs % 6000 // 100, cs % 100) as timespan, printf('PT%dH%dM%.2fS', cs // 360000, cs % 360000 // 6000, (cs % 6000) / 100.0::double) as duration from (select o_orderkey, greatest(floor((o_orderkey * 37 % 100000 / 4.0 - 10) * 100), 0)::bigint as cs from orders)",
     "text_unicode_keys": f"select doc_id, sha256({_okey('text')}) as key_sha256 from documents",
     "content_sections": f"""{_w}, {Q.DEFS}, {Q.WARN}, {Q.STEPS}, n as (select doc_id, 'intro' as id, 1 as "order", 'Introduction' as title, 1 + (select count(*) from {Q._texts} x where x.doc_id = s.doc_id and section in ('purpose', 'scope')) + (select count(*) from {Q._resp} x where x.doc_id = s.doc_id)
           + regexp_matches(text, '{S.VERSION}')::int + regexp_matches(text, '{S.DATE}')::int as citations from sops s
