@@ -66,6 +66,17 @@ def test_deterministic(spark, questions):
     assert sorted((r.asDict() for r in again), key=key) == sorted(questions[1], key=key)
 
 
+def test_relayout_after_an_edit(spark, questions):
+    """An unedited record comes out as it was; an edited one keeps its texts and gets the same balanced positions."""
+    own = [r for r in questions[1] if r["doc_id"] < 20 and r["requested"] == 5 and r["medical"]]
+    df = spark.createDataFrame([{k: v for k, v in r.items() if k != "n_options"} for r in own], A.SCHEMA)
+    again = {(r.doc_id, r.id): r for r in A.relaid(df).collect()}
+    assert len(again) == len(own)
+    for r in own:
+        new = again[r["doc_id"], r["id"]]
+        assert new.correct_answer == r["correct_answer"] and sorted(new.options) == sorted(r["options"]) and new.options[new.correct_answer] == r["options"][r["correct_answer"]]
+
+
 def test_wrong_options_straddle():
     t = lambda s: A.Text(s, s, s.lower(), "statement")
     out = A.wrong_options(t("m" * 20), [t("a" * 10), t("b" * 30), t("c" * 18), t("d" * 25), t("m" * 20), t("m" * 25), t("")], "s")

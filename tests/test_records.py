@@ -144,3 +144,19 @@ def test_stream(spark, tmp_path):
     q = trails.heads(trails.read_stream(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("heads").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("heads").collect()] == [("j", 4, "h3", 3)]
+
+
+def test_retention_listing_and_samples(spark, tmp_path):
+    df = trail(spark)
+    jobs = spark.createDataFrame([("j", "2024-01-01T00:00:00"), ("k", "2024-01-01T00:00:00"), ("new", "2024-01-09T00:00:00"), ("odd", "?")], "job_id string, updated_at string")
+    got = {r.job_id: r.head_hash for r in records.expired(jobs, df, "2024-01-10 00:00:00", 5 * 86400).collect()}
+    assert got == {"j": df.where("file_line = 6").first().hash, "k": A.GENESIS}
+    shown = [r.shown for r in A.log_lines(df).orderBy("file_line").collect()]
+    assert len(shown) == 6 and shown[0].startswith("   1  2024-01-01T00:00:00.000000+00:00  job.created        ")
+    (tmp_path / "i.json").write_text(json.dumps([{"id": "good_1", "title": "a"}, {"id": "../bad", "title": "b"}]))
+    assert [r.id for r in records.read_catalogue(spark, str(tmp_path / "i.json")).collect()] == ["good_1"]
+
+
+def test_manifest(spark):
+    sections = spark.createDataFrame([(1, "intro", 1), (1, "summary", 5)], "doc_id long, id string, `order` int")
+    assert [(r.item, r.file) for r in sinks.manifest(sections, "2004").orderBy("ord").collect()] == [("item_intro", "intro.html"), ("item_summary", "summary.html"), ("item_assessment", "assessment.html")]

@@ -359,6 +359,17 @@ def placed(questions: DataFrame) -> DataFrame:
     return df.withColumn("options", F.when(F.col("position").isNull(), F.col("options")).otherwise(moved)).withColumn("doc_id", F.col("_real")).drop("_real", "position")
 
 
+def relaid(questions: DataFrame) -> DataFrame:
+    """Edited questions laid out anew: right options first, wrong ones in the order of a digest, then `placed`. Two-way items stay as they are."""
+    right = F.get("options", F.col("correct_answer"))
+    wrong = F.filter("options", lambda o, i: i != F.col("correct_answer"))
+    seed = lambda o: F.sha2(F.concat_ws("|", "doc_key", "id", T.option_key(o)), 256)
+    wrong = F.transform(F.array_sort(F.transform(wrong, lambda o: F.struct(seed(o).alias("d"), o.alias("o")))), lambda x: x["o"])
+    many = F.col("type") != "true_false"
+    df = questions.withColumn("options", F.when(many, F.concat(F.array(right), wrong)).otherwise(F.col("options")))
+    return placed(df.withColumn("correct_answer", F.when(many, 0).otherwise(F.col("correct_answer"))))
+
+
 def sweep(docs: DataFrame, risks: DataFrame, counts: tuple[int, ...] = (5, 8)) -> DataFrame:
     """(doc_id, steps, warnings, definitions, has_purpose, has_scope, risk, worst, strategy, gameable, thin): both kinds of assessment, every number, every strategy."""
     f = facts(docs)
