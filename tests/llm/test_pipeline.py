@@ -56,6 +56,7 @@ def test_run(spark):
 
 def test_without_duplicates(spark, tmp_path):
     rows = [(1, "a", "p"), (1, "a", "q"), (2, "a", "r"), (3, "b", "s"), (3, "b", "s"), (4, None, "t"), (5, "", "u"), (None, "c", "v"), (6, "d", "w"), (6, "e", "x")]
-    spark.createDataFrame(rows, "doc_id long, text string, _pair0 string").write.parquet(str(tmp_path / "d"))
+    spark.createDataFrame(rows, "doc_id long, text string, _pair string").write.parquet(str(tmp_path / "d"))
     out = exact_dedup.without_duplicates(spark.read.parquet(str(tmp_path / "d"))).collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in out) == [(0, "c"), (2, "a"), (3, "b"), (5, ""), (6, "d"), (6, "e")]
+    assert {r._pair for r in out} == {"r", "s", "u", "v", "w", "x"}

@@ -76,8 +76,9 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found.where("not kept or n > 1").write.parquet(f"{folder}/doubtful")
     doubtful = docs.sparkSession.read.parquet(f"{folder}/doubtful")
     bloom = blocked_bloom.build(doubtful, F.col("_pair"))
-    rows = docs.withColumn("_pair", pair)
+    # all columns travel in one struct, whatever their names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), pair.alias("_pair"))
     stopped = blocked_bloom.might_contain(bloom.scalar(), F.col("_pair"))
-    sure = rows.where(~stopped).select(docs.columns)
+    sure = rows.where(~stopped).select("doc.*")
     rest = rows.where(stopped).join(doubtful.where("not kept").select("_pair"), "_pair", "left_anti")
-    return sure.unionByName(rest.dropDuplicates(["_pair"]).select(docs.columns))
+    return sure.unionByName(rest.dropDuplicates(["_pair"]).select("doc.*"))
