@@ -125,3 +125,63 @@ def test_network_on_documents(spark):
     empty = pl.fit(df.limit(0))
     assert pl.score_documents(df.limit(0), empty).count() == 0
     assert np.isfinite(pl.score_texts(["a b"], empty)[0]).all()
+
+
+def discounted(word, between, counted):
+    """P(word | left, right) among the words of one subclass, from plain counts."""
+
+    def level(same, below):
+        own = [w for w, a, b in counted if same(a, b)]
+        return (max(own.count(word) - pl.DISCOUNT, 0) + pl.DISCOUNT * len(set(own)) * below) / len(own) if own else below
+
+    left, right = between
+    alone = level(lambda a, b: True, 1 / (len({w for w, _, _ in counted}) + 1))
+    either = (level(lambda a, b: a == left, alone) + level(lambda a, b: b == right, alone)) / 2
+    return level(lambda a, b: (a, b) == between, either)
+
+
+def test_rare_words_are_told_apart(spark):
+    """Words beyond those with a class of their own, against plain counts; the vocabulary is larger than the classes."""
+    r = random.Random(6)
+    texts = [" ".join([*(f"often{r.randrange(300)}" for _ in range(60)), *(f"rare{r.randrange(900)}" for _ in range(20))]) for _ in range(60)]
+    asked = ["often1 rare5 often2", "often1 rare6 often2", "often1 neverseen often2", "", texts[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = pl.fit(docs)
+    got = {x.doc_id: x.score for x in pl.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), net).collect()}
+    same = {x.doc_id: x.score for x in pl.score_documents(docs, net).collect()}
+
+    def words(t):
+        w = t.split()
+        return list(zip(w, [None, *w][: len(w)], [*w[1:], None][: len(w)], strict=True))
+
+    name = lambda w: int(pl.classed(pl.word_hashes([w])[0], net.classes, net.own)[0])
+    of = {w: name(w) for t in [*texts, *asked] for w in t.split()}
+    counted = {}
+    for t in texts:
+        for x in words(t):
+            counted.setdefault(of[x[0]], []).append(x)
+    assert all(len({x[0] for x in own}) == 1 for c, own in counted.items() if c < pl.CLASSES - pl.RARE)
+    for i, t in enumerate(asked):
+        want = pl.score_texts([t], net)[0][0]
+        for w, a, b in words(t):
+            if of[w] >= pl.CLASSES - pl.RARE:
+                own = counted.get(of[w], [])
+                want += math.log(discounted(w, (a, b), own) * (len(own) + 1) / (net.totals[of[w]] + 1))
+        assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-5), t
+    assert math.isclose(same[0], got[4], rel_tol=1e-5)
+
+
+def test_words_of_one_class_differ(spark):
+    """Two words in one shared class, one in its usual place, one not: the classes can't tell, the words do."""
+    filler = [f"often{i}" for i in range(250)]
+    by_class = {}
+    for i in range(2000):
+        h = int(pl.word_hashes([f"rare{i}"])[0][0] % pl.BUCKETS)
+        by_class.setdefault(h % pl.RARE, []).append(f"rare{i}")
+    one, two = by_class[0][:2]
+    texts = [" ".join(filler * 3)] * 4 + [f"often1 {one} often2", f"often3 {two} often4"] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    net = pl.fit(docs)
+    out = {x.doc_id: x.score for x in pl.score_documents(spark.createDataFrame([(0, f"often1 {one} often2"), (1, f"often1 {two} often2")], "doc_id long, text string"), net).collect()}
+    a, b = pl.score_texts([f"often1 {one} often2", f"often1 {two} often2"], net)[0]
+    assert a == b and out[0] > out[1] + 0.5

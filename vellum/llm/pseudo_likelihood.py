@@ -4,26 +4,37 @@ The network predicts every token of a document from the tokens on its left and r
 ``softmax(tanh(L[left] + R[right] + a) W + b)``. A document's score is the sum of the
 log-probabilities of all its tokens, each masked in turn.
 
-Tokens are word classes: the CLASSES - RARE most frequent words of the corpus (told
-apart by a hash into BUCKETS) have a class each, other words share RARE classes by
-their hash; class 0 stands for what lies beyond the document's edges.
-
-Training sees every token of every document: the corpus is gathered as counts of
-(left, token, right), summed over all documents, and the network is fitted on them in
-numpy by Adam. The summed table has at most CLASSES ** 3 cells, however large the
-corpus, so it may come to the driver. Since a prediction depends on two classes, the
-trained network is worked out once for all pairs and scoring is one look-up a token.
+The network's outcomes are word classes: the CLASSES - RARE - 1 words that lead the most
+frequent hash buckets have a class each, which holds nothing else; other words share RARE
+classes by their hash; class 0 stands for what lies beyond the document's edges. A shared
+class is cut into subclasses by the words' hash, as many as its tokens fill at SHARE each,
+so their number grows with the corpus. What is scored is always the word:
+
+    P(word | left, right) = P(class | their classes) P(subclass | class) P(word | subclass, left, right)
+
+The last factor comes from counts of whole words: how often the word stands between these
+two, after the left one, before the right one, and alone, each less a DISCOUNT whose mass
+goes to the next, and at last to an outcome for words never seen. These counts are as many
+as the corpus has windows; they are dealt by subclass, and each subclass is counted and
+scored where it lies.
+
+Training of the network sees every token of every document: the corpus is gathered as
+counts of (left, token, right) classes, summed over all documents, and the network is
+fitted on them in numpy by Adam. Since its prediction depends on two classes, the trained
+network is worked out once for all pairs and scoring is one look-up a token.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +42,9 @@ from vellum.llm.columns import table_of, text_slices, word_hashes
 
 CLASSES, RARE, BUCKETS = 256, 48, 1 << 16
 HIDDEN, EPOCHS, RATE = 24, 30, 0.02
+#: Tokens a subclass has about, tokens a task deals at a time, rows whose sums go together.
+SHARE, DEALT, BLOCK = 1 << 20, 1 << 21, 1 << 12
+DISCOUNT = 0.75
 
 
 @dataclass
@@ -41,6 +55,15 @@ class Network:
     inner: np.ndarray
     out: np.ndarray
     bias: np.ndarray
+    own: np.ndarray | None = None  # hash of each class's only word; without it whole buckets are classes
+    totals: np.ndarray | None = None  # tokens of each class
+    corpus: DataFrame | None = field(default=None, repr=False)  # the documents whose words are counted, by text
+    text_col: str = "text"
+
+    def subclasses(self) -> tuple[np.ndarray, np.ndarray]:
+        """(number of subclasses, number of the first one) of each class; 0 of classes of one word."""
+        parts = np.where(np.arange(CLASSES) >= CLASSES - RARE, 1 + self.totals.astype(np.int64) // SHARE, 0)
+        return parts, np.cumsum(parts) - parts
 
     def hidden(self, lefts: np.ndarray) -> np.ndarray:
         """lefts x all rights x HIDDEN."""
@@ -56,20 +79,39 @@ class Network:
         return table
 
 
-def tokens(texts: list[str], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, token, right) classes of all words, and where each text's begin and the end."""
-    h, bounds = word_hashes(texts)
-    c = classes[(h % np.uint64(BUCKETS)).astype(np.int64)]
-    left, right = np.concatenate([[0], c[:-1]]), np.concatenate([c[1:], [0]])
+def classed(h: np.ndarray, classes: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """Classes of hashed words. A word in the bucket of a class that is another word's shares a class by its hash."""
+    bucket = (h % np.uint64(BUCKETS)).astype(np.int64)
+    c = classes[bucket]
+    if own is not None:
+        c = np.where((c < CLASSES - RARE) & (own[c] != h), CLASSES - RARE + bucket % RARE, c).astype(np.uint8)
+    return c
+
+
+def beside(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands left and right of each token in its text; 0 beyond the edges."""
+    if not len(x):
+        return x, x
+    zero = np.zeros(1, x.dtype)
+    left, right = np.concatenate([zero, x[:-1]]), np.concatenate([x[1:], zero])
     some = np.flatnonzero(np.diff(bounds))
     left[bounds[some]] = 0
     right[bounds[some + 1] - 1] = 0
-    return (left[: len(c)], c, right[: len(c)], bounds) if len(c) else (c, c, c, bounds)
+    return left, right
 
 
-def word_classes(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The class of each bucket, by the bucket's count over all documents."""
+def tokens(texts: list[str], classes: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(left, token, right) classes of all words, and where each text's begin and the end."""
+    h, bounds = word_hashes(texts)
+    c = classed(h, classes, own)
+    left, right = beside(c, bounds)
+    return left, c, right, bounds
+
+
+def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each bucket, hash of each class's only word), by the buckets' counts over all documents and, in the first of them, the words'."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
+    rows = docs.select(F.col(text_col).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(BUCKETS, np.int64)
@@ -79,15 +121,30 @@ def word_classes(docs: DataFrame, text_col: str) -> np.ndarray:
         some = np.flatnonzero(n)
         yield table_of(schema, bucket=some.astype(np.int32), n=n[some])
 
-    counts = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     top = counts.orderBy(F.desc("n"), "bucket").limit(CLASSES - RARE - 1).collect()  # one row a class
     out = (CLASSES - RARE + np.arange(BUCKETS) % RARE).astype(np.uint8)
     for i, r in enumerate(top):
         out[r.bucket] = i + 1
-    return out
 
+    words = pa.schema([("class", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, texts in text_slices(b, "text", 8_000_000):
+                h = word_hashes(texts)[0]
+                c = out[(h % np.uint64(BUCKETS)).astype(np.int64)]
+                h, n = np.unique(h[c < CLASSES - RARE], return_counts=True)
+                yield table_of(words, **{"class": out[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int32), "word": h.view(np.int64), "n": n})
+
+    counts = rows.mapInArrow(leading, "class int, word long, n long").groupBy("class", "word").agg(F.sum("n").alias("n"))
+    own = np.zeros(CLASSES, np.uint64)
+    for r in counts.groupBy("class").agg(F.max(F.struct("n", "word")).alias("most")).collect():  # one row a class
+        own[r["class"]] = np.int64(r.most.word).astype(np.uint64)
+    return out, own
 
-def window_counts(docs: DataFrame, classes: np.ndarray, text_col: str) -> np.ndarray:
+
+def window_counts(docs: DataFrame, classes: np.ndarray, own: np.ndarray, text_col: str) -> np.ndarray:
     """left x right x token: how often over all documents."""
     schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
@@ -95,7 +152,7 @@ def window_counts(docs: DataFrame, classes: np.ndarray, text_col: str) -> np.nda
         n = np.zeros(CLASSES**3, np.int32)
         for b in batches:
             for _, texts in text_slices(b, "text", 8_000_000):
-                left, token, right, _ = tokens(texts, classes)
+                left, token, right, _ = tokens(texts, classes, own)
                 if len(token):
                     cell, k = np.unique((left.astype(np.int32) << 16) | (right.astype(np.int32) << 8) | token, return_counts=True)
                     n[cell] += k.astype(np.int32)
@@ -152,9 +209,12 @@ def train(counts: np.ndarray, classes: np.ndarray, epochs: int = EPOCHS, seed: i
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Network:
-    """The network trained on all of ``docs``; nulls count as empty."""
-    classes = word_classes(docs, text_col)
-    return train(window_counts(docs, classes, text_col), classes)
+    """The network trained on all of ``docs``, whose words are what its scores count; nulls count as empty."""
+    classes, own = word_classes(docs, text_col)
+    counts = window_counts(docs, classes, own, text_col)
+    net = train(counts, classes)
+    net.own, net.totals, net.corpus, net.text_col = own, counts.sum((0, 1), dtype=np.float64), docs, text_col
+    return net
 
 
 _TABLES: dict[bytes, np.ndarray] = {}
@@ -170,27 +230,139 @@ def _table(net: Network) -> np.ndarray:
 
 
 def score_texts(texts: list[str], net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of the tokens' conditional log-probabilities, number of tokens) of each text."""
-    left, token, right, bounds = tokens(texts, net.classes)
+    """(sum of the conditional log-probabilities of the tokens' classes, number of tokens) of each text: the network's part of the score."""
+    left, token, right, bounds = tokens(texts, net.classes, net.own)
     p = _table(net)[left, right, token].astype(np.float64) if len(token) else np.zeros(0)
     upto = np.concatenate([[0.0], np.cumsum(p)])
     return upto[bounds[1:]] - upto[bounds[:-1]], np.diff(bounds)
 
 
+def packed_tokens(word: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray) -> bytes:
+    """48 bits of the word, 32 of each neighbour and the row as compressed columns, in the order of words."""
+    order = np.argsort(word, kind="stable")
+    w = word[order].view(np.uint8).reshape(-1, 8)[:, :6].T
+    near = [(x[order] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for x in (left, right)]
+    return len(word).to_bytes(8, "little") + pa.compress(w.tobytes() + near[0] + near[1] + row[order].astype("<u4").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_tokens(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(blob[:8], "little")
+    raw = np.frombuffer(pa.decompress(blob[8:], decompressed_size=18 * n, codec="zstd", asbytes=True), np.uint8)
+    word = np.zeros((n, 8), np.uint8)
+    word[:, :6] = raw[: 6 * n].reshape(6, n).T
+    left, right, row = raw[6 * n :].copy().view("<u4").reshape(3, n)
+    return word.view("<u8").ravel(), left, right, row
+
+
+def word_probabilities(word: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """P(word | subclass, left, right) of the tokens of one subclass; those that are ``known`` are what is counted."""
+    w = np.unique(word, return_inverse=True)[1]
+
+    def discounted(context: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        c = np.unique(context, return_inverse=True)[1]
+        pairs, pair = np.unique(c * (int(w.max()) + 1) + w, return_inverse=True)
+        n = np.bincount(pair[known], minlength=len(pairs))
+        whole = np.bincount(c[known], minlength=int(c.max()) + 1)[c]
+        kinds = np.bincount((pairs // (int(w.max()) + 1))[n > 0], minlength=int(c.max()) + 1)[c]
+        return np.where(whole > 0, (np.maximum(n[pair] - DISCOUNT, 0) + DISCOUNT * kinds * otherwise) / np.maximum(whole, 1), otherwise)
+
+    seen = np.count_nonzero(np.bincount(w[known], minlength=1))
+    alone = discounted(np.zeros(len(w), np.int64), np.full(len(w), 1.0 / (seen + 1)))
+    either = (discounted(left, alone) + discounted(right, alone)) / 2
+    return discounted((left.astype(np.uint64) << np.uint64(32)) | right, either)
+
+
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, n_tokens, score, mean_score.
 
     The mean is over tokens; a null, empty or blank text has 0 tokens, score 0 and a null
     mean. Repeated rows repeat; an empty table gives no rows; other columns are not looked at.
+    The words counted are those of the documents that the network is fitted on; where those
+    are ``docs`` itself, every token is dealt once.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    schema = pa.schema([("n_tokens", pa.int64()), ("score", pa.float64())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start, texts in text_slices(b, "_text"):
-                s, n = score_texts(texts, net)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), *table_of(schema, n_tokens=n, score=s).columns], names=["_id", *schema.names])
-
-    out = rows.mapInArrow(score, f"_id {rows.schema['_id'].dataType.simpleString()}, n_tokens long, score double")
+    own_corpus = net.corpus is docs and net.text_col == text_col
+    kind = rows.schema["_id"].dataType.simpleString()
+    parts, first = net.subclasses()
+    total, share = net.totals, int(parts.sum())
+    bare = Network(net.classes, net.left, net.right, net.inner, net.out, net.bias, net.own, net.totals)
+    #: Either a document (row, _id, n_tokens, score) or tokens of a subclass (base, known, blob).
+    fields = f"sub int, row long, _id {kind}, n_tokens long, score double, base long, known boolean, blob binary"
+
+    def dealer(scored: bool, known: bool):
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, held, size, schema = TaskContext.get().partitionId() << 36, [], 0, None
+            for b in batches:
+                if schema is None:
+                    of_id = b.schema.field(0).type
+                    schema = pa.schema([("sub", pa.int32()), ("row", pa.int64()), ("_id", of_id), ("n_tokens", pa.int64()), ("score", pa.float64()), ("base", pa.int64()), ("known", pa.bool_()), ("blob", pa.binary())])
+                for start, texts in text_slices(b, "_text", 8_000_000):
+                    h, bounds = word_hashes(texts)
+                    row = np.arange(at, at + len(texts))
+                    if scored:
+                        s, n = score_texts(texts, bare)
+                        none = pa.nulls(len(texts))
+                        yield pa.RecordBatch.from_arrays([pa.array((row % share).astype(np.int32)), pa.array(row), b.column(0).slice(start, len(texts)), pa.array(n.astype(np.int64)), pa.array(s), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.binary())], schema=schema)
+                    c = classed(h, bare.classes, bare.own)
+                    left, right = beside(h, bounds)
+                    some = np.flatnonzero(c >= CLASSES - RARE)
+                    c, h = c[some], h[some]
+                    sub = (first[c] + ((h >> np.uint64(24)) % np.maximum(parts[c], 1).astype(np.uint64)).astype(np.int64)).astype(np.int32)
+                    held.append((sub, h, left[some], right[some], np.repeat(row, np.diff(bounds))[some]))
+                    size, at = size + len(some), at + len(texts)
+                    if size >= DEALT:
+                        yield from dealt(schema, held, known)
+                        held, size = [], 0
+            if size:
+                yield from dealt(schema, held, known)
+
+        def dealt(schema: pa.Schema, held: list, known: bool) -> Iterator[pa.RecordBatch]:
+            sub, word, left, right, row = (np.concatenate(x) for x in zip(*held, strict=True))
+            base = int(row.min())
+            order = np.argsort(sub, kind="stable")
+            cuts = np.flatnonzero(np.diff(sub[order])) + 1
+            for own in np.split(order, cuts):
+                yield pa.RecordBatch.from_pylist([{"sub": int(sub[own[0]]), "base": base if scored else -1, "known": known, "blob": packed_tokens(word[own], left[own], right[own], row[own] - base)}], schema=schema)
+
+        return deal
+
+    def words(table: pa.Table) -> pa.Table:
+        """Documents as they came, and the sums of this subclass's log-probabilities by block of documents."""
+        done = [table.filter(pc.is_valid(table["row"])).select(["row", "_id", "n_tokens", "score"])]
+        done[0] = done[0].add_column(0, "block", pa.array(done[0]["row"].to_numpy() // BLOCK, pa.int64())).append_column("blob", pa.nulls(len(done[0]), pa.binary()))
+        some = table.filter(pc.is_valid(table["blob"]))
+        if len(some):
+            bases, known = some["base"].to_pylist(), some["known"].to_pylist()
+            got = [unpacked_tokens(x) for x in some["blob"].to_pylist()]
+            sizes = [len(x[0]) for x in got]
+            word, left, right, row = (np.concatenate(x) for x in zip(*got, strict=True))
+            base, known = np.repeat(np.array(bases, np.int64), sizes), np.repeat(np.array(known, bool), sizes)
+            of = int(np.searchsorted(first, some["sub"][0].as_py(), "right")) - 1
+            log_p = np.log(word_probabilities(word, left, right, known)) + np.log((known.sum() + 1) / (total[of] + parts[of]))
+            asked = base >= 0
+            rows, at = np.unique(base[asked] + row[asked], return_inverse=True)
+            if len(rows):
+                sums = np.bincount(at, log_p[asked])
+                cuts = np.flatnonzero(np.diff(rows // BLOCK)) + 1
+                blobs = [(r % BLOCK).astype("<u2").tobytes() + x.astype("<f4").tobytes() for r, x in zip(np.split(rows, cuts), np.split(sums, cuts), strict=True)]
+                none = pa.nulls(len(blobs))
+                done.append(pa.table([pa.array(rows[np.concatenate([[0], cuts])] // BLOCK), none.cast(pa.int64()), none.cast(table.schema.field("_id").type), none.cast(pa.int64()), none.cast(pa.float64()), pa.array(blobs, pa.binary())], schema=done[0].schema))
+        return pa.concat_tables(done)
+
+    def summed(table: pa.Table) -> pa.Table:
+        more = np.zeros(BLOCK)
+        for x in table["blob"].to_pylist():
+            if x is not None:
+                n = len(x) // 6
+                more[np.frombuffer(x, "<u2", n)] += np.frombuffer(x, "<f4", n, 2 * n)
+        own = table.filter(pc.is_valid(table["row"]))
+        score = own["score"].to_numpy() + more[own["row"].to_numpy() % BLOCK]
+        return pa.table([own["_id"], own["n_tokens"], pa.array(score)], names=["_id", "n_tokens", "score"])
+
+    tokens_of = rows.mapInArrow(dealer(True, own_corpus), fields)
+    if not own_corpus and net.corpus is not None:
+        corpus = net.corpus.select(F.lit(None).cast(kind).alias("_id"), F.col(net.text_col).alias("_text"))
+        tokens_of = tokens_of.unionByName(corpus.mapInArrow(dealer(False, True), fields))
+    sums = tokens_of.groupBy("sub").applyInArrow(words, f"block long, row long, _id {kind}, n_tokens long, score double, blob binary")
+    out = sums.groupBy("block").applyInArrow(summed, f"_id {kind}, n_tokens long, score double")
     return out.select(F.col("_id").alias(id_col), "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
