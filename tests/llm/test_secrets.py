@@ -87,3 +87,15 @@ def test_documents(spark):
     assert got[1].clean is None and got[3].clean == 'a [SECRET]"' and got[5].base == "" and got[5].spans.startswith("assign:0:")
     assert got[6].base == "access:200001:200021"
     assert secrets.find_secrets(df.limit(0)).count() == 0
+
+
+def test_urlsafe_runs_are_whole():
+    """With - or _ only after letter 16, where the standard alphabet would end."""
+    for i in range(60):
+        for inner in (f"abcdefghijklmnopq? password=hunter2hunter2 ok {i}".encode(), zlib.compress(f"{i} {LINE} {i * 7919}".encode())):
+            shell = base64.urlsafe_b64encode(inner).decode()
+            assert any(k == 0 for _, k, _ in secrets.find_all(f"see {shell} end")[1]), shell
+    shell = base64.urlsafe_b64encode(b"abcdefghijklmnopq? password=hunter2hunter2 ok").decode()
+    assert not {"-", "_"} & set(shell[:16]) and {"-", "_"} & set(shell[16:])
+    for text in (f"key_{b64(LINE.encode())}", f"some-name-{b64(LINE.encode())}", f"path/{shell}"):  # the other alphabet's letters beside a run
+        assert any(k == 0 for _, k, _ in secrets.find_all(text)[1]), text

@@ -40,7 +40,9 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 WORTH = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f{]|&#|[Uu]\+[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}"
 ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[Uu]\+([0-9A-Fa-f]{4,6})")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
+#: A run in either alphabet, and what each alphabet makes of it alone: an underscore or a slash may also be what stands beside a run.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
 #: What a compressed layer may come to; beyond it the rest of that layer is left packed, against decompression bombs.
 LAYER_BYTES = 64 << 20
 
@@ -139,10 +141,19 @@ def _as_text(raw: bytes) -> str | None:
     return text if text and odd * 10 <= len(text) else None
 
 
+def _encoded(text: str) -> Iterator[np.ndarray]:
+    """Places of the letters of all that may be a base64 run."""
+    for m in BASE64.finditer(text):
+        a, b = m.span()
+        parts = {(a, b)} | {x.span() for p in ALPHABETS for x in p.finditer(text, a, b)}
+        yield from (np.arange(*x) for x in sorted(parts))
+
+
 def _runs(layer: Layer) -> Iterator[Layer]:
     """Layers of the base64 runs, with what is compressed in them unpacked."""
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
+    for at in _encoded(layer.text):
+        body = "".join(map(layer.text.__getitem__, at)) if at[-1] - at[0] >= len(at) else layer.text[at[0] : at[-1] + 1]
+        body = body.rstrip("=").replace("-", "+").replace("_", "/")
         body = body[: len(body) - (len(body) % 4 == 1)]
         try:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
@@ -157,13 +168,13 @@ def _runs(layer: Layer) -> Iterator[Layer]:
         if text is None:
             continue
         if packed or raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            a, b = layer.origin(m.start(), m.end())
+            a, b = int(layer.start[at].min()), int(layer.end[at].max())
             yield Layer(text, np.full(len(text), a), np.full(len(text), b))
         else:  # byte i of the run comes from the letters 4 i / 3 on
-            at = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
-            first, last = at[:-1] * 4 // 3, (at[1:] * 4 + 2) // 3
+            upto = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+            first, last = upto[:-1] * 4 // 3, (upto[1:] * 4 + 2) // 3
             last = np.minimum(last, len(body))
-            yield Layer(text, layer.start[m.start() + first], layer.end[m.start() + last - 1])
+            yield Layer(text, layer.start[at[first]], layer.end[at[last - 1]])
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
