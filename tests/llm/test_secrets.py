@@ -99,3 +99,16 @@ def test_urlsafe_runs_are_whole():
     assert not {"-", "_"} & set(shell[:16]) and {"-", "_"} & set(shell[16:])
     for text in (f"key_{b64(LINE.encode())}", f"some-name-{b64(LINE.encode())}", f"path/{shell}"):  # the other alphabet's letters beside a run
         assert any(k == 0 for _, k, _ in secrets.find_all(text)[1]), text
+
+
+SHELLS = [lambda t: "".join(f"\\U{ord(c):08x}" for c in t), lambda t: "".join(f"\\u{{{ord(c):x}}}" for c in t), lambda t: "".join(f"\\x{ord(c):02x}" for c in t), lambda t: "".join(f"\\u{ord(c):04X}" for c in t),
+          lambda t: "".join(f"&#{ord(c)};" for c in t), lambda t: "".join(f"&#x{ord(c):x};" for c in t), lambda t: "".join(f"u+{ord(c):04x}" for c in t), lambda t: "".join(f"%{ord(c):02x}" for c in t), lambda t: b64(t.encode()), str]
+
+
+def test_every_text_with_spans_is_looked_at(spark):
+    """The filter in SQL lets through whatever the scan finds something in."""
+    plain_texts = ["password=abcdef", "api_key: abcdef", "ApiKey=abcdef", "PASSWD = 'abcdef", "AKIA" + "A1" * 8, "0a" * 12]
+    texts = [f(t) for t in plain_texts for f in SHELLS]
+    assert all(secrets.find_all(t)[1] for t in texts)
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: secrets.joined(secrets.find_all(t)[1]) for i, t in enumerate(texts)}

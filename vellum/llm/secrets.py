@@ -32,17 +32,19 @@ from vellum.llm.columns import table_of, text_slices
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns: (kind, pattern, group whose length counts, least length). Letters of the first group of "assign" in either case.
-ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
+KEYS = "password|passwd|secret|token|api_?key"
+ASSIGN = re.compile(rf"({KEYS})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
-#: What a text must hold to be worth scanning or unwrapping.
-WORTH = r"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f{]|&#|[Uu]\+[0-9A-Fa-f]{4}|[A-Za-z0-9+/_-]{16}"
 ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});|[Uu]\+([0-9A-Fa-f]{4,6})")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 #: A run in either alphabet, and what each alphabet makes of it alone: an underscore or a slash may also be what stands beside a run.
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{16,}={0,2}"))
+ENCODED = re.compile("|".join([PERCENT.pattern, ESCAPES.pattern, BASE64.pattern]))
+#: What a text must hold to be worth scanning or unwrapping, in SQL: what any of the patterns above needs.
+WORTH = "|".join([f"(?i:{KEYS})", ACCESS.pattern, HEX.pattern, ENCODED.pattern])
 #: What a compressed layer may come to; beyond it the rest of that layer is left packed, against decompression bombs.
 LAYER_BYTES = 64 << 20
 
@@ -209,9 +211,6 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
     return base, sorted(every)
 
 
-ENCODED = re.compile("|".join([PERCENT.pattern, ESCAPES.pattern, BASE64.pattern]))
-
-
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
