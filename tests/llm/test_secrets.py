@@ -1,7 +1,10 @@
 """The secret scan against plain regular expressions, and secrets hidden under layers."""
 
 import base64
+import bz2
 import gzip
+import lzma
+import random
 import re
 import urllib.parse
 import zlib
@@ -112,3 +115,45 @@ def test_every_text_with_spans_is_looked_at(spark):
     assert all(secrets.find_all(t)[1] for t in texts)
     got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == {i: secrets.joined(secrets.find_all(t)[1]) for i, t in enumerate(texts)}
+
+
+def noise(n, seed=1):
+    r = random.Random(seed)
+    return " ".join(r.choice(["alpha", "beta", "gamma"]) + str(r.randrange(10**6)) for _ in range(n))
+
+
+def test_wrapped_runs_are_one():
+    long = f"{noise(12)} {LINE} {noise(12)}".encode()
+    for inner in (long, gzip.compress(long), zlib.compress(long), lzma.compress(long)):
+        for width, end in ((76, "\n"), (64, "\r\n"), (40, "\n  "), (16, "\n")):
+            letters = b64(inner)
+            shell = end.join(letters[i : i + width] for i in range(0, len(letters), width))
+            for text in (f"\n\n{shell}\n\nend", f"key: {shell}\nend", f"Payload\n{shell}\nDone\n", f"-----BEGIN X-----\n{shell}\n-----END X-----"):
+                assert {0, 2} <= {k for _, k, _ in secrets.find_all(text)[1]}, text
+    (a, _, b), *_ = [x for x in secrets.find_all(f"\n{base64.encodebytes(long).decode()}")[1] if x[1] == 2]
+    assert b - a < 60
+
+
+def test_every_member_is_read():
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        for inner in (pack(b"nothing here") + pack(LINE.encode()), pack(b"a") + pack(b"b") + b"\0" * 8 + pack(LINE.encode()), pack(b"\xff\xfe\xfd" * 9) + pack(LINE.encode()), pack(b"nothing") + LINE.encode(), gzip.compress(pack(b"x") + pack(LINE.encode()))):
+            assert {0, 2} <= {k for _, k, _ in secrets.find_all(f"see {b64(inner)} end")[1]}, (pack, inner)
+
+
+def test_deep_layers_end():
+    inner = LINE.encode()
+    for _ in range(1500):
+        inner = zlib.compress(inner, 0)
+    assert {0, 2} <= {k for _, k, _ in secrets.find_all(b64(inner))[1]}
+
+
+def test_large_layers_are_read_to_the_end(monkeypatch):
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1 << 16)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    monkeypatch.setattr(secrets, "CHUNK", 1 << 12)
+    for k in range(3):
+        for lead in (0, 65_500 - k, 65_536 - 2 * k, 130_000, 400_000):
+            inner = ("é" * lead)[k:] + " " * k + f" {LINE} " + "é" * 70_000
+            for pack in (gzip.compress, lambda x: gzip.compress(bz2.compress(x))):
+                text = b64(pack(inner.encode()))
+                assert secrets.find_all(text)[1][0][1] == 0 and {0, 2} <= {x for _, x, _ in secrets.find_all(text)[1]}, (k, lead)

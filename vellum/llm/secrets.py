@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -45,8 +47,14 @@ ALPHABETS = (re.compile(r"[A-Za-z0-9+/]{16,}={0,2}"), re.compile(r"[A-Za-z0-9_-]
 ENCODED = re.compile("|".join([PERCENT.pattern, ESCAPES.pattern, BASE64.pattern]))
 #: What a text must hold to be worth scanning or unwrapping, in SQL: what any of the patterns above needs.
 WORTH = "|".join([f"(?i:{KEYS})", ACCESS.pattern, HEX.pattern, ENCODED.pattern])
-#: What a compressed layer may come to; beyond it the rest of that layer is left packed, against decompression bombs.
-LAYER_BYTES = 64 << 20
+#: Runs on lines of their own, as encoders wrap them; the first may stand behind something and the last before something. At least one line is as long as a run.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+LEAST_RUN = 16
+#: A compressed layer that comes to more is scanned in pieces of this size, which overlap by so much.
+LAYER_BYTES, OVERLAP = 64 << 20, 1 << 20
+#: What is unpacked at a time, and by how much of its beginning a layer is known again.
+CHUNK, HEAD = 1 << 20, 1 << 16
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -115,32 +123,114 @@ def _percent(layer: Layer) -> Layer | None:
     return Layer("".join([*parts, layer.text[last:]]), np.concatenate([*start, layer.start[last:]]), np.concatenate([*end, layer.end[last:]]))
 
 
-def _unpacked(raw: bytes) -> bytes | None:
-    """What compressed bytes hold, None if they aren't compressed or damaged from the start."""
+def _unpacker(raw: bytes):
+    """What can unpack the bytes, None if they aren't compressed."""
     if raw[:2] == b"\x1f\x8b":
-        worker = zlib.decompressobj(31)
-    elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-        worker = zlib.decompressobj()
-    elif raw[:3] == b"BZh":
-        worker = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        worker = lzma.LZMADecompressor()
-    else:
-        return None
-    try:
-        return worker.decompress(raw, LAYER_BYTES) or None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    return None
 
 
-def _as_text(raw: bytes) -> str | None:
-    """UTF-8 (or UTF-16 with its mark) of mostly printable characters."""
-    try:
-        text = raw.decode("utf-16") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not c.isprintable() and c not in "\t\n\r" for c in text)
-    return text if text and odd * 10 <= len(text) else None
+def _members(data: bytes, more: Iterator[bytes], cuts: list[int], rest: list[bytes]) -> Iterator[bytes]:
+    """What the compressed bytes hold, member after member, as far as they aren't damaged.
+
+    ``cuts`` gets where each member ends, ``rest`` what follows the last one.
+    """
+    worker, size = _unpacker(data), 0
+    while worker is not None:
+        try:
+            out = worker.decompress(data, CHUNK)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            return
+        size += len(out)
+        if out:
+            yield out
+        if worker.eof:
+            cuts.append(size)
+            data = worker.unused_data.lstrip(b"\0")  # members may be padded
+            while len(data) < 6 and (new := next(more, None)) is not None:
+                data = (data + new).lstrip(b"\0")
+            worker = _unpacker(data)
+            if worker is None and data:
+                rest.append(data)
+            continue
+        data = getattr(worker, "unconsumed_tail", b"")
+        if not data and len(out) < CHUNK:  # else there may be more to come from what it has
+            new = next(more, None)
+            if new is None:
+                return
+            data = new
+
+
+def _contents(raw: bytes) -> Iterator[tuple[str, bool]]:
+    """Texts that bytes hold as they are or packed, however often, and if they were packed. What was met before, as what unpacks to itself, ends."""
+    met: set[bytes] = set()
+    work: list[tuple[bytes, Iterator[bytes], bool]] = [(raw, iter(()), False)]
+    while work:
+        first, more, packed = work.pop()
+        while len(first) < HEAD and (new := next(more, None)) is not None:
+            first += new
+        key = hashlib.sha256(first).digest()
+        held: list[bytes] = []
+        if _unpacker(first) is not None and key not in met:
+            met.add(key)
+            cuts: list[int] = []
+            rest: list[bytes] = []
+            out, size = _members(first, more, cuts, rest), 0
+            for x in out:
+                held.append(x)
+                size += len(x)
+                if size > LAYER_BYTES:
+                    break
+        if held:
+            whole = b"".join(held)
+            work.append((b"", itertools.chain(rest, more if rest or size > LAYER_BYTES else ()), True))  # once what is before it was read
+            if len(cuts) > 1 and size <= LAYER_BYTES:  # they may be of different kinds
+                work += [(whole[i:j], iter(()), True) for i, j in itertools.pairwise([0, *cuts, size]) if i < j]
+            work.append((whole, out, True))
+        else:
+            yield from ((t, packed) for t in _texts(first, more, packed))
+
+
+def _texts(head: bytes, data: Iterator[bytes], packed: bool) -> Iterator[str]:
+    """UTF-8 (or UTF-16 with its mark) of mostly printable characters; what is packed and large in pieces that overlap."""
+    held = [head]
+    size = len(head)
+    for x in data:
+        if packed and size > LAYER_BYTES:
+            data = itertools.chain([x], data)
+            break
+        held.append(x)
+        size += len(x)
+    raw = b"".join(held)
+    code = "utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "utf-8"
+    if not packed or size <= LAYER_BYTES:
+        try:  # packed bytes may be cut within a character where they are damaged
+            text = codecs.getincrementaldecoder(code)().decode(raw, final=not packed)
+        except UnicodeDecodeError:
+            return
+        if _printable(text):
+            yield text
+        return
+    decoder, text, new = codecs.getincrementaldecoder(code)("replace"), "", False
+    for x in itertools.chain((raw[i : i + CHUNK] for i in range(0, size, CHUNK)), data):
+        text, new = text + decoder.decode(x), True
+        if len(text) >= LAYER_BYTES:
+            if _printable(text):
+                yield text
+            text, new = text[-OVERLAP:], False
+    if new and _printable(text):
+        yield text
+
+
+def _printable(text: str) -> bool:
+    odd = sum(c == "\ufffd" or not c.isprintable() and c not in "\t\n\r" for c in text)
+    return bool(text) and odd * 10 <= len(text)
 
 
 def _encoded(text: str) -> Iterator[np.ndarray]:
@@ -149,6 +239,20 @@ def _encoded(text: str) -> Iterator[np.ndarray]:
         a, b = m.span()
         parts = {(a, b)} | {x.span() for p in ALPHABETS for x in p.finditer(text, a, b)}
         yield from (np.arange(*x) for x in sorted(parts))
+    for m in WRAPPED.finditer(text):
+        lines = [x.span() for x in LINE.finditer(text, *m.span())]
+        size = [b - a for a, b in lines]
+        if max(size) < LEAST_RUN:
+            continue
+        spans, i = {(0, len(lines))}, 0
+        while i < len(lines):  # lines of one length and a shorter last one, among lines that aren't of the run
+            n = i + 1
+            while n < len(lines) and size[n] == size[i]:
+                n += 1
+            if size[i] >= LEAST_RUN:
+                spans |= {(max(i - k, 0), min(n + j, len(lines))) for k in (0, 1) for j in (0, 1)}
+            i = n
+        yield from (np.concatenate([np.arange(*x) for x in lines[a:b]]) for a, b in sorted(spans) if b - a > 1)
 
 
 def _runs(layer: Layer) -> Iterator[Layer]:
@@ -161,22 +265,15 @@ def _runs(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(body + "=" * (-len(body) % 4))
         except (binascii.Error, ValueError):
             continue
-        packed = False
-        while (more := _unpacked(raw)) is not None and more != raw:
-            raw, packed = more, True
-            if len(raw) >= LAYER_BYTES:
-                break
-        text = _as_text(raw)
-        if text is None:
-            continue
-        if packed or raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            a, b = int(layer.start[at].min()), int(layer.end[at].max())
-            yield Layer(text, np.full(len(text), a), np.full(len(text), b))
-        else:  # byte i of the run comes from the letters 4 i / 3 on
-            upto = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
-            first, last = upto[:-1] * 4 // 3, (upto[1:] * 4 + 2) // 3
-            last = np.minimum(last, len(body))
-            yield Layer(text, layer.start[at[first]], layer.end[at[last - 1]])
+        for text, packed in _contents(raw):
+            if packed or raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+                a, b = int(layer.start[at].min()), int(layer.end[at].max())
+                yield Layer(text, np.full(len(text), a), np.full(len(text), b))
+            else:  # byte i of the run comes from the letters 4 i / 3 on
+                upto = np.concatenate([[0], np.cumsum([len(c.encode()) for c in text])])
+                first, last = upto[:-1] * 4 // 3, (upto[1:] * 4 + 2) // 3
+                last = np.minimum(last, len(body))
+                yield Layer(text, layer.start[at[first]], layer.end[at[last - 1]])
 
 
 def unwrap(layer: Layer) -> Iterator[Layer]:
@@ -196,18 +293,21 @@ def find_all(text: str) -> tuple[list[Span], list[Span]]:
     every, seen, work = set(base), set(), []
     if ENCODED.search(text):
         place = np.arange(len(text))
-        work.append(Layer(text, place, place + 1))
+        work.append(unwrap(Layer(text, place, place + 1)))
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         key = hashlib.sha256(b"|".join([layer.text.encode("utf-8", "surrogatepass"), layer.start.tobytes(), layer.end.tobytes()])).digest()
         if key in seen:  # the same content from the same place: a cycle, or two ways to one layer
             continue
         seen.add(key)
-        for below in unwrap(layer):
-            for a, kind, b in scan(below.text):
-                start, end = below.origin(a, b)
-                every.add((start, kind, end))
-            work.append(below)
+        for a, kind, b in scan(layer.text):
+            start, end = layer.origin(a, b)
+            every.add((start, kind, end))
+        if ENCODED.search(layer.text):
+            work.append(unwrap(layer))
     return base, sorted(every)
 
 
