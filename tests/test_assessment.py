@@ -86,3 +86,20 @@ def test_wrong_options_straddle():
 def test_bisection():
     assert [i for n, _, i in Z.bisection(9) if n == 9] == [4, 1, 6, 0, 2, 5, 7, 3, 8]
     assert all(sorted(i for n, _, i in Z.bisection(12) if n == k) == list(range(k)) for k in range(1, 13))
+
+
+def test_spread_of_many(spark):
+    """Ranks of documents with more items than any table of the SQL holds, against the bisection itself."""
+    sizes = [1, 2, 3, 9, 64, 65, 66, 100, 129, 500]
+    items = spark.createDataFrame([(n, i + 1) for n in sizes for i in range(n)], "doc_id long, ord long")
+    got = {(r.doc_id, r.ord - 1): r.spread for r in Z.spread(items).collect()}
+    assert len(got) == sum(sizes)
+    for n in sizes:
+        spans, order = [(0, n - 1)], []
+        while spans:
+            low, high = spans.pop(0)
+            if low <= high:
+                mid = (low + high) // 2
+                order.append(mid)
+                spans += [(low, mid - 1), (mid + 1, high)]
+        assert [got[n, i] for i in order] == list(range(n)), n

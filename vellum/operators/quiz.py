@@ -162,11 +162,24 @@ def bisection(most: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def spread(items: DataFrame, most: int = 64) -> DataFrame:
-    """Adds ``spread``: the rank of each of a document's items (by ord, from 1) in bisection order; documents with more than ``most`` items keep their order."""
-    dim = items.sparkSession.createDataFrame(bisection(most), "n int, spread int, place int")  # most * (most + 1) / 2 rows
-    df = items.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc_id")).cast("int")).withColumn("place", (F.col("ord") - 1).cast("int"))
-    return df.join(F.broadcast(dim), ["n", "place"], "left").withColumn("spread", F.coalesce("spread", "place")).drop("n", "place")
+def spread(items: DataFrame) -> DataFrame:
+    """Adds ``spread``: the rank of each of a document's items (by ord, from 1) in bisection order, however many there are.
+
+    Bisection goes level by level and from left to right within each, so the rank is that of (level, place).
+    """
+    step = lambda a, b, level, on: F.struct(a.alias("a"), b.alias("b"), level.alias("level"), on.alias("on"))
+
+    def halved(s: Column, _: Column) -> Column:
+        mid = F.floor((s["a"] + s["b"] - 1) / 2).cast("int")
+        place, on = F.col("_place"), s["on"]
+        before, after = on & (place < mid), on & (place > mid)
+        return step(F.when(after, mid + 1).otherwise(s["a"]), F.when(before, mid).otherwise(s["b"]), F.when(before | after, s["level"] + 1).otherwise(s["level"]), before | after)
+
+    doc = W.partitionBy("doc_id")
+    df = items.withColumn("_n", F.count(F.lit(1)).over(doc).cast("int")).withColumn("_place", (F.col("ord") - 1).cast("int"))
+    start = step(F.lit(0), F.col("_n"), F.lit(0), F.lit(True))
+    level = F.aggregate(F.sequence(F.lit(1), F.ceil(F.log2(F.col("_n") + 1)).cast("int")), start, halved, lambda s: s["level"])
+    return df.withColumn("_level", level).withColumn("spread", F.row_number().over(doc.orderBy("_level", "_place")) - 1).drop("_n", "_place", "_level")
 
 
 def interleaved(first: DataFrame, second: DataFrame, rotate: int = 0) -> DataFrame:
