@@ -1,11 +1,13 @@
 """Invariants of the questions: independent, balanced, ungameable where the document allows, deterministic."""
 
+import json
 from collections import Counter, defaultdict
 
 import pytest
 
 from vellum.operators import assessment as A
 from vellum.operators import quiz as Z
+from vellum.plans import corpus_queries
 from vellum.plans import structure_queries as Q
 
 D = "/root/testdata/sf0.001"
@@ -103,3 +105,22 @@ def test_spread_of_many(spark):
                 order.append(mid)
                 spans += [(low, mid - 1), (mid + 1, high)]
         assert [got[n, i] for i in order] == list(range(n)), n
+
+
+def test_sweep_is_of_both_numbers(spark, questions):
+    """The registered sweep counts the runs at 5 and at 8 questions that came out short."""
+    _, rows = questions
+    short = Counter(doc for (doc, _, n), own in runs(rows).items() if len(own) < n)
+    assert any(n == 8 and len(own) < n for (_, _, n), own in runs(rows).items())
+    got = corpus_queries.sweep(spark, D).collect()
+    assert {r.doc_id: r.thin for r in got} == {r.doc_id: short[r.doc_id] for r in got} and len(got) == 200
+
+
+def test_sweep_totals(spark):
+    rows = [(i, i % 13, 1, 2, True, i % 2 == 0, "low", float(i % 7 * 10), f"s{i}", i % 7 == 6, i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, steps long, warnings long, definitions long, has_purpose boolean, has_scope boolean, risk string, worst double, strategy string, gameable boolean, thin long")
+    (got,) = Z.sweep(df).collect()
+    assert (got.documents, got.with_scope, got.warnings, got.definitions, got.risk_low, got.risk_none) == (40, 20, 40, 80, 40, 0)
+    assert got.thin == sum(r[-1] for r in rows) and got.gameable == sum(r[-2] for r in rows)
+    assert {x["steps"]: x["documents"] for x in json.loads(got.steps_per_document)} == Counter(min(r[1], 10) for r in rows)
+    assert [(x["doc_id"], x["worst"], x["strategy"]) for x in json.loads(got.worst)] == [(r[0], r[7], r[8]) for r in sorted(rows, key=lambda r: (-r[7], r[0]))[:5]]

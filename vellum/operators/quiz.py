@@ -191,11 +191,19 @@ def interleaved(first: DataFrame, second: DataFrame, rotate: int = 0) -> DataFra
 
 
 def sweep(documents: DataFrame) -> DataFrame:
-    """One row over all documents (steps, warnings, definitions, has_purpose, has_scope, risk, gameable, thin): the totals of a corpus run."""
-    return documents.agg(
+    """One row over all documents (doc_id, steps, warnings, definitions, has_purpose, has_scope, risk, worst, strategy, gameable, thin): the totals of a corpus run.
+
+    steps_per_document is steps_histogram, worst the five documents with the highest scores, both as JSON.
+    """
+    totals = documents.agg(
         F.count(F.lit(1)).alias("documents"), F.count_if("has_purpose").alias("with_purpose"), F.count_if("has_scope").alias("with_scope"), F.sum("warnings").alias("warnings"), F.sum("definitions").alias("definitions"), F.count_if("gameable").alias("gameable"),
-        *[F.count_if(F.col("risk") == r).alias(f"risk_{r}") for r in ("high", "low", "none")],
+        F.sum("thin").alias("thin"), *[F.count_if(F.col("risk") == r).alias(f"risk_{r}") for r in ("high", "low", "none")],
     )
+    listed = lambda *c: F.to_json(F.array_sort(F.collect_list(F.struct(*c))))
+    steps = steps_histogram(documents).agg(listed("steps", "documents").alias("steps_per_document"))
+    worst = documents.orderBy(F.desc("worst"), "doc_id").limit(5).select((-F.col("worst")).alias("_less"), "doc_id", "worst", "strategy").agg(F.array_sort(F.collect_list(F.struct("_less", "doc_id", "worst", "strategy"))).alias("_w"))
+    worst = worst.select(F.to_json(F.transform("_w", lambda x: x.dropFields("_less"))).alias("worst"))
+    return totals.crossJoin(steps).crossJoin(worst)
 
 
 def steps_histogram(documents: DataFrame, cap: int = 10) -> DataFrame:
