@@ -33,22 +33,49 @@ def test_dedup_repeated_rows_and_empty(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
-def test_dedup_with_a_full_filter(spark):
-    """Far more shapes than bits in the filter: more is hashed, nothing is lost."""
+def test_dedup_with_no_filter(spark, monkeypatch):
+    """More keys than a filter may hold: all is hashed in full, nothing is lost."""
+    monkeypatch.setattr(blocked_bloom, "MOST", 0)
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 1500).cast("string")).alias("text"))
     assert exact_dedup.exact_dedup(df).where("group_size = 2 and keep_id >= 1500").count() == 3000
 
 
+def test_dedup_hashes_only_what_length_and_prefix_leave_open(spark, tmp_path):
+    long = "a" * 5000
+    rows = [(1, "alone in its length"), (2, "same length, one"), (3, "same length, two"), (4, long + "x"), (5, long + "y"), (6, "twice"), (7, "twice"), (8, None), (9, "")]
+    marked = exact_dedup._marked(docs(spark, rows), "doc_id", "text", False, 64, str(tmp_path / "m"))
+    assert sorted(r._id for r in marked.where("_full is not null").collect()) == [4, 5, 6, 7, 8, 9]
+
+
+def test_dedup_digest(spark):
+    rows = [(1, "a"), (2, None), (3, "ä"), (4, "a")]
+    got = {r.doc_id: (r.sha, r.kept) for r in exact_dedup.exact_dedup(docs(spark, rows), digest="sha").collect()}
+    assert got == {i: (hashlib.sha256((t or "").encode()).hexdigest(), i != 1) for i, t in rows}
+
+
+def test_without_duplicates(spark):
+    rows = [(1, "a"), (2, "b"), (3, "a"), (4, None), (5, ""), (6, "q"), (6, "q"), (6, "z"), (None, "n"), (None, "n"), (None, "b")]
+    out = exact_dedup.without_duplicates(docs(spark, rows))
+    assert out.columns == ["doc_id", "text", "kept", "size", "lang"]
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "n"), (2, "b"), (3, "a"), (5, ""), (6, "q"), (6, "z")]
+    assert exact_dedup.without_duplicates(docs(spark, [])).count() == 0
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(2000).select(F.col("id").cast("string").alias("k"))
-    one = blocked_bloom.build(keys.where("cast(k as int) % 2 = 0"), F.col("k"), 64)
-    got = keys.select("k", blocked_bloom.might_contain(one.scalar(), F.col("k"), 64).alias("m")).collect()
-    assert all(r.m for r in got if int(r.k) % 2 == 0)
-    assert sum(r.m for r in got if int(r.k) % 2) < 300
+    for blocks in (64, 4096):
+        one = blocked_bloom.build(keys.where("cast(k as int) % 2 = 0"), F.col("k"), blocks)
+        got = keys.select("k", blocked_bloom.might_contain(one.scalar(), F.col("k"), blocks).alias("m")).collect()
+        assert all(r.m for r in got if int(r.k) % 2 == 0)
+        assert sum(r.m for r in got if int(r.k) % 2) < (300 if blocks == 64 else 3)
     none = blocked_bloom.build(keys.limit(0), F.col("k"), 64)
     assert keys.where(blocked_bloom.might_contain(none.scalar(), F.col("k"), 64)).count() == 0
 
 
+def test_the_filter_follows_the_number_of_keys():
+    assert [blocked_bloom.blocks_for(n) for n in (0, 5000, 1 << 22, (1 << 22) + 1)] == [1024, 2048, 1 << 20, None]
+
+
 def judge(url, listed):
     host = path = ""
     if url is not None and "://" in url:
@@ -65,20 +92,33 @@ def judge(url, listed):
 
 
 URLS = [None, "", "nothing", "://", "http://", "HTTP://WWW.Example.ORG/es/1", "http://example.org/en/12", "http://sub.example.org/en/2", "http://badexample.org/en/1", "http://x.com/fr/", "http://x.com/de/9?q=/fr/",
-        "https://m.spam-farm.example.net/nl/1.html", "https://spam-farm.example.net/nl/1/", "http://a.b?x=http://c.org/", "http://É.Ä/É", "http://org", "http://org/", "a://b://c", "http://xorg/", "https://spam-farm.example.net/nl/2#f"]
+        "https://m.spam-farm.example.net/nl/1.html", "https://m.spam-farm.example.net/nl/1.html\n", "https://spam-farm.example.net/nl/1/", "http://a.b?x=http://c.org/", "http://É.Ä/É", "http://org", "http://org/", "a://b://c", "http://xorg/", "https://spam-farm.example.net/nl/2#f"]
 
 
-def test_urls(spark):
+def test_urls(spark, monkeypatch):
     df = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(URLS + URLS[-3:])], "page_id long, url string, host string, canonical string")
     listed = spark.createDataFrame([("spam-farm.example.net/nl/1",), (None,), ("",), ("spam-farm.example.net/nl/1",)], "canonical string")
     want = [judge(u, {"spam-farm.example.net/nl/1"}) for u in URLS + URLS[-3:]]
-    for blocks in (1, 32768):
-        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, listed, blocks=blocks).collect()}
+    for most in (0, 1 << 20):  # without a filter and with one
+        monkeypatch.setattr(blocked_bloom, "MOST", most)
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df, listed).collect()}
         assert [got[i] for i in range(len(want))] == want
     assert url_filter.filter_urls(df.limit(0), listed).count() == 0
     assert url_filter.filter_urls(df, listed.limit(0)).where("listed").count() == 0
 
 
+def test_the_join_takes_out_false_hits(spark):
+    """Pages of one host, on the list and off it: some that are off pass the filter, none the join."""
+    listed = url_filter.block_list(spark)
+    urls = spark.range(1, 60001).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.free-bets.example.net/en/"), "id", F.lit("/?x")).alias("url"))
+    got = url_filter.filter_urls(urls, listed)
+    want = listed.where("canonical like 'free-bets.example.net/en/%'").count()
+    assert 4000 < want < 6000
+    assert got.where("listed and maybe_listed and verdict = 'block'").count() == want
+    assert 0 < got.where("maybe_listed and not listed and verdict = 'allow'").count() < 1000
+    assert got.count() == 60000
+
+
 def shard(key, t):
     def least(children):
         draws = [(-math.log((int(hashlib.md5(f"{key}|{p}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w, i) for i, (p, w) in enumerate(children)]
@@ -108,6 +148,14 @@ def test_shards(spark):
     assert sharding.assign_shards(docs(spark, [])).count() == 0
 
 
+def test_slots_of_many_rows_with_one_id(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS", 10)
+    out = sharding.assign_shards(spark.range(900).select(F.when(F.col("id") < 300, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text")), 10).collect()
+    assert len({r.shard for r in out if r.doc_id == 5}) == 1
+    for s in range(10):
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(r.shard == s for r in out)))
+
+
 def test_weights_move_keys_only_into_the_changed_subtree(spark):
     t = sharding.tree(20)
     more = [[list(r) for r in g] for g in t]

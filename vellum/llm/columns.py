@@ -15,12 +15,34 @@ SLICE_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's path below ``spark.checkpoint.dir``, which all executors share.
+    """A new folder's path below ``spark.checkpoint.dir``, which all executors share; it goes when the driver ends.
 
-    Where that is unset, as in local tests, the warehouse folder serves.
+    Where that is unset, as in local tests, the warehouse folder serves; on a cluster
+    that raises ValueError, as the warehouse may be a folder of one machine only.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name storage that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base.rstrip('/')}/vellum-{uuid.uuid4().hex}"
+    path, fs = _on_storage(spark, folder)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return folder
+
+
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes tables whose readers have all been written themselves."""
+    for folder in folders:
+        path, fs = _on_storage(spark, folder)
+        fs.delete(path, True)
+
+
+def _on_storage(spark: SparkSession, folder: str) -> tuple:
+    """(path, file system) of a folder, as Hadoop has them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[str]]]:

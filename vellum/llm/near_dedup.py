@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm import blocked_bloom
+from vellum.llm.blocked_bloom import Sieve
 from vellum.llm.columns import MIX, MORE, mixed, shared_folder, table_of, text_slices, word_hashes
 from vellum.llm.components import components
 
@@ -159,8 +159,7 @@ def _prepared(docs: DataFrame, text_col: str, folder: str, count: int, length: i
 def _verified(pairs: DataFrame, prepared: DataFrame, least: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts are similar. Only texts that a filter of the pairs' rows lets pass are moved."""
     wanted = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row")))
-    bloom = blocked_bloom.build(wanted, F.col("row"))
-    texts = prepared.where(blocked_bloom.might_contain(bloom.scalar(), F.col("row"))).select("row", "text")
+    texts = prepared.where(Sieve(wanted, F.col("row")).passes(F.col("row"))).select("row", "text")
     both = pairs.join(texts.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -202,8 +201,7 @@ def _rest(buckets: DataFrame, prepared: DataFrame, members: DataFrame, least: fl
     spark, ratio = prepared.sparkSession, least / (1 + least)
     crowded = buckets.where(F.col("size") > CROWD)
     nodes = crowded.select(F.col("node").alias("row")).distinct()
-    bloom = blocked_bloom.build(nodes, F.col("row"))
-    texts = prepared.where(blocked_bloom.might_contain(bloom.scalar(), F.col("row"))).select("row", "text").join(nodes, "row", "left_semi")
+    texts = prepared.where(Sieve(nodes, F.col("row")).passes(F.col("row"))).select("row", "text").join(nodes, "row", "left_semi")
 
     def kmers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,7 +294,6 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     folder = shared_folder(docs.sparkSession)
     rows.where("not kept").select("row").write.parquet(f"{folder}/dropped")
     out = docs.sparkSession.read.parquet(f"{folder}/dropped")
-    bloom = blocked_bloom.build(out, F.col("row"))
-    stopped = blocked_bloom.might_contain(bloom.scalar(), F.col("row"))
+    stopped = Sieve(out, F.col("row")).passes(F.col("row"))
     sure = prepared.where(~stopped).select("doc.*")
     return sure.unionByName(prepared.where(stopped).join(out, "row", "left_anti").select("doc.*"))

@@ -20,8 +20,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry={"text_sha256": sha})
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), digest="text_sha256")
 
 
 def vocabulary_path() -> str:
@@ -49,8 +48,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return url_filter.filter_urls(pages, url_filter.listed_of(pages))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.block_list(spark)).drop("maybe_listed")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,12 +100,15 @@ c as (select *, regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path,
 
 def op7_sql() -> str:
     rules = " union all ".join(f"select '{v}' as verdict, '{h}' as h, '{p}' as p" for v, h, p in url_filter.RULES)
-    sites = " or ".join(f"host = '{s}' or ends_with(host, '.{s}')" for s in url_filter.SITES)
+    listed = lambda xs: ", ".join(f"'{x}'" for x in xs)
     return f"""
 with r as ({rules}), {_URL},
 fit as (select page_id, h || p as rule, r.verdict, row_number() over (partition by page_id order by length(h || p) desc) as k
         from c join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)),
-l as (select distinct canonical from c where ({sites}) and canonical <> '')
+l as (select canonical
+      from (select site || '/' || language || '/' || n as canonical
+            from (select unnest([{listed(url_filter.SITES)}]) as site), (select unnest([{listed(url_filter.LANGUAGES)}]) as language), range(1, {url_filter.PAGES + 1}) t(n))
+      where substr(md5(canonical), 1, 1) in ({listed(url_filter.MARKS)}))
 select c.page_id, c.host, c.path, fit.rule,
        coalesce(fit.verdict, case when l.canonical is not null then 'block' else 'allow' end) as verdict,
        l.canonical is not null as listed
@@ -115,4 +116,27 @@ from c left join fit on fit.page_id = c.page_id and fit.k = 1 left join l on l.c
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_url_filter": op7_sql()}
+def op9_sql(shards: int = 40) -> str:
+    """For equal shards, five to a rack and two racks to a region. At each level the child with the least draw is the one with the greatest number, as all weigh alike; the shard that is added weighs a tenth of a region."""
+    number = lambda path: f"((('0x' || substr(md5(key || '|' || {path}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+    most = lambda n, path: f"list_position(list_transform(range({n}), lambda i: {number(path)}), list_max(list_transform(range({n}), lambda i: {number(path)}))) - 1"
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(str(c))
+    return f"""
+with k as (select doc_id, coalesce(cast(doc_id as varchar), '') as key, list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda c: strpos('123456789ABCDEF', c)) as x from documents),
+b as (select doc_id, key, list_transform(range(1, len(x) // 2 + 1), lambda i: 16 * x[2 * i - 1] + x[2 * i]) as bytes from k),
+c as (select doc_id, key, len(bytes) as n, xor(4294967295, coalesce(list_reduce(bytes, lambda x, y: xor(x >> 8, [{", ".join(table)}][1 + xor(x & 255, y)]), 4294967295::bigint), 4294967295)) as text_crc32 from b),
+g as (select *, {most(shards // 10, "'g' || i")} as g from c),
+r as (select *, {most(2, "g || '|r' || i")} as r from g),
+s as (select *, {most(5, "g || '|' || r || '|s' || i")} as s from r)
+select doc_id, cast(n + 16 as bigint) as size, text_crc32, 'key' as law, cast(10 * g + 5 * r + s as int) as shard,
+       row_number() over (partition by 10 * g + 5 * r + s order by md5(key || '|' || text_crc32)) - 1 as slot,
+       cast(case when -ln({number(f"'g{shards // 10}'")}) < -ln({number("'g' || g")}) / 10 then {shards} else 10 * g + 5 * r + s end as int) as grown_shard
+from s
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_url_filter": op7_sql(), "op9_sharding": op9_sql()}

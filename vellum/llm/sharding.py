@@ -7,8 +7,11 @@ and the child's weight, so a change of weights moves keys only into (or out of)
 subtrees whose weights change. A shard is added as a region of its own, so it takes
 keys only into itself.
 
-The position within a shard is the rank in a hashed sub-bucket plus the sizes of the
-sub-buckets before it: no task has to hold or sort a whole shard.
+Within a shard rows stand in the order of a hash of id and checksum. A row's slot is its
+rank in the sub-bucket of its hash's first digits plus the sizes of the sub-buckets
+before it; there are as many digits as keep sub-buckets at about ROWS rows, and one that
+is larger, as rows repeat, is dealt out once more by row. So no task has to hold or sort
+a whole shard, nor all rows of an id.
 """
 
 from __future__ import annotations
@@ -19,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.llm.columns import shared_folder
+
 Tree = list[list[list[float]]]
-SUB = 256
+#: Rows of a sub-bucket, and up to how many rows a table of sub-buckets is broadcast.
+ROWS, BROADCAST = 20_000, 100_000
 
 
 def tree(shards: int, racks: int = 2, per_rack: int = 5) -> Tree:
@@ -80,18 +86,27 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
 
     The key law: the id and the number of shards decide. A null id is keyed as the empty
     string; a null text has size 16 and the checksum of no bytes. Rows with the same id
-    share a shard and get slots next to each other, in the order of their checksums;
-    an empty table gives no rows. Other columns are not looked at.
+    share a shard. An empty table gives no rows; other columns are not looked at. The
+    rows without their texts are written once, so slots don't change when something is
+    computed again.
     """
-    t = tree(shards)
-    text = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    sub = lambda c: F.substring(F.md5(F.concat_ws("|", F.coalesce(c.cast("string"), F.lit("")), F.lit("slot"))), 1, 2)
-    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    spark, folder, t = docs.sparkSession, shared_folder(docs.sparkSession), tree(shards)
+    text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.coalesce(F.col("_id").cast("string"), F.lit(""))
-    rows = rows.select("*", shard_of(key, t).alias("shard"), shard_of(key, grown(t)).alias("grown_shard"), sub(F.col("_id")).alias("_sub"))
-    counts = docs.select(F.col(id_col).alias("_id")).select(shard_of(key, t).alias("shard"), sub(F.col("_id")).alias("_sub")).groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("shard", "_sub", (F.sum("_n").over(W.partitionBy("shard").orderBy("_sub")) - F.col("_n")).alias("_before"))
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("shard", "_sub").orderBy("_id", "text_crc32")) - 1)
-    # `before` has at most shards x 256 rows, whatever the input
-    placed = ranked.join(F.broadcast(before), ["shard", "_sub"])
+    rows = docs.select(F.col(id_col).alias("_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.monotonically_increasing_id().alias("_row"))
+    rows = rows.select("*", shard_of(key, t).alias("shard"), shard_of(key, grown(t)).alias("grown_shard"), F.md5(F.concat_ws("|", key, "text_crc32")).alias("_hash"))
+    rows.write.parquet(f"{folder}/rows")
+    rows, digits = spark.read.parquet(f"{folder}/rows"), 2
+    total = rows.count()
+    while total > ROWS * shards * 16**digits:
+        digits += 1
+    rows = rows.withColumn("_sub", F.substring("_hash", 1, digits))
+    small = (lambda df: F.broadcast(df)) if shards * 16**digits <= BROADCAST else (lambda df: df)
+    rows.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n")).write.parquet(f"{folder}/subs")
+    subs = spark.read.parquet(f"{folder}/subs").select("shard", "_sub", F.when(F.col("_n") > 2 * ROWS, F.ceil(F.col("_n") / ROWS)).otherwise(F.lit(1)).cast("long").alias("_parts"))
+    rows = rows.join(small(subs), ["shard", "_sub"]).withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts")))
+    counts = rows.groupBy("shard", "_sub", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("shard", "_sub", "_part", (F.sum("_n").over(W.partitionBy("shard").orderBy("_sub", "_part")) - F.col("_n")).alias("_before"))
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("shard", "_sub", "_part").orderBy("_hash", "_row")) - 1)
+    placed = ranked.join(small(before), ["shard", "_sub", "_part"])
     return placed.select(F.col("_id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_before") + F.col("_rank")).cast("long").alias("slot"), "grown_shard")

@@ -1,24 +1,27 @@
 """URL filter: host/path rules first, else a list of canonical URLs.
 
-The list is turned into a blocked Bloom filter of fixed size. Rows that the filter
+The list is turned into a blocked Bloom filter sized by the list. Rows that the filter
 passes over are settled without any shuffle; possible hits alone are hash-joined
-with the list, which takes out the filter's false positives.
+with the list, which takes out the filter's false positives. A list too long for a
+filter (four million URLs) is joined with all rows, of which only ids and URLs move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import blocked_bloom
+from vellum.llm.blocked_bloom import Sieve
+from vellum.llm.columns import shared_folder
 
 AZ, az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path)
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Sites whose pages make up the list of the query.
+#: The list of the query: of every site's pages in every language, numbered up to PAGES, those whose URL's MD5 begins with one of MARKS. It is a table of its own, so a page of such a site may be on it or not.
 SITES = tuple(f"{name}.example.{end}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
+LANGUAGES, PAGES, MARKS = ("de", "en", "es", "fr"), 10000, "01234567"
 
 
 def after_scheme(url: Column) -> Column:
@@ -37,7 +40,7 @@ def path(url: Column) -> Column:
 
 def canonical(url: Column) -> Column:
     """Host without ``www.`` or ``m.``, path without ``.html`` and the last slash; no scheme, query or fragment."""
-    return F.concat(F.regexp_replace(host(url), r"^(www|m)\.", ""), F.regexp_replace(path(url), r"(\.html|/)$", ""))
+    return F.concat(F.regexp_replace(host(url), r"^(www|m)\.", ""), F.regexp_replace(path(url), r"(\.html|/)\z", ""))
 
 
 def rule_for(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
@@ -52,30 +55,33 @@ def rule_for(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]
     return which, verdict
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, blocks: int = blocked_bloom.BLOCKS) -> DataFrame:
-    """One row for each row of ``pages``: id, host, path, rule, verdict, listed.
+def filter_urls(pages: DataFrame, listed: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
+    """One row for each row of ``pages``: id, host, path, rule, verdict, listed, maybe_listed.
 
-    ``listed`` has one column ``canonical``; nulls in it are ignored, repeats don't
-    matter. Null urls and urls without ``://`` have an empty host and path, fit no rule
-    and are on no list, so they are allowed. Repeated rows are judged each for itself.
+    ``listed`` has one column ``canonical``; nulls and empty ones in it are ignored,
+    repeats don't matter. Null urls and urls without ``://`` have an empty host and path,
+    fit no rule and are on no list, so they are allowed. Repeated rows are judged each for
+    itself; an empty table gives no rows. maybe_listed is what the filter said.
     """
-    listed = listed.where("canonical is not null and canonical <> ''").select("canonical").distinct()
-    bloom = blocked_bloom.build(listed, F.col("canonical"), blocks)
+    folder = shared_folder(pages.sparkSession)
+    listed.where("canonical is not null and canonical <> ''").select("canonical").distinct().write.parquet(f"{folder}/list")
+    listed = pages.sparkSession.read.parquet(f"{folder}/list")
+    sieve = Sieve(listed, F.col("canonical"))
     rows = pages.select(F.col(id_col).alias("_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"), F.coalesce(canonical(F.col(url_col)), F.lit("")).alias("_key"))
     which, said = rule_for(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", which.alias("rule"), said.alias("_said"), blocked_bloom.might_contain(bloom.scalar(), F.col("_key"), blocks).alias("_maybe"))
-    # _maybe is never null, so the two branches hold every row once
-    sure = rows.where(~F.col("_maybe")).withColumn("listed", F.lit(False))
-    hits = rows.where("_maybe").join(listed.select(F.col("canonical").alias("_key"), F.lit(True).alias("listed")), "_key", "left")
+    rows = rows.select("*", which.alias("rule"), said.alias("_said"), sieve.passes(F.col("_key")).alias("maybe_listed"))
+    # maybe_listed is never null, so the two branches hold every row once
+    sure = rows.where(~F.col("maybe_listed")).withColumn("listed", F.lit(False))
+    hits = rows.where("maybe_listed").join(listed.select(F.col("canonical").alias("_key"), F.lit(True).alias("listed")), "_key", "left")
     every = sure.unionByName(hits.withColumn("listed", F.coalesce("listed", F.lit(False))))
     verdict = F.coalesce("_said", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
-    return every.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "listed")
+    return every.select(F.col("_id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "listed", "maybe_listed")
 
 
-def listed_of(pages: DataFrame, sites: Sequence[str] = SITES, url_col: str = "url") -> DataFrame:
-    """Canonical URLs of all pages on the named sites and their subdomains."""
-    h = host(F.col(url_col))
-    on = F.lit(False)
-    for s in sites:
-        on = on | (h == s) | h.endswith("." + s)
-    return pages.where(on).select(canonical(F.col(url_col)).alias("canonical"))
+def block_list(spark: SparkSession, sites: Sequence[str] = SITES, languages: Sequence[str] = LANGUAGES, pages: int = PAGES, marks: str = MARKS) -> DataFrame:
+    """The canonical URLs of the query's list."""
+    n = spark.range(1, pages + 1).select(F.col("id").cast("string").alias("n"))
+    site, language = F.explode(F.array(*map(F.lit, sites))), F.explode(F.array(*map(F.lit, languages)))
+    every = n.select("n", site.alias("site")).select("n", "site", language.alias("language"))
+    every = every.select(F.concat_ws("/", "site", "language", "n").alias("canonical"))
+    return every.where(F.substring(F.md5("canonical"), 1, 1).isin(list(marks)))
