@@ -1,4 +1,4 @@
-"""The forest against brute force, the window network against its own definition."""
+"""The window network against its own definition."""
 
 import math
 import random
@@ -7,82 +7,6 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.llm import pseudo_likelihood as pl
-from vellum.llm import rp_forest
-
-
-def brute(rows, k):
-    usable = {(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v) and len(v) == 6}
-    out = {}
-    for q, v in usable:
-        if q % 20 == 0:
-            near = sorted((-float((np.array(v) * np.array(w)).sum()), i) for i, w in usable if i != q)
-            out[q] = near[:k]
-    return out
-
-
-def vectors(spark, rows):
-    return spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, rank int")
-
-
-def test_forest_on_odd_rows(spark):
-    r = np.random.default_rng(2)
-    rows = [(i, r.normal(size=6).astype("f4").tolist()) for i in range(300)]
-    same = rows[40][1]
-    rows += [(i, same) for i in range(1000, 1100)]  # a large group of copies, five of which ask
-    rows += [(2000, None), (2020, [0.0] * 6), (2040, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2060, [float("nan")] * 6), (2080, [float("inf")] * 6), (None, same), (2100, [1.0, 2.0]), (20, rows[20][1])]
-    got = {}
-    for x in rp_forest.nearest(vectors(spark, rows), F.col("vec_id") % 20 == 0, leaf=2048).collect():
-        got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
-    want = brute(rows, 20)
-    assert set(got) == set(want)
-    for q, near in want.items():
-        own = sorted(got[q])
-        assert [x for x, _, _ in own] == list(range(1, 21))
-        assert [i for _, i, _ in own] == [i for _, i in near]
-        assert np.allclose([s for _, _, s in own], [-s for s, _ in near], rtol=0, atol=1e-12)
-
-
-def test_forest_of_few_or_none(spark):
-    df = vectors(spark, [(0, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])])
-    out = rp_forest.nearest(df, F.col("vec_id") % 20 == 0).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in out) == [(0, 1, 3), (0, 2, 20), (20, 1, 3), (20, 2, 0)]
-    assert rp_forest.nearest(df.limit(0), F.lit(True)).count() == 0
-
-
-def test_recall_on_the_table(spark):
-    """With leaves far smaller than in production, so that the search leaves most out."""
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    x = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
-    ids = np.array(sorted(x))
-    m = np.stack([x[i] for i in ids])
-    found = {}
-    for r in rp_forest.nearest(df, F.col("vec_id") % 20 == 0, leaf=64).collect():
-        found.setdefault(r.query_id, set()).add(r.vec_id)
-    hit = []
-    for q, own in found.items():
-        s = m @ x[q]
-        s[ids == q] = -9
-        hit.append(len(own & set(ids[np.argsort(-s, kind="stable")[:20]].tolist())) / 20)
-    assert len(found) == (ids % 20 == 0).sum() and np.mean(hit) > 0.93
-
-
-def test_queue_takes_leaves_in_order():
-    r = np.random.default_rng(3)
-    x = r.normal(size=(400, 5))
-    f = rp_forest.grow(x, 400, float(np.linalg.norm(x, axis=1).max()), leaf=20)
-    assert f.depth == 5
-    y = f.lifted(x[:3], True)
-    for q, visits in zip(y, f.visits(x[:3], 1 << 30), strict=True):
-        assert len(set(visits)) == len(visits) == 4 * 32
-        worst = []
-        for t, leaf in visits:
-            node, w = leaf + 31, 0.0
-            while node:
-                up = (node - 1) // 2
-                m = float(f.directions[t, up] @ q - f.thresholds[t, up])
-                w, node = max(w, m if node % 2 else -m), up
-            worst.append(w)
-        assert worst == sorted(worst)
 
 
 def test_network_scores():
