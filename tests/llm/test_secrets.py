@@ -3,17 +3,23 @@
 import base64
 import bz2
 import gzip
+import hashlib
 import lzma
 import random
 import re
+import subprocess
+import sys
+import time
 import urllib.parse
 import zlib
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vellum.llm import secrets
 
+ROOT = Path(__file__).resolve().parents[2]
 HEX40 = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
 LINE = f'token = "{HEX40}"'
 
@@ -148,12 +154,112 @@ def test_deep_layers_end():
 
 
 def test_large_layers_are_read_to_the_end(monkeypatch):
-    monkeypatch.setattr(secrets, "LAYER_BYTES", 1 << 16)
+    monkeypatch.setattr(secrets, "PIECE", 1 << 13)
     monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
     monkeypatch.setattr(secrets, "CHUNK", 1 << 12)
-    for k in range(3):
-        for lead in (0, 65_500 - k, 65_536 - 2 * k, 130_000, 400_000):
-            inner = ("é" * lead)[k:] + " " * k + f" {LINE} " + "é" * 70_000
+    for lead in (0, 8170, 8191, 65_500, 130_000):
+        for inner in (("é" * lead) + f" {LINE} " + "é" * 70_000, "x" * lead + " password" + " " * 5000 + "= hunter2hunter2 " + HEX40):
             for pack in (gzip.compress, lambda x: gzip.compress(bz2.compress(x))):
-                text = b64(pack(inner.encode()))
-                assert secrets.find_all(text)[1][0][1] == 0 and {0, 2} <= {x for _, x, _ in secrets.find_all(text)[1]}, (k, lead)
+                assert {0, 2} <= {k for _, k, _ in secrets.find_all(b64(pack(inner.encode())))[1]}, lead
+
+
+def test_long_runs_within_streams(monkeypatch):
+    """An encoded run that is longer than a window, and what is compressed in it, is one run."""
+    monkeypatch.setattr(secrets, "PIECE", 1 << 13)
+    monkeypatch.setattr(secrets, "OVERLAP", 1 << 10)
+    monkeypatch.setattr(secrets, "CHUNK", 1 << 12)
+    r = random.Random(8)
+    body = r.randbytes(60_000)
+    for lead in (0, 3):
+        for run in (b64(gzip.compress(body + LINE.encode())), b64(body + LINE.encode()), base64.encodebytes(bz2.compress(body + LINE.encode())).decode(), "".join(f"%{b:02x}" for b in gzip.compress(body[:20_000] + LINE.encode()))):
+            text = b64(gzip.compress(f"{'-' * 9000} {'k' * lead}{run} {'-' * 9000}".encode()))
+            assert {0, 2} <= {k for _, k, _ in secrets.find_all(text)[1]}, (lead, run[:20])
+
+
+def wrapped(x):
+    return base64.encodebytes(x).decode()
+
+
+CODES = {
+    "percent": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "quote": lambda t: urllib.parse.quote(t, safe=""), "letters": lambda t: "".join(f"\\u{ord(c):04x}" if ord(c) < 65536 else c for c in t), "entities": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    "base64": lambda t: b64(t.encode()), "urlsafe": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), "wrapped": lambda t: wrapped(t.encode()), "path": lambda t: "/p/" + b64(t.encode()), "word": lambda t: "abcde" + b64(t.encode()),
+    "gzip": lambda t: b64(gzip.compress(t.encode())), "zlib": lambda t: b64(zlib.compress(t.encode())), "bz2": lambda t: wrapped(bz2.compress(t.encode())), "xz": lambda t: b64(lzma.compress(t.encode())), "utf-16": lambda t: b64(t.encode("utf-16")), "utf-16-be": lambda t: b64(b"x" + t.encode("utf-16-be")),
+    "binary": lambda t: b64(b"\x00\xff\x90\x01" + t.encode() + b"\xfe\x00"), "controls": lambda t: b64(b"\x01\x02\x03" * 9 + t.encode()), "members": lambda t: b64(gzip.compress(b"a") + bz2.compress(b"b") + gzip.compress(t.encode())), "percent of gzip": lambda t: "".join(f"%{b:02x}" for b in gzip.compress(t.encode())),
+    "escapes of zlib": lambda t: "".join(f"\\x{b:02x}" for b in zlib.compress(t.encode())), "json lines": lambda t: wrapped(t.encode()).strip().replace("\n", "\\n"),
+}
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(sorted(CODES)), min_size=1, max_size=4), st.booleans())
+def test_random_nestings(codes, prose):
+    """Whatever is put around a secret, it is found, within the encoded part."""
+    inner = f"é 😀 {LINE} x" if prose else LINE
+    for c in codes:
+        if len(inner) > 60_000:
+            break
+        inner = CODES[c](inner)
+    inner = inner.strip()
+    hidden(f"some 😀 prose\n\n{inner}\n\nand more", inner)
+
+
+def test_single_codes():
+    for c in CODES:
+        shell = CODES[c](LINE).strip()
+        hidden(f"some prose: {shell} and more", shell)
+
+
+def brute_layers(text):
+    """All that percent and letter escapes come to, one step at a time."""
+    seen, work = {text}, [text]
+    while work:
+        t = work.pop()
+        for new in (re.sub("(?:%[0-9A-Fa-f]{2})+", lambda m: bytes.fromhex(m[0].replace("%", "")).decode("latin-1"), t), re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), t)):
+            if new not in seen:
+                seen.add(new)
+                work.append(new)
+    return seen
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["%25", "%5c", "%5C", "\\u005c", "\\u0025", "%", "\\", "25", "5c", "u0041", "41", "7", "0", "token=abcdef", "y", " "]), max_size=12))
+def test_settling_agrees_with_steps(parts):
+    """The last of all layers, made step by step, is what one pass makes; and its letters come from where they should."""
+    text = "".join(parts)
+    settled = secrets._settled(secrets.Layer(text))
+    last = [t for t in brute_layers(text) if not secrets.ESCAPED.search(t)]
+    assert settled.text in last
+    if settled.text:
+        spans = [settled.origin(i, i + 1) for i in range(len(settled.text))]
+        assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a < b and b == c for (a, b), (c, _) in zip(spans, spans[1:] + [(len(text), 0)], strict=True))
+
+
+def test_escapes_of_escapes_take_linear_time():
+    for unit, head in (("25", "%"), ("u005c", "\\"), ("#x26;", "&"), ("5cu0025", "%")):
+        text = head + unit * (1_000_000 // len(unit)) + " " + urllib.parse.quote(urllib.parse.quote(urllib.parse.quote(f"é{LINE}")))
+        began = time.process_time()
+        kinds = {k for _, k, _ in secrets.find_all(text)[1]}
+        assert {0, 2} <= kinds and time.process_time() - began < 12, (unit, time.process_time() - began)
+
+
+def test_bombs_are_read_in_bounded_memory():
+    """A layer of 400 MB, with a secret at its end, in a process of its own."""
+    code = f"""
+import base64, resource, sys, zlib
+sys.path.insert(0, {str(ROOT)!r})
+from vellum.llm import secrets
+c = zlib.compressobj(9, wbits=31)
+out = [c.compress(b'0 ' * (1 << 19)) for _ in range(400)] + [c.compress({LINE.encode()!r}), c.flush()]
+text = base64.b64encode(b''.join(out)).decode()
+kinds = {{k for _, k, _ in secrets.find_all('x ' + text)[1]}}
+print(sorted(kinds), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split("]")
+    assert said[0] == "[0, 2" and int(said[1]) < 500
+
+
+def test_compressed_cycles_end():
+    """What unpacks to what it was unpacked from is not taken up again."""
+    inside = secrets.Stream(set(), set(), above=secrets.Stream(set(), set(), key=hashlib.sha256(b"packed" + gzip.compress(b"x", mtime=0)).digest()))
+    secrets._driven(inside.feed(gzip.compress(b"x", mtime=0)))
+    secrets._driven(inside.close())
+    assert inside.child is None
