@@ -17,20 +17,45 @@ def test_network_scores():
     h, _ = pl.word_hashes([" ".join(words)])
     for i, b in enumerate((h % np.uint64(pl.BUCKETS)).astype(int)):
         classes[b] = i + 1
-    left, token, right, bounds = pl.tokens(texts + ["", "one"], classes)
-    counts = np.zeros((pl.CLASSES,) * 3, np.float32)
-    np.add.at(counts, (left, right, token), 1)
-    assert counts.sum() == len(token) == bounds[-1] and counts[0].sum() == 61
-    net = pl.train(counts, classes)
-    table = net.log_probabilities()
-    assert np.allclose(np.exp(table[:9, :9].astype(float)).sum(2), 1, atol=1e-4)
-    z = np.tanh(net.left[3] + net.right[5] + net.inner) @ net.out + net.bias
-    assert np.allclose(table[3, 5], z - np.log(np.exp(z).sum()), atol=1e-4)
+    padded, at, bounds = pl.tokens([*texts, "", "one"], classes)
+    assert len(at) == bounds[-1] == 60 * 120 + 1 and (padded[at] > 0).all() and np.count_nonzero(padded) == len(at)
+    net = pl.first_network(classes, np.bincount(padded[at], minlength=pl.CLASSES))
+    for rate in pl.RATES:
+        net, seen = pl.trained_on(net, [texts], rate, passes=8)
+    assert seen == 60 * 120
+    assert np.allclose(np.exp(net.log_probabilities(padded, at[:50]).astype(float)).sum(1), 1, atol=1e-4)
     score, n = pl.score_texts([texts[0], " ".join(r.sample(texts[0].split(), len(texts[0].split()))), "", "  "], net)
-    assert n.tolist() == [120, 120, 0, 0] and score[0] / n[0] > -0.3 and score[0] > score[1] + 50 and score[2] == score[3] == 0
-    one, _ = pl.score_texts(["the cat sat"], net)
-    c = pl.tokens(["the cat sat"], classes)[1]
-    assert np.isclose(one[0], table[0, c[1], c[0]] + table[c[0], c[2], c[1]] + table[c[1], 0, c[2]], atol=1e-5)
+    assert n.tolist() == [120, 120, 0, 0] and score[0] / n[0] > -0.4 and score[0] > score[1] + 50 and score[2] == score[3] == 0
+
+
+def by_definition(text, net):
+    """The summed log-probability of the classes of a text's words, word by word, from the network's definition."""
+    c = [int(pl.classed(pl.word_hashes([w])[0], net.classes, net.own)[0]) for w in text.split()]
+    total = 0.0
+    for i, own in enumerate(c):
+        h = net.inner.astype(float).copy()
+        for k, o in enumerate(pl.OFFSETS):
+            h += net.context[k][c[i + o] if 0 <= i + o < len(c) else 0]
+        z = np.tanh(h) @ net.out.astype(float) + net.bias
+        total += z[own] - z.max() - math.log(np.exp(z - z.max()).sum())
+    return total
+
+
+def test_gradient_is_that_of_the_loss():
+    r = np.random.default_rng(1)
+    classes = (r.integers(1, pl.CLASSES, pl.BUCKETS)).astype(np.uint8)
+    net = pl.first_network(classes, np.ones(pl.CLASSES))
+    padded, at, _ = pl.tokens(["a b c d e f g", "b a"], classes)
+    loss = lambda n: -n.log_probabilities(padded, at)[np.arange(len(at)), padded[at]].astype(float).mean()
+    adam = pl.Adam(net.copied(), 0.0)
+    adam.step(padded, at)
+    for k, p in enumerate(net.parameters()):
+        g = adam.first[k].ravel() / 0.1
+        for i in np.argsort(-np.abs(g))[:3]:
+            moved = [net.copied() for _ in range(2)]
+            for m, e in zip(moved, (1e-2, -1e-2), strict=True):
+                m.parameters()[k].ravel()[i] += e
+            assert math.isclose((loss(moved[0]) - loss(moved[1])) / 2e-2, g[i], rel_tol=0.05, abs_tol=1e-4)
 
 
 def test_network_on_documents(spark):
@@ -39,13 +64,20 @@ def test_network_on_documents(spark):
     net = pl.fit(df)
     out = {r.doc_id: r for r in pl.score_documents(df, net).collect()}
     assert pl.score_documents(df, net).count() == df.count()
-    assert out[-1].n_tokens == out[-2].n_tokens == 0 and out[-1].score == 0 and out[-1].mean_score is None
+    assert out[-1].n_tokens == out[-2].n_tokens == 0 and out[-1].log_likelihood == 0 and out[-1].score is None
     texts = [r.text for r in df.where("doc_id >= 0 and length(text) > 400").collect()]
     r = random.Random(5)
     mixed = [" ".join(r.sample(t.split(), len(t.split()))) for t in texts]
     a, n = pl.score_texts(texts, net)
     b, _ = pl.score_texts(mixed, net)
     assert np.mean(a / n > b / n) > 0.9
+    assert np.allclose(pl.score_texts(texts[:5], net)[0], [by_definition(t, net) for t in texts[:5]], rtol=1e-4)
+    # words garbled or replaced by such as occur once, against the texts as they are
+    garbled = [" ".join("".join(r.sample(w, len(w))) if i % 2 else w for i, w in enumerate(t.split())) for t in texts]
+    rare = [" ".join(f"{w}q{r.randrange(10**9)}" if i % 3 == 0 else w for i, w in enumerate(t.split())) for t in texts]
+    scored = spark.createDataFrame(list(enumerate([*texts, *garbled, *rare])), "doc_id long, text string")
+    score = np.array([x.score for x in sorted(pl.score_documents(scored, net).collect(), key=lambda x: x.doc_id)]).reshape(3, -1)
+    assert np.mean(score[0] > score[1]) > 0.97 and np.mean(score[0] > score[2]) > 0.97
     empty = pl.fit(df.limit(0))
     assert pl.score_documents(df.limit(0), empty).count() == 0
     assert np.isfinite(pl.score_texts(["a b"], empty)[0]).all()
@@ -71,8 +103,8 @@ def test_rare_words_are_told_apart(spark):
     asked = ["often1 rare5 often2", "often1 rare6 often2", "often1 neverseen often2", "", texts[0]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     net = pl.fit(docs)
-    got = {x.doc_id: x.score for x in pl.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), net).collect()}
-    same = {x.doc_id: x.score for x in pl.score_documents(docs, net).collect()}
+    got = {x.doc_id: x.log_likelihood for x in pl.score_documents(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), net).collect()}
+    same = {x.doc_id: x.log_likelihood for x in pl.score_documents(docs, net).collect()}
 
     def words(t):
         w = t.split()
@@ -106,6 +138,6 @@ def test_words_of_one_class_differ(spark):
     texts = [" ".join(filler * 3)] * 4 + [f"often1 {one} often2", f"often3 {two} often4"] * 3
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     net = pl.fit(docs)
-    out = {x.doc_id: x.score for x in pl.score_documents(spark.createDataFrame([(0, f"often1 {one} often2"), (1, f"often1 {two} often2")], "doc_id long, text string"), net).collect()}
+    out = {x.doc_id: x.log_likelihood for x in pl.score_documents(spark.createDataFrame([(0, f"often1 {one} often2"), (1, f"often1 {two} often2")], "doc_id long, text string"), net).collect()}
     a, b = pl.score_texts([f"often1 {one} often2", f"often1 {two} often2"], net)[0]
     assert a == b and out[0] > out[1] + 0.5

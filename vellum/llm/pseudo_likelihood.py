@@ -1,8 +1,9 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
-The network predicts every token of a document from the tokens on its left and right:
-``softmax(tanh(L[left] + R[right] + a) W + b)``. A document's score is the sum of the
-log-probabilities of all its tokens, each masked in turn.
+The network predicts every token of a document from the WINDOW tokens on its left and
+right: ``softmax(tanh(sum of context[o][token at offset o] + inner) out + bias)``. A
+document is scored by the sum of the log-probabilities of all its tokens, each masked in
+turn, and by that sum a token, so that documents of different lengths compare.
 
 The network's outcomes are word classes: the CLASSES - RARE - 1 words that lead the most
 frequent hash buckets have a class each, which holds nothing else; other words share RARE
@@ -10,7 +11,7 @@ classes by their hash; class 0 stands for what lies beyond the document's edges.
 class is cut into subclasses by the words' hash, as many as its tokens fill at SHARE each,
 so their number grows with the corpus. What is scored is always the word:
 
-    P(word | left, right) = P(class | their classes) P(subclass | class) P(word | subclass, left, right)
+    P(word | window) = P(class | classes of the window) P(subclass | class) P(word | subclass, left, right)
 
 The last factor comes from counts of whole words: how often the word stands between these
 two, after the left one, before the right one, and alone, each less a DISCOUNT whose mass
@@ -18,20 +19,19 @@ goes to the next, and at last to an outcome for words never seen. These counts a
 as the corpus has windows; they are dealt by subclass, and each subclass is counted and
 scored where it lies.
 
-Training of the network sees every token of every document: the corpus is gathered as
-counts of (left, token, right) classes, summed over all documents, and the network is
-fitted on them in numpy by Adam. Since its prediction depends on two classes, the trained
-network is worked out once for all pairs and scoring is one look-up a token.
+The network is trained in numpy on every token of every document. Documents are dealt
+into ROUNDS; in a round every task goes over its documents of that round in mini-batches,
+by Adam, from the same network, and the round's network is the mean of the tasks', by
+tokens. Small corpora are gone over several times, so that about LEAST tokens are seen.
+Networks are summed on the executors; the driver gets one for each 4096 tasks.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -41,7 +41,10 @@ from pyspark.sql import functions as F
 from vellum.llm.columns import table_of, text_slices, word_hashes
 
 CLASSES, RARE, BUCKETS = 256, 48, 1 << 16
-HIDDEN, EPOCHS, RATE = 24, 30, 0.02
+WINDOW, HIDDEN = 3, 32
+OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
+#: Steps of Adam by round, documents' rounds, tokens of a mini-batch, tokens to see at least by going over all again, at most so often.
+RATES, BATCH, LEAST, AGAIN = (0.02, 0.01, 0.004), 2048, 2_000_000, 12
 #: Tokens a subclass has about, tokens a task deals at a time, rows whose sums go together.
 SHARE, DEALT, BLOCK = 1 << 20, 1 << 21, 1 << 12
 DISCOUNT = 0.75
@@ -50,8 +53,7 @@ DISCOUNT = 0.75
 @dataclass
 class Network:
     classes: np.ndarray  # of each bucket, uint8
-    left: np.ndarray
-    right: np.ndarray
+    context: np.ndarray  # offsets x classes x HIDDEN
     inner: np.ndarray
     out: np.ndarray
     bias: np.ndarray
@@ -65,18 +67,28 @@ class Network:
         parts = np.where(np.arange(CLASSES) >= CLASSES - RARE, 1 + self.totals.astype(np.int64) // SHARE, 0)
         return parts, np.cumsum(parts) - parts
 
-    def hidden(self, lefts: np.ndarray) -> np.ndarray:
-        """lefts x all rights x HIDDEN."""
-        return np.tanh(self.left[lefts][:, None, :] + self.right[None] + self.inner)
+    def parameters(self) -> list[np.ndarray]:
+        return [self.context, self.inner, self.out, self.bias]
 
-    def log_probabilities(self) -> np.ndarray:
-        """left x right x token."""
-        table = np.empty((CLASSES, CLASSES, CLASSES), np.float32)
-        for i in range(0, CLASSES, 16):
-            z = self.hidden(np.arange(i, i + 16)) @ self.out + self.bias
-            z -= z.max(2, keepdims=True)
-            table[i : i + 16] = z - np.log(np.exp(z).sum(2, keepdims=True))
-        return table
+    def copied(self, flat: np.ndarray | None = None) -> Network:
+        """The same network with parameters of its own, or with those of one vector."""
+        shapes = [p.shape for p in self.parameters()]
+        flat = np.concatenate([p.ravel() for p in self.parameters()]) if flat is None else flat.astype(np.float32)
+        cuts = np.cumsum([int(np.prod(x)) for x in shapes])[:-1]
+        return Network(self.classes, *[p.reshape(x).copy() for p, x in zip(np.split(flat, cuts), shapes, strict=True)], self.own, self.totals)
+
+    def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """tokens x HIDDEN; padded: classes of texts with WINDOW zeros around each, at: places in it."""
+        h = self.inner + self.context[0][padded[at + OFFSETS[0]]]
+        for o, x in zip(OFFSETS[1:], self.context[1:], strict=True):
+            h += x[padded[at + o]]
+        return np.tanh(h)
+
+    def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """tokens x classes."""
+        z = self.hidden(padded, at) @ self.out + self.bias
+        z -= z.max(1, keepdims=True)
+        return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
 def classed(h: np.ndarray, classes: np.ndarray, own: np.ndarray | None) -> np.ndarray:
@@ -100,16 +112,17 @@ def beside(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
-def tokens(texts: list[str], classes: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(left, token, right) classes of all words, and where each text's begin and the end."""
+def tokens(texts: list[str], classes: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes of all words with WINDOW zeros around each text's, the words' places in it, where each text's begin and the end)."""
     h, bounds = word_hashes(texts)
-    c = classed(h, classes, own)
-    left, right = beside(c, bounds)
-    return left, c, right, bounds
+    at = np.arange(len(h)) + WINDOW * (1 + np.repeat(np.arange(len(texts)), np.diff(bounds)))
+    padded = np.zeros(len(h) + WINDOW * (len(texts) + 1), np.uint8)
+    padded[at] = classed(h, classes, own)
+    return padded, at, bounds
 
 
-def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """(class of each bucket, hash of each class's only word), by the buckets' counts over all documents and, in the first of them, the words'."""
+def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each bucket, hash of each class's only word, tokens of each class), by the buckets' counts over all documents and, in the first of them, the words'."""
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
     rows = docs.select(F.col(text_col).alias("text"))
 
@@ -122,10 +135,12 @@ def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
         yield table_of(schema, bucket=some.astype(np.int32), n=n[some])
 
     counts = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "bucket").limit(CLASSES - RARE - 1).collect()  # one row a class
+    of_bucket = np.zeros(BUCKETS, np.int64)
+    for r in counts.collect():  # BUCKETS rows
+        of_bucket[r.bucket] = r.n
+    top = np.lexsort((np.arange(BUCKETS), -of_bucket))[: min(CLASSES - RARE - 1, np.count_nonzero(of_bucket))]
     out = (CLASSES - RARE + np.arange(BUCKETS) % RARE).astype(np.uint8)
-    for i, r in enumerate(top):
-        out[r.bucket] = i + 1
+    out[top] = np.arange(len(top)) + 1
 
     words = pa.schema([("class", pa.int32()), ("word", pa.int64()), ("n", pa.int64())])
 
@@ -138,102 +153,118 @@ def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
                 yield table_of(words, **{"class": out[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int32), "word": h.view(np.int64), "n": n})
 
     counts = rows.mapInArrow(leading, "class int, word long, n long").groupBy("class", "word").agg(F.sum("n").alias("n"))
-    own = np.zeros(CLASSES, np.uint64)
+    own, totals = np.zeros(CLASSES, np.uint64), np.zeros(CLASSES, np.int64)
     for r in counts.groupBy("class").agg(F.max(F.struct("n", "word")).alias("most")).collect():  # one row a class
-        own[r["class"]] = np.int64(r.most.word).astype(np.uint64)
-    return out, own
-
+        own[r["class"]], totals[r["class"]] = np.int64(r.most.word).astype(np.uint64), r.most.n
+    # what is not a bucket's own word is in the class that the bucket shares
+    others = of_bucket - np.where(out < CLASSES - RARE, totals[out], 0)
+    totals[CLASSES - RARE :] = np.bincount(np.arange(BUCKETS) % RARE, others, RARE).astype(np.int64)
+    return out, own, totals
 
-def window_counts(docs: DataFrame, classes: np.ndarray, own: np.ndarray, text_col: str) -> np.ndarray:
-    """left x right x token: how often over all documents."""
-    schema = pa.schema([("cell", pa.int32()), ("n", pa.int64())])
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(CLASSES**3, np.int32)
-        for b in batches:
-            for _, texts in text_slices(b, "text", 8_000_000):
-                left, token, right, _ = tokens(texts, classes, own)
-                if len(token):
-                    cell, k = np.unique((left.astype(np.int32) << 16) | (right.astype(np.int32) << 8) | token, return_counts=True)
-                    n[cell] += k.astype(np.int32)
-        some = np.flatnonzero(n).astype(np.int32)
-        for i in range(0, len(some), 1 << 18):
-            yield table_of(schema, cell=some[i : i + (1 << 18)], n=n[some[i : i + (1 << 18)]].astype(np.int64))
-
-    summed = docs.select(F.col(text_col).alias("text")).mapInArrow(cells, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-    def packed(part: pd.DataFrame) -> pd.DataFrame:  # at most CLASSES ** 2 rows
-        n = np.zeros(CLASSES**2, np.int64)
-        n[part["cell"].to_numpy() & 0xFFFF] = part["n"].to_numpy()
-        return pd.DataFrame({"left": [int(part["cell"].iloc[0]) >> 16], "n": [zlib.compress(n.tobytes(), 1)]})
+def first_network(classes: np.ndarray, totals: np.ndarray, seed: int = 10) -> Network:
+    r = np.random.default_rng(seed)
+    small = lambda *shape: (0.1 * r.normal(size=shape)).astype(np.float32)
+    alone = totals + 1.0
+    return Network(classes, small(len(OFFSETS), CLASSES, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), np.log(alone / alone.sum()).astype(np.float32), totals=totals)
+
+
+class Adam:
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.turn = net, rate, 0
+        self.first, self.second = ([np.zeros_like(p) for p in net.parameters()] for _ in range(2))
+
+    def step(self, padded: np.ndarray, at: np.ndarray) -> None:
+        """One mini-batch: the tokens at these places."""
+        net, n = self.net, len(at)
+        h = net.hidden(padded, at)
+        z = h @ net.out + net.bias
+        z -= z.max(1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(1, keepdims=True)
+        z[np.arange(n), padded[at]] -= 1.0
+        z /= n
+        dh = (z @ net.out.T) * (1 - h * h)
+        context = np.empty_like(net.context)
+        lanes = np.arange(HIDDEN)
+        for k, o in enumerate(OFFSETS):
+            context[k] = np.bincount((padded[at + o].astype(np.int64)[:, None] * HIDDEN + lanes).ravel(), dh.ravel(), CLASSES * HIDDEN).reshape(CLASSES, HIDDEN)
+        self.turn += 1
+        for p, g, a, b in zip(net.parameters(), (context, dh.sum(0), h.T @ z, z.sum(0)), self.first, self.second, strict=True):
+            a *= 0.9
+            a += 0.1 * g
+            b *= 0.98
+            b += 0.02 * g * g
+            p -= (self.rate / (1 - 0.9**self.turn)) * a / (np.sqrt(b / (1 - 0.98**self.turn)) + 1e-8)
+
+
+def trained_on(net: Network, texts: list[list[str]], rate: float, passes: int = 1, seed: int = 0) -> tuple[Network, int]:
+    """(the network after mini-batches of all tokens of the texts, which come in slices, tokens seen)."""
+    r, net = np.random.default_rng(seed), net.copied()
+    adam, seen = Adam(net, rate), 0
+    for some in texts:
+        padded, at, _ = tokens(some, net.classes, net.own)
+        for _ in range(passes):
+            order = r.permutation(at)
+            for i in range(0, len(order), BATCH):
+                adam.step(padded, order[i : i + BATCH])
+        seen += len(at)
+    return net, seen
+
+
+def _round(docs: DataFrame, text_col: str, net: Network, turn: int, passes: int) -> Network:
+    """The mean of the networks that tasks make of their documents of a round."""
+    rate, rounds = RATES[turn], len(RATES)
+    bare = net.copied()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+
+        def slices() -> Iterator[list[str]]:
+            nonlocal at
+            for b in batches:
+                for _, texts in text_slices(b, "text", 8_000_000):
+                    own = [t for i, t in enumerate(texts) if (at + i + part) % rounds == turn]
+                    at += len(texts)
+                    yield own
 
-    table = np.zeros((CLASSES, CLASSES, CLASSES), np.float32)
-    for r in summed.groupBy(F.shiftright("cell", 16)).applyInPandas(packed, "left int, n binary").toLocalIterator():
-        table[r.left] = np.frombuffer(zlib.decompress(r.n), np.int64).reshape(CLASSES, CLASSES)
-    return table
+        made, n = trained_on(bare, slices(), rate, passes, seed=rounds * part + turn)
+        if n:
+            flat = np.concatenate([p.ravel() for p in made.parameters()]).astype(np.float64) * n
+            yield pa.RecordBatch.from_pydict({"part": [part], "n": [n], "sums": [flat.tobytes()]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("sums", pa.binary())]))
 
+    def summed(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x, np.float64) for x in table["sums"].to_pylist()], axis=0)
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "n": [sum(table["n"].to_pylist())], "sums": [total.tobytes()]})
 
-def train(counts: np.ndarray, classes: np.ndarray, epochs: int = EPOCHS, seed: int = 10) -> Network:
-    """Fits the network to the counts (left x right x token) by Adam over blocks of contexts."""
-    r = np.random.default_rng(seed)
-    small = lambda *shape: (0.1 * r.normal(size=shape)).astype(np.float32)
-    alone = counts.sum((0, 1)) + 1.0
-    net = Network(classes, small(CLASSES, HIDDEN), small(CLASSES, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), np.log(alone / alone.sum()).astype(np.float32))
-    names = ("left", "right", "inner", "out", "bias")
-    first, second = ({n: np.zeros_like(getattr(net, n)) for n in names} for _ in range(2))
-    total, step = max(1.0, float(counts.sum())), 0
-    weight = counts.sum((1, 2))
-    for _ in range(epochs if counts.any() else 0):
-        order = r.permutation(CLASSES)
-        for i in range(0, CLASSES, 16):
-            own = order[i : i + 16]
-            if not weight[own].sum():
-                continue
-            step += 1
-            n = counts[own].reshape(-1, CLASSES)
-            h = net.hidden(own)
-            flat = h.reshape(-1, HIDDEN)
-            z = flat @ net.out + net.bias
-            z -= z.max(1, keepdims=True)
-            p = np.exp(z)
-            p /= p.sum(1, keepdims=True)
-            d = (p * n.sum(1, keepdims=True) - n) * (CLASSES / 16 / total)
-            dh = ((d @ net.out.T) * (1 - flat * flat)).reshape(h.shape)
-            left = np.zeros_like(net.left)
-            left[own] = dh.sum(1)
-            for name, g in zip(names, (left, dh.sum(0), dh.sum((0, 1)), flat.T @ d, d.sum(0)), strict=True):
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.98 * second[name] + 0.02 * g * g
-                getattr(net, name).__isub__((RATE * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.98**step)) + 1e-9)).astype(np.float32))
-    return net
+    found, kind = docs.select(F.col(text_col).alias("text")).mapInArrow(work, "part int, n long, sums binary"), "part int, n long, sums binary"
+    for bits in (6, 12):
+        found = found.groupBy(F.shiftright("part", bits)).applyInArrow(summed, kind)
+    rows = found.collect()  # one for each 4096 tasks
+    n = sum(r.n for r in rows)
+    return net.copied(np.sum([np.frombuffer(r.sums, np.float64) for r in rows], axis=0) / n) if n else net
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> Network:
     """The network trained on all of ``docs``, whose words are what its scores count; nulls count as empty."""
-    classes, own = word_classes(docs, text_col)
-    counts = window_counts(docs, classes, own, text_col)
-    net = train(counts, classes)
-    net.own, net.totals, net.corpus, net.text_col = own, counts.sum((0, 1), dtype=np.float64), docs, text_col
+    classes, own, totals = word_classes(docs, text_col)
+    net = first_network(classes, totals)
+    net.own = own
+    passes = min(AGAIN, -(-LEAST // max(1, int(totals.sum()))))
+    for turn in range(len(RATES)):
+        net = _round(docs, text_col, net, turn, passes)
+    net.corpus, net.text_col = docs, text_col
     return net
 
 
-_TABLES: dict[bytes, np.ndarray] = {}
-
-
-def _table(net: Network) -> np.ndarray:
-    """The network's table, kept for the Python worker's next task."""
-    key = net.out.tobytes() + net.bias.tobytes()
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = net.log_probabilities()
-    return _TABLES[key]
-
-
 def score_texts(texts: list[str], net: Network) -> tuple[np.ndarray, np.ndarray]:
     """(sum of the conditional log-probabilities of the tokens' classes, number of tokens) of each text: the network's part of the score."""
-    left, token, right, bounds = tokens(texts, net.classes, net.own)
-    p = _table(net)[left, right, token].astype(np.float64) if len(token) else np.zeros(0)
-    upto = np.concatenate([[0.0], np.cumsum(p)])
+    padded, at, bounds = tokens(texts, net.classes, net.own)
+    upto = np.zeros(len(at) + 1)
+    for i in range(0, len(at), 4 * BATCH):
+        some = at[i : i + 4 * BATCH]
+        upto[i + 1 : i + 1 + len(some)] = net.log_probabilities(padded, some)[np.arange(len(some)), padded[some]]
+    upto = np.cumsum(upto)
     return upto[bounds[1:]] - upto[bounds[:-1]], np.diff(bounds)
 
 
@@ -273,10 +304,10 @@ def word_probabilities(word: np.ndarray, left: np.ndarray, right: np.ndarray, kn
 
 
 def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, n_tokens, score, mean_score.
+    """One row for each row of ``docs``: id, n_tokens, log_likelihood, score.
 
-    The mean is over tokens; a null, empty or blank text has 0 tokens, score 0 and a null
-    mean. Repeated rows repeat; an empty table gives no rows; other columns are not looked at.
+    log_likelihood is the sum over all tokens, score that sum a token; a null, empty or
+    blank text has 0 tokens, a sum of 0 and a null score. Repeated rows repeat; an empty table gives no rows; other columns are not looked at.
     The words counted are those of the documents that the network is fitted on; where those
     are ``docs`` itself, every token is dealt once.
     """
@@ -285,7 +316,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     kind = rows.schema["_id"].dataType.simpleString()
     parts, first = net.subclasses()
     total, share = net.totals, int(parts.sum())
-    bare = Network(net.classes, net.left, net.right, net.inner, net.out, net.bias, net.own, net.totals)
+    bare = net.copied()
     #: Either a document (row, _id, n_tokens, score) or tokens of a subclass (base, known, blob).
     fields = f"sub int, row long, _id {kind}, n_tokens long, score double, base long, known boolean, blob binary"
 
@@ -365,4 +396,4 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
         tokens_of = tokens_of.unionByName(corpus.mapInArrow(dealer(False, True), fields))
     sums = tokens_of.groupBy("sub").applyInArrow(words, f"block long, row long, _id {kind}, n_tokens long, score double, blob binary")
     out = sums.groupBy("block").applyInArrow(summed, f"_id {kind}, n_tokens long, score double")
-    return out.select(F.col("_id").alias(id_col), "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
+    return out.select(F.col("_id").alias(id_col), "n_tokens", F.col("score").alias("log_likelihood"), F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("score"))
