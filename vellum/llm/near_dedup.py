@@ -3,8 +3,10 @@
 A text's k-mers are its runs of five words, each labelled with how often it occurred
 before. One sketch value is made of the LENGTH k-mers with the least hashes, in the
 order in which they stand in the text, so two texts share it with a probability that
-falls with their edit distance; COUNT such values are drawn. Texts that share a value
-are candidates. A candidate pair is verified by aligning the two k-mer sequences within
+falls with their edit distance; COUNT such values are drawn. A text of at most SHORT
+k-mers, where few values can differ, gets a value for each way to leave out up to two of
+them besides, which misses no similar pair of such texts. Texts that share a value are
+candidates. A candidate pair is verified by aligning the two k-mer sequences within
 the band that the threshold leaves: the longest common subsequence L of sequences of
 lengths m and n must have L / (m + n - L) >= 0.8.
 
@@ -21,6 +23,7 @@ import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.blocked_bloom import Sieve
-from vellum.llm.columns import MIX, MORE, mixed, shared_folder, table_of, text_slices, word_hashes
+from vellum.llm.columns import MIX, MORE, discard, mixed, shared_folder, table_of, text_slices, word_hashes
 from vellum.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
-#: A pair at the threshold shares one value with a probability of 0.8 ** 4 = 0.41, none of 28 with one of 4e-7.
+#: Of U k-mers of either text, L common ones make a shared value with a probability of C(L, 4) / C(U, 4): 0.41 at the threshold for long texts, 0.36 for the shortest that aren't SHORT (L = 12, U = 15). No value of 28 is shared by such a pair with one of 4e-7 to 4e-6.
 LENGTH, COUNT = 4, 28
+#: Similar texts of m and n k-mers differ in (m + n) / 9 of them at most, which is two up to here.
+SHORT, LEFT_OUT = 10, 2
 #: Times that buckets are linked through hubs before what is still apart is compared in full.
 HUB_TURNS = 1
 #: Buckets with more members than this are looked at by what their texts share before pairs are made.
@@ -107,6 +112,24 @@ def sketches(texts: list[str], count: int = COUNT, length: int = LENGTH) -> tupl
     return out, n
 
 
+def short_values(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, of which text each is) of texts with 1 to SHORT k-mers: one for each way to leave out LEFT_OUT of them at most."""
+    g, upto = labelled_kmers(texts)
+    n = np.diff(upto)
+    out, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for size in range(1, SHORT + 1):
+        own = np.flatnonzero(n == size)
+        rows = g[upto[own][:, None] + np.arange(size)] if len(own) else np.zeros((0, size), np.uint64)
+        for less in range(min(LEFT_OUT, size - 1) + 1) if len(own) else ():
+            for kept in combinations(range(size), size - less):
+                value = np.full(len(own), MIX)
+                for k in kept:
+                    value = mixed(value * MIX + rows[:, k])
+                out.append(value.view(np.int64))
+                of.append(own)
+    return np.concatenate(out), np.concatenate(of)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """L / (m + n - L) of two k-mer sequences by banded alignment; 0 if it is surely below ``least``.
 
@@ -137,23 +160,48 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _prepared(docs: DataFrame, text_col: str, folder: str, count: int, length: int) -> DataFrame:
-    """Writes and rereads (row, digest, n, sketch, text, and all columns of ``docs`` in the struct ``doc``)."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = rows.schema["doc"].dataType.simpleString()
+    """Writes and rereads (row, digest, n, sketch, and all columns of ``docs`` in the struct ``doc``), and adds ``text``, which is read from there.
+
+    sketch: the values by their number, then those of short texts.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    kind, place = rows.schema["doc"].dataType.simpleString(), docs.columns.index(text_col)
     schema = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 40
         for b in batches:
-            for start, texts in text_slices(b, "text"):
+            for start, texts in text_slices(pa.record_batch([b.column(0).flatten()[place]], names=["text"]), "text"):
                 values, n = sketches(texts, count, length)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * count), pa.array(values.ravel()))
+                more, of = short_values(texts)
+                own, order = np.concatenate([np.repeat(np.arange(len(texts)), count), of]), None
+                order = np.argsort(own, kind="stable")
+                ends = np.searchsorted(own[order], np.arange(len(texts) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([values.ravel(), more])[order]))
                 made = table_of(schema, row=np.arange(at, at + len(texts)), digest=[hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts], n=n, sketch=lists.cast(pa.list_(pa.int64())))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), b.column(1).slice(start, len(texts)), *made.columns], names=["doc", "text", *schema.names])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), *made.columns], names=["doc", *schema.names])
+
+    rows.mapInArrow(sketch, f"doc {kind}, row long, digest binary, n long, sketch array<long>").write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.parquet(folder).withColumn("text", F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")))
+
 
-    rows.mapInArrow(sketch, f"doc {kind}, text string, row long, digest binary, n long, sketch array<long>").write.option("compression", "zstd").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+def _members(prepared: DataFrame, id_col: str, folder: str) -> DataFrame:
+    """Writes and rereads (row, id, node, n, sketch): node is the first row with the same text, which alone has the sketch.
+
+    Only rows whose digest may be repeated are joined; the copies' table is written
+    before, so that a large group of copies is split.
+    """
+    spark = prepared.sparkSession
+    copies = prepared.groupBy(F.col("digest").alias("_d")).agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("_rows"))
+    copies.where("_rows > 1").select("_d", "node").write.parquet(f"{folder}/copies")
+    copies = spark.read.parquet(f"{folder}/copies")
+    repeated = Sieve(copies, F.col("_d")).passes(F.col("digest"))
+    rows = prepared.select("row", F.col(f"doc.`{id_col}`").alias("id"), "digest", "n", "sketch")
+    rest = rows.where(repeated).join(copies, F.col("digest") == F.col("_d"), "left").withColumn("node", F.coalesce("node", "row"))
+    every = rows.where(~repeated).withColumn("node", F.col("row")).select("row", "id", "node", "n", "sketch").unionByName(rest.select("row", "id", "node", "n", F.when(F.col("node") == F.col("row"), F.col("sketch")).alias("sketch")))
+    every.write.parquet(f"{folder}/members")
+    return spark.read.parquet(f"{folder}/members")
 
 
 def _verified(pairs: DataFrame, prepared: DataFrame, least: float) -> DataFrame:
@@ -249,11 +297,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     prepared = _prepared(docs, text_col, f"{folder}/prepared", count, length)
-    least_row = prepared.groupBy(F.col("digest").alias("_d")).agg(F.min("row").alias("node"))
-    prepared.join(least_row, F.col("digest") == F.col("_d")).select("row", F.col(f"doc.`{id_col}`").alias("id"), "node", "n", F.when(F.col("row") == F.col("node"), F.col("sketch")).alias("sketch")).write.parquet(f"{folder}/members")
-    members = spark.read.parquet(f"{folder}/members")
+    members = _members(prepared, id_col, folder)
     # sketch values of different texts, by bucket; blank texts are in none
-    spread = members.where("sketch is not null and n > 0").select("node", "n", F.posexplode("sketch").alias("i", "value")).select(F.xxhash64("i", "value").alias("bucket"), "i", "node", "n")
+    spread = members.where("sketch is not null and n > 0").select("node", "n", F.posexplode("sketch").alias("i", "value"))
+    spread = spread.select(F.xxhash64(F.least("i", F.lit(count)), "value").alias("bucket"), F.least("i", F.lit(count)).alias("i"), "node", "n").distinct()
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     spread.join(shared, "bucket").select("bucket", "i", "node", "n", F.col("node").alias("comp"), "size").write.parquet(f"{folder}/buckets")
     buckets, done, comps = spark.read.parquet(f"{folder}/buckets"), None, None
@@ -279,7 +326,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             buckets = spark.read.parquet(f"{folder}/apart-{turn}")
     members.select("row", "id", "node").join(comps, "node", "left").select("row", "id", F.coalesce("comp", "node").alias("comp")).write.parquet(f"{folder}/classed")
     classed = spark.read.parquet(f"{folder}/classed")
-    classes = classed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("class_size"))
+    # written first, so that the rows of a large class are split when they are joined
+    classed.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.count(F.lit(1)).alias("class_size")).write.parquet(f"{folder}/classes")
+    classes = spark.read.parquet(f"{folder}/classes")
+    discard(spark, *[f"{folder}/{x}" for x in ("copies", "members", "buckets", "kmers", "rare", "crowd", *(f"{y}-{turn}" for y in ("pairs", "edges", "apart", "classes") for turn in range(HUB_TURNS + 1)))])
     rows = classed.join(classes, "comp").select("row", "id", F.col("best.id").alias("class_id"), "class_size", (F.col("best.row") == F.col("row")).alias("kept"))
     return rows.withColumnRenamed("id", id_col), prepared
 

@@ -52,7 +52,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_classes(table(spark, sf_dir, "documents"))[0].drop("row")
+    return near_dedup.near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))[0].drop("row")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
