@@ -55,6 +55,44 @@ def test_held_out_accuracy(spark):
     assert all((r.score >= 0.3) == r.predicted and 0 <= r.score <= 1 for r in rows)
 
 
+def textbook(emission, ties):
+    """Forward-backward in logarithms."""
+    n, ahead, back = len(emission), [np.array([0.0, emission[0]])], [np.zeros(2)]
+    for e in emission[1:]:
+        ahead.append(np.logaddexp(ahead[-1][0] + ties[0], ahead[-1][1] + ties[1]) + np.array([0.0, e]))
+    for e in emission[:0:-1]:
+        x = back[0] + np.array([0.0, e])
+        back.insert(0, np.logaddexp(ties[:, 0] + x[0], ties[:, 1] + x[1]))
+    both = np.array(ahead) + np.array(back)
+    return np.exp(both[:, 1] - np.logaddexp(both[:, 0], both[:, 1])) if n else np.zeros(0)
+
+
+def test_every_score_of_the_query(spark):
+    """All documents of the smallest tables against the textbook's recursion and a sigmoid."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = lq.fit(docs, spark.read.parquet(f"{d}/labels.parquet"))
+    got = {r.doc_id: r.score for r in op4_line_quality(spark, d).collect()}
+    want = {}
+    for r in docs.collect():
+        x, lengths = lq.document_features(r.text or "")
+        w = np.maximum(lengths, 1)
+        p = textbook(np.clip(x @ model.weights, -30, 30), model.ties) @ w / w.sum()
+        want[r.doc_id] = 1 / (1 + np.exp(-np.clip(model.scale * np.log(max(p, 1e-12) / max(1 - p, 1e-12)) + model.shift, -30, 30)))
+    assert set(got) == set(want) and all(np.isclose(got[i], want[i], atol=1e-6) for i in want)
+
+
+def test_the_driver_gets_a_bounded_number_of_lines(spark, monkeypatch):
+    monkeypatch.setattr(lq, "CHAINS", 10)
+    rows = [(i, ("good words in a line.\n" if i % 2 else "| ! | x\n") * 2000) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(lq, "train", lambda chains, real=lq.train: seen.extend(chains) or real(chains))
+    model = lq.fit(df, df.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality"))
+    assert len(seen) == 10 and max(len(f) for f, _ in seen) == lq.CHAIN
+    assert model.score(rows[1][1]) > 0.7 > 0.3 > model.score(rows[0][1])
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "a" * 100_000), (4, "a" * 100_000), (None, "x | y | z |"), (5, "good line of words.\n" * 5000)]
     df = spark.createDataFrame([(*r, 0.5, 1) for r in rows], "doc_id long, text string, score double, quality int")

@@ -1,5 +1,7 @@
 """Every stage of the corpus pipeline against a plain version of it, and the whole."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -49,9 +51,40 @@ def test_stages(spark, tmp_path):
     assert packed == {i: len(tok.encode(r.text or "", add_special_tokens=False).ids) + 1 for i, r in rows[4].items()}
 
 
+def plain_kept(spark):
+    """{doc_id: text} of what all stages but the last leave, one document after another."""
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
+    model = line_quality.fit(spark.read.parquet(f"{D}/documents.parquet"), spark.read.parquet(f"{D}/labels.parquet"))
+    rows = {i: t for i, t in rows.items() if model.score(t) >= 0.3}
+    last = {t: i for i, t in sorted(rows.items())}
+    rows = {i: t for t, i in last.items()}
+    kmers = {i: near_dedup.labelled_kmers([t])[0] for i, t in rows.items()}
+    group = {i: i for i in rows}
+    for i in sorted(rows):
+        for j in sorted(rows):
+            if i < j and len(kmers[i]) and near_dedup.similarity(kmers[i], kmers[j]) >= 0.8:
+                a, b = sorted((group[i], group[j]))
+                group = {k: a if g == b else g for k, g in group.items()}
+    return {i: secrets.redacted(rows[i], secrets.find_all(rows[i])[1]) for i in set(group.values())}
+
+
 def test_run(spark):
+    """The whole pipeline against plain stages: the documents that are left, and every id of them in one piece of one sequence."""
     out = cp.run(spark, D).toPandas()
-    assert len(out) and (np.diff(np.sort(out.sequence_id.unique())) == 1).all()
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in plain_kept(spark).items()}
+    assert set(out.doc_id) == set(want)
+    for i, own in out.sort_values("start").groupby("doc_id"):
+        at = 0
+        for r in own.itertuples():
+            assert r.start == at and r.doc_tokens == len(want[i])
+            assert r.ids_crc32 == zlib.crc32(np.array(want[i][at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(want[i])
+    filled = out.groupby("sequence_id").length.sum()
+    assert (np.diff(filled.index) == 1).all() and all(n == 4096 or n & (n - 1) == 0 for n in filled)
+    for _, own in out.sort_values("offset").groupby("sequence_id"):
+        assert (own.offset.to_numpy() == np.concatenate([[0], own.length.cumsum()[:-1]])).all()
 
 
 def test_without_duplicates(spark, tmp_path):

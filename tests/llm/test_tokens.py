@@ -73,7 +73,7 @@ def check_packed(out, rows, size):
         assert at == size or at & (at - 1) == 0
     assert sorted(sequences) == list(range(len(sequences)))
     for i, copies in docs.items():
-        own = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens, r.source) for r in out if r.doc_id == i)
+        own = sorted((r.start, r.length, r.ids_crc32, r.doc_tokens, r.queue) for r in out if r.doc_id == i)
         if len(copies) == 1:
             ids, source = copies[0]
             at = 0
@@ -93,10 +93,10 @@ def test_packing_round_trip(spark):
     check_packed(out, rows, 64)
     by = defaultdict(Counter)
     for r in out:
-        by[r.sequence_id][r.source] += r.length
+        by[r.sequence_id][r.queue] += r.length
     total = Counter()
     for r in out:
-        total[r.source] += r.length
+        total[r.queue] += r.length
     n = sum(total.values())
     full = [s for s in by if sum(by[s].values()) == 64]
     so_far = Counter()
@@ -113,8 +113,8 @@ def test_packing_with_target_shares(spark):
     out = packing.pack(df, PATH, shares={"x": 1.0, "y": 3.0}, size=128).collect()
     check_packed(out, rows, 128)
     first = [r for r in out if r.sequence_id < 30]
-    assert abs(sum(r.length for r in first if r.source == "y") / (30 * 128) - 0.75) < 0.01
-    assert not any(r.source == "z" for r in first)
+    assert abs(sum(r.length for r in first if r.queue == "y") / (30 * 128) - 0.75) < 0.01
+    assert not any(r.queue == "z" for r in first)
 
 
 @settings(max_examples=60, deadline=None)
@@ -128,3 +128,14 @@ def test_schedule(totals, size, even):
         for x in {0, t // 2, t - 1} if t else ():
             lo, hi = plan.near(q, x, x)
             assert plan.taken(np.array([lo]))[0, q] <= x < plan.taken(np.array([hi]))[0, q]
+
+
+def test_more_sources_than_queues(spark, monkeypatch):
+    """Targets hold with any number of sources; the others share queues."""
+    monkeypatch.setattr(packing, "QUEUES", 8)
+    df = spark.createDataFrame([(i, "word " * 40, "y" if i % 2 else f"s{i}") for i in range(400)], "doc_id long, text string, source string")
+    out = packing.pack(df, PATH, shares={"y": 3.0, "none": 1.0}, size=128).collect()
+    assert len({r.queue for r in out}) <= 9 and {r.doc_id for r in out} == set(range(400))
+    first = [r for r in out if r.sequence_id < 60]
+    assert all(r.queue == "y" for r in first)
+    assert {r.queue for r in packing.pack(df, PATH, size=128).collect()} <= {f"#{i}" for i in range(8)}

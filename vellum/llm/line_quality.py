@@ -7,9 +7,13 @@ forward-backward recursion, and a document's score is the mean of its lines'
 marginals, weighted by their lengths.
 
 Training: the lines of a labelled document carry the document's label. The fit uses
-at most ``SAMPLE`` labelled documents, those with the smallest hash of their id, and
-runs in numpy on the driver; features are made on the executors. Scoring is one
-narrow pass over all texts.
+at most SAMPLE labelled documents, those with the smallest hash of their id, and of
+their chains of CHAIN lines at most CHAINS, those with the smallest hash of id and
+number; it runs in numpy on the driver, which thus gets at most CHAIN * CHAINS lines,
+about 100 MB, however long documents are. (A line's neighbours are seen across the ends
+of a chain; only the tie between two chains is not learnt from.) Features are made on
+the executors, where the sampled documents are also scored whole, for the score's scale
+and shift. Scoring is one narrow pass over all texts.
 """
 
 from __future__ import annotations
@@ -26,8 +30,8 @@ from pyspark.sql import functions as F
 
 from vellum.llm.columns import table_of, text_slices
 
-#: Labelled documents that a fit uses at most.
-SAMPLE = 4000
+#: Labelled documents that a fit uses at most, lines of a chain, chains that a fit uses at most.
+SAMPLE, CHAIN, CHAINS = 4000, 32, 16384
 THRESHOLD = 0.3
 NAMES = ("upper", "symbols", "bars", "bangs", "digits", "marks", "repeats", "distinct", "words", "word length", "capitals", "short lines", "wide letters")
 SYMBOLS = re.compile(r"[#$%&*@^~_=+<>\\{}\[\]]")
@@ -80,11 +84,14 @@ class Model:
     scale: float = 1.0
     shift: float = 0.0
 
-    def score(self, text: str) -> float:
+    def good(self, text: str) -> float:
+        """The marginals of "good" of all lines, weighted by their lengths."""
         features, lengths = document_features(text)
-        good = marginals(features @ self.weights, self.ties)
         weight = np.maximum(lengths, 1.0)
-        p = float(good @ weight / weight.sum())
+        return float(marginals(features @ self.weights, self.ties) @ weight / weight.sum())
+
+    def score(self, text: str) -> float:
+        p = self.good(text)
         logit = np.log(max(p, 1e-12) / max(1 - p, 1e-12))
         return float(1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30))))
 
@@ -137,22 +144,17 @@ def _gradient(x: np.ndarray, length: np.ndarray, y: np.ndarray, w: np.ndarray, t
     return float((gold - z).sum()), (d * x).sum((0, 1)), g
 
 
-#: Lines of a document that the fit looks at together; longer documents are cut into several.
-CHAIN = 32
-
-
-def train(documents: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 150, decay: float = 1e-3) -> Model:
-    """Fits weights and ties by Adam on the penalised likelihood, then the score's scale and shift.
+def train(chains: list[tuple[np.ndarray, int]], steps: int = 150, decay: float = 1e-3) -> Model:
+    """Fits weights and ties by Adam on the penalised likelihood.
 
-    documents: (features, lengths, label). Both classes weigh alike by documents; with one
-    class only, or none, the model scores everything 1 or 0, or 0.5.
+    chains: (features, label). With one label only, or none, the model scores everything
+    1 or 0, or 0.5.
     """
-    labels = {y for *_, y in documents}
+    labels = {y for _, y in chains}
     size = 1 + 3 * len(NAMES) + 2
     if len(labels) < 2:
         return Model(np.zeros(size), np.zeros((2, 2)), 0.0, 0.0 if not labels else 20.0 if labels == {1} else -20.0)
-    chains = [(f[i : i + CHAIN], y) for f, _, y in documents for i in range(0, len(f), CHAIN)]
-    chains.sort(key=lambda c: len(c[0]))
+    chains = sorted(chains, key=lambda c: len(c[0]))
     groups = []
     for i in range(0, len(chains), 512):
         part = chains[i : i + 512]
@@ -170,19 +172,17 @@ def train(documents: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 150,
         g /= len(chains)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model = Model(theta[:size], theta[size:].reshape(2, 2))
-    p, y = [], []
-    for f, lengths, label in documents:
-        weight = np.maximum(lengths, 1.0)
-        p.append(float(marginals(f @ model.weights, model.ties) @ weight / weight.sum()))
-        y.append(label)
-    p_, y_ = np.clip(np.array(p), 1e-6, 1 - 1e-6), np.array(y)
-    logit, a, b = np.log(p_ / (1 - p_)), 1.0, 0.0
-    for _ in range(300):  # the scores' calibration, with a little of both classes everywhere
+    return Model(theta[:size], theta[size:].reshape(2, 2))
+
+
+def calibrated(model: Model, p: np.ndarray, y: np.ndarray) -> Model:
+    """The model with the scale and shift that fit the labels y of documents with the marginals p, with a little of both classes everywhere."""
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    logit, a, b = np.log(p / (1 - p)), 1.0, 0.0
+    for _ in range(300):
         q = 1 / (1 + np.exp(-(a * logit + b)))
-        a, b = a - 0.05 * (((q - y_) * logit).mean() + 0.01 * (a - 1)), b - 0.05 * ((q - y_).mean() + 0.01 * b)
-    model.scale, model.shift = max(a, 0.05), b
-    return model
+        a, b = a - 0.05 * (((q - y) * logit).mean() + 0.01 * (a - 1)), b - 0.05 * ((q - y).mean() + 0.01 * b)
+    return Model(model.weights, model.ties, max(a, 0.05), b)
 
 
 def held_out(id_: Column) -> Column:
@@ -197,19 +197,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_other")).where("_y = _other").orderBy(F.xxhash64("_id"), "_id").limit(sample).select("_id", "_y")
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(known), "_id")  # at most `sample` rows
-    schema = pa.schema([("id", pa.string()), ("y", pa.int32()), ("features", pa.binary()), ("lengths", pa.binary())])
+    schema, width = pa.schema([("id", pa.string()), ("y", pa.int32()), ("no", pa.int64()), ("features", pa.binary())]), 1 + 3 * len(NAMES) + 2
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, str]]:
         for b in batches:
             ys, ids = b.column(b.schema.get_field_index("_y")).to_pylist(), b.column(b.schema.get_field_index("_id")).to_pylist()
             for start, texts in text_slices(b, "_text"):
-                made = [document_features(t) for t in texts]
-                rows = slice(start, start + len(texts))
-                yield table_of(schema, id=list(map(str, ids[rows])), y=ys[rows], features=[f.astype("<f4").tobytes() for f, _ in made], lengths=[n.astype("<f4").tobytes() for _, n in made])
+                yield from zip(map(str, ids[start:]), ys[start:], texts, strict=False)
 
-    got = rows.mapInArrow(features, "id string, y int, features binary, lengths binary").orderBy("id", "y", "lengths", "features").collect()
-    width = 1 + 3 * len(NAMES) + 2
-    return train([(np.frombuffer(r.features, "<f4").astype(float).reshape(-1, width), np.frombuffer(r.lengths, "<f4").astype(float), r.y) for r in got])
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for id_, y, text in each(batches):
+            f = document_features(text)[0].astype("<f4")
+            chains = [f[i : i + CHAIN].tobytes() for i in range(0, len(f), CHAIN)]
+            yield table_of(schema, id=[id_] * len(chains), y=[y] * len(chains), no=list(range(len(chains))), features=chains)
+
+    chains = rows.mapInArrow(features, "id string, y int, no long, features binary")
+    got = chains.orderBy(F.xxhash64("id", "no"), "id", "no", "y", "features").limit(CHAINS).collect()
+    model = train([(np.frombuffer(r.features, "<f4").astype(float).reshape(-1, width), r.y) for r in got])
+    if not model.scale:
+        return model
+
+    def marginal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for id_, y, text in each(batches):
+            yield pa.RecordBatch.from_pydict({"id": [id_], "y": pa.array([y], pa.int32()), "p": [model.good(text)]})
+
+    got = rows.mapInArrow(marginal, "id string, y int, p double").orderBy("id", "y", "p").collect()
+    return calibrated(model, np.array([r.p for r in got]), np.array([r.y for r in got]))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:

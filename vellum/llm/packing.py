@@ -33,7 +33,7 @@ from vellum.llm.columns import shared_folder, table_of, text_slices
 
 SIZE = 4096
 END_ID = 2
-#: With more sources than this they share queues, by a hash.
+#: With more sources than this, those without a target share of their own share queues, by a hash: a queue is a group of sources then.
 QUEUES = 1024
 #: Of the table of counts before each partition; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -145,7 +145,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, queue: str
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shares: Mapping[str, float] | None = None, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
-    """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+    """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     Each document's ids and the end id lie in exactly one piece each; sequences are full,
     but for the last tokens, which make sequences of powers of two: nothing is padded. A
@@ -153,20 +153,22 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     ``""``; repeated rows are packed each for itself; an empty table gives no rows. Other
     columns of ``docs`` are not looked at. ``shares``: target proportions by source,
     sources without one come last; None keeps the proportions that the documents have.
+    With more than QUEUES sources those without a target are put into that many queues
+    by a hash, and each such queue has the share of all its sources; targets hold as
+    ever, for any number of sources.
     The pieces' order within a window is that of the queues' names.
     """
     spark = docs.sparkSession
     name = F.coalesce(F.col(source_col), F.lit(""))
     if docs.select(name.alias("q")).distinct().limit(QUEUES + 1).count() > QUEUES:
-        if shares:
-            raise ValueError(f"target shares need at most {QUEUES} sources")
-        name = F.pmod(F.xxhash64(name), F.lit(QUEUES)).cast("string")
+        shared = F.concat(F.lit("#"), F.pmod(F.xxhash64(name), F.lit(QUEUES)).cast("string"))
+        name = F.when(name.isin(list(shares)), name).otherwise(shared) if shares else shared
     folder = shared_folder(spark)
     ids = tokenized(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), name.alias("_queue")), path, "_id", "_text", "_queue", f"{folder}/ids")
     counts = ids.groupBy("part", "queue").agg(F.sum("n").alias("tokens"))
     counts.select("part", "queue", "tokens", (F.sum("tokens").over(W.partitionBy("queue").orderBy("part")) - F.col("tokens")).alias("earlier")).write.parquet(f"{folder}/counts")
     counts = spark.read.parquet(f"{folder}/counts")
-    totals = {r.queue: r.n for r in counts.groupBy("queue").agg(F.sum("tokens").alias("n")).orderBy("queue").collect()}  # at most QUEUES rows
+    totals = {r.queue: r.n for r in counts.groupBy("queue").agg(F.sum("tokens").alias("n")).orderBy("queue").collect()}  # a row a queue
     names = sorted(totals)
     index = {q: i for i, q in enumerate(names)}
     plan = Schedule(np.array([totals[q] for q in names], np.int64), None if shares is None else np.array([shares.get(q, 0.0) for q in names]), size)
@@ -205,7 +207,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                         of.append(i)
                 made = table_of(schema, **dict(zip(schema.names, zip(*out, strict=True), strict=True)))
                 keys = b.select(["_id", "queue"]).take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([keys.column(0), *made.columns, keys.column(1)], names=["_id", *schema.names, "source"])
+                yield pa.RecordBatch.from_arrays([keys.column(0), *made.columns, keys.column(1)], names=["_id", *schema.names, "queue"])
 
     kind = placed.schema["_id"].dataType.simpleString()
-    return placed.mapInArrow(pieces, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string").withColumnRenamed("_id", id_col)
+    return placed.mapInArrow(pieces, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string").withColumnRenamed("_id", id_col)
