@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import exact_dedup, line_quality, near_dedup, packing, secrets
-from vellum.llm.columns import shared_folder
+from vellum.llm.columns import discard, shared_folder
 from vellum.llm.queries import table, vocabulary_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with each one's result written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_folder(spark), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
