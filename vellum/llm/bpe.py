@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from vellum.llm.columns import table_of, text_slices
+from vellum.llm.columns import table_of, text_slices, trimmed
 
 END = "</w>"
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
 LOADS = 4  # of 8 bytes a word
 #: White space of the normalizer; str.split() also splits at U+001C to U+001F.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -314,4 +314,4 @@ def _encoded(docs: DataFrame, path: str, id_col: str, text_col: str, digest: boo
                 made = table_of(schema, **dict(zip(schema.names, out, strict=True)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), *made.columns], names=["_id", *schema.names])
 
-    return rows.mapInArrow(encode, f"_id {kind.simpleString()}, {fields}").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(trimmed(encode), f"_id {kind.simpleString()}, {fields}").withColumnRenamed("_id", id_col)

@@ -9,9 +9,9 @@ number, so no text ever crosses a shuffle and settled rows cross none at all. (W
 repeated keys than a filter holds, four million, a step passes all of its rows on: that
 costs hashing, which is less than moving texts to join them.)
 
-Counts and groups are aggregated before they are shuffled. The rows of a group get its
-survivor by a join between two written tables, so a group with any share of all rows is
-split by adaptive execution.
+Counts and groups are aggregated before they are shuffled. Where the rows of a group get
+its survivor by a join, those of a large group are dealt to many tasks, and its survivor
+goes to each of them.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from vellum.llm.blocked_bloom import Sieve
 from vellum.llm.columns import discard, shared_folder
 
 PREFIX = 64
+#: Rows of a group beyond which its rows are dealt to PARTS tasks when they are joined.
+LARGE, PARTS = 1000, 64
 
 
 def _text(column: str) -> Column:
@@ -60,6 +62,14 @@ def _groups(rows: DataFrame, folder: str) -> DataFrame:
     return rows.sparkSession.read.parquet(f"{folder}/groups")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """The open rows with their group's survivor and size."""
+    large = Sieve(groups.where(F.col("_size") > LARGE), F.col("_full")).passes(F.col("_full"))
+    rows = rows.where("_full is not null").withColumn("_part", F.when(large, F.pmod(F.xxhash64("_row"), F.lit(PARTS))).otherwise(F.lit(0)))
+    parts = F.when(large, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(groups.withColumn("_part", F.explode(parts)), ["_full", "_part"], how).drop("_part")
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: str | None = None, prefix: int = PREFIX) -> DataFrame:
     """One row for each row of ``docs``: id, keep_id, group_size, kept; and every text's SHA-256 if ``digest`` names a column for it.
 
@@ -75,7 +85,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = _groups(rows, folder)
     none = groups.schema["_keep"].dataType
     settled = rows.where("_full is null").select("*", F.lit(None).cast(none).alias("_keep"), F.lit(1).cast("long").alias("_size"))
-    open_ = rows.where("_full is not null").join(groups, "_full", "left").select(*rows.columns, "_keep", F.coalesce("_size", F.lit(1)).cast("long").alias("_size"))
+    open_ = _with_groups(rows, groups, "left").select(*rows.columns, "_keep", F.coalesce("_size", F.lit(1)).cast("long").alias("_size"))
     alone = F.col("_keep").isNull()
     return settled.unionByName(open_).select(
         F.col("_id").alias(id_col),
@@ -96,7 +106,7 @@ def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark, folder = docs.sparkSession, shared_folder(docs.sparkSession)
     rows = _marked(docs, id_col, text_col, False, PREFIX, folder)
-    dropped = rows.where("_full is not null").join(_groups(rows, folder), "_full").select("_id", "_full", (F.col("_keep._row") == F.col("_row")).alias("_kept"))
+    dropped = _with_groups(rows, _groups(rows, folder), "inner").select("_id", "_full", (F.col("_keep._row") == F.col("_row")).alias("_kept"))
     # a pair that stays and goes, as rows agree in both, stays once
     pairs = dropped.groupBy("_id", "_full").agg(F.max("_kept").alias("_kept"), F.min("_kept").alias("_always")).where("not _always")
     pairs.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"), "_full", "_kept").write.parquet(f"{folder}/pairs")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.columns import table_of, text_slices
+from vellum.llm.columns import table_of, text_slices, trimmed
 
 #: Labelled documents that a fit uses at most, lines of a chain, chains that a fit uses at most.
 SAMPLE, CHAIN, CHAINS = 4000, 32, 16384
@@ -211,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             chains = [f[i : i + CHAIN].tobytes() for i in range(0, len(f), CHAIN)]
             yield table_of(schema, id=[id_] * len(chains), y=[y] * len(chains), no=list(range(len(chains))), features=chains)
 
-    chains = rows.mapInArrow(features, "id string, y int, no long, features binary")
+    chains = rows.mapInArrow(trimmed(features), "id string, y int, no long, features binary")
     got = chains.orderBy(F.xxhash64("id", "no"), "id", "no", "y", "features").limit(CHAINS).collect()
     model = train([(np.frombuffer(r.features, "<f4").astype(float).reshape(-1, width), r.y) for r in got])
     if not model.scale:
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for id_, y, text in each(batches):
             yield pa.RecordBatch.from_pydict({"id": [id_], "y": pa.array([y], pa.int32()), "p": [model.good(text)]})
 
-    got = rows.mapInArrow(marginal, "id string, y int, p double").orderBy("id", "y", "p").collect()
+    got = rows.mapInArrow(trimmed(marginal), "id string, y int, p double").orderBy("id", "y", "p").collect()
     return calibrated(model, np.array([r.p for r in got]), np.array([r.y for r in got]))
 
 
@@ -242,5 +242,5 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), b.column(1).slice(start, len(texts)), made], names=["_id", "_keep", "score"])
 
     types = dict((f.name, f.dataType.simpleString()) for f in rows.schema.fields)
-    out = rows.mapInArrow(score, f"_id {types['_id']}, _keep {types['_keep']}, score double")
+    out = rows.mapInArrow(trimmed(score), f"_id {types['_id']}, _keep {types['_keep']}, score double")
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep.k{i}").alias(c) for i, c in enumerate(keep)], "score")

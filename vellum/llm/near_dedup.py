@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.blocked_bloom import Sieve
-from vellum.llm.columns import MIX, MORE, discard, mixed, shared_folder, table_of, text_slices, word_hashes
+from vellum.llm.columns import MIX, MORE, discard, mixed, shared_folder, table_of, text_slices, trimmed, word_hashes
 from vellum.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -173,8 +173,9 @@ def _prepared(docs: DataFrame, text_col: str, folder: str, count: int, length: i
         for b in batches:
             for start, texts in text_slices(pa.record_batch([b.column(0).flatten()[place]], names=["text"]), "text"):
                 values, n = sketches(texts, count, length)
-                more, of = short_values(texts)
-                own, order = np.concatenate([np.repeat(np.arange(len(texts)), count), of]), None
+                few = np.flatnonzero((n > 0) & (n <= SHORT))
+                more, of = short_values([texts[i] for i in few.tolist()])
+                own = np.concatenate([np.repeat(np.arange(len(texts)), count), few[of]])
                 order = np.argsort(own, kind="stable")
                 ends = np.searchsorted(own[order], np.arange(len(texts) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([values.ravel(), more])[order]))
@@ -182,7 +183,7 @@ def _prepared(docs: DataFrame, text_col: str, folder: str, count: int, length: i
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), *made.columns], names=["doc", *schema.names])
 
-    rows.mapInArrow(sketch, f"doc {kind}, row long, digest binary, n long, sketch array<long>").write.option("compression", "zstd").parquet(folder)
+    rows.mapInArrow(trimmed(sketch), f"doc {kind}, row long, digest binary, n long, sketch array<long>").write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder).withColumn("text", F.coalesce(F.col(f"doc.`{text_col}`"), F.lit("")))
 
 
@@ -219,7 +220,7 @@ def _verified(pairs: DataFrame, prepared: DataFrame, least: float) -> DataFrame:
                 out = [(x, y) for x, y, s, t in zip(*(part.column(k).to_pylist() for k in ("a", "b", "text_a", "text_b")), strict=True) if similarity(kmers(s), kmers(t), least) >= least]
                 yield table_of(schema, a=[x for x, _ in out], b=[y for _, y in out])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(check), "a long, b long")
 
 
 def _hub_pairs(buckets: DataFrame) -> DataFrame:
@@ -258,7 +259,7 @@ def _rest(buckets: DataFrame, prepared: DataFrame, members: DataFrame, least: fl
                 g, upto = labelled_kmers(part)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rows[start : start + len(part)], np.diff(upto))), pa.array(g.view(np.int64))], names=["node", "kmer"])
 
-    texts.mapInArrow(kmers, "node long, kmer long").write.option("compression", "zstd").parquet(f"{folder}/kmers")
+    texts.mapInArrow(trimmed(kmers), "node long, kmer long").write.option("compression", "zstd").parquet(f"{folder}/kmers")
     all_kmers = spark.read.parquet(f"{folder}/kmers")
     rare = all_kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") <= RARE)
     all_kmers.join(rare, "kmer").write.option("compression", "zstd").parquet(f"{folder}/rare")

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.llm.bpe import vocabulary
-from vellum.llm.columns import shared_folder, table_of, text_slices
+from vellum.llm.columns import shared_folder, table_of, text_slices, trimmed
 
 SIZE = 4096
 END_ID = 2
@@ -139,7 +139,7 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, queue: str
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), b.column(2).slice(start, len(texts)), *made.columns], names=["_id", "queue", *schema.names])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    made = rows.mapInArrow(encode, f"_id {kind}, queue string, part int, before long, n long, ids binary")
+    made = rows.mapInArrow(trimmed(encode), f"_id {kind}, queue string, part int, before long, n long, ids binary")
     made.write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
@@ -210,4 +210,4 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays([keys.column(0), *made.columns, keys.column(1)], names=["_id", *schema.names, "queue"])
 
     kind = placed.schema["_id"].dataType.simpleString()
-    return placed.mapInArrow(pieces, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string").withColumnRenamed("_id", id_col)
+    return placed.mapInArrow(trimmed(pieces), f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string").withColumnRenamed("_id", id_col)

@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 The network predicts every token of a document from the WINDOW tokens on its left and
-right: ``softmax(tanh(sum of context[o][token at offset o] + inner) out + bias)``. A
+right: ``softmax([tanh(sum of context[o][token at offset o] + inner), 1] out)``. A
 document is scored by the sum of the log-probabilities of all its tokens, each masked in
 turn, and by that sum a token, so that documents of different lengths compare.
 
@@ -38,13 +38,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.columns import table_of, text_slices, word_hashes
+from vellum.llm.columns import table_of, text_slices, trimmed, word_hashes
 
-CLASSES, RARE, BUCKETS = 256, 48, 1 << 16
-WINDOW, HIDDEN = 3, 32
+CLASSES, RARE, BUCKETS = 192, 16, 1 << 16
+WINDOW, HIDDEN = 3, 16
 OFFSETS = [o for o in range(-WINDOW, WINDOW + 1) if o]
 #: Steps of Adam by round, documents' rounds, tokens of a mini-batch, tokens to see at least by going over all again, at most so often.
-RATES, BATCH, LEAST, AGAIN = (0.02, 0.01, 0.004), 2048, 2_000_000, 12
+RATES, BATCH, LEAST, AGAIN = (0.02, 0.005), 2048, 2_000_000, 12
+ONES = np.ones(CLASSES, np.float32)
+#: Below this no sum of exponentials overflows, so their largest need not be taken off.
+SAFE = 60.0
 #: Tokens a subclass has about, tokens a task deals at a time, rows whose sums go together.
 SHARE, DEALT, BLOCK = 1 << 20, 1 << 21, 1 << 12
 DISCOUNT = 0.75
@@ -55,8 +58,7 @@ class Network:
     classes: np.ndarray  # of each bucket, uint8
     context: np.ndarray  # offsets x classes x HIDDEN
     inner: np.ndarray
-    out: np.ndarray
-    bias: np.ndarray
+    out: np.ndarray  # HIDDEN + 1 x classes: the bias is that of a hidden value that is always 1
     own: np.ndarray | None = None  # hash of each class's only word; without it whole buckets are classes
     totals: np.ndarray | None = None  # tokens of each class
     corpus: DataFrame | None = field(default=None, repr=False)  # the documents whose words are counted, by text
@@ -68,7 +70,7 @@ class Network:
         return parts, np.cumsum(parts) - parts
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.context, self.inner, self.out, self.bias]
+        return [self.context, self.inner, self.out]
 
     def copied(self, flat: np.ndarray | None = None) -> Network:
         """The same network with parameters of its own, or with those of one vector."""
@@ -78,17 +80,26 @@ class Network:
         return Network(self.classes, *[p.reshape(x).copy() for p, x in zip(np.split(flat, cuts), shapes, strict=True)], self.own, self.totals)
 
     def hidden(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """tokens x HIDDEN; padded: classes of texts with WINDOW zeros around each, at: places in it."""
+        """tokens x HIDDEN + 1; padded: classes of texts with WINDOW zeros around each, at: places in it."""
+        out = np.ones((len(at), HIDDEN + 1), np.float32)
         h = self.inner + self.context[0][padded[at + OFFSETS[0]]]
         for o, x in zip(OFFSETS[1:], self.context[1:], strict=True):
             h += x[padded[at + o]]
-        return np.tanh(h)
+        np.tanh(h, out=out[:, :HIDDEN])
+        return out
+
+    def outcomes(self, h: np.ndarray) -> np.ndarray:
+        """tokens x classes: what the softmax is taken of, up to a number by token."""
+        z = h @ self.out
+        if np.abs(self.out).sum(0).max() > SAFE:  # hidden values are within one
+            z -= z.max(1, keepdims=True)
+        return z
 
     def log_probabilities(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """tokens x classes."""
-        z = self.hidden(padded, at) @ self.out + self.bias
-        z -= z.max(1, keepdims=True)
-        return z - np.log(np.exp(z).sum(1, keepdims=True))
+        """That of the class of each of these tokens."""
+        z = self.outcomes(self.hidden(padded, at))
+        own = z[np.arange(len(at)), padded[at]]
+        return own - np.log(np.exp(z, out=z) @ ONES)
 
 
 def classed(h: np.ndarray, classes: np.ndarray, own: np.ndarray | None) -> np.ndarray:
@@ -112,13 +123,18 @@ def beside(x: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, right
 
 
+def padded_classes(c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of all words with WINDOW zeros around each text's, the words' places in it)."""
+    at = np.arange(len(c)) + WINDOW * (1 + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)))
+    padded = np.zeros(len(c) + WINDOW * len(bounds), np.uint8)
+    padded[at] = c
+    return padded, at
+
+
 def tokens(texts: list[str], classes: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(classes of all words with WINDOW zeros around each text's, the words' places in it, where each text's begin and the end)."""
+    """(padded classes, the words' places in it, where each text's begin and the end)."""
     h, bounds = word_hashes(texts)
-    at = np.arange(len(h)) + WINDOW * (1 + np.repeat(np.arange(len(texts)), np.diff(bounds)))
-    padded = np.zeros(len(h) + WINDOW * (len(texts) + 1), np.uint8)
-    padded[at] = classed(h, classes, own)
-    return padded, at, bounds
+    return *padded_classes(classed(h, classes, own), bounds), bounds
 
 
 def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +150,7 @@ def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
         some = np.flatnonzero(n)
         yield table_of(schema, bucket=some.astype(np.int32), n=n[some])
 
-    counts = rows.mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     of_bucket = np.zeros(BUCKETS, np.int64)
     for r in counts.collect():  # BUCKETS rows
         of_bucket[r.bucket] = r.n
@@ -152,7 +168,7 @@ def word_classes(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray
                 h, n = np.unique(h[c < CLASSES - RARE], return_counts=True)
                 yield table_of(words, **{"class": out[(h % np.uint64(BUCKETS)).astype(np.int64)].astype(np.int32), "word": h.view(np.int64), "n": n})
 
-    counts = rows.mapInArrow(leading, "class int, word long, n long").groupBy("class", "word").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(trimmed(leading), "class int, word long, n long").groupBy("class", "word").agg(F.sum("n").alias("n"))
     own, totals = np.zeros(CLASSES, np.uint64), np.zeros(CLASSES, np.int64)
     for r in counts.groupBy("class").agg(F.max(F.struct("n", "word")).alias("most")).collect():  # one row a class
         own[r["class"]], totals[r["class"]] = np.int64(r.most.word).astype(np.uint64), r.most.n
@@ -166,7 +182,7 @@ def first_network(classes: np.ndarray, totals: np.ndarray, seed: int = 10) -> Ne
     r = np.random.default_rng(seed)
     small = lambda *shape: (0.1 * r.normal(size=shape)).astype(np.float32)
     alone = totals + 1.0
-    return Network(classes, small(len(OFFSETS), CLASSES, HIDDEN), np.zeros(HIDDEN, np.float32), small(HIDDEN, CLASSES), np.log(alone / alone.sum()).astype(np.float32), totals=totals)
+    return Network(classes, small(len(OFFSETS), CLASSES, HIDDEN), np.zeros(HIDDEN, np.float32), np.vstack([small(HIDDEN, CLASSES), np.log(alone / alone.sum())]).astype(np.float32), totals=totals)
 
 
 class Adam:
@@ -178,19 +194,20 @@ class Adam:
         """One mini-batch: the tokens at these places."""
         net, n = self.net, len(at)
         h = net.hidden(padded, at)
-        z = h @ net.out + net.bias
-        z -= z.max(1, keepdims=True)
+        z = net.outcomes(h)
         np.exp(z, out=z)
-        z /= z.sum(1, keepdims=True)
-        z[np.arange(n), padded[at]] -= 1.0
-        z /= n
-        dh = (z @ net.out.T) * (1 - h * h)
-        context = np.empty_like(net.context)
-        lanes = np.arange(HIDDEN)
-        for k, o in enumerate(OFFSETS):
-            context[k] = np.bincount((padded[at + o].astype(np.int64)[:, None] * HIDDEN + lanes).ravel(), dh.ravel(), CLASSES * HIDDEN).reshape(CLASSES, HIDDEN)
+        z *= 1.0 / (n * (z @ ONES))[:, None]
+        z[np.arange(n), padded[at]] -= np.float32(1.0 / n)
+        dh = (z @ net.out[:HIDDEN].T) * (1 - h[:, :HIDDEN] ** 2)
+        context = np.zeros_like(net.context)
+        for k, o in enumerate(OFFSETS):  # sums by class
+            c = padded[at + o]
+            order = np.argsort(c, kind="stable")
+            c = c[order]
+            begin = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            context[k, c[begin]] = np.add.reduceat(dh[order], begin, axis=0)
         self.turn += 1
-        for p, g, a, b in zip(net.parameters(), (context, dh.sum(0), h.T @ z, z.sum(0)), self.first, self.second, strict=True):
+        for p, g, a, b in zip(net.parameters(), (context, dh.sum(0), (z.T @ h).T), self.first, self.second, strict=True):
             a *= 0.9
             a += 0.1 * g
             b *= 0.98
@@ -237,8 +254,8 @@ def _round(docs: DataFrame, text_col: str, net: Network, turn: int, passes: int)
         total = np.sum([np.frombuffer(x, np.float64) for x in table["sums"].to_pylist()], axis=0)
         return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "n": [sum(table["n"].to_pylist())], "sums": [total.tobytes()]})
 
-    found, kind = docs.select(F.col(text_col).alias("text")).mapInArrow(work, "part int, n long, sums binary"), "part int, n long, sums binary"
-    for bits in (6, 12):
+    found, kind = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(work), "part int, n long, sums binary"), "part int, n long, sums binary"
+    for bits in (4, 12):
         found = found.groupBy(F.shiftright("part", bits)).applyInArrow(summed, kind)
     rows = found.collect()  # one for each 4096 tasks
     n = sum(r.n for r in rows)
@@ -257,20 +274,24 @@ def fit(docs: DataFrame, text_col: str = "text") -> Network:
     return net
 
 
-def score_texts(texts: list[str], net: Network) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of the conditional log-probabilities of the tokens' classes, number of tokens) of each text: the network's part of the score."""
-    padded, at, bounds = tokens(texts, net.classes, net.own)
+def score_tokens(net: Network, padded: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The sum of the conditional log-probabilities of the tokens' classes of each text: the network's part of the score."""
     upto = np.zeros(len(at) + 1)
-    for i in range(0, len(at), 4 * BATCH):
-        some = at[i : i + 4 * BATCH]
-        upto[i + 1 : i + 1 + len(some)] = net.log_probabilities(padded, some)[np.arange(len(some)), padded[some]]
+    for i in range(0, len(at), BATCH):
+        upto[i + 1 : i + 1 + BATCH] = net.log_probabilities(padded, at[i : i + BATCH])
     upto = np.cumsum(upto)
-    return upto[bounds[1:]] - upto[bounds[:-1]], np.diff(bounds)
+    return upto[bounds[1:]] - upto[bounds[:-1]]
+
+
+def score_texts(texts: list[str], net: Network) -> tuple[np.ndarray, np.ndarray]:
+    """(the network's part of the score, number of tokens) of each text."""
+    padded, at, bounds = tokens(texts, net.classes, net.own)
+    return score_tokens(net, padded, at, bounds), np.diff(bounds)
 
 
 def packed_tokens(word: np.ndarray, left: np.ndarray, right: np.ndarray, row: np.ndarray) -> bytes:
     """48 bits of the word, 32 of each neighbour and the row as compressed columns, in the order of words."""
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word)
     w = word[order].view(np.uint8).reshape(-1, 8)[:, :6].T
     near = [(x[order] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for x in (left, right)]
     return len(word).to_bytes(8, "little") + pa.compress(w.tobytes() + near[0] + near[1] + row[order].astype("<u4").tobytes(), codec="zstd", asbytes=True)
@@ -330,11 +351,11 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
                 for start, texts in text_slices(b, "_text", 8_000_000):
                     h, bounds = word_hashes(texts)
                     row = np.arange(at, at + len(texts))
+                    c = classed(h, bare.classes, bare.own)
                     if scored:
-                        s, n = score_texts(texts, bare)
+                        s, n = score_tokens(bare, *padded_classes(c, bounds), bounds), np.diff(bounds)
                         none = pa.nulls(len(texts))
                         yield pa.RecordBatch.from_arrays([pa.array((row % share).astype(np.int32)), pa.array(row), b.column(0).slice(start, len(texts)), pa.array(n.astype(np.int64)), pa.array(s), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.binary())], schema=schema)
-                    c = classed(h, bare.classes, bare.own)
                     left, right = beside(h, bounds)
                     some = np.flatnonzero(c >= CLASSES - RARE)
                     c, h = c[some], h[some]
@@ -350,7 +371,7 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
         def dealt(schema: pa.Schema, held: list, known: bool) -> Iterator[pa.RecordBatch]:
             sub, word, left, right, row = (np.concatenate(x) for x in zip(*held, strict=True))
             base = int(row.min())
-            order = np.argsort(sub, kind="stable")
+            order = np.argsort(sub)
             cuts = np.flatnonzero(np.diff(sub[order])) + 1
             for own in np.split(order, cuts):
                 yield pa.RecordBatch.from_pylist([{"sub": int(sub[own[0]]), "base": base if scored else -1, "known": known, "blob": packed_tokens(word[own], left[own], right[own], row[own] - base)}], schema=schema)
@@ -390,10 +411,10 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
         score = own["score"].to_numpy() + more[own["row"].to_numpy() % BLOCK]
         return pa.table([own["_id"], own["n_tokens"], pa.array(score)], names=["_id", "n_tokens", "score"])
 
-    tokens_of = rows.mapInArrow(dealer(True, own_corpus), fields)
+    tokens_of = rows.mapInArrow(trimmed(dealer(True, own_corpus)), fields)
     if not own_corpus and net.corpus is not None:
         corpus = net.corpus.select(F.lit(None).cast(kind).alias("_id"), F.col(net.text_col).alias("_text"))
-        tokens_of = tokens_of.unionByName(corpus.mapInArrow(dealer(False, True), fields))
+        tokens_of = tokens_of.unionByName(corpus.mapInArrow(trimmed(dealer(False, True)), fields))
     sums = tokens_of.groupBy("sub").applyInArrow(words, f"block long, row long, _id {kind}, n_tokens long, score double, blob binary")
     out = sums.groupBy("block").applyInArrow(summed, f"_id {kind}, n_tokens long, score double")
     return out.select(F.col("_id").alias(id_col), "n_tokens", F.col("score").alias("log_likelihood"), F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("score"))

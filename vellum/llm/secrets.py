@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.columns import table_of, text_slices
+from vellum.llm.columns import table_of, text_slices, trimmed
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns: (kind, pattern, group whose length counts, least length). Letters of the first group of "assign" in either case.
@@ -610,6 +610,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kept = [f for f in rows.schema.fields if f.name != "_worth"]
     fields = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in kept] + ["n_assign long", "n_access long", "n_hex long", "base string", "spans string", "changed string"])
-    out = rows.mapInArrow(work, fields)
+    out = rows.mapInArrow(trimmed(work), fields)
     names = [F.col(f"_keep.k{i}").alias(c) for i, c in enumerate(keep)]
     return out.select(F.col("_id").alias(id_col), *names, "n_assign", "n_access", "n_hex", "base", "spans", *([F.coalesce("changed", "_text").alias("clean")] if redact else []))
