@@ -118,11 +118,12 @@ def resolved(refs: DataFrame, provenance: DataFrame, docs: DataFrame) -> DataFra
 def coverage(items: DataFrame) -> DataFrame:
     """(doc_id, bucket, total, cited, unresolvable, not_grounded, coverage_pct) by bucket and, as ``overall``, by document; needs doc_id, bucket, status.
 
-    One rollup gives both; an empty bucket has no row, its share would be 0.
+    One rollup gives both; an empty bucket has no row, its share would be 0. Shares are rounded to one place,
+    halves to the even digit.
     """
     of = lambda s: F.count_if(F.col("status") == s).alias(s)
     df = items.rollup("doc_id", "bucket").agg(F.count(F.lit(1)).alias("total"), of("cited"), of("unresolvable"), of("not_grounded"), F.grouping_id().alias("g")).where("g < 3")
-    return df.select("doc_id", F.when(F.col("g") == 1, "overall").otherwise(F.col("bucket")).alias("bucket"), "total", "cited", "unresolvable", "not_grounded", (100.0 * F.col("cited") / F.col("total")).alias("coverage_pct"))
+    return df.select("doc_id", F.when(F.col("g") == 1, "overall").otherwise(F.col("bucket")).alias("bucket"), "total", "cited", "unresolvable", "not_grounded", F.bround(100.0 * F.col("cited") / F.col("total"), 1).alias("coverage_pct"))
 
 
 def reports(docs: DataFrame, marked: DataFrame, found: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from vellum.functions import text as T
 # Fixed values.
 OVERLAP, UNSUPPORTED, CHARS, CONTEXT = 0.7, 3, 300, 1
 NEAR, SAME_WORDS, CONTAINED = 0.88, 0.85, 20
+SENTENCES = (2, 4)
 
 
 def _reasons(*pairs: tuple[Column, str]) -> Column:
@@ -91,3 +95,35 @@ def reverted(applied_: DataFrame, worst: DataFrame) -> DataFrame:
     df = applied_.join(worst.select("doc_id", "gameable"), "doc_id", "left")
     undo = (F.col("task") == "distractors") & (F.col("status") == "accepted") & F.coalesce("gameable", F.lit(False))
     return df.withColumn("status", F.when(undo, "reverted").otherwise(F.col("status"))).drop("gameable")
+
+
+def summaries(sentences: DataFrame) -> DataFrame:
+    """(doc_id, task, target, ord, ok) of proposed summaries, for applied(), from their sentences with the verdict of each.
+
+    ``sentences``: doc_id, target, ord, pos, ok. A summary of two to four sentences holds
+    if all of them do; one that fails takes the whole with it. Nulls are failures.
+    """
+    df = sentences.groupBy("doc_id", "target", "ord").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("ok", F.lit(False))).alias("ok"))
+    return df.select("doc_id", F.lit("summaries").alias("task"), "target", "ord", (F.col("ok") & F.col("n").between(*SENTENCES)).alias("ok"))
+
+
+def token_usage(calls: DataFrame) -> DataFrame:
+    """(doc_id, key, tokens): whole numbers of the calls' usage, a map, summed by key; what is no whole number is left out."""
+    df = calls.select("doc_id", F.explode("usage").alias("key", "value")).withColumn("tokens", F.expr("try_cast(value as long)")).where("tokens is not null")
+    return df.groupBy("doc_id", "key").agg(F.sum("tokens").alias("tokens"))
+
+
+def errors(calls: DataFrame) -> DataFrame:
+    """(doc_id, call, error) of the calls that failed; an empty message is none."""
+    return calls.where("error is not null and error <> ''").select("doc_id", "call", "error")
+
+
+def merged(reports: Sequence[DataFrame]) -> DataFrame:
+    """Items or calls of several reports as one table; repeated ones stay."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), reports)
+
+
+def merged_notes(notes: DataFrame) -> DataFrame:
+    """(note, place) of (report, ord, note): each note once, where it first stands, places from 1."""
+    first = notes.groupBy("note").agg(F.min(F.struct("report", "ord")).alias("at"))
+    return first.select("note", F.row_number().over(W.orderBy("at")).alias("place"))

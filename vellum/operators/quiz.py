@@ -117,6 +117,11 @@ def grade(questions: DataFrame, responses: DataFrame, pass_mark: int) -> DataFra
     return df.withColumn("passed", F.col("score") >= pass_mark)
 
 
+def question_types(questions: DataFrame) -> DataFrame:
+    """(doc_id, type, questions): how many questions of each type an assessment has."""
+    return questions.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("questions"))
+
+
 def learner_view(questions: DataFrame) -> DataFrame:
     """Without correct answer, explanation and source; salt and hash stay."""
     return questions.drop("correct_answer", "explanation", "source_ref")

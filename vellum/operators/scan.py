@@ -17,8 +17,6 @@ from vellum.functions.guards import required
 from vellum.functions.text import collapse, strings, strip
 
 Rule = tuple[str, bool, str]
-#: Rules that need no look-around, so that other engines' regular expressions read them too.
-PLAIN_RULES = [r for r in R.RULES if R.FOLLOWS not in r[2]]
 
 
 def pattern(rule: Rule) -> str:
@@ -150,6 +148,18 @@ def restored_risk(stored: Column, count: Column) -> Column:
     return F.when(~F.coalesce(known, F.lit(False)), F.when(count > 0, "high").otherwise("none")).when((stored == "none") & (count > 0), "high").otherwise(stored)
 
 
+def pasted(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``lines``: a text's lines, a list's entries as they are, and none for null."""
+    if df.schema[column].dataType.typeName() == "array":
+        return df.withColumn("lines", F.coalesce(F.col(column).cast("array<string>"), F.array().cast("array<string>")))
+    return df.withColumn("lines", F.coalesce(F.split(F.col(column).cast("string"), "\n"), F.array().cast("array<string>")))
+
+
+def hidden_findings(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, kind) of characters that can't be seen or are taken for others."""
+    return lines.where("line <> ''").select("doc_id", "line_no", F.explode(hidden_kinds(F.col("line"))).alias("kind"))
+
+
 def counts_by_kind(found: DataFrame) -> DataFrame:
     return found.groupBy("kind").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("doc_id").alias("docs"))
 

@@ -23,7 +23,7 @@ def questions(spark, sf_dir):
 
 def _swept(spark, sf_dir):
     docs = Q.sops(spark, sf_dir)
-    found = C._plain(docs).withColumn("severity", F.when(F.col("kind").isin(*C.R.HIGH_KINDS), "high").otherwise("low"))
+    found = C._scanned(docs).withColumn("severity", F.when(F.col("kind").isin(*C.R.HIGH_KINDS), "high").otherwise("low"))
     return A.sweep(docs, C.C.risks(docs, found), (5, 8))
 
 

@@ -54,22 +54,55 @@ def by_task(spark, sf_dir):
     return G.by_task(G.applied(df, df))
 
 
-QUERIES = {f"grounding_{f.__name__}": f for f in (claims, proposals, reverted, by_task, distractors)}
+def summaries(spark, sf_dir):
+    """What becomes of proposed summaries: the order's first questions are the sentences of one, by threes."""
+    q = synth.view(spark, sf_dir, synth.QUESTIONS)
+    sentences = q.select("doc_id", F.concat(F.lit("s"), (F.col("ord") % 2).cast("string")).alias("target"), F.lit(1).alias("ord"), F.col("ord").alias("pos"), (F.col("pick") % 5 > 0).alias("ok"))
+    found = G.summaries(sentences)
+    return G.applied(found, found.where("doc_id % 9 > 0")).select("doc_id", "target", "status")
+
+
+def _calls(spark, sf_dir):
+    q = synth.view(spark, sf_dir, synth.QUESTIONS)
+    usage = F.create_map(F.lit("input_tokens"), F.col("l_partkey").cast("string"), F.lit("output_tokens"), F.col("pick").cast("string"), F.lit("model"), F.lit("none"))
+    return q.select("doc_id", F.col("ord").alias("call"), usage.alias("usage"), F.when(F.col("pick") % 7 == 0, F.concat(F.lit("failed "), F.col("id"))).when(F.col("pick") % 7 == 1, "").alias("error"))
+
+
+def token_usage(spark, sf_dir):
+    return G.token_usage(_calls(spark, sf_dir))
+
+
+def errors(spark, sf_dir):
+    calls = _calls(spark, sf_dir)
+    return G.errors(G.merged([calls.where("call % 2 = 0"), calls.where("call % 2 = 1")]))
+
+
+def merged_notes(spark, sf_dir):
+    q = synth.view(spark, sf_dir, synth.QUESTIONS)
+    return G.merged_notes(q.select(F.col("doc_id").alias("report"), "ord", F.concat(F.lit("note "), (F.col("l_partkey") % 50).cast("string")).alias("note")))
+
+
+QUERIES = {f"grounding_{f.__name__}": f for f in (claims, proposals, reverted, by_task, distractors, summaries, token_usage, errors, merged_notes)}
 
 _l = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _norm = lambda x: f"trim(regexp_replace(regexp_replace(lower({x}), '[^\\pL\\pN_\\s%]+', ' ', 'g'), '\\s+', ' ', 'g'))"
-_content = lambda x: f"list_filter(string_split({_norm(x)}, ' '), lambda w: w <> '' and not list_contains({_l(T.STOPWORDS)}, w))"
+_content = lambda x: f"list_filter(string_split(regexp_replace(' ' || replace({_norm(x)}, ' ', '  ') || ' ', ' (?:{'|'.join(T.STOPWORDS)}) ', ' ', 'g'), ' '), lambda w: w <> '')"
+_in = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
 _nums = lambda x: f"list_transform(regexp_extract_all({x}, '\\d+(?:[.,]\\d+)*'), lambda n: replace(n, ',', ''))"
 _terms = f"list_filter(flatten(list_transform(list_filter(regexp_extract_all(t, '[A-Za-z][\\w/\\-]*')[2:], lambda x: regexp_matches(x, '^[A-Z]')), lambda x: string_split({_norm('x')}, ' '))), lambda x: x <> '' and not list_contains({_l(T.STOPWORDS)}, x))"
 _q = f"with q as ({synth.QUESTIONS})"
 ORACLE_SQL = {
+    "grounding_summaries": f"{_q} select doc_id, 's' || (ord % 2) as target, case when doc_id % 9 = 0 then 'unknown target' when count(*) between 2 and 4 and bool_and(pick % 5 > 0) then 'accepted' else 'rejected' end as status from q group by doc_id, ord % 2",
+    "grounding_token_usage": f"{_q} select doc_id, 'input_tokens' as key, sum(l_partkey)::bigint as tokens from q group by doc_id union all select doc_id, 'output_tokens', sum(pick)::bigint from q group by doc_id",
+    "grounding_errors": f"{_q} select doc_id, ord as call, 'failed ' || id as error from q where pick % 7 = 0",
+    "grounding_merged_notes": f"{_q}, n as (select 'note ' || (l_partkey % 50) as note, min((doc_id, ord)) as met from q group by 1) select note, row_number() over (order by met) as place from n",
     "grounding_claims": f"""with {Q.MARKED}, c0 as (select doc_id, line_no as cid, trim({CLAIM}) as t, line_no as s, {SPAN} as e from lines where line <> ''), nl as (select doc_id, list(line order by line_no) as a from lines group by doc_id),
         c1 as (select c0.*, s <= e and e <= len(a) as fine, case when s <= e and e <= len(a) then array_to_string(a[greatest(s - 1, 1):e + 1], chr(10)) else '' end as x from c0 join nl using (doc_id)),
         c2 as (select *, {_content('x')} as known, {_content('t')} as words, {_terms} as terms from c1),
         k1 as (select doc_id, cid, known, generate_subscripts(p, 1) as clause, unnest(p) as c from (select *, regexp_split_to_array(t, '[;:,.!?()\\[\\]–—]|\\s-\\s') as p from c2)),
         k2 as (select doc_id, cid, known, clause, generate_subscripts(p, 1) as pos, unnest(p) as w from (select *, string_split({_norm('c')}, ' ') as p from k1)),
-        k3 as (select *, list_contains({_l(T.CONNECTIVES)}, w) as opens, sum(list_contains({_l(T.CONNECTIVES)}, w)::int) over (partition by doc_id, cid, clause order by pos) as run from k2 where w <> ''),
-        k4 as (select doc_id, cid, clause, run, list(w order by pos) as ws, bool_or(list_contains(known, w)) as held from k3 where run > 0 and not opens and not list_contains({_l(T.STOPWORDS)}, w) group by all),
+        k3 as (select *, w in {_in(T.CONNECTIVES)} as opens, sum((w in {_in(T.CONNECTIVES)})::int) over (partition by doc_id, cid, clause order by pos) as run from k2 where w <> ''),
+        k4 as (select doc_id, cid, clause, run, list(w order by pos) as ws, bool_or(list_contains(known, w)) as held from k3 where run > 0 and not opens and w not in {_in(T.STOPWORDS)} group by all),
         k5 as (select doc_id, cid, w, min(o) as o from (select doc_id, cid, unnest(ws) as w, clause * 1000000 + run * 1000 + generate_subscripts(ws, 1) as o from k4 where not held) group by all),
         k6 as (select doc_id, cid, string_agg(w, ' ' order by o) as added from k5 group by all),
         c3 as (select c2.*, coalesce(added, '') as added, case when len(words) > 0 then len(list_filter(words, lambda w: list_contains(known, w))) / len(words) else 0 end as overlap,

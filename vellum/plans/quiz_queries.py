@@ -36,6 +36,10 @@ def layout(spark, sf_dir):
     return Z.layout(questions(spark, sf_dir))
 
 
+def question_types(spark, sf_dir):
+    return Z.question_types(questions(spark, sf_dir))
+
+
 def _hashed(spark, sf_dir):
     df = questions(spark, sf_dir)
     salt = T.salt(F.col("doc_id").cast("string"), F.col("id"))
@@ -76,7 +80,7 @@ def interleaved(spark, sf_dir):
     return Z.interleaved(own("type <> 'true_false'"), own("type = 'true_false'"), 1)
 
 
-QUERIES = {f"quiz_{f.__name__}": f for f in (naive_scores, worst_strategies, length_tells, truth_values, layout, grades, learner_view, interactions, suspended, spread_steps, interleaved)}
+QUERIES = {f"quiz_{f.__name__}": f for f in (naive_scores, worst_strategies, length_tells, truth_values, layout, grades, learner_view, interactions, suspended, spread_steps, interleaved, question_types)}
 
 _q = f"with q as ({synth.QUESTIONS})"
 _st = "st(strategy, kind, aim, fallback) as (values " + ", ".join(map(str, Z.STRATEGIES)) + ")"
@@ -86,6 +90,7 @@ _okey = lambda x: f"trim(regexp_replace(lower({x}), '[^\\pL\\pN]+', ' ', 'g'))"
 _salt = "left(sha256(doc_id || '|' || id || '|salt'), 32)"
 _bis = ", ".join(map(str, Z.bisection(64)))
 ORACLE_SQL = {
+    "quiz_question_types": f"{_q} select doc_id, type, count(*) as questions from q group by all",
     "quiz_naive_scores": f"{_q}, {_st}, {_scores} select * from scores",
     "quiz_worst_strategies": f"{_q}, {_st}, {_scores} select doc_id, strategy, score, score >= 70 as gameable from (select *, row_number() over (partition by doc_id order by score desc, strategy) as k from scores) where k = 1",
     "quiz_length_tells": f"{_q}, l as (select *, [len_a, len_b, len_c, len_d][:n_options] as a from q) select doc_id, sum(case when type = 'true_false' then points / 2 when a[correct_answer + 1] = list_max(a) then points else 0 end)::double as longest, sum(case when type = 'true_false' then points / 2 when a[correct_answer + 1] = list_min(a) then points else 0 end)::double as shortest, sum(points)::bigint as total from l group by doc_id",

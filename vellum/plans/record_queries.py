@@ -78,7 +78,14 @@ def edit_counts(spark, sf_dir):
     return M.edits_by_category(M.leaves(old, "json"), M.leaves(new, "json"))
 
 
-QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, problems, verdicts, states)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts)}
+def content_hashes(spark, sf_dir):
+    """Digests of what a job holds, from JSON with keys and spaces as they come."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    module = F.concat(F.lit('{"title": "'), "p_name", F.lit('",  "id":'), F.col("p_partkey").cast("string"), F.lit(', "sections": [ {"z": 1, "a": "'), "p_brand", F.lit('é"} ], "none": null}'))
+    return part.select(F.col("p_partkey").alias("job_id"), A.content_hash(module, F.lit('{"questions": [true, []], "passing_score": 70}')).alias("content_hash"))
+
+
+QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, problems, verdicts, states, content_hashes)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts)}
 
 _content = ", ".join(f"'{e}'" for e in A.CONTENT_EVENTS)
 _canon = """'{"actor":{"name":"' || {a} || '"},"content_hash":' || case when {c} is null then 'null' else '"' || {c} || '"' end || ',"details":{"n":1},"event":"' || {e} || '","job_id":"' || {j} || '","prev_hash":"' || {p} || '","seq":' || {s} || ',"ts":"' || {t} || '"}'"""
@@ -116,6 +123,7 @@ problems as (
 _rate = "case when approved and editable_items > 0 then edits_count / editable_items end"
 _jobs = f"with j as (select *, status = 'approved' as approved from ({synth.JOBS}))"
 ORACLE_SQL = {
+    "audit_content_hashes": """select p_partkey as job_id, sha256('{"assessment":{"passing_score":70,"questions":[true,[]]},"training_module":{"id":' || p_partkey || ',"none":null,"sections":[{"a":"' || p_brand || 'é","z":1}],"title":"' || p_name || '"}}') as content_hash from part""",
     "audit_chain_heads": f"with {TRAIL} select job_id, max_by(hash, file_line) as head_hash, count(*) as entries from trail group by job_id",
     "audit_problems": f"with {TRAIL} select * from problems",
     "audit_verdicts": f"""with {TRAIL}, b as (select job_id, count(*) as problems, min(seq) as first_bad_seq, arg_min(problem, phase * 100000000 + file_line * 10 + sub) as reason from problems group by job_id),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,35 +21,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id")
 
 
-def _plain(docs: DataFrame) -> DataFrame:
-    """Findings of the rules that all engines read alike, with repetition."""
+def _scanned(docs: DataFrame) -> DataFrame:
+    """Findings of all rules, of characters that can't be seen, and of repetition; what encoded blobs hold is in all_findings()."""
     lines = S.lines(docs)
-    found = C.findings(lines, C.PLAIN_RULES, hidden=False, blobs=False).select("doc_id", "line_no", "kind")
+    found = C.findings(lines, R.RULES, hidden=True, blobs=False).select("doc_id", "line_no", "kind")
     return found.unionByName(C.repetitions(lines).select("doc_id", "line_no", "kind"))
 
 
 def findings(spark, sf_dir):
-    return _plain(hostile(spark, sf_dir))
+    return _scanned(hostile(spark, sf_dir))
 
 
 def document_findings(spark, sf_dir):
-    return _plain(documents(spark, sf_dir))
+    return _scanned(documents(spark, sf_dir))
 
 
 def page_findings(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return C.counts_by_kind(_plain(pages))
+    return C.counts_by_kind(_scanned(pages))
 
 
 def risk_rollup(spark, sf_dir):
     docs = hostile(spark, sf_dir)
-    found = _plain(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
+    found = _scanned(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
     return C.risks(docs, found)
 
 
 def risk_by_source(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    found = _plain(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
+    found = _scanned(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
     df = C.risks(docs, found).join(docs.select("doc_id", "source"), "doc_id")
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), *[F.count_if(F.col("risk") == r).alias(f"risk_{r}") for r in ("high", "low", "none")], F.sum("findings").alias("findings"))
 
@@ -62,6 +64,25 @@ def first_findings(spark, sf_dir):
     return C.first_of(all_findings(spark, sf_dir), 2)
 
 
+#: Lines with characters that can't be seen or are taken for others, one kind each, between lines of parts that have none.
+HIDDEN = """
+select p_partkey as doc_id, concat_ws(chr(10), p_name, case p_partkey % 16 when 0 then 'wait' || '\u200b' || 'here' when 1 then 'a' || '\u202e' || 'b' when 2 then chr(27) || '[31mred' when 3 then 'bell' || chr(7)
+  when 4 then 'p' || '\u0430' || 'ssword' when 5 then '\u0432' || '\u0435' || '\u0441' when 6 then repeat('QUJD', 30) when 7 then 'tag' || '\u2062' || 'x' when 8 then 'soft' || '\u00ad' || '\u00ad' || '\u00ad' || 'y'
+  when 9 then '\ufeff' || 'mark' when 10 then 'over' || '\u2066' || 'ride' when 11 then 'plain' || '\u00e9' when 12 then 'del' || chr(127) when 13 then '' else p_type end, p_brand) as text from part
+"""
+
+
+def hidden(spark, sf_dir):
+    return C.hidden_findings(S.lines(synth.view(spark, sf_dir, HIDDEN)))
+
+
+def pasted(spark, sf_dir):
+    """Pasted texts, lists and nothing, as lines."""
+    docs = documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("text")).alias("text"))
+    lists = docs.select((-F.col("doc_id") - 1).alias("doc_id"), F.split("text", " ").alias("text"))
+    return C.pasted(docs, "text").select("doc_id", F.size("lines").alias("n"), F.md5(F.array_join("lines", "|")).alias("lines_md5")).unionByName(C.pasted(lists, "text").select("doc_id", F.size("lines").alias("n"), F.md5(F.array_join("lines", "|")).alias("lines_md5")))
+
+
 def repetitions(spark, sf_dir):
     return C.repetitions(S.lines(hostile(spark, sf_dir))).drop("kind")
 
@@ -74,11 +95,10 @@ def restored(spark, sf_dir):
 
 def output_filter(spark, sf_dir):
     """Reasons against using lines of the hostile documents as generated items."""
-    lines = S.lines(hostile(spark, sf_dir)).where("line_no = 2")
-    return lines.select("doc_id", F.array_join(C.output_reasons(F.col("line"), F.lit("Follow the work instructions."), C.PLAIN_RULES, hidden=False), "; ").alias("reasons"))
+    return S.lines(hostile(spark, sf_dir)).select("doc_id", "line_no", F.array_join(C.output_reasons(F.col("line"), F.lit("Follow the work instructions."), R.RULES), "; ").alias("reasons"))
 
 
-QUERIES = {f"scan_{f.__name__}": f for f in (findings, document_findings, page_findings, risk_rollup, risk_by_source, repetitions, restored, output_filter, all_findings, first_findings)}
+QUERIES = {f"scan_{f.__name__}": f for f in (findings, document_findings, page_findings, risk_rollup, risk_by_source, repetitions, restored, output_filter, all_findings, first_findings, hidden, pasted)}
 
 
 def _q(s: str) -> str:
@@ -86,16 +106,21 @@ def _q(s: str) -> str:
 
 
 def _hit(line: str, rule: C.Rule) -> str:
-    hit = f"regexp_matches({line}, {_q(C.pattern(rule))})"
+    # what a pattern looks ahead for stands at its end, so that it may as well be matched
+    hit = f"regexp_matches({line}, {_q(C.pattern(rule).replace(R.FOLLOWS, '(?:' + R.FOLLOWS.removeprefix('(?=')))})"
     if rule[0] != "instruction_override":
         return hit
     flag = "(?is)" if rule[1] else "(?s)"
     return f"({hit} and not regexp_matches(right(regexp_extract({line}, {_q(flag + '^(.*?)(?:' + rule[2] + ')')}, 1), {R.NEGATION_LOOKBACK}), {_q('(?i)' + R.NEGATION)}))"
 
 
-_kinds = list(dict.fromkeys(r[0] for r in C.PLAIN_RULES))
-_by_kind = {k: " or ".join(_hit("line", r) for r in C.PLAIN_RULES if r[0] == k) for k in _kinds}
-_array = "list_filter([" + ", ".join(f"case when {h} then '{k}' end" for k, h in _by_kind.items()) + "], lambda x: x is not null)"
+_kinds = list(dict.fromkeys(r[0] for r in R.RULES))
+_by_kind = {k: " or ".join(_hit("line", r) for r in R.RULES if r[0] == k) for k in _kinds}
+_m = lambda p: f"regexp_matches(line, {_q(re.sub('[^ -~]', lambda c: f'\\x{{{ord(c[0]):x}}}', p))})"
+_word = lambda p: re.sub("[^ -~]", lambda c: f"\\x{{{ord(c[0]):x}}}", p)
+_hidden = f"""list_filter([case when {_m(f"[{R.ZERO_WIDTH}]")} then 'zero_width' end, case when {" or ".join(map(_m, (R.TAG, f"[{R.INVISIBLE}]", R.SOFT_HYPHENS, R.VARIATION)))} then 'invisible_chars' end, case when {_m(f"[{R.BIDI}]")} then 'bidi_override' end,
+  case when contains(line, chr(27)) then 'ansi_escape' end, case when {_m(R.CONTROL)} then 'control_char' end, case when len(list_filter(regexp_extract_all(line, '\\pL+'), lambda w: regexp_matches(w, {_q("[" + _word(R.CONFUSABLES) + "]")}) and regexp_matches(w, '[A-Za-z]'))) > 0 then 'homoglyph' end, case when regexp_matches(line, '(?:^|[^A-Za-z0-9+/=])[A-Za-z0-9+/]{{40,}}={{0,2}}(?:$|[^A-Za-z0-9+/=])') then 'base64_blob' end], lambda x: x is not null)"""
+_array = "list_concat(list_filter([" + ", ".join(f"case when {h} then '{k}' end" for k, h in _by_kind.items()) + f"], lambda x: x is not null), {_hidden})"
 
 
 def found_sql(source: str) -> str:
@@ -110,6 +135,8 @@ _host, _docs = f"with {found_sql(synth.HOSTILE)}", f"with {found_sql('select doc
 _phones = " or ".join(f"regexp_matches(line, {_q(p)})" for p in C.PHONES)
 _meta = "list_filter([" + ", ".join(f"case when regexp_matches(lower(line), {_q(rf'\b{w}\b')}) and not regexp_matches('follow the work instructions.', {_q(rf'\b{w}\b')}) then '{w}' end" for w in sorted(C.META)) + "], lambda x: x is not null)"
 ORACLE_SQL = {
+    "scan_hidden": f"with {found_sql(HIDDEN)} select doc_id, line_no, unnest({_hidden}) as kind from lines where line <> ''",
+    "scan_pasted": "with p as (select doc_id, case when doc_id % 5 > 0 then text end as t from documents), l as (select doc_id, string_split(t, chr(10)) as a from p union all select -doc_id - 1, string_split(t, ' ') from p) select doc_id, coalesce(len(a), 0)::int as n, md5(coalesce(array_to_string(a, '|'), '')) as lines_md5 from l",
     "scan_findings": f"{_host} select * from found",
     "scan_document_findings": f"{_docs} select * from found",
     "scan_page_findings": f"with {found_sql('select page_id as doc_id, html as text from pages')} select kind, count(*) as findings, count(distinct doc_id) as docs from found group by kind",
@@ -117,5 +144,5 @@ ORACLE_SQL = {
     "scan_risk_by_source": f"{_docs} select source, count(*) as docs, count(*) filter (where risk = 'high') as risk_high, count(*) filter (where risk = 'low') as risk_low, count(*) filter (where risk = 'none') as risk_none, sum(findings)::bigint as findings from risks join documents using (doc_id) group by source",
     "scan_repetitions": f"{_host} select doc_id, line_no, line, times from reps",
     "scan_restored": "select coalesce(stored, '-') as stored, case when stored is null or stored = 'bad' then case when n > 0 then 'high' else 'none' end when stored = 'none' and n > 0 then 'high' else stored end as risk, count(*) as docs from (select case o_orderkey % 4 when 0 then 'none' when 1 then 'low' when 2 then 'bad' end as stored, o_orderkey % 3 as n from orders) group by all",
-    "scan_output_filter": f"{_host} select doc_id, array_to_string(list_filter(list_concat(list_sort({_array}), [case when {_phones} then 'phone_number' end, case when regexp_matches(line, '[<>]') then 'markup' end, case when len({_meta}) > 0 then 'meta_reference: ' || array_to_string({_meta}, ', ') end]), lambda x: x is not null), '; ') as reasons from lines where line_no = 2",
+    "scan_output_filter": f"{_host} select doc_id, line_no, case when trim(line) = '' then 'empty' else array_to_string(list_filter(list_concat(list_sort({_array}), [case when {_phones} then 'phone_number' end, case when regexp_matches(line, '[<>]') then 'markup' end, case when len({_meta}) > 0 then 'meta_reference: ' || array_to_string({_meta}, ', ') end]), lambda x: x is not null), '; ') end as reasons from lines",
 }

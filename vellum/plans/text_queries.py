@@ -106,10 +106,10 @@ def citation_coverage(spark, sf_dir):
 
 
 def reports(spark, sf_dir):
-    from vellum.plans.scan_queries import C, R, _plain
+    from vellum.plans.scan_queries import C, R, _scanned
 
     docs = Q.sops(spark, sf_dir)
-    found = _plain(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
+    found = _scanned(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
     risks = C.risks(docs, found).where("doc_id % 10 <> 0")
     return G.reports(docs, S.marked(S.lines(docs)), risks)
 
@@ -176,7 +176,7 @@ ORACLE_SQL = {
           union all select doc_id, 'questions', case when s3 > 0 then 'cited' else 'unresolvable' end from has where doc_id % 5 = 0 union all select doc_id, 'questions', case when w1 > 0 then 'cited' else 'unresolvable' end from has where doc_id % 5 = 1 union all select doc_id, 'questions', 'not_grounded' from has where doc_id % 6 = 0
           union all select doc_id, 'sections', 'cited' from (select doc_id from {Q._title} union all select doc_id from {Q._match(S.VERSION, 'v')} union all select doc_id from {Q._match(S.DATE, 'v')} union all select doc_id from tx where section in ('purpose', 'scope') union all select doc_id from tx where section = 'purpose'
             union all select doc_id from {Q._resp} union all select doc_id from definitions union all select doc_id from warnings union all select doc_id from steps))
-        select doc_id, coalesce(bucket, 'overall') as bucket, count(*) as total, count(*) filter (where status = 'cited') as cited, count(*) filter (where status = 'unresolvable') as unresolvable, count(*) filter (where status = 'not_grounded') as not_grounded, 100.0 * cited / total::double as coverage_pct from items group by grouping sets ((doc_id, bucket), (doc_id))""",
+        select doc_id, coalesce(bucket, 'overall') as bucket, count(*) as total, count(*) filter (where status = 'cited') as cited, count(*) filter (where status = 'unresolvable') as unresolvable, count(*) filter (where status = 'not_grounded') as not_grounded, round_even(100.0 * cited / total::double, 1) as coverage_pct from items group by grouping sets ((doc_id, bucket), (doc_id))""",
     "content_reports": f"""{_w}, {Q.DEFS}, {Q.WARN}, {Q.STEPS}, tx as (select * from {Q._texts}) select d.doc_id, md5(text) as source_md5, title, (select count(*) from steps x where x.doc_id = d.doc_id) as steps, (select count(*) from warnings x where x.doc_id = d.doc_id) as warnings, (select count(*) from definitions x where x.doc_id = d.doc_id) as definitions,
         (select count(*) from {Q._resp} x where x.doc_id = d.doc_id) as responsibilities, case when d.doc_id % 10 = 0 then 'not_scanned' else 'none' end as risk, exists (select 1 from tx where tx.doc_id = d.doc_id and section = 'purpose') as has_purpose, exists (select 1 from tx where tx.doc_id = d.doc_id and section = 'scope') as has_scope from sops d left join {Q._title} t using (doc_id)""",
 }
