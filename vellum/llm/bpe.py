@@ -30,7 +30,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from vellum.llm.columns import table_of, text_slices, trimmed
 
 END = "</w>"
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 LOADS = 4  # of 8 bytes a word
 #: White space of the normalizer; str.split() also splits at U+001C to U+001F.
 SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
