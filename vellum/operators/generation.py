@@ -16,12 +16,6 @@ WORDS_A_MINUTE = 200
 SECTIONS = [("intro", "Introduction", 1), ("safety", "Safety and Precautions", 2), ("definitions", "Key Terms and Definitions", 3), ("procedures", "Procedure Steps", 4), ("summary", "Summary and Key Points", 5)]
 
 
-def _objective(df: DataFrame, kind: str, text: Column, rank: Column, number: Column | None = None, term: Column | None = None, ref: str | None = None) -> DataFrame:
-    none = F.lit(None).cast("string")
-    level, verb = BLOOM[kind]
-    return df.select("doc_id", rank.alias("rank"), F.concat(F.lit(f"{verb} "), text).alias("text"), F.lit(level).alias("level"), F.lit(ref or kind).alias("kind"), "s", "e", (none if number is None else number).alias("step_number"), (none if term is None else term).alias("term"))
-
-
 def chunk(place: Column, count: Column, groups: Column) -> Column:
     """The contiguous near-equal group (from 0) of a place (from 0); the first ones get one more."""
     size, more = F.floor(count / groups), F.pmod(count, groups)
@@ -33,36 +27,37 @@ def step_label(title: Column, body: Column, most: int) -> Column:
     return F.when(T.strip(title) != "", T.strip(title)).otherwise(T.truncate(body, most))
 
 
-def objectives(marked: DataFrame) -> DataFrame:
-    """(doc_id, ord from 1, text, level, kind, s, e, step_number, term): purpose, scope, safety, steps, definitions.
+def objectives(found: DataFrame) -> DataFrame:
+    """(doc_id, ord from 1, text, level, kind, s, e, step_number, term) from `structure.found`: purpose, scope, safety, steps, definitions.
 
     Steps get what the others leave of eight, in contiguous near-equal groups where
-    there are more; more than two definitions make one objective.
+    there are more; more than two definitions make one objective. All within the
+    partitions that the findings come in.
     """
-    texts, defs, steps = S.section_texts(marked), S.definitions(marked), S.steps(marked)
-    purpose = _objective(texts.where("section = 'purpose'"), "purpose", F.concat(F.lit("why this procedure exists: "), T.truncate(F.col("text"), 100)), F.lit(1))
-    scope = _objective(texts.where("section = 'scope'"), "scope", F.lit("when this procedure applies and when it does not"), F.lit(2))
-    hazards = S.warnings(marked).groupBy("doc_id").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    safety = _objective(hazards, "safety", F.lit("each hazard in this procedure and the precaution it requires"), F.lit(3))
-    counted = defs.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("doc_id"))).withColumns({"s": F.col("line_no"), "e": F.col("line_no")})
-    few = _objective(counted.where("n <= 2"), "definition", F.col("term"), F.lit(1000) + F.col("ord"), term=F.col("term"))
-    terms = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term"))), lambda x: x["term"])
-    many = counted.where("n > 2").groupBy("doc_id").agg(T.listed(terms).alias("terms"), F.min("s").alias("s"), F.max("e").alias("e"))
-    many = _objective(many, "definition", F.concat(F.lit("the key terms used in this procedure: "), F.col("terms")), F.lit(1001), ref="definitions")
-    others = purpose.unionByName(scope).unionByName(safety).unionByName(few).unionByName(many)
-    taken = others.groupBy("doc_id").agg(F.count(F.lit(1)).alias("taken"))
-    n = F.count(F.lit(1)).over(W.partitionBy("doc_id"))
-    df = steps.withColumn("n", n).join(taken, "doc_id", "left").withColumn("budget", F.greatest(F.lit(1), MOST_OBJECTIVES - F.coalesce("taken", F.lit(0))))
-    groups = F.when(F.col("n") <= F.col("budget"), F.col("n")).otherwise(F.greatest(F.least(F.lit(2), F.col("n")), F.col("budget")))
-    df = df.withColumn("g", chunk(F.col("ord") - 1, F.col("n"), groups))
-    ends = lambda f: f(F.struct("ord", "step_number", "title", "body", "s", "e"))
-    df = df.groupBy("doc_id", "g").agg(ends(F.min).alias("a"), ends(F.max).alias("b")).withColumns({"s": F.col("a.s"), "e": F.col("b.e"), "one": F.col("a.ord") == F.col("b.ord")})
-    single = F.concat(F.lit("Step "), F.col("a.step_number"), F.lit(": "), step_label(F.col("a.title"), F.col("a.body"), 60))
-    span = F.concat(F.col("a.step_number"), F.lit("–"), F.col("b.step_number"))
-    ranged = F.concat(F.lit("Steps "), span, F.lit(": "), step_label(F.col("a.title"), F.col("a.body"), 40), F.lit(" … "), step_label(F.col("b.title"), F.col("b.body"), 40))
-    own = _objective(df, "step", F.when(F.col("one"), single).otherwise(ranged), F.lit(10) + F.col("g"), number=F.when(F.col("one"), F.col("a.step_number")).otherwise(span))
-    out = others.unionByName(own).withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy("rank"))).where(F.col("ord") <= MOST_OBJECTIVES)
-    return out.drop("rank")
+    kind, doc = F.col("kind"), W.partitionBy("doc_id")
+    df = found.where(kind.isin(*BLOOM)).select("doc_id", "kind", "ord", "key", "number", "title", "text", "s", "e")
+    count = lambda c: F.count_if(c).over(doc)
+    df = df.withColumns({"_defs": count(kind == "definition"), "_steps": count(kind == "step"), "_safe": count(kind == "safety"), "_texts": count(kind.isin("purpose", "scope"))})
+    taken = F.col("_texts") + F.least("_safe", F.lit(1)) + F.when(F.col("_defs") > 2, 1).otherwise(F.col("_defs"))
+    df = df.withColumn("_left", F.greatest(F.lit(1), MOST_OBJECTIVES - taken))
+    groups = F.when(F.col("_steps") <= F.col("_left"), F.col("_steps")).otherwise(F.greatest(F.least(F.lit(2), F.col("_steps")), F.col("_left")))
+    rank = F.when(kind == "purpose", 1).when(kind == "scope", 2).when(kind == "safety", 3).when(kind == "step", 10 + chunk(F.col("ord") - 1, F.col("_steps"), groups)).when(F.col("_defs") <= 2, 1000 + F.col("ord")).otherwise(1001)
+    ends = lambda f: f(F.struct("ord", "number", "title", "text"))
+    terms = F.transform(F.array_sort(F.collect_list(F.when(kind == "definition", F.struct("ord", "key")))), lambda x: x["key"])
+    df = df.withColumn("rank", rank.cast("long")).groupBy("doc_id", "rank", "kind").agg(ends(F.min).alias("a"), ends(F.max).alias("b"), terms.alias("terms"), F.min("s").alias("s"), F.max("e").alias("e"))
+    one = F.col("a.ord") == F.col("b.ord")
+    single = F.concat(F.lit("Step "), F.col("a.number"), F.lit(": "), step_label(F.col("a.title"), F.col("a.text"), 60))
+    span = F.concat(F.col("a.number"), F.lit("–"), F.col("b.number"))
+    ranged = F.concat(F.lit("Steps "), span, F.lit(": "), step_label(F.col("a.title"), F.col("a.text"), 40), F.lit(" … "), step_label(F.col("b.title"), F.col("b.text"), 40))
+    what = (
+        F.when(kind == "purpose", F.concat(F.lit("why this procedure exists: "), T.truncate(F.col("a.text"), 100))).when(kind == "scope", "when this procedure applies and when it does not").when(kind == "safety", "each hazard in this procedure and the precaution it requires")
+        .when(kind == "step", F.when(one, single).otherwise(ranged)).when(one, F.col("terms")[0]).otherwise(F.concat(F.lit("the key terms used in this procedure: "), T.listed(F.col("terms"))))
+    )
+    level, verb = (F.coalesce(*[F.when(kind == k, v[i]) for k, v in BLOOM.items()]) for i in (0, 1))
+    df = df.withColumn("ord", F.row_number().over(doc.orderBy("rank"))).where(F.col("ord") <= MOST_OBJECTIVES)
+    number = F.when(kind == "step", F.when(one, F.col("a.number")).otherwise(span))
+    named = F.when((kind == "definition") & ~one, "definitions").otherwise(kind)
+    return df.select("doc_id", "ord", F.concat(verb, F.lit(" "), what).alias("text"), level.alias("level"), named.alias("kind"), "s", "e", number.alias("step_number"), F.when((kind == "definition") & one, F.col("terms")[0]).alias("term"))
 
 
 def citations(provenance: DataFrame) -> DataFrame:
@@ -74,13 +69,13 @@ def citations(provenance: DataFrame) -> DataFrame:
     return own.union(provenance.where("kind = 'purpose'").select("doc_id", F.lit("summary"), "kind", "s", "e"))
 
 
-def sections(docs: DataFrame, provenance: DataFrame) -> DataFrame:
-    """(doc_id, id, title, order, critical, citations): safety and definitions only where the document has them."""
-    dim = docs.sparkSession.createDataFrame(SECTIONS, "id string, title string, `order` int")  # five rows
-    cited = citations(provenance).groupBy("doc_id", F.col("section").alias("id")).agg(F.count(F.lit(1)).alias("citations"))
-    df = docs.select("doc_id", F.explode(F.array(*[F.lit(s[0]) for s in SECTIONS])).alias("id")).join(cited, ["doc_id", "id"], "left").join(F.broadcast(dim), "id")
-    df = df.where(F.col("citations").isNotNull() | ~F.col("id").isin("safety", "definitions"))
-    return df.select("doc_id", "id", "title", "order", (F.col("id") == "safety").alias("critical"), F.coalesce("citations", F.lit(0)).cast("long").alias("citations"))
+def sections(found: DataFrame) -> DataFrame:
+    """(doc_id, id, title, order, critical, citations) from `structure.found`: safety and definitions only where the document has them."""
+    kind = F.col("kind")
+    own = {"intro": kind.isin("title", "version", "effective_date", "purpose", "scope", "responsibilities"), "safety": kind == "safety", "definitions": kind == "definition", "procedures": kind == "step", "summary": kind == "purpose"}
+    df = found.groupBy("doc_id").agg(*[F.count_if(c).alias(f"_{k}") for k, c in own.items()])
+    row = lambda k, title, order: F.struct(F.lit(k).alias("id"), F.lit(title).alias("title"), F.lit(order).alias("order"), F.lit(k == "safety").alias("critical"), F.col(f"_{k}").alias("citations"))
+    return df.select("doc_id", F.inline(F.array(*[row(*x) for x in SECTIONS]))).where("citations > 0 or id not in ('safety', 'definitions')")
 
 
 def durations(docs: DataFrame, steps: DataFrame) -> DataFrame:
@@ -97,6 +92,49 @@ def definition_html(defs: DataFrame) -> DataFrame:
     return defs.groupBy("doc_id").agg(F.concat(F.lit("<h2>Key Terms and Definitions</h2>\n<dl class='definitions'>\n"), body, F.lit("\n</dl>")).alias("html"))
 
 
+def bodies(found: DataFrame) -> DataFrame:
+    """(doc_id, id, html): the markup of every section of `sections`, escaped; from `structure.found`."""
+    kind, x = F.col("kind"), T.escaped(F.col("text"))
+    df = found.withColumns({"kind": F.when(kind == "substep", "step").otherwise(kind), "_sub": kind == "substep"})
+    kind = F.col("kind")
+    subs = F.transform(F.array_sort(F.collect_list(F.when(F.col("_sub"), F.struct("ord", x.alias("x"))))), lambda r: F.concat(F.lit("<li>"), r["x"], F.lit("</li>")))
+    own = lambda c: F.max(F.when(~F.col("_sub"), c))
+    df = df.groupBy("doc_id", "kind", F.coalesce("of", "s").alias("at"), F.when(~kind.isin("step"), F.col("ord")).alias("nth")).agg(own(F.col("ord")).alias("ord"), own(F.col("key")).alias("key"), own(F.col("number")).alias("number"), own(T.strip(F.col("title"))).alias("title"), own(F.col("text")).alias("text"), subs.alias("subs"))
+    label = F.concat(F.lit("<li><strong>Step "), T.escaped(F.col("number")), F.when(F.col("title") != "", F.concat(F.lit(": "), T.escaped(F.col("title")))).otherwise(""), F.lit("</strong>"))
+    told = T.escaped(F.when(F.col("text") != "", F.col("text")).otherwise(F.col("title")))
+    nested = F.when(F.size("subs") > 0, F.concat(F.lit("<ol type='a'>\n"), F.array_join("subs", "\n"), F.lit("\n</ol>")))
+    item = (
+        F.when(kind == "step", F.concat_ws("\n", label, F.when(told != "", F.concat(F.lit("<p>"), told, F.lit("</p>"))), nested, F.lit("</li>")))
+        .when(kind == "definition", F.concat(F.lit("<dt><strong>"), T.escaped(F.col("key")), F.lit("</strong></dt>\n<dd>"), x, F.lit("</dd>")))
+        .when(kind == "safety", F.concat(F.lit("<li><strong>WARNING:</strong> "), x, F.lit("</li>"))).when(kind == "responsibilities", F.concat(F.lit("<li>"), x, F.lit("</li>"))).otherwise(x)
+    )
+    of = lambda k: F.array_sort(F.collect_list(F.when(kind == k, F.struct("ord", item.alias("x"))))).alias(f"_{k}")
+    kinds = ["responsibilities", "definition", "safety", "step"]
+    once = ["title", "version", "effective_date", "purpose", "scope"]
+    df = df.groupBy("doc_id").agg(*[of(k) for k in kinds], *[F.max(F.when(kind == k, x)).alias(k) for k in once], F.max(F.when(kind == "purpose", F.col("text"))).alias("aim"))
+    listed = lambda k: F.array_join(F.transform(f"_{k}", lambda r: r["x"]), "\n")
+    some = lambda k, *c: F.when(F.size(f"_{k}") > 0, F.concat(*c))
+    n = lambda k: F.size(f"_{k}").cast("string")
+    lines = lambda *c: F.concat_ws("\n", *[F.lit(y) if isinstance(y, str) else y for y in c])
+    tagged = lambda k, a, b: F.when(F.col(k) != "", F.concat(F.lit(a), F.col(k), F.lit(b)))
+    # The wording and tags of sections.
+    html = {
+        "intro": lines(
+            F.concat(F.lit("<h2>Welcome to the Training Module: "), F.coalesce("title", F.lit("")), F.lit("</h2>")), tagged("version", "<p><strong>Version:</strong> ", "</p>"), tagged("effective_date", "<p><strong>Effective Date:</strong> ", "</p>"),
+            tagged("purpose", "<h3>Purpose</h3><p>", "</p>"), tagged("scope", "<h3>Scope</h3><p>", "</p>"), some("responsibilities", F.lit("<h3>Responsibilities</h3><ul>\n"), listed("responsibilities"), F.lit("\n</ul>")),
+        ),
+        "safety": some("safety", F.lit("<h2>Safety and Precautions</h2>\n<div class='safety-alert'>\n<p><strong>⚠️ IMPORTANT:</strong> Please read and understand all safety warnings before proceeding.</p>\n</div>\n<ul class='safety-warnings'>\n"), listed("safety"), F.lit("\n</ul>")),
+        "definitions": some("definition", F.lit("<h2>Key Terms and Definitions</h2>\n<dl class='definitions'>\n"), listed("definition"), F.lit("\n</dl>")),
+        "procedures": lines("<h2>Procedure Steps</h2>", "<p>Follow these steps carefully to complete the procedure:</p>", "<ol class='procedure-steps'>", some("step", listed("step")), "</ol>"),
+        "summary": lines(
+            "<h2>Summary and Key Points</h2>", "<p>Let's review the key points from this training:</p>", "<ul class='key-points'>", F.when(F.col("aim") != "", F.concat(F.lit("<li>The purpose of this procedure is: "), T.escaped(T.truncate(F.col("aim"), 150)), F.lit("</li>"))),
+            some("step", F.lit("<li>This procedure consists of "), n("step"), F.lit(" main steps</li>")), some("safety", F.lit("<li>There are "), n("safety"), F.lit(" critical safety warnings to remember</li>")), "</ul>",
+            "<p><strong>Next:</strong> Complete the verification assessment to test your knowledge.</p>",
+        ),
+    }
+    return df.select("doc_id", F.inline(F.array(*[F.struct(F.lit(k).alias("id"), v.alias("html")) for k, v in html.items()]))).where("html is not null")
+
+
 def resolved(refs: DataFrame, provenance: DataFrame, docs: DataFrame) -> DataFrame:
     """Adds status (cited, unresolvable, not_grounded) and the span that a question's reference comes to.
 

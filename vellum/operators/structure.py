@@ -1,7 +1,8 @@
 """Structure of procedure documents from their lines, with the span of every finding.
 
-All operators work on `marked` lines, partitioned by document once: every window below
-has the document as (part of) its key, so Spark keeps that one exchange.
+The operators of one kind work on `marked` lines; every window below has the document as
+its key, so Spark keeps one exchange. `found` makes all kinds in one pass: documents are
+exchanged whole, before they are split, and nothing after that leaves its partition.
 """
 
 from __future__ import annotations
@@ -40,16 +41,20 @@ def by_doc(*order: str) -> W:
 
 def marked(lines_: DataFrame) -> DataFrame:
     """Lines with ``body`` (stripped), ``heading`` (a section, ``other`` or null), ``strict`` (a known one), ``first`` (of its kind)."""
-    body = strip(F.col("line"))
+    edges = F.concat(F.left("line", F.lit(1)), F.right("line", F.lit(1)))
+    body = F.when(edges.rlike(r"(?U)\s"), strip(F.col("line"))).otherwise(F.col("line"))  # most lines need no replacing
     rest = F.when(body.rlike(NUMBERING), strip(F.regexp_extract(body, NUMBERING, 2))).otherwise(body)
     bare = F.when(rest.endswith(":"), strip(F.expr("left(rest, length(rest) - 1)"))).otherwise(F.col("rest"))
-    df = lines_.withColumn("body", body).withColumn("rest", rest).withColumn("bare", bare)
-    aliases = df.sparkSession.createDataFrame(list(ALIASES.items()), "alias string, section string")  # as many rows as ALIASES has
-    df = df.join(F.broadcast(aliases), F.lower("bare") == F.col("alias"), "left")
-    caps = F.col("bare").rlike(r"\p{L}") & (F.size(F.split("bare", r"(?U)\s+")) <= 6) & (F.col("bare") == F.upper("bare"))
-    df = df.withColumn("heading", F.coalesce("section", F.when(caps, "other"))).withColumn("strict", F.col("section").isNotNull())
-    first = F.row_number().over(W.partitionBy("doc_id", "heading").orderBy("line_no")) == 1
-    return df.withColumn("first", F.col("heading").isNotNull() & first).select("doc_id", "line_no", "line", "body", "heading", "strict", "first")
+    df = lines_.withColumn("body", body).withColumn("rest", rest).withColumn("bare", bare).withColumn("_low", F.when(F.length("bare") <= max(map(len, ALIASES)), F.lower("bare")))
+    known = F.lit(None).cast("string")
+    for section in dict.fromkeys(ALIASES.values()):
+        known = F.when(F.col("_low").isin([a for a, to in ALIASES.items() if to == section]), section).otherwise(known)
+    caps = (F.col("bare") == F.upper("bare")) & F.col("bare").rlike(r"\p{L}") & (F.size(F.split("bare", r"(?U)\s+")) <= 6)
+    df = df.withColumn("_known", known).withColumn("heading", F.coalesce("_known", F.when(caps, "other"))).withColumn("strict", F.col("_known").isNotNull())
+    # at most as many kinds as ALIASES has, so the set stays small; a row_number by kind would cost a second sort
+    before = F.collect_set("heading").over(by_doc().rowsBetween(W.unboundedPreceding, -1))
+    df = df.withColumn("first", F.col("heading").isNotNull() & ~F.coalesce(F.array_contains(before, F.col("heading")), F.lit(False)))
+    return df.drop("rest", "bare", "_low", "_known")
 
 
 def in_sections(marked_: DataFrame) -> DataFrame:
@@ -78,11 +83,16 @@ def line_at(text: Column, offset: Column) -> Column:
     return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1
 
 
+def matched(pattern: str) -> Column:
+    """(text, s, e) of a text's first match, null without one: group 1 and the lines of the whole match."""
+    at, hit = F.regexp_instr("text", F.lit(pattern)), F.regexp_extract("text", pattern.replace("(?i)", "(?i)(", 1) + ")", 1)
+    s, e = line_at(F.col("text"), at), line_at(F.col("text"), F.greatest(at, at + F.length(hit) - 1))
+    return F.when(F.col("text").rlike(pattern), F.struct(F.regexp_extract("text", pattern, 1).alias("text"), s.alias("s"), e.alias("e")))
+
+
 def first_match(docs: DataFrame, pattern: str, name: str) -> DataFrame:
     """(doc_id, name, s, e): group 1 of the first match in the whole text, with its lines."""
-    at, hit = F.regexp_instr("text", F.lit(pattern)), F.regexp_extract("text", pattern.replace("(?i)", "(?i)(", 1) + ")", 1)
-    out = docs.where(F.col("text").rlike(pattern)).select("doc_id", F.regexp_extract("text", pattern, 1).alias(name), "text", at.alias("at"), F.length(hit).alias("n"))
-    return out.select("doc_id", name, line_at(F.col("text"), F.col("at")).alias("s"), line_at(F.col("text"), F.greatest(F.col("at"), F.col("at") + F.col("n") - 1)).alias("e"))
+    return docs.select("doc_id", matched(pattern).alias("m")).where("m is not null").select("doc_id", F.col("m.text").alias(name), "m.s", "m.e")
 
 
 def fallback_text(docs: DataFrame, names: str) -> DataFrame:
@@ -92,17 +102,28 @@ def fallback_text(docs: DataFrame, names: str) -> DataFrame:
     return docs.where(F.col("text").rlike(pattern)).select("doc_id", collapse(F.regexp_extract("text", pattern, 1)).alias("found"), line_at(F.col("text"), F.length(head) + 1).alias("s"))
 
 
+def unbulleted() -> Column:
+    return strip(F.regexp_replace("body", BULLET, ""))
+
+
 def responsibilities(marked_: DataFrame) -> DataFrame:
     """(doc_id, idx from 0, text, line_no), bullets stripped."""
-    df = in_sections(marked_).where("section = 'responsibilities' and body <> ''").withColumn("text", strip(F.regexp_replace("body", BULLET, ""))).where("text <> ''")
+    df = in_sections(marked_).where("section = 'responsibilities' and body <> ''").withColumn("text", unbulleted()).where("text <> ''")
     return df.select("doc_id", (F.row_number().over(by_doc()) - 1).alias("idx"), "text", "line_no")
 
 
+def term_and_definition() -> tuple[Column, Column]:
+    """What stands before and after the first colon of ``body``, else the first spaced hyphen; nulls without either."""
+    body = F.col("body")
+    sep = F.when(body.contains(":"), F.lit(":")).when(body.contains(" - "), F.lit(" - "))
+    at = F.instr(body, sep)
+    return strip(F.substring(body, F.lit(1), at - 1)), strip(F.substring(body, at + F.length(sep), F.length(body)))
+
+
 def split_definition(df: DataFrame) -> DataFrame:
-    """Adds term and definition, split at the first colon, else at the first spaced hyphen; rows without both fall away."""
-    sep = F.when(F.col("body").contains(":"), F.lit(":")).when(F.col("body").contains(" - "), F.lit(" - "))
-    at = F.expr("locate(sep, body)")
-    return df.withColumn("sep", sep).where("sep is not null").withColumn("term", strip(F.substring("body", F.lit(1), at - 1))).withColumn("definition", strip(F.substring("body", at + F.length("sep"), F.length("body")))).where("term <> '' and definition <> ''").drop("sep")
+    """Adds term and definition; rows without both fall away."""
+    term, definition = term_and_definition()
+    return df.withColumn("term", term).withColumn("definition", definition).where("term <> '' and definition <> ''")
 
 
 def definitions(marked_: DataFrame) -> DataFrame:
@@ -134,14 +155,21 @@ def loose_definitions(docs: DataFrame, marked_: DataFrame) -> DataFrame:
     return df.select("doc_id", F.row_number().over(by_doc("_first")).alias("ord"), "term", "definition", "line_no")
 
 
-def warnings(marked_: DataFrame) -> DataFrame:
-    """(doc_id, idx from 0, text, s, e): markers with the lines that continue them; of equal texts the first."""
-    starts, stops = F.col("line").rlike(MARKER), (F.col("body") == "") | F.col("line").rlike(STOP) | F.col("heading").isNotNull()
+def warned_lines(marked_: DataFrame) -> DataFrame:
+    """Marked lines with ``start`` (1 at a marker), ``run`` (null outside of warnings) and ``warning``, the line's share of the text."""
+    starts = F.col("line").rlike(STOP) & F.col("line").rlike(MARKER)
+    stops = (F.col("body") == "") | F.col("heading").isNotNull() | F.col("line").rlike(STOP)
     df = marked_.withColumn("start", starts.cast("int")).withColumn("brk", (stops | starts).cast("int"))
     upto = by_doc().rowsBetween(W.unboundedPreceding, 0)
-    df = df.withColumn("run", F.sum("brk").over(upto)).withColumn("warned", F.max(F.when(F.col("start") == 1, F.col("run"))).over(upto)).where("run = warned")
+    df = df.withColumn("run", F.sum("brk").over(upto)).withColumn("warned", F.max(F.when(F.col("start") == 1, F.col("run"))).over(upto))
     part = F.when(F.col("start") == 1, strip(F.regexp_extract("line", MARKER, 2))).otherwise(F.col("body"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", part.alias("t")))), lambda x: x["t"]), " ")
+    return df.withColumn("run", F.when(F.col("run") == F.col("warned"), F.col("run"))).withColumn("warning", F.when(F.col("run").isNotNull(), part)).drop("brk", "warned")
+
+
+def warnings(marked_: DataFrame) -> DataFrame:
+    """(doc_id, idx from 0, text, s, e): markers with the lines that continue them; of equal texts the first."""
+    df = warned_lines(marked_).where("run is not null")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "warning"))), lambda x: x["warning"]), " ")
     out = df.groupBy("doc_id", "run").agg(collapse(joined).alias("text"), F.min("line_no").alias("s"), F.max("line_no").alias("e")).where("text <> ''")
     out = out.withColumn("n", F.row_number().over(W.partitionBy("doc_id", "text").orderBy("s"))).where("n = 1")
     return out.select("doc_id", (F.row_number().over(by_doc("s")) - 1).alias("idx"), "text", "s", "e")
@@ -152,35 +180,46 @@ def step_head(df: DataFrame) -> DataFrame:
     num, head = (F.when(F.col("body").rlike(STEPS[0]), F.regexp_extract("body", STEPS[0], g)) for g in (1, 2))
     for p in STEPS[1:]:
         num, head = num.when(F.col("body").rlike(p), F.regexp_extract("body", p, 1)), head.when(F.col("body").rlike(p), F.regexp_extract("body", p, 2))
-    return df.withColumn("num", num).withColumn("head", strip(head))
+    maybe = F.col("body").rlike(r"(?i)^(?:step\s|\d)")  # what all patterns begin with
+    return df.withColumn("num", F.when(maybe, num)).withColumn("head", F.when(maybe, strip(head)))
 
 
-def procedure_lines(marked_: DataFrame) -> DataFrame:
-    """The lines of the first procedure section, or all where there is none, with ``step``: the line of the step they belong to."""
-    df = in_sections(marked_)
+def step_lines(in_sections_: DataFrame) -> DataFrame:
+    """Lines with ``is_step``, num and head of a step's heading, and ``step``: the line of the step they belong to, else null.
+
+    Only the first procedure section has steps, or the whole document where there is none.
+    """
     has = F.max(F.when((F.col("heading") == "procedure") & F.col("first"), F.lit(1))).over(W.partitionBy("doc_id"))
-    df = step_head(df.withColumn("has", has).where("has is null or section = 'procedure'"))
+    df = in_sections_.withColumn("_has", has).withColumn("_in", F.col("_has").isNull() | F.coalesce(F.col("section") == "procedure", F.lit(False)))
+    df = step_head(df).withColumn("num", F.when(F.col("_in"), F.col("num"))).withColumn("_strict", F.col("_in") & F.col("strict"))
     upto = by_doc().rowsBetween(W.unboundedPreceding, 0)
-    dots = F.length("num") - F.length(F.replace("num", F.lit("."), F.lit("")))
-    df = df.withColumn("level", dots)
+    df = df.withColumn("level", F.length("num") - F.length(F.replace("num", F.lit("."), F.lit(""))))
     base = F.when(F.col("level") < 2, F.struct("line_no", "num"))
-    wall = F.when((F.col("level") < 2) | F.col("strict"), F.col("line_no"))
+    wall = F.when((F.col("level") < 2) | F.col("_strict"), F.col("line_no"))
     df = df.withColumn("base", F.last(base, ignorenulls=True).over(upto)).withColumn("wall", F.last(wall, ignorenulls=True).over(upto))
     held = (F.col("level") == 2) & (F.col("wall") == F.col("base.line_no")) & (F.col("base.num") == F.regexp_extract("num", r"^(.*)\.[^.]*$", 1))
     df = df.withColumn("is_step", F.col("num").isNotNull() & ~F.coalesce(held, F.lit(False)))
-    edge = F.when(F.col("is_step"), F.struct("line_no", F.lit(True).alias("on"))).when(F.col("strict"), F.struct("line_no", F.lit(False).alias("on")))
+    edge = F.when(F.col("is_step"), F.struct("line_no", F.lit(True).alias("on"))).when(F.col("_strict"), F.struct("line_no", F.lit(False).alias("on")))
     df = df.withColumn("edge", F.last(edge, ignorenulls=True).over(upto))
-    return df.where("edge.on").withColumn("step", F.col("edge.line_no"))
+    return df.withColumn("step", F.when(F.col("_in") & F.col("edge.on"), F.col("edge.line_no"))).drop("_has", "_in", "_strict", "level", "base", "wall", "edge")
+
+
+def procedure_lines(marked_: DataFrame) -> DataFrame:
+    """The lines of steps, with ``step``: the line of the step they belong to."""
+    return step_lines(in_sections(marked_)).where("step is not null")
 
 
 def substeps(procedure: DataFrame) -> DataFrame:
     """(doc_id, step, sub from 1, text): lettered and three-level sub-steps with the lines that continue them."""
     df = procedure.where("not is_step")
-    sub = F.col("line").rlike(SUBSTEP) | F.col("line").rlike(NUMERIC_SUBSTEP)
-    df = df.withColumn("is_sub", sub).withColumn("sub", F.sum(F.col("is_sub").cast("int")).over(W.partitionBy("doc_id", "step").orderBy("line_no"))).where("sub > 0 and body <> ''")
+    df = df.withColumn("is_sub", is_substep()).withColumn("sub", F.sum(F.col("is_sub").cast("int")).over(W.partitionBy("doc_id", "step").orderBy("line_no"))).where("sub > 0 and body <> ''")
     return df.groupBy("doc_id", "step", "sub").agg(collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", _unmarked().alias("t")))), lambda x: x["t"]), " ")).alias("text"))
 
 
+def is_substep() -> Column:
+    return F.col("line").rlike(SUBSTEP) | F.col("line").rlike(NUMERIC_SUBSTEP)
+
+
 def _unmarked() -> Column:
     return F.when(F.col("line").rlike(SUBSTEP), F.regexp_extract("line", SUBSTEP, 2)).when(F.col("line").rlike(NUMERIC_SUBSTEP), F.regexp_extract("line", NUMERIC_SUBSTEP, 2)).otherwise(F.col("line"))
 
@@ -190,7 +229,7 @@ def steps(marked_: DataFrame) -> DataFrame:
     df = procedure_lines(marked_)
     own = F.col("is_step")
     text = F.transform(F.array_sort(F.collect_list(F.when(~own, F.struct("line_no", _unmarked().alias("t"))))), lambda x: x["t"])
-    subs = F.col("line").rlike(SUBSTEP) | F.col("line").rlike(NUMERIC_SUBSTEP)
+    subs = is_substep()
     out = df.groupBy("doc_id", "step").agg(
         F.max(F.when(own, F.col("num"))).alias("step_number"), F.max(F.when(own, F.col("head"))).alias("title"), collapse(F.array_join(text, " ")).alias("body"),
         F.count_if(~own & subs).alias("n_substeps"), F.max(F.when(own | (F.col("body") != ""), F.col("line_no"))).alias("e"),
@@ -215,17 +254,56 @@ def excerpts(docs: DataFrame, spans: DataFrame, context: int = 0) -> DataFrame:
     return df.select("doc_id", "s", "e", F.array_join(F.slice("_lines", a, b - a + 1), "\n").alias("excerpt"))
 
 
+def found(docs: DataFrame, **own: Column) -> DataFrame:
+    """All that is found in the documents, in one pass and one exchange, a row a finding.
+
+    (doc_id, kind, ord from 1 within its kind, key: a definition's term, number and title of
+    a step, text, n_substeps, of: the line of a sub-step's step, s, e, doc). Kinds: title,
+    version, effective_date, purpose, scope, responsibilities, definition, safety, step,
+    substep and, once for every document (a null text has no other row), document. ``doc``
+    holds n_lines and the columns ``own`` of ``docs``, on the row ``document`` alone.
+    """
+    facts = F.struct(matched(VERSION).alias("version"), matched(DATE).alias("date"), F.size(F.split("text", "\n")).alias("n_lines"), *[c.alias(k) for k, c in own.items()])
+    df = docs.repartition("doc_id").select("doc_id", "text", facts.alias("doc")).select("doc_id", "doc", F.posexplode_outer(F.split("text", "\n")).alias("p", "line"))
+    p = F.coalesce("p", F.lit(0))
+    df = step_lines(in_sections(warned_lines(marked(df.select("doc_id", (p + 1).alias("line_no"), "line", F.when(p == 0, F.col("doc")).alias("doc"))))))
+    sub = F.coalesce(F.col("step").isNotNull() & ~F.col("is_step") & is_substep(), F.lit(False))
+    df = df.withColumn("sub", sub).withColumn("subline", F.last(F.when(F.col("sub"), F.col("line_no")), ignorenulls=True).over(by_doc().rowsBetween(W.unboundedPreceding, 0)))
+    term, definition = term_and_definition()
+    # columns of their own, as the rows below name them more than once
+    of_section = lambda name, c: F.when(F.col("section") == name, c)
+    df = df.withColumns({"term": of_section("definitions", term), "definition": of_section("definitions", definition), "duty": of_section("responsibilities", unbulleted()), "told": F.when(F.col("step").isNotNull(), _unmarked())})
+    body, line_no, full = F.col("body"), F.col("line_no"), F.col("body") != ""
+    none, zero = F.lit(None), F.lit(0)
+
+    def row(kind, on, text=none, at=zero, key=none, of=none, s=line_no, e=line_no):
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return F.when(on, F.struct(kind.alias("kind"), at.cast("long").alias("at"), key.cast("string").alias("key"), text.cast("string").alias("t"), of.cast("int").alias("of"), s.cast("int").alias("s"), e.cast("int").alias("e")))
+
+    fact = lambda kind, name: row(kind, F.col(f"doc.{name}").isNotNull(), F.col(f"doc.{name}.text"), s=F.col(f"doc.{name}.s"), e=F.col(f"doc.{name}.e"))
+    rows = F.array(
+        row("document", F.col("doc").isNotNull(), e=F.col("doc.n_lines")), fact("version", "version"), fact("effective_date", "date"), row("title", (line_no <= 10) & full, body), row(F.col("section"), F.col("section").isin("purpose", "scope") & full, body),
+        row("responsibilities", F.col("duty") != "", F.col("duty"), line_no),
+        row("definition", (F.col("term") != "") & (F.col("definition") != ""), F.col("definition"), key=F.col("term")),
+        row("safety", F.col("run").isNotNull(), F.col("warning"), F.col("run")), row("step", F.col("step").isNotNull(), F.when(~F.col("is_step"), F.col("told")), F.col("step"), e=F.when(F.col("is_step") | full, line_no)),
+        row("substep", (F.col("subline") > F.col("step")) & full, F.col("told"), F.col("subline"), of=F.col("step")),
+    )
+    df = df.select("doc_id", "line_no", "doc", "is_step", "num", "head", "sub", F.explode(rows).alias("r")).where("r is not null").select("*", "r.*")
+    parts, own_line = F.array_sort(F.collect_list(F.struct("line_no", "t"))), F.col("is_step") & (F.col("kind") == "step")
+    df = df.groupBy("doc_id", "kind", "at", "key").agg(
+        parts.alias("parts"), F.max(F.when(own_line, F.col("num"))).alias("number"), F.max(F.when(own_line, F.col("head"))).alias("title"), F.count_if("sub").alias("n_substeps"), F.max("of").alias("of"), F.min("s").alias("s"), F.max("e").alias("e"),
+        F.min("line_no").alias("first"), F.any_value(F.when(F.col("kind") == "document", F.col("doc")), ignoreNulls=True).alias("doc"),
+    )
+    one, last = F.col("kind").isin("title", "version", "effective_date", "responsibilities"), F.col("kind") == "definition"
+    text = F.when(one, F.col("parts")[0]["t"]).when(last, F.element_at("parts", -1)["t"]).otherwise(collapse(F.array_join(F.transform("parts", lambda x: x["t"]), " ")))
+    df = df.withColumns({"text": text, "s": F.when(last, F.col("e")).otherwise(F.col("s")), "e": F.when(F.col("kind") == "title", F.col("s")).otherwise(F.col("e"))})
+    same = F.row_number().over(W.partitionBy("doc_id", "kind", "text").orderBy("s"))
+    df = df.withColumn("_same", same).where("kind <> 'safety' or (text <> '' and _same = 1)")
+    df = df.withColumn("ord", F.row_number().over(W.partitionBy("doc_id", "kind").orderBy("first")))
+    return df.select("doc_id", "kind", "ord", "key", "number", "title", "text", F.when(F.col("kind") == "step", F.col("n_substeps")).alias("n_substeps"), "of", "s", "e", "doc")
+
+
 def provenance(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, idx, term, s, e): one row a span of everything that is found in the documents."""
-    m = marked(lines(docs))
-    none, zero = F.lit(None).cast("string"), F.lit(0)
-    row = lambda df, kind, idx=zero, term=none, s="s", e="e": df.select("doc_id", F.lit(kind).alias("kind"), idx.cast("int").alias("idx"), term.alias("term"), F.col(s).alias("s"), F.col(e).alias("e"))
-    texts = section_texts(m)
-    out = row(titles(m), "title", s="line_no", e="line_no")
-    for df in (
-        row(first_match(docs, VERSION, "version"), "version"), row(first_match(docs, DATE, "effective_date"), "effective_date"), row(texts.where("section = 'purpose'"), "purpose"), row(texts.where("section = 'scope'"), "scope"),
-        row(responsibilities(m), "responsibilities", F.col("idx"), s="line_no", e="line_no"), row(definitions(m), "definition", F.col("ord") - 1, F.col("term"), "line_no", "line_no"),
-        row(warnings(m), "safety", F.col("idx")), row(steps(m), "step", F.col("ord") - 1, F.col("step_number")),
-    ):
-        out = out.unionByName(df)
-    return out
+    df = found(docs).where("kind not in ('document', 'substep')")
+    return df.select("doc_id", "kind", (F.col("ord") - 1).cast("int").alias("idx"), F.coalesce("key", "number").alias("term"), "s", "e")

@@ -54,8 +54,7 @@ def edited_records(spark, sf_dir):
 
 
 def manifests(spark, sf_dir):
-    docs = Q.sops(spark, sf_dir)
-    return sinks.manifest(G.sections(docs, S.provenance(docs)))
+    return sinks.manifest(G.sections(S.found(Q.sops(spark, sf_dir))))
 
 
 QUERIES = {f"corpus_{f.__name__}": f for f in (requests, edited_records, manifests, questions, sweep, sweep_totals)}

@@ -75,12 +75,15 @@ def unicode_keys(spark, sf_dir):
 
 
 def objectives(spark, sf_dir):
-    return G.objectives(S.marked(S.lines(Q.sops(spark, sf_dir))))
+    return G.objectives(S.found(Q.sops(spark, sf_dir)))
 
 
 def sections(spark, sf_dir):
-    docs = Q.sops(spark, sf_dir)
-    return G.sections(docs, S.provenance(docs))
+    return G.sections(S.found(Q.sops(spark, sf_dir)))
+
+
+def bodies(spark, sf_dir):
+    return G.bodies(S.found(Q.sops(spark, sf_dir)))
 
 
 def durations(spark, sf_dir):
@@ -114,7 +117,7 @@ def reports(spark, sf_dir):
     return G.reports(docs, S.marked(S.lines(docs)), risks)
 
 
-QUERIES = {f"text_{f.__name__}": f for f in (sentences, clipped, altered, registers, option_keys, content_words, numbers, keys, formats, durations_of_attempts, unicode_keys)} | {f"content_{f.__name__}": f for f in (objectives, sections, durations, definition_html, citation_coverage, reports)}
+QUERIES = {f"text_{f.__name__}": f for f in (sentences, clipped, altered, registers, option_keys, content_words, numbers, keys, formats, durations_of_attempts, unicode_keys)} | {f"content_{f.__name__}": f for f in (objectives, sections, bodies, durations, definition_html, citation_coverage, reports)}
 
 _c = Q._collapse
 _l = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
