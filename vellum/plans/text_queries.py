@@ -128,7 +128,27 @@ _flip = "coalesce(" + ", ".join(f"case when regexp_matches(t, '(?i)\\b{a}\\b') t
 _key = "sha256(trim(p_name) || '|' || trim(p_brand))"
 _okey = lambda x: f"trim(regexp_replace(lower({x}), '[^\\pL\\pN]+', ' ', 'g'))"
 _w = f"with {Q.MARKED}"
+_e = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+_opt = lambda a, x, b: f"coalesce(chr(10) || '{a}' || {x} || '{b}', '')"
 ORACLE_SQL = {
+    "content_bodies": f"""{_w}, {Q.DEFS}, {Q.WARN}, {Q.STEPS}, tx as (select * from {Q._texts}),
+        y as (select *, sum({Q._sub}::int) over (partition by doc_id, step order by line_no) as sub from proc where not is_step),
+        z as (select doc_id, step, sub, {_c(f"string_agg({Q._text}, ' ' order by line_no)")} as text from y where sub > 0 and body <> '' group by all),
+        sb as (select doc_id, step, string_agg('<li>' || {_e('text')} || '</li>', chr(10) order by sub) as subs from z group by all),
+        li as (select s.doc_id, count(*) as n, string_agg('<li><strong>Step ' || step_number || case when title <> '' then ': ' || {_e('title')} else '' end || '</strong>' || {_opt('<p>', _e("nullif(coalesce(nullif(s.body, ''), title), '')"), '</p>')}
+            || coalesce(chr(10) || '<ol type=''a''>' || chr(10) || subs || chr(10) || '</ol>', '') || chr(10) || '</li>', chr(10) order by ord) as h from steps s left join sb on sb.doc_id = s.doc_id and sb.step = s.s group by s.doc_id),
+        wn as (select doc_id, count(*) as n, string_agg('<li><strong>WARNING:</strong> ' || {_e('text')} || '</li>', chr(10) order by idx) as h from warnings group by doc_id),
+        df as (select doc_id, string_agg('<dt><strong>' || {_e('term')} || '</strong></dt>' || chr(10) || '<dd>' || {_e('definition')} || '</dd>', chr(10) order by ord) as h from definitions group by doc_id),
+        rs as (select doc_id, string_agg('<li>' || {_e('text')} || '</li>', chr(10) order by idx) as h from {Q._resp} group by doc_id),
+        a as (select d.doc_id, title, version, effective_date, p.text as aim, q.text as scope, rs.h as rs, wn.h as wn, wn.n as n_w, df.h as df, li.h as li, li.n as n_s from sops d left join {Q._title} t using (doc_id) left join {Q._match(S.VERSION, 'version')} v using (doc_id) left join {Q._match(S.DATE, 'effective_date')} e using (doc_id)
+          left join (select * from tx where section = 'purpose') p using (doc_id) left join (select * from tx where section = 'scope') q using (doc_id) left join rs using (doc_id) left join wn using (doc_id) left join df using (doc_id) left join li using (doc_id))
+        select doc_id, 'intro' as id, '<h2>Welcome to the Training Module: ' || {_e('title')} || '</h2>' || {_opt('<p><strong>Version:</strong> ', _e('version'), '</p>')} || {_opt('<p><strong>Effective Date:</strong> ', _e('effective_date'), '</p>')} || {_opt('<h3>Purpose</h3><p>', _e('aim'), '</p>')} || {_opt('<h3>Scope</h3><p>', _e('scope'), '</p>')}
+          || coalesce(chr(10) || '<h3>Responsibilities</h3><ul>' || chr(10) || rs || chr(10) || '</ul>', '') as html from a
+        union all select doc_id, 'safety', '<h2>Safety and Precautions</h2>' || chr(10) || '<div class=''safety-alert''>' || chr(10) || '<p><strong>⚠️ IMPORTANT:</strong> Please read and understand all safety warnings before proceeding.</p>' || chr(10) || '</div>' || chr(10) || '<ul class=''safety-warnings''>' || chr(10) || wn || chr(10) || '</ul>' from a where wn is not null
+        union all select doc_id, 'definitions', '<h2>Key Terms and Definitions</h2>' || chr(10) || '<dl class=''definitions''>' || chr(10) || df || chr(10) || '</dl>' from a where df is not null
+        union all select doc_id, 'procedures', '<h2>Procedure Steps</h2>' || chr(10) || '<p>Follow these steps carefully to complete the procedure:</p>' || chr(10) || '<ol class=''procedure-steps''>' || coalesce(chr(10) || li, '') || chr(10) || '</ol>' from a
+        union all select doc_id, 'summary', '<h2>Summary and Key Points</h2>' || chr(10) || '<p>Let''s review the key points from this training:</p>' || chr(10) || '<ul class=''key-points''>'
+          || {_opt('<li>The purpose of this procedure is: ', _e("case when length(aim) <= 150 then aim else regexp_replace(left(aim, 150), ' [^ ]*$', '') end"), '</li>')} || {_opt('<li>This procedure consists of ', 'n_s', ' main steps</li>')} || {_opt('<li>There are ', 'n_w', ' critical safety warnings to remember</li>')} || chr(10) || '</ul>' || chr(10) || '<p><strong>Next:</strong> Complete the verification assessment to test your knowledge.</p>' from a""",
     "text_sentences": f"select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as pos, s as sentence from (select doc_id, unnest(generate_series(1, len(a))) as k, trim(unnest(a)) as s from (select doc_id, string_split(regexp_replace({_c('text')}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as a from documents)) where length(s) >= 20",
     "text_clipped": f"select doc_id, case when length(t) <= 180 then t else regexp_replace({_cut}, '[ ,;:.\\-]+$', '') || '...' end as option, case when length(u) <= 100 then u when length(regexp_replace(left(u, 100), ' [^ ]*$', '')) > 0 then regexp_replace(left(u, 100), ' [^ ]*$', '') else left(u, 100) end as short from (select *, left(t, 178) as head, length(left(t, 178)) - instr(reverse(left(t, 178)), ' ') as space from (select doc_id, {_c('text')} as t, {Q._strip('text')} as u from documents))",
     "text_altered": f"{_w} select * from (select doc_id, line_no, {_flip} as altered from (select doc_id, line_no, {_c('line')} as t from lines)) where altered is not null",
