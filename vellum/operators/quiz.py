@@ -140,6 +140,19 @@ def interactions(questions: DataFrame) -> DataFrame:
     )
 
 
+def interaction_results(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(doc_id, id, version, type, weighting, response, result): what each version of the platform is told of every question.
+
+    ``asked``: rows of `interactions`; ``answers``: doc_id, id, option (from 0), right. A question
+    without an answer has no response and is neutral; an option beyond the list has none either.
+    """
+    df = asked.join(answers.select("doc_id", "id", "option", "right"), ["doc_id", "id"], "left")
+    told = lambda c: F.get(F.split(c, ","), F.col("option").cast("int"))
+    row = lambda version, c, wrong: F.struct(F.lit(version).alias("version"), F.nullif(told(c), F.lit("")).alias("response"), F.when(F.col("option").isNull(), "neutral").when(F.col("right"), "correct").otherwise(wrong).alias("result"))
+    df = df.select("doc_id", "id", "type", "weighting", F.explode(F.array(row("1.2", "responses12", "wrong"), row("2004", "responses2004", "incorrect"))).alias("r"))
+    return df.select("doc_id", "id", "r.version", "type", "weighting", "r.response", "r.result")
+
+
 def suspend_data(records: Column, limit: int = SUSPEND_CHARS) -> Column:
     """The records as a JSON list, without those at the end that would take it over the limit."""
     def add(s: Column, r: Column) -> Column:

@@ -65,6 +65,12 @@ def interactions(spark, sf_dir):
     return Z.interactions(df)
 
 
+def interaction_results(spark, sf_dir):
+    """One question in five is left out; options may lie beyond the list."""
+    said = questions(spark, sf_dir).where("pick % 5 <> 3").select("doc_id", "id", F.pmod("pick", F.col("n_options") + 1).alias("option"), (F.pmod("pick", F.col("n_options") + 1) == F.col("correct_answer")).alias("right"))
+    return Z.interaction_results(interactions(spark, sf_dir), said)
+
+
 def suspended(spark, sf_dir):
     df = questions(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat("id", F.lit(":"), F.col("l_partkey").cast("string")))).alias("r"))
     return df.select("doc_id", Z.suspend_data(F.col("r"), 40).alias("data"))
@@ -80,7 +86,7 @@ def interleaved(spark, sf_dir):
     return Z.interleaved(own("type <> 'true_false'"), own("type = 'true_false'"), 1)
 
 
-QUERIES = {f"quiz_{f.__name__}": f for f in (naive_scores, worst_strategies, length_tells, truth_values, layout, grades, learner_view, interactions, suspended, spread_steps, interleaved, question_types)}
+QUERIES = {f"quiz_{f.__name__}": f for f in (naive_scores, worst_strategies, length_tells, truth_values, layout, grades, learner_view, interactions, interaction_results, suspended, spread_steps, interleaved, question_types)}
 
 _q = f"with q as ({synth.QUESTIONS})"
 _st = "st(strategy, kind, aim, fallback) as (values " + ", ".join(map(str, Z.STRATEGIES)) + ")"
@@ -109,6 +115,10 @@ ORACLE_SQL = {
     "quiz_learner_view": f"{_q} select doc_id, id, type, points, {_salt} as salt, sha256({_salt} || '|' || {_okey('''('Option ' || correct_answer)''')}) as answer_hash from q",
     "quiz_interactions": f"""{_q} select doc_id, id, case when type = 'true_false' then 'true-false' else 'choice' end as type, points::varchar as weighting, left({Q._collapse('''('What  about' || chr(10) || repeat('part ' || l_partkey || ' ', 30))''')}, 250) as description, case when l_partkey % 3 = 0 then 'step' else 'step_' || id || '_ok' end as objective,
         case when type = 'true_false' then 'f,t' else array_to_string(['a', 'b', 'c', 'd'][:n_options], ',') end as responses12, case when type = 'true_false' then 'false,true' else array_to_string(['a', 'b', 'c', 'd'][:n_options], ',') end as responses2004 from q""",
+    "quiz_interaction_results": f"""{_q}, a as (select *, case when pick % 5 <> 3 then pick % (n_options + 1) end as option from q)
+        select doc_id, id, version, case when type = 'true_false' then 'true-false' else 'choice' end as type, points::varchar as weighting,
+          case when option < n_options then case when type <> 'true_false' then chr(97 + option::int) when version = '1.2' then ['f', 't'][option + 1] else ['false', 'true'][option + 1] end end as response,
+          case when option is null then 'neutral' when option = correct_answer then 'correct' when version = '1.2' then 'wrong' else 'incorrect' end as result from a, (values ('1.2'), ('2004')) as v(version)""",
     "quiz_suspended": f"{_q}, r as (select doc_id, x, row_number() over (partition by doc_id order by x) as k, 2 + sum(length(x) + 1) over (partition by doc_id order by x) as n from (select doc_id, id || ':' || l_partkey as x from q)) select doc_id, '[' || coalesce(string_agg(x, ',' order by k) filter (where n <= 40), '') || ']' as data from r group by doc_id",
     "quiz_spread_steps": f"with {Q.MARKED}, {Q.STEPS}, b(n, spread, place) as (values {_bis}), c as (select *, count(*) over (partition by doc_id) as n from steps) select doc_id, ord, step_number, spread from c join b on b.n = c.n and place = ord - 1",
     "quiz_interleaved": f"{_q}, a as (select doc_id, id, type = 'true_false' as tf, row_number() over (partition by doc_id, type = 'true_false' order by ord) as ord, count(*) over (partition by doc_id, type = 'true_false') as n from q) select doc_id, ord, id, row_number() over (partition by doc_id order by case when tf then (ord - 2 + n) % n else ord - 1 end, tf) as turn from a",
