@@ -88,3 +88,17 @@ def test_capitals_inside_a_body(spark):
     """A line in capitals ends a section, the procedure's too; where the whole document is searched only known headings end a step."""
     m = marked(spark, "PROCEDURE:\nStep 1: Go\nbody\nLOTO\nmore", "Step 1: Go\nbody\nLOTO\nmore\nREFERENCES\nx")
     assert {r.doc_id: r.body for r in S.steps(m).collect()} == {0: "body", 1: "body LOTO more"}
+
+
+def test_one_pass(spark):
+    """All kinds at once equal the operators of one kind; null and empty texts have their row and no finding."""
+    docs = spark.createDataFrame([(0, A), (1, None), (2, "")], "doc_id long, text string")
+    m, rows = S.marked(S.lines(docs)), S.found(docs).orderBy("doc_id", "kind", "ord").collect()
+    of = lambda kind, *c: [tuple(r[x] for x in c) for r in rows if r.kind == kind]
+    assert of("step", "number", "title", "text", "n_substeps", "s", "e") == [(r.step_number, r.title, r.body, r.n_substeps, r.s, r.e) for r in S.steps(m).orderBy("ord").collect()]
+    assert of("safety", "text", "s", "e") == [(r.text, r.s, r.e) for r in S.warnings(m).orderBy("idx").collect()]
+    assert of("definition", "key", "text", "s") == [(r.term, r.definition, r.line_no) for r in S.definitions(m).orderBy("ord").collect()]
+    assert of("responsibilities", "text", "s") == [(r.text, r.line_no) for r in S.responsibilities(m).orderBy("idx").collect()]
+    assert of("substep", "of", "text") == [(24, "Wait for it"), (24, "Lock Tag it."), (32, "inner"), (32, "inner two")]
+    assert of("version", "text", "s") == [("2.1.", 3)] and of("title", "text") == [("Press Line SOP",)]
+    assert [r.doc_id for r in rows if r.kind == "document"] == [0, 1, 2] and {r.kind for r in rows if r.doc_id > 0} == {"document"}
