@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, line_quality, near_dedup, packing, pseudo_likelihood, rp_forest, secrets, sharding, url_filter
+from vellum.llm import bpe, exact_dedup, line_quality, merkle, near_dedup, packing, pseudo_likelihood, rp_forest, secrets, sharding, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.score_documents(docs, pseudo_likelihood.fit(docs))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(7)) == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_sharding": op9_sharding,
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "pipeline": pipeline,
 }
 
@@ -116,19 +121,23 @@ from c left join fit on fit.page_id = c.page_id and fit.k = 1 left join l on l.c
 """
 
 
+def _crc_table() -> str:
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(str(c))
+    return ", ".join(out)
+
+
 def op9_sql(shards: int = 40) -> str:
     """For equal shards, five to a rack and two racks to a region. At each level the child with the least draw is the one with the greatest number, as all weigh alike; the shard that is added weighs a tenth of a region."""
     number = lambda path: f"((('0x' || substr(md5(key || '|' || {path}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
     most = lambda n, path: f"list_position(list_transform(range({n}), lambda i: {number(path)}), list_max(list_transform(range({n}), lambda i: {number(path)}))) - 1"
-    table = []
-    for c in range(256):
-        for _ in range(8):
-            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
-        table.append(str(c))
     return f"""
 with k as (select doc_id, coalesce(cast(doc_id as varchar), '') as key, list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda c: strpos('123456789ABCDEF', c)) as x from documents),
 b as (select doc_id, key, list_transform(range(1, len(x) // 2 + 1), lambda i: 16 * x[2 * i - 1] + x[2 * i]) as bytes from k),
-c as (select doc_id, key, len(bytes) as n, xor(4294967295, coalesce(list_reduce(bytes, lambda x, y: xor(x >> 8, [{", ".join(table)}][1 + xor(x & 255, y)]), 4294967295::bigint), 4294967295)) as text_crc32 from b),
+c as (select doc_id, key, len(bytes) as n, xor(4294967295, coalesce(list_reduce(bytes, lambda x, y: xor(x >> 8, [{_crc_table()}][1 + xor(x & 255, y)]), 4294967295::bigint), 4294967295)) as text_crc32 from b),
 g as (select *, {most(shards // 10, "'g' || i")} as g from c),
 r as (select *, {most(2, "g || '|r' || i")} as r from g),
 s as (select *, {most(5, "g || '|' || r || '|s' || i")} as s from r)
@@ -139,4 +148,33 @@ from s
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_url_filter": op7_sql(), "op9_sharding": op9_sql()}
+def op11_sql() -> str:
+    """Trees level by level, then every leaf's way up, one level a turn."""
+    field = lambda x: f"case when {x} is null then '-' else strlen({x}::varchar) || ':' || {x} end"
+    leaf = lambda n: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", n, "text"])) + ")"
+    digits = "list_transform(string_split(doc_id::varchar, ''), lambda c: 48 + c::int)"  # ids of this table are not negative
+    crc = f"xor(4294967295, list_reduce({digits}, lambda x, y: xor(x >> 8, [{_crc_table()}][1 + xor(x & 255, y)]), 4294967295::bigint))"
+    parent = "sha256(string_agg(h, '' order by i))"
+    return f"""
+with recursive d as (select doc_id, coalesce('v' || lang, 'n') as g, {leaf("n_chars")} as h, case when {crc} % 7 = 0 and n_chars is not null then {leaf("(n_chars + 1)")} end as other from documents),
+leaves as materialized (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as i, count(*) over (partition by g) as n from d),
+t as (select g, 0 as l, i, n, h from leaves union all select g, l + 1, i // 2, (n + 1) // 2, {parent} from t where n > 1 group by g, l, i // 2, (n + 1) // 2),
+tree as materialized (select * from t),
+subs as materialized (select g, h, row_number() over (order by g) - 1 as i, count(*) over () as n from tree where n = 1),
+s as (select 0 as l, i, n, h from subs union all select l + 1, i // 2, (n + 1) // 2, {parent} from s where n > 1 group by l, i // 2, (n + 1) // 2),
+top as materialized (select * from s),
+steps as materialized (
+  select doc_id, leaves.g, leaves.i as place, tree.l, b.h as beside, (leaves.i >> tree.l) % 2 = 1 as lefts
+  from leaves join tree on tree.g = leaves.g and tree.n > 1 and tree.i = leaves.i >> tree.l left join tree b on b.g = tree.g and b.l = tree.l and b.i = xor(tree.i, 1)
+  union all select doc_id, leaves.g, leaves.i, 100 + top.l, b.h, (subs.i >> top.l) % 2 = 1
+  from leaves join subs using (g) join top on top.n > 1 and top.i = subs.i >> top.l left join top b on b.l = top.l and b.i = xor(top.i, 1)),
+ways as materialized (select g, place, list({{'h': beside, 'left': lefts}} order by l) as way, string_agg(beside, '' order by l) as proof from steps group by all),
+f as (select leaves.g, leaves.i, 1 as k, coalesce(other, leaves.h) as h, way from leaves left join ways on ways.g = leaves.g and ways.place = leaves.i
+  union all select g, i, k + 1, sha256(case when way[k].h is null then h when way[k].left then way[k].h || h else h || way[k].h end), way from f where k <= len(way)),
+ends as (select g, i, h from f where k = coalesce(len(way), 0) + 1)
+select doc_id, leaves.h as leaf, subs.h as subroot, root.h as root, sha256(coalesce(proof, '')) as proof_sha256, ends.h as folded_root, ends.h = root.h as verified
+from leaves join subs on subs.g = leaves.g join (select h from top where n = 1) root on true join ends on ends.g = leaves.g and ends.i = leaves.i left join ways on ways.g = leaves.g and ways.place = leaves.i
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_url_filter": op7_sql(), "op9_sharding": op9_sql(), "op11_merkle_manifest": op11_sql()}
