@@ -32,6 +32,7 @@ from vellum.llm.columns import shared_folder
 LEVELS = 10
 WIDTH = 1 << LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+WAY = "array<struct<digest:binary,left:boolean>>"
 NODES = "grp string, size long, level int, pos long, digest binary"
 
 
@@ -122,29 +123,47 @@ class Forest:
         """The leaves with their columns, ``way`` and the columns of ``above``.
 
         above: (grp, way, ...) of every root, what follows upwards of it. A way is an array
-        of (level, digest, left) from below to above, null digests where a node is alone.
+        of (digest, left) from below to above, null digests where a node is alone.
         """
         more = [c for c in above.columns if c not in ("grp", "way")]
         upper: DataFrame | None = None
         for r in range(len(self.units) - 1, -1, -1):
-            ended = above.join(self.tops[r].select("grp"), "grp").withColumn("block", F.lit(0).cast("long"))
-            parents = ended if upper is None else upper.select("grp", "way", *more, F.col("pos").alias("block")).unionByName(ended)
+            parents = above.join(self.tops[r].select("grp"), "grp").withColumn("block", F.lit(0).cast("long"))
+            if upper is not None:
+                parents = upper.select("grp", "way", *more, F.col("pos").alias("block")).unionByName(parents)
             upper = self._within(r, parents, more)
         return upper
 
     def _within(self, r: int, parents: DataFrame, more: list[str]) -> DataFrame:
-        # all three sides are dealt by block once; a block has WIDTH units, twice as many nodes and one parent
-        units = self.units[r].withColumn("block", block()).repartition("grp", "block")
-        nodes = self.nodes[r].withColumn("block", F.expr(f"shiftright(shiftleft(pos, level), {LEVELS})"))
-        nodes = nodes.where(F.col("level") < F.least(F.lit(LEVELS), height(F.col("size")))).select("grp", "block", "level", F.col("pos").alias("sibling"), F.col("digest").alias("beside")).repartition("grp", "block")
-        levels = F.least(F.lit(LEVELS), height(F.col("size")))
-        asked = units.withColumn("level", F.explode_outer(F.when(levels > 0, F.sequence(F.lit(0), levels - 1))))
-        asked = asked.withColumn("sibling", F.expr("shiftright(pos, level) ^ 1")).withColumn("left", F.col("sibling") < F.expr("shiftright(pos, level)"))
-        found = asked.join(nodes, ["grp", "block", "level", "sibling"], "left")
-        step = F.when(F.col("level").isNotNull(), F.struct("level", F.col("beside").alias("digest"), "left"))
-        own = [c for c in self.units[r].columns if c not in ("grp", "pos")]
-        ways = found.groupBy("grp", "block", "pos").agg(*[F.first(c).alias(c) for c in own], F.array_sort(F.collect_list(step)).alias("own"))
-        return ways.join(parents.repartition("grp", "block"), ["grp", "block"]).select("grp", "pos", *own, *more, F.concat("own", "way").alias("way"))
+        """Units with the way from each of them to its block's node, and on: blocks of units meet their nodes and the way of their parent, which is a row of its own among the nodes."""
+        units, nodes = self.units[r], self.nodes[r]
+        below = nodes.where(F.col("level") < F.least(F.lit(LEVELS), height(F.col("size")))).select("grp", F.expr(f"shiftright(shiftleft(pos, level), {LEVELS})").alias("block"), "level", "pos", "digest")
+        sides = below.unionByName(parents.select("grp", "block", F.struct("way", *more).alias("above")), allowMissingColumns=True)
+        types = {f.name: f.dataType.simpleString() for f in units.schema.fields} | {f.name: f.dataType.simpleString() for f in parents.schema.fields}
+        kept = units.columns
+        names = [*kept, *more]
+        fields = ", ".join(f"`{c}` {types[c]}" for c in names) + f", way {WAY}"
+
+        def met(own: pa.Table, beside: pa.Table) -> pa.Table:
+            is_node = pc.is_valid(beside["level"])
+            found, parent = beside.filter(is_node).sort_by([("level", "ascending"), ("pos", "ascending")]), beside.filter(pc.invert(is_node))["above"].to_pylist()[0]
+            level, pos, digests = found["level"].to_numpy(), found["pos"].to_numpy(), found["digest"].to_pylist()
+            starts = np.searchsorted(level, np.arange(LEVELS + 1))
+            place, height_ = own["pos"].to_numpy(), int(level.max()) + 1 if len(level) else 0
+            # the sibling's coordinates of every unit and level, and where the sorted nodes have them
+            sibling = (place[:, None] >> np.arange(height_)) ^ 1
+            first, count = (pos[starts[:height_]], np.diff(starts)[:height_]) if height_ else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            offset = sibling - first
+            at = np.where((offset >= 0) & (offset < count), starts[:height_] + offset, -1).tolist()
+            lefts = (sibling & 1 == 0).tolist()
+            ways = [[*({"digest": digests[a] if a >= 0 else None, "left": s} for a, s in zip(x, y, strict=True)), *parent["way"]] for x, y in zip(at, lefts, strict=True)]
+            n = len(own)
+            kind = pa.list_(pa.struct([("digest", pa.binary()), ("left", pa.bool_())]))
+            columns = [*(own[c] for c in kept), *(pa.array([parent[c]] * n, beside.schema.field("above").type.field(c).type) for c in more), pa.array(ways, kind)]
+            return pa.table(columns, names=[*names, "way"])
+
+        own = units.withColumn("block", block())
+        return own.groupBy("grp", "block").cogroup(sides.groupBy("grp", "block")).applyInArrow(met, fields)
 
 
 def folded(leaf: Column, way: Column) -> Column:
@@ -178,7 +197,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     one = ranked(roots.select(F.lit("").alias("grp"), F.col("grp").alias("of"), "digest"), ["of"], f"{folder}/roots")
     one.write.parquet(f"{folder}/subroots")
     whole = Forest(docs.sparkSession.read.parquet(f"{folder}/subroots"), f"{folder}/root")
-    none = F.array().cast("array<struct<level:int,digest:binary,left:boolean>>")
+    none = F.array().cast(WAY)
     end = whole.tops[-1].select("grp", none.alias("way"), F.col("digest").alias("root"))
     above = whole.ways(end).select(F.col("of").alias("grp"), "way", F.col("digest").alias("subroot"), "root")
     hex_ = lambda x: F.lower(F.hex(x))
