@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, exact_dedup, line_quality, merkle, near_dedup, packing, pseudo_likelihood, rp_forest, secrets, sharding, toxicity, url_filter
+from vellum.llm import bpe, divergence, exact_dedup, line_quality, merkle, near_dedup, packing, pseudo_likelihood, rp_forest, secrets, sharding, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", line_quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pseudo_likelihood": op10_pseudo_likelihood,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_toxicity": op12_toxicity,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": pipeline,
 }
 
@@ -184,4 +189,23 @@ from leaves join subs on subs.g = leaves.g join (select h from top where n = 1)
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_url_filter": op7_sql(), "op9_sharding": op9_sql(), "op11_merkle_manifest": op11_sql()}
+OP13_SQL = """
+with d as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+t as (select row, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+k as (select lang, term from t group by all having count(distinct row) >= 30),
+c as (select lang, source, term, count(*) as n from t semi join k using (lang, term) group by all),
+v as (select lang, count(*) as v from k group by all),
+groups as (select distinct lang, source from d),
+every as (select g.lang, g.source, k.term, coalesce(n, 0) as n from groups g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (select lang, source, term, n, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang, source) + 5 * v) as p from every join v using (lang)),
+l as (select lang, term, sum(n) as n from every group by all),
+q as (select lang, term, 1 + (1000000000::hugeint * (n + 5)) // (sum(n) over (partition by lang) + 5 * v) as q from l join v using (lang)),
+pairs as (select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0)::bigint as value
+          from groups g join groups h on g.lang = h.lang and g.source <> h.source
+          left join (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term group by all) s on s.lang = g.lang and s.source = g.source and s.item = h.source),
+terms as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p join q using (lang, term) where n > 0 and p > q)
+select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pairs union all select * from terms) qualify part = 'pair' or rank <= 50
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op7_url_filter": op7_sql(), "op9_sharding": op9_sql(), "op11_merkle_manifest": op11_sql(), "op13_source_divergence": OP13_SQL}
