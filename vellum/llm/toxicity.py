@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.columns import text_slices, trimmed
+from vellum.llm.columns import shared_folder, text_slices, trimmed
 from vellum.llm.line_quality import held_out
 
 #: Labelled documents of each label that a fit uses at most, words of a window, bytes of each dictionary at most.
@@ -156,6 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where("_y = 0").orderBy("_h", "_id").limit(sample).union(known.where("_y = 1").orderBy("_h", "_id").limit(sample))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(known), "_id")  # at most twice `sample` rows
     rows = rows.groupBy("_y", F.sha2("_text", 256).alias("_sum")).agg(F.min(F.struct("_h", "_id", "_text")).alias("x")).select("_y", (F.pmod("x._h", F.lit(4)) == 0).alias("_late"), "x._text")
+    folder = shared_folder(docs.sparkSession)
+    rows.write.parquet(f"{folder}/sample")
+    rows = docs.sparkSession.read.parquet(f"{folder}/sample")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, str]]:
         for b in batches:
@@ -170,7 +173,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([pa.array([y] * (len(own) + 1), pa.int32()), pa.array([*own, None], pa.string())], names=["y", "word"])
 
     found = rows.mapInArrow(trimmed(distinct), "y int, word string")
-    counts = found.groupBy("word").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+    found.groupBy("word").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).write.parquet(f"{folder}/words")
+    counts = docs.sparkSession.read.parquet(f"{folder}/words")
     total = counts.where("word is null").first()
     n0, n1 = (total.n0, total.n1) if total else (0, 0)
     enough = max(RECURS, n1 // SHARE)
