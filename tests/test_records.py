@@ -84,8 +84,8 @@ def test_edit_counts(spark):
     j = lambda d: json.dumps(d)
     old = spark.createDataFrame([("a", j({"title": "t", "learning_objectives": ["x", "y"], "questions": [{"id": "1", "options": ["p", "q"], "correct_answer": 0}]})), ("b", "{bad")], "job_id string, json string")
     new = spark.createDataFrame([("a", j({"title": "t", "learning_objectives": ["x", "z", "w"], "extra": None, "questions": [{"id": "1", "options": ["p", "r"], "correct_answer": 1}]}))], "job_id string, json string")
-    got = {r.category: r.edits for r in M.edits_by_category(M.leaves(old, "json"), M.leaves(new, "json")).collect()}
-    assert got == {"objectives": 2, "question_options": 1}
+    got = {r.category: r.edits for r in M.edits_by_category(old, new).collect()}
+    assert got == {"objectives": 2, "question_options": 1, "question_answers": 1}
     q = spark.createDataFrame([("a", ["p", "q"], 0, ["q", "p"], 1), ("a", ["p", "q"], 0, ["p", "q"], 1)], "job_id string, options array<string>, correct int, new_options array<string>, new_correct int")
     assert M.answer_changes(q).first().edits == 1
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.jsons import canonical
+
 # Names and fields of the record.
 GENESIS = "0" * 64
 EVENTS = ("job.created", "content.generated", "review.opened", "content.edited", "content.approved", "package.exported", "download.served", "retention.deleted")
@@ -28,11 +30,6 @@ def payload(prev: Column) -> Column:
     return F.concat(F.regexp_replace(own, r"\}$", ""), F.lit(',"details":'), F.col("details"), F.lit(","), F.regexp_replace(rest, r"^\{", ""))
 
 
-def canonical(json: Column) -> Column:
-    """A JSON text with keys in order at every depth, nothing between them and no escapes of letters; null if it is no JSON."""
-    return F.to_json(F.try_parse_json(json))
-
-
 def content_hash(module: Column, assessment: Column) -> Column:
     """The digest of what a job holds at one moment, of the module's and the assessment's JSON; null if either is no JSON."""
     return F.sha2(F.concat(F.lit('{"assessment":'), canonical(assessment), F.lit(',"training_module":'), canonical(module), F.lit("}")), 256)

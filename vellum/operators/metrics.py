@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.jsons import canonical, depth
+
 # Fixed values.
 CATEGORIES = ("title", "objectives", "sections", "questions", "question_options", "question_answers")
 UNKNOWN_SOURCE = "(unknown source)"
@@ -61,32 +63,42 @@ def failed_audits(jobs: DataFrame) -> DataFrame:
     return jobs.where(F.col("audit_verified") == F.lit(False)).select("job_id")
 
 
-def leaves(records: DataFrame, json_col: str, key: str = "job_id") -> DataFrame:
-    """(key, path, leaf) of every value in a JSON column, by walking variants level by level; empty objects and lists have none.
-
-    Paths are separated by U+0001 and list places are written as #n.
-    """
-    spark = records.sparkSession
-    df = records.select(key, F.lit("").alias("path"), F.try_parse_json(json_col).alias("v")).where("v is not null")
-    out: DataFrame | None = None
-    for _ in range(MOST_LEVELS):
-        kind = F.schema_of_variant("v")
-        leaf = df.where(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY")).select(key, "path", F.to_json(F.struct("v")).alias("leaf"))
-        out = leaf if out is None else out.union(leaf)
-        step = "case when x.key is not null then concat(path, '\\u0001', x.key) else concat(path, '\\u0001#', x.pos) end"
-        df = spark.sql(f"select {key}, {step} as path, x.value as v from {{t}}, lateral variant_explode(v) as x", t=df)
-    return out
-
-
-#: How deep records are nested at most: record, list, object, list, object, value.
-MOST_LEVELS = 7
+def differences(old: DataFrame, new: DataFrame, json_col: str = "json", key: str = "job_id") -> DataFrame:
+    """(key, path, old, new): where two versions of a record differ, the least parts that do, as canonical JSON.
 
+    Objects are compared key by key, lists place by place, to any depth; anything else is
+    one difference if it isn't equal, so that a part that one side lacks is one, however
+    much it holds. A missing key equals null, a missing list element (null here) equals
+    nothing. Numbers are equal by value, as are true and 1. A record without the other
+    version, or that is no JSON, is compared with null. Paths are separated by U+0001 and list places are
+    written as #n.
 
-def leaf_differences(old: DataFrame, new: DataFrame, key: str = "job_id") -> DataFrame:
-    """(key, path, old, new) of leaves that differ: a full outer join on the path, null-safe. A leaf on one side only differs, but for null against a missing one."""
-    a, b = old.select(key, "path", F.col("leaf").alias("old")), new.select(key, "path", F.col("leaf").alias("new"))
-    null = F.lit('{"v":null}')
-    return a.join(b, [key, "path"], "full").where(~F.coalesce("old", null).eqNullSafe(F.coalesce("new", null)))
+    Every level is one step without a shuffle; how many there are is measured first.
+    """
+    side = lambda df, name: df.select(key, canonical(F.col(json_col)).alias(name))
+    pairs = side(old, "_a").join(side(new, "_b"), key, "full").where("not _a <=> _b")
+    least = pairs.select(F.least(depth(F.coalesce("_a", F.lit("null"))), depth(F.coalesce("_b", F.lit("null")))).alias("d")).agg(F.max("d")).first()[0] or 0
+    df = pairs.select(key, F.lit("").alias("path"), F.struct(F.coalesce(F.try_parse_json("_a"), F.parse_json(F.lit("null"))).alias("a"), F.coalesce(F.try_parse_json("_b"), F.parse_json(F.lit("null"))).alias("b")).alias("x"))
+    for _ in range(least):
+        df = df.select(key, "path", F.explode(F.expr(CHILDREN)).alias("c")).select(key, F.concat("path", "c.step").alias("path"), F.col("c.x").alias("x"))
+    return df.where(~F.expr(EQUAL)).select(key, "path", F.to_json(F.col("x.a")).alias("old"), F.to_json(F.col("x.b")).alias("new"))
+
+
+#: Both versions' children by key or place; anything but two objects or two lists stays as it is.
+CHILDREN = """
+case when schema_of_variant(x.a) like 'OBJECT%' and schema_of_variant(x.b) like 'OBJECT%' then
+  transform(array(struct(try_variant_get(x.a, '$', 'map<string,variant>') as a, try_variant_get(x.b, '$', 'map<string,variant>') as b)),
+    m -> transform(array_union(map_keys(m.a), map_keys(m.b)), k -> struct('\\u0001' || k as step, struct(coalesce(try_element_at(m.a, k), parse_json('null')) as a, coalesce(try_element_at(m.b, k), parse_json('null')) as b) as x)))[0]
+when schema_of_variant(x.a) like 'ARRAY%' and schema_of_variant(x.b) like 'ARRAY%' then
+  transform(array(struct(try_variant_get(x.a, '$', 'array<variant>') as a, try_variant_get(x.b, '$', 'array<variant>') as b)),
+    m -> transform(filter(sequence(0, greatest(size(m.a), size(m.b))), i -> i < greatest(size(m.a), size(m.b))), i -> struct('\\u0001#' || i as step, struct(get(m.a, i) as a, get(m.b, i) as b) as x)))[0]
+else array(struct('' as step, x)) end"""
+_whole = "(schema_of_variant({0}) = 'BIGINT' or schema_of_variant({0}) like 'DECIMAL(%,0)')"
+_number = "(schema_of_variant({0}) in ('BIGINT', 'DOUBLE', 'BOOLEAN') or schema_of_variant({0}) like 'DECIMAL%')"
+_value = "coalesce(try_variant_get({0}, '$', 'double'), cast(try_variant_get({0}, '$', 'boolean') as double))"
+EQUAL = f"""
+coalesce(x.a is not null and x.b is not null and (to_json(x.a) = to_json(x.b) or
+  {_number.format("x.a")} and {_number.format("x.b")} and not ({_whole.format("x.a")} and {_whole.format("x.b")}) and {_value.format("x.a")} = {_value.format("x.b")}), false)"""
 
 
 def category(path: Column) -> Column:
@@ -98,9 +110,26 @@ def category(path: Column) -> Column:
     )
 
 
-def edits_by_category(old: DataFrame, new: DataFrame, key: str = "job_id") -> DataFrame:
-    """(key, category, edits)."""
-    return leaf_differences(old, new, key).select(key, category(F.col("path")).alias("category")).where("category is not null").groupBy(key, "category").agg(F.count(F.lit(1)).alias("edits"))
+def edits_by_category(old: DataFrame, new: DataFrame, json_col: str = "json", key: str = "job_id") -> DataFrame:
+    """(key, category, edits) between two versions of records with title, learning_objectives, sections and questions; answers are counted by the correct option's text."""
+    parts = differences(old, new, json_col, key).select(key, category(F.col("path")).alias("category")).where("category is not null")
+    texts = lambda df, name: df.select(key, F.expr(CORRECT.format(json_col)).alias(name))
+    both = texts(old, "_a").join(texts(new, "_b"), key)
+    moved = both.select(key, F.expr("size(filter(arrays_zip(slice(_a, 1, least(size(_a), size(_b))), slice(_b, 1, least(size(_a), size(_b)))), z -> not z.`0` <=> z.`1`))").alias("n")).where("n > 0")
+    counts = parts.groupBy(key, "category").agg(F.count(F.lit(1)).alias("edits"))
+    return counts.unionByName(moved.select(key, F.lit("question_answers").alias("category"), F.col("n").cast("long").alias("edits")))
+
+
+#: The text of each question's correct option, null where the index is none of its options.
+CORRECT = """
+transform(coalesce(try_variant_get(try_parse_json({0}), '$.questions', 'array<variant>'), array()), q ->
+  case when schema_of_variant(try_variant_get(q, '$.correct_answer', 'variant')) = 'BIGINT' and try_variant_get(q, '$.correct_answer', 'long') >= 0
+       then to_json(get(try_variant_get(q, '$.options', 'array<variant>'), cast(try_variant_get(q, '$.correct_answer', 'long') as int))) end)"""
+
+
+def edit_counts(old: DataFrame, new: DataFrame, json_col: str = "json", key: str = "job_id") -> DataFrame:
+    """(key, edits): all least differences of records that have any."""
+    return differences(old, new, json_col, key).groupBy(key).agg(F.count(F.lit(1)).alias("edits"))
 
 
 def answer_changes(questions: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def edit_counts(spark, sf_dir):
     """Edits by category between drafts and what reviewers sent back."""
     old, new = versions(spark, sf_dir)
-    return M.edits_by_category(M.leaves(old, "json"), M.leaves(new, "json"))
+    return M.edits_by_category(old, new)
 
 
 def content_hashes(spark, sf_dir):
@@ -85,7 +85,32 @@ def content_hashes(spark, sf_dir):
     return part.select(F.col("p_partkey").alias("job_id"), A.content_hash(module, F.lit('{"questions": [true, []], "passing_score": 70}')).alias("content_hash"))
 
 
-QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, problems, verdicts, states, content_hashes)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts)}
+def canonical(spark, sf_dir):
+    """Texts with decimals, exponents, repeated keys and escapes in their one form."""
+    return synth.view(spark, sf_dir, ODD_JSON).select("job_id", A.canonical(F.col("json")).alias("canonical"), A.content_hash(F.col("json"), F.lit('{"a": 1.0}')).alias("content_hash"))
+
+
+def deep_edits(spark, sf_dir):
+    """Differences of records nested up to 24 levels deep."""
+    both = synth.view(spark, sf_dir, DEEP)
+    return M.differences(both.select("job_id", F.col("old").alias("json")), both.select("job_id", F.col("new").alias("json")))
+
+
+def deep_edit_counts(spark, sf_dir):
+    both = synth.view(spark, sf_dir, DEEP)
+    return M.edit_counts(both.select("job_id", F.col("old").alias("json")), both.select("job_id", F.col("new").alias("json")))
+
+
+#: Keys out of order and twice, numbers of all forms, escapes.
+ODD_JSON = """select p_partkey as job_id, '{"price": 7, "b": {"y": 1.0, "x": 1e5, "x": [' || p_size || '.0, -0, 2.50]},  "a": "' || chr(92) || 'u00e9' || chr(92) || '/' || p_brand || '", "price": ' || p_size || '.50}' as json from part"""
+#: Two versions of records of up to 24 levels: changed, added, removed and cut short.
+DEEP = """
+select p_partkey as job_id, '{"title":"' || p_name || '","deep":' || repeat('{"k":[0,', n) || '{"size":' || p_size || ',"type":"' || p_type || '"}' || repeat(']}', n) || '}' as old,
+  '{"deep":' || repeat('{"k":[0,', m) || '{"size":' || (p_size + case when p_partkey % 3 = 0 then 1 else 0 end) || ',"type":"' || p_type || '"' || case p_partkey % 4 when 0 then ',"more":null' when 1 then ',"more":[1,{}]' else '' end || '}'
+    || case when p_partkey % 6 = 1 and m > 0 then ',"new"' else '' end || repeat(']}', m) || ',"title":"' || case when p_partkey % 7 = 0 then p_brand else p_name end || '"}' as new
+from (select *, cast(p_partkey % 12 as int) as n, cast(case when p_partkey % 5 = 0 then floor((p_partkey % 12) / 2) else p_partkey % 12 end as int) as m from part)
+"""
+QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, problems, verdicts, states, content_hashes, canonical)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts, deep_edits, deep_edit_counts)}
 
 _content = ", ".join(f"'{e}'" for e in A.CONTENT_EVENTS)
 _canon = """'{"actor":{"name":"' || {a} || '"},"content_hash":' || case when {c} is null then 'null' else '"' || {c} || '"' end || ',"details":{"n":1},"event":"' || {e} || '","job_id":"' || {j} || '","prev_hash":"' || {p} || '","seq":' || {s} || ',"ts":"' || {t} || '"}'"""
@@ -122,7 +147,17 @@ problems as (
 """
 _rate = "case when approved and editable_items > 0 then edits_count / editable_items end"
 _jobs = f"with j as (select *, status = 'approved' as approved from ({synth.JOBS}))"
+_both = lambda kind: f"json_type(a) = '{kind}' and json_type(b) = '{kind}'"
+_deep = f"""with recursive p as (select job_id, '' as path, old::json as a, new::json as b from ({DEEP})
+  union all select job_id, path || chr(1) || s.step, s.a, s.b from (select job_id, path, unnest(
+    case when {_both("OBJECT")} then list_transform(list_distinct(json_keys(a) || json_keys(b)), lambda k: {{'step': k, 'a': coalesce(json_extract(a, k), 'null'::json), 'b': coalesce(json_extract(b, k), 'null'::json)}})
+         when {_both("ARRAY")} then list_transform(range(greatest(json_array_length(a), json_array_length(b))::bigint), lambda i: {{'step': '#' || i, 'a': json_extract(a, i), 'b': json_extract(b, i)}}) end) as s from p)),
+d as (select job_id, path, a::varchar as old, b::varchar as new from p where not coalesce({_both("OBJECT")} or {_both("ARRAY")}, false) and a::varchar is distinct from b::varchar)"""
+_odd = """'{"a":"é/' || p_brand || '","b":{"x":[' || p_size || '.0,0,2.5],"y":1.0},"price":' || p_size || '.5}'"""
 ORACLE_SQL = {
+    "audit_canonical": f"""select p_partkey as job_id, {_odd} as canonical, sha256('{{"assessment":{{"a":1.0}},"training_module":' || {_odd} || '}}') as content_hash from part""",
+    "metrics_deep_edits": f"{_deep} select * from d",
+    "metrics_deep_edit_counts": f"{_deep} select job_id, count(*) as edits from d group by job_id",
     "audit_content_hashes": """select p_partkey as job_id, sha256('{"assessment":{"passing_score":70,"questions":[true,[]]},"training_module":{"id":' || p_partkey || ',"none":null,"sections":[{"a":"' || p_brand || 'é","z":1}],"title":"' || p_name || '"}}') as content_hash from part""",
     "audit_chain_heads": f"with {TRAIL} select job_id, max_by(hash, file_line) as head_hash, count(*) as entries from trail group by job_id",
     "audit_problems": f"with {TRAIL} select * from problems",
@@ -136,5 +171,5 @@ ORACLE_SQL = {
     "metrics_by_source": f"{_jobs} select coalesce(nullif(source_filename, ''), '{M.UNKNOWN_SOURCE}') as source, count(*) as jobs, count(*) filter (where approved) as approved, (count(*) filter (where approved)) / count(*) as approval_rate, avg(edits_count) filter (where approved) as mean_edits, avg({_rate}) as mean_edit_rate from j group by 1",
     "metrics_edit_categories": f"{_jobs} select 'title' as category, sum(edits_title)::bigint as edits from j where approved union all select 'questions', sum(edits_questions)::bigint from j where approved",
     "metrics_failed_audits": f"{_jobs} select job_id from j where audit_verified = false",
-    "metrics_edit_counts": "with k as (select p_partkey as job_id, p_partkey as k, p_brand from part) select * from (select job_id, 'title' as category, 1 as edits from k where k % 3 = 0 union all select job_id, 'objectives', 1 from k where k % 4 in (0, 1) union all select job_id, 'questions', 1 from k where k % 5 = 0 union all select job_id, 'question_options', 1 from k where k % 7 = 0)",
+    "metrics_edit_counts": "with k as (select p_partkey as job_id, p_partkey as k, p_brand from part) select * from (select job_id, 'title' as category, 1 as edits from k where k % 3 = 0 union all select job_id, 'objectives', 1 from k where k % 4 in (0, 1) union all select job_id, 'questions', 1 from k where k % 5 = 0 union all select job_id, 'question_options', 1 from k where k % 7 = 0 union all select job_id, 'question_answers', 1 from k where k % 2 = 1)",
 }

@@ -93,4 +93,5 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     table = sql.rsplit("from ", 1)[1].split()[0].rstrip(")")
     head, _, tail = sql.rpartition(f"from {table}")
     # the statement's table is given by argument, so that no view's name is taken
-    return spark.sql(f"{head}from {{t}}{tail}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    plain = lambda x: x.replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"{plain(head)}from {{t}}{plain(tail)}", t=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
