@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vellum.operators import audit as A
 from vellum.operators import metrics as M
 from vellum.plans import synth
+from vellum.sources import rebuild as R
 
 
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,42 @@ def deep_edit_counts(spark, sf_dir):
     return M.edit_counts(both.select("job_id", F.col("old").alias("json")), both.select("job_id", F.col("new").alias("json")))
 
 
+def modules(spark, sf_dir):
+    """Training modules from saved records with missing, unknown and wrong keys, and the JSON that is saved again."""
+    df = R.rebuild(synth.view(spark, sf_dir, MODULES), "module", keep=["job_id"])
+    return df.select("job_id", "title", "estimated_duration", F.array_join("learning_objectives", "|").alias("objectives"), F.size("sections").alias("sections"), "summary", "rest", F.array_join(F.array_sort("faults"), ",").alias("faults"), "saved")
+
+
+def assessments(spark, sf_dir):
+    """Assessments from saved records; answer hashes are those of the options now, whatever is stored."""
+    df = R.rebuild(synth.view(spark, sf_dir, ASSESSMENTS), "assessment", keep=["job_id"])
+    q = F.get("questions", F.lit(0))
+    return df.select("job_id", "passing_score", "requested_questions", "leakage_count", q["points"].alias("points"), q["answer_hash"].alias("answer_hash"), F.array_join(q["faults"], ",").alias("question_faults"), F.array_join("faults", ",").alias("faults"), F.length("saved").alias("saved_length"))
+
+
+def documents(spark, sf_dir):
+    """Records of all documents, lines and text, through JSON and back."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    json = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("raw_content"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.col("lang").alias("version")))
+    df = R.rebuild(docs.select(F.col("doc_id").alias("job_id"), json.alias("json")), "document", keep=["job_id"])
+    return df.select("job_id", "version", F.size("lines").alias("lines"), F.sha2("saved", 256).alias("saved_sha256"), F.size("faults").alias("faults"))
+
+
+#: Saved modules: keys that are there or not, null, of another kind, or from a later version.
+MODULES = """
+select p_partkey as job_id, '{' || case when p_partkey % 3 <> 0 then '"title": "' || p_name || '", ' else '' end
+  || case p_partkey % 4 when 0 then '"estimated_duration": ' || p_size || ', ' when 1 then '"estimated_duration": "' || p_size || '", ' when 2 then '"estimated_duration": null, ' else '' end
+  || case p_partkey % 5 when 0 then '"learning_objectives": null, ' when 1 then '"learning_objectives": ["' || p_type || '", "' || p_brand || '"], ' when 2 then '"learning_objectives": ["' || p_type || '", 5], ' else '' end
+  || case when p_partkey % 2 = 0 then '"sections": [{"id": "s1", "share": 1.0, "citations": [[1, ' || p_size || ']]}, {}], ' else '"sections": {}, ' end
+  || case when p_partkey % 7 = 0 then '"future": {"n": ' || p_partkey || '}, ' else '' end || '"summary": "' || p_brand || ' é"}' as json
+from part
+"""
+ASSESSMENTS = """
+select p_partkey as job_id, '{"questions": [{"id": "q1", "options": ["' || p_name || '", "' || p_brand || '"], "correct_answer": ' || (p_partkey % 3) || ', "salt": "s' || p_partkey || '", "points": '
+  || case p_partkey % 4 when 0 then '2.5' when 1 then 'true' else '3' end || ', "answer_hash": "stale"}' || case when p_partkey % 5 = 0 then ', {}' else '' end || ']'
+  || case p_partkey % 6 when 0 then '' when 1 then ', "passing_score": null' when 2 then ', "passing_score": "80"' else ', "passing_score": 80' end || ', "leakage_count": ' || (p_partkey % 3) || ', "notes": ["n"]}' as json
+from part
+"""
 #: Keys out of order and twice, numbers of all forms, escapes.
 ODD_JSON = """select p_partkey as job_id, '{"price": 7, "b": {"y": 1.0, "x": 1e5, "x": [' || p_size || '.0, -0, 2.50]},  "a": "' || chr(92) || 'u00e9' || chr(92) || '/' || p_brand || '", "price": ' || p_size || '.50}' as json from part"""
 #: Two versions of records of up to 24 levels: changed, added, removed and cut short.
@@ -110,7 +147,7 @@ select p_partkey as job_id, '{"title":"' || p_name || '","deep":' || repeat('{"k
     || case when p_partkey % 6 = 1 and m > 0 then ',"new"' else '' end || repeat(']}', m) || ',"title":"' || case when p_partkey % 7 = 0 then p_brand else p_name end || '"}' as new
 from (select *, cast(p_partkey % 12 as int) as n, cast(case when p_partkey % 5 = 0 then floor((p_partkey % 12) / 2) else p_partkey % 12 end as int) as m from part)
 """
-QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, problems, verdicts, states, content_hashes, canonical)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts, deep_edits, deep_edit_counts)}
+QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, problems, verdicts, states, content_hashes, canonical)} | {f"records_{f.__name__}": f for f in (modules, assessments, documents)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts, deep_edits, deep_edit_counts)}
 
 _content = ", ".join(f"'{e}'" for e in A.CONTENT_EVENTS)
 _canon = """'{"actor":{"name":"' || {a} || '"},"content_hash":' || case when {c} is null then 'null' else '"' || {c} || '"' end || ',"details":{"n":1},"event":"' || {e} || '","job_id":"' || {j} || '","prev_hash":"' || {p} || '","seq":' || {s} || ',"ts":"' || {t} || '"}'"""
@@ -154,7 +191,23 @@ _deep = f"""with recursive p as (select job_id, '' as path, old::json as a, new:
          when {_both("ARRAY")} then list_transform(range(greatest(json_array_length(a), json_array_length(b))::bigint), lambda i: {{'step': '#' || i, 'a': json_extract(a, i), 'b': json_extract(b, i)}}) end) as s from p)),
 d as (select job_id, path, a::varchar as old, b::varchar as new from p where not coalesce({_both("OBJECT")} or {_both("ARRAY")}, false) and a::varchar is distinct from b::varchar)"""
 _odd = """'{"a":"é/' || p_brand || '","b":{"x":[' || p_size || '.0,0,2.5],"y":1.0},"price":' || p_size || '.5}'"""
+_modules = """select *, p_partkey % 3 <> 0 as titled, case when p_partkey % 5 = 1 then '["' || p_type || '","' || p_brand || '"]' else '[]' end as objs,
+  case when p_partkey % 4 = 0 then p_size when p_partkey % 4 = 2 then null else 0 end as minutes, case when p_partkey % 2 = 0 then '[{"citations":[[1,' || p_size || ']],"id":"s1","share":1.0},{}]' else '[]' end as secs from part"""
+_question = """'{"answer_hash":"' || hash || '","correct_answer":' || right_ || ',"explanation":"","id":"q1","options":["' || p_name || '","' || p_brand || '"],"points":' || points || ',"salt":"s' || p_partkey || '","source_ref":{},"text":"","topic":"","type":""}'"""
 ORACLE_SQL = {
+    "records_modules": f"""select p_partkey as job_id, case when titled then p_name else '' end as title, minutes::bigint as estimated_duration, case when p_partkey % 5 = 1 then p_type || '|' || p_brand else '' end as objectives,
+        case when p_partkey % 2 = 0 then 2 else 0 end as sections, p_brand || ' é' as summary, case when p_partkey % 7 = 0 then '{{"future":{{"n":' || p_partkey || '}}}}' end as rest,
+        concat_ws(',', case when p_partkey % 4 = 1 then 'estimated_duration' end, case when p_partkey % 5 = 2 then 'learning_objectives' end, case when p_partkey % 2 = 1 then 'sections' end) as faults,
+        '{{"estimated_duration":' || coalesce(minutes::varchar, 'null') || ',"learning_objectives":' || objs || ',"objectives":[],"prerequisites":[],"sections":' || secs || ',"summary":"' || p_brand || ' é","title":"' || case when titled then p_name else '' end || '"}}' as saved from ({_modules})""",
+    "records_assessments": f"""with a as (select *, p_partkey % 3 as right_, case when p_partkey % 4 in (0, 1) then 1 else 3 end as points, case p_partkey % 6 when 1 then null when 0 then 70 when 2 then 70 else 80 end as mark,
+          case p_partkey % 3 when 2 then '' else sha256('s' || p_partkey || '|' || trim(regexp_replace(lower(case p_partkey % 3 when 0 then p_name else p_brand end), '[^a-z0-9]+', ' ', 'g'))) end as hash from part)
+        select p_partkey as job_id, mark::bigint as passing_score, case when p_partkey % 5 = 0 then 2 else 1 end::bigint as requested_questions, right_::bigint as leakage_count, points::bigint as points, hash as answer_hash, case when p_partkey % 4 in (0, 1) then 'points' else '' end as question_faults,
+          case when p_partkey % 6 = 2 then 'passing_score' else '' end as faults,
+          length('{{"description":"","leakage_count":' || right_ || ',"notes":["n"],"passing_score":' || coalesce(mark::varchar, 'null') || ',"questions":[' || {_question} || case when p_partkey % 5 = 0 then ',{{"answer_hash":"","correct_answer":null,"explanation":"","id":"","options":[],"points":1,"salt":"","source_ref":{{}},"text":"","topic":"","type":""}}' else '' end
+            || '],"randomize_options":true,"randomize_questions":false,"requested_questions":' || case when p_partkey % 5 = 0 then 2 else 1 end || ',"time_limit":null,"title":""}}')::int as saved_length from a""",
+    "records_documents": """select doc_id as job_id, lang as version, len(string_split(coalesce(text, ''), chr(10)))::int as lines, 0 as faults,
+        sha256('{"definitions":{},"effective_date":"","injection_scan":{},"lines":' || to_json(string_split(coalesce(text, ''), chr(10)))::varchar || ',"procedures":[],"provenance":{},"purpose":"","raw_content":' || to_json(coalesce(text, ''))::varchar
+          || ',"references":[],"responsibilities":[],"safety_warnings":[],"scope":"","title":"","version":' || coalesce(to_json(lang)::varchar, '""') || '}') as saved_sha256 from documents""",
     "audit_canonical": f"""select p_partkey as job_id, {_odd} as canonical, sha256('{{"assessment":{{"a":1.0}},"training_module":' || {_odd} || '}}') as content_hash from part""",
     "metrics_deep_edits": f"{_deep} select * from d",
     "metrics_deep_edit_counts": f"{_deep} select job_id, count(*) as edits from d group by job_id",
