@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.functions.jsons import canonical
+from vellum.functions.jsons import canonical, quoted
 
 # Names and fields of the record.
 GENESIS = "0" * 64
@@ -64,6 +64,25 @@ def chained(entries: DataFrame) -> DataFrame:
     return rows.select("z.items.*", F.col("z.h").alias("prev_hash"), F.col("z.g").alias("hash"))
 
 
+def continued(entries: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Adds prev_hash and hash to entries (job_id, seq, ts, event, actor, content_hash, details), each job's chain going on from its stored head.
+
+    heads: (job_id, head_hash), at most one a job; jobs without one start anew. Entries of
+    a job come in the order of file_line where they have one, else of seq. As one job's entries follow each other, they are
+    folded in one row; what is folded is what is new, however long the stored trail.
+    """
+    front = F.concat(F.lit('{"actor":'), F.to_json("actor"), F.lit(',"content_hash":'), F.coalesce(quoted(F.col("content_hash")), F.lit("null")), F.lit(',"details":'), "details", F.lit(',"event":'), quoted(F.col("event")), F.lit(',"job_id":'), quoted(F.col("job_id").cast("string")), F.lit("}"))
+    back = F.concat(F.lit('","seq":'), F.col("seq").cast("string"), F.lit(',"ts":'), quoted(F.col("ts")), F.lit("}"))
+    place = F.col("file_line" if "file_line" in entries.columns else "seq")
+    items = entries.select("job_id", F.struct(place.alias("place"), "seq", "ts", "event", "actor", "content_hash", "details", F.concat(F.regexp_replace(canonical(front), r"\}$", ""), F.lit(',"prev_hash":"')).alias("front"), back.alias("back")).alias("x"))
+    rows = items.groupBy("job_id").agg(F.array_sort(F.collect_list("x")).alias("items"))
+    rows = rows.join(heads.select("job_id", "head_hash"), "job_id", "left") if heads is not None else rows.withColumn("head_hash", F.lit(None).cast("string"))
+    start = F.array(F.coalesce("head_hash", F.lit(GENESIS)))
+    hashes = F.aggregate("items", start, lambda s, x: F.concat(s, F.array(F.sha2(F.concat(x["front"], F.element_at(s, -1), x["back"]), 256))))
+    rows = rows.select("job_id", F.explode(F.arrays_zip("items", hashes.alias("h"), F.slice(hashes, F.lit(2), F.size("items")).alias("g"))).alias("z")).where("z.items is not null")
+    return rows.select("job_id", *[F.col(f"z.items.{c}") for c in ("place", "seq", "ts", "event", "actor", "content_hash", "details")], F.col("z.h").alias("prev_hash"), F.col("z.g").alias("hash"), F.concat("z.items.front", "z.h", "z.items.back").alias("payload"))
+
+
 def is_hash(x: Column) -> Column:
     return F.coalesce(x.rlike("^[0-9a-f]{64}$"), F.lit(False))
 
@@ -71,7 +90,8 @@ def is_hash(x: Column) -> Column:
 def problems(trail: DataFrame, key: bytes | None = None) -> DataFrame:
     """(job_id, phase, file_line, sub, seq, problem): every fault of every job's trail, in the order of checks given by phase, file_line, sub.
 
-    ``trail``: the record's columns with file_line; `claimed` job_id where the entry's own may differ, `mac` with a key.
+    ``trail``: the record's columns with file_line; `claimed` job_id where the entry's own may differ, `mac` with a key,
+    `payload` where what is hashed was read rather than is to be made from the columns.
     """
     w, all_ = W.partitionBy("job_id").orderBy("file_line"), W.partitionBy("job_id")
     claimed = F.col("claimed_job_id") if "claimed_job_id" in trail.columns else F.col("job_id")
@@ -84,7 +104,7 @@ def problems(trail: DataFrame, key: bytes | None = None) -> DataFrame:
     one = lambda phase, sub, bad, cond, name: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(phase).alias("phase"), F.lit(sub).alias("sub"), bad.cast("long").alias("seq"), F.lit(name).alias("problem")))
     seq = F.col("seq")
     faults = [
-        one(1, 1, seq, F.col("hash") != F.sha2(payload(F.col("prev_hash")), 256), "contents do not match the hash"),
+        one(1, 1, seq, F.col("hash") != F.sha2(F.col("payload") if "payload" in trail.columns else payload(F.col("prev_hash")), 256), "contents do not match the hash"),
         one(1, 2, seq, F.col("prev_hash") != F.col("_prev"), "does not chain to the entry before"),
         one(2, 1, F.least(seq, F.col("_at")), seq != F.col("_at"), "seq is not contiguous"),
         one(2, 2, seq, claimed != F.col("job_id"), "belongs to another job"),

@@ -24,6 +24,21 @@ def chain_heads(spark, sf_dir):
     return trail(spark, sf_dir).groupBy("job_id").agg(F.max_by("hash", "file_line").alias("head_hash"), F.count(F.lit(1)).alias("entries"))
 
 
+def continued_heads(spark, sf_dir):
+    """Heads of the same trails made in three sittings, each going on from the heads stored before."""
+    raw = synth.view(spark, sf_dir, synth.TRAIL)
+    content = F.when(F.col("event").isin(*A.CONTENT_EVENTS) & ~F.col("unhashed"), F.sha2(F.concat(F.lit("content-"), F.col("version").cast("string")), 256))
+    entries = raw.select("job_id", "file_line", "seq", "ts", "event", F.struct(F.col("actor").alias("name")).alias("actor"), content.alias("content_hash"), F.lit('{ "n" : 1 }').alias("details"))
+    heads = None
+    for some in ("file_line <= 7", "file_line between 8 and 30", "file_line > 30"):
+        made = A.continued(entries.where(some), heads).groupBy("job_id").agg(F.max_by("hash", F.col("place")).alias("head_hash"), F.count(F.lit(1)).alias("entries"))
+        if heads is not None:
+            # jobs without new entries keep their heads
+            made = heads.alias("a").join(made.alias("b"), "job_id", "full").select("job_id", F.coalesce("b.head_hash", "a.head_hash").alias("head_hash"), (F.coalesce("a.entries", F.lit(0)) + F.coalesce("b.entries", F.lit(0))).alias("entries"))
+        heads = made
+    return heads
+
+
 def problems(spark, sf_dir):
     return A.problems(trail(spark, sf_dir))
 
@@ -147,7 +162,7 @@ select p_partkey as job_id, '{"title":"' || p_name || '","deep":' || repeat('{"k
     || case when p_partkey % 6 = 1 and m > 0 then ',"new"' else '' end || repeat(']}', m) || ',"title":"' || case when p_partkey % 7 = 0 then p_brand else p_name end || '"}' as new
 from (select *, cast(p_partkey % 12 as int) as n, cast(case when p_partkey % 5 = 0 then floor((p_partkey % 12) / 2) else p_partkey % 12 end as int) as m from part)
 """
-QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, problems, verdicts, states, content_hashes, canonical)} | {f"records_{f.__name__}": f for f in (modules, assessments, documents)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts, deep_edits, deep_edit_counts)}
+QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, continued_heads, problems, verdicts, states, content_hashes, canonical)} | {f"records_{f.__name__}": f for f in (modules, assessments, documents)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts, deep_edits, deep_edit_counts)}
 
 _content = ", ".join(f"'{e}'" for e in A.CONTENT_EVENTS)
 _canon = """'{"actor":{"name":"' || {a} || '"},"content_hash":' || case when {c} is null then 'null' else '"' || {c} || '"' end || ',"details":{"n":1},"event":"' || {e} || '","job_id":"' || {j} || '","prev_hash":"' || {p} || '","seq":' || {s} || ',"ts":"' || {t} || '"}'"""
@@ -213,6 +228,7 @@ ORACLE_SQL = {
     "metrics_deep_edit_counts": f"{_deep} select job_id, count(*) as edits from d group by job_id",
     "audit_content_hashes": """select p_partkey as job_id, sha256('{"assessment":{"passing_score":70,"questions":[true,[]]},"training_module":{"id":' || p_partkey || ',"none":null,"sections":[{"a":"' || p_brand || 'é","z":1}],"title":"' || p_name || '"}}') as content_hash from part""",
     "audit_chain_heads": f"with {TRAIL} select job_id, max_by(hash, file_line) as head_hash, count(*) as entries from trail group by job_id",
+    "audit_continued_heads": f"with {TRAIL} select job_id, max_by(hash, file_line) as head_hash, count(*) as entries from trail group by job_id",
     "audit_problems": f"with {TRAIL} select * from problems",
     "audit_verdicts": f"""with {TRAIL}, b as (select job_id, count(*) as problems, min(seq) as first_bad_seq, arg_min(problem, phase * 100000000 + file_line * 10 + sub) as reason from problems group by job_id),
         m as (select job_id, count(*) as entries, max_by(hash, file_line) as head_hash, max(case when file_line = last_export then coalesce(same, false)::int end) = 1 as package_matches from t2 group by job_id)

@@ -132,6 +132,11 @@ def answer_hash(question: Column) -> Column:
     return F.when((F.coalesce(question["salt"], F.lit("")) != "") & (F.coalesce(right, F.lit("")) != ""), made).otherwise(F.lit(""))
 
 
+def _once(x: Column) -> Column:
+    """The value, worked out once a row: the planner would write an expression out wherever it is used, but not across a generator."""
+    return F.explode(F.array(x))
+
+
 def rebuild(records: DataFrame, record: str, json_col: str = "json", keep: list[str] | None = None) -> DataFrame:
     """One row a record: the columns that ``keep`` names, the record's fields, rest, faults and ``saved``.
 
@@ -142,17 +147,17 @@ def rebuild(records: DataFrame, record: str, json_col: str = "json", keep: list[
     keep = keep or []
     df = records.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)] or [F.lit(1).alias("k")]).alias("_keep"), F.col(json_col).alias("_text"), canonical(F.col(json_col)).alias("_json"))
     # text that is no JSON at all is told apart from null
-    df = df.select("_keep", rebuilt(F.when(F.col("_text").isNotNull(), F.coalesce("_json", F.lit('""'))), record).alias("r"))
+    df = df.select("_keep", _once(rebuilt(F.when(F.col("_text").isNotNull(), F.coalesce("_json", F.lit('""'))), record)).alias("r"))
     columns = {f.name: F.col(f"r.{f.name}") for f in RECORDS[record]}
     text = saved(F.col("r"), record)
     if record == "assessment":
         # each question with its hash and its JSON, made once
         of = lambda q: X.let(rebuilt(q, "question"), lambda s: F.struct(s.withField("answer_hash", answer_hash(s)).alias("question"), saved(s, "question").alias("saved")))
-        df = df.withColumn("q", F.transform("r.questions", of))
+        df = df.withColumn("q", _once(F.transform("r.questions", of)))
         columns["questions"] = F.transform("q", lambda x: x["question"])
         text = saved(F.col("r").withField("questions", F.transform("q", lambda x: x["saved"])), record)
     if record == "question":
         columns["answer_hash"] = answer_hash(F.col("r"))
     kept = [F.col(f"_keep.k{i}").alias(c) for i, c in enumerate(keep)]
-    out = df.select(*kept, *[c.alias(n) for n, c in columns.items()], F.col("r.rest").alias("rest"), F.col("r.faults").alias("faults"), text.alias("_saved"))
+    out = df.select(*kept, *[c.alias(n) for n, c in columns.items()], F.col("r.rest").alias("rest"), F.col("r.faults").alias("faults"), _once(text).alias("_saved"))
     return out.withColumn("saved", canonical(F.col("_saved"))).drop("_saved")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.jsons import canonical, quoted
 from vellum.functions.text import strip
 from vellum.operators import audit as A
 from vellum.operators import metrics as M
@@ -34,17 +35,28 @@ def read_jobs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def read_trails(spark: SparkSession, folder: str, name: str = "audit.jsonl") -> tuple[DataFrame, DataFrame]:
-    """(entries, problems) of all trails ``<folder>/<job>/<name>``.
+def trail_lines(spark: SparkSession, paths: str, group: Column, *order: Column) -> DataFrame:
+    """(group, path, file_line, line, last) of all log files, a row a line, however the files are split.
 
-    Entries are those intact, with their claimed job id beside the folder's. A blank
-    line, bad JSON, a wrong shape and an unfinished last line are problems.
+    group: what lines are numbered within, of the file's path; order: of a group's files.
+    A line's place is the start of the split that it was read in and its order there.
+    ``last`` marks a final line without a line feed, which is told by the file's length.
+    Bytes that are no UTF-8 become U+FFFD.
     """
-    df = spark.read.text(f"{folder}/*/{name}", wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("job_id"), F.col("value").alias("log"))
-    lines = df.select("job_id", F.posexplode(F.split("log", "\n")).alias("p", "line"), F.size(F.split("log", "\n")).alias("n")).select("job_id", (F.col("p") + 1).alias("file_line"), "line", (F.col("p") + 1 == F.col("n")).alias("last"))
-    lines = lines.where("not (last and line = '')").withColumn("v", F.try_parse_json("line"))
+    file = lambda f: F.col(f"_metadata.{f}")
+    df = spark.read.option("lineSep", "\n").text(paths).select(F.make_valid_utf8("value").alias("line"), F.octet_length("value").alias("bytes"), file("file_path").alias("path"), file("file_size").alias("size"), file("file_block_start").alias("start"))
+    df = df.withColumn("at", F.monotonically_increasing_id()).withColumn("group", group)
+    own = W.partitionBy("path").orderBy("start", "at")
+    read = F.sum(F.col("bytes") + 1).over(own)
+    df = df.select("*", (F.lead("at").over(own).isNull() & (read > F.col("size"))).alias("last"))
+    return df.select("group", "path", F.row_number().over(W.partitionBy("group").orderBy(*order, "path", "start", "at")).alias("file_line"), "line", "last")
+
+
+def parsed_lines(lines: DataFrame, job_id: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, problems) of lines (group, path, file_line, line, last); job_id is that of the folder, or else the entry's own."""
+    lines = lines.withColumn("v", F.try_parse_json("line"))
     kind = lambda f: F.coalesce(F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant")), F.lit("-"))
-    keys = F.map_keys(F.from_json("line", "map<string,string>"))
+    keys = F.json_object_keys("line")
     fields = F.array(*map(F.lit, sorted(A.FIELDS)))
     missing, unknown = F.array_except(fields, keys), F.array_sort(F.array_except(keys, fields))
     why = F.when(F.col("last"), "incomplete final line").when(strip(F.col("line")) == "", "blank line").when(F.col("v").isNull(), "not valid JSON").when(~F.schema_of_variant("v").startswith("OBJECT"), "entry is not an object")
@@ -57,10 +69,30 @@ def read_trails(spark: SparkSession, folder: str, name: str = "audit.jsonl") ->
         why = why.when(~kind(f).isin("STRING", "VOID"), f"{f} is not a string or null")
     lines = lines.withColumn("why", why)
     get = lambda f, t="string": F.try_variant_get("v", f"$.{f}", t)
-    entries = lines.where("why is null").select(
-        "job_id", "file_line", get("seq", "long").alias("seq"), get("ts").alias("ts"), get("job_id").alias("claimed_job_id"), get("event").alias("event"), get("actor").alias("actor"), get("content_hash").alias("content_hash"), get("details").alias("details"), get("prev_hash").alias("prev_hash"), get("hash").alias("hash"), get("mac").alias("mac"), "line",
+    part = F.from_json(canonical(F.col("line")), "actor string, details string")
+    good = lines.where("why is null").withColumn("part", part)
+    hashed = F.concat(
+        F.lit('{"actor":'), "part.actor", F.lit(',"content_hash":'), F.coalesce(quoted(get("content_hash")), F.lit("null")), F.lit(',"details":'), "part.details", F.lit(',"event":'), quoted(get("event")), F.lit(',"job_id":'), quoted(get("job_id")), F.lit(',"prev_hash":'), quoted(get("prev_hash")),
+        F.lit(',"seq":'), get("seq", "long").cast("string"), F.lit(',"ts":'), quoted(get("ts")), F.lit("}"),
+    )
+    own = get("job_id") if job_id is None else job_id
+    entries = good.select(
+        own.alias("job_id"), "file_line", get("seq", "long").alias("seq"), get("ts").alias("ts"), get("job_id").alias("claimed_job_id"), get("event").alias("event"), F.col("part.actor").alias("actor"), get("content_hash").alias("content_hash"), F.col("part.details").alias("details"), get("prev_hash").alias("prev_hash"), get("hash").alias("hash"), get("mac").alias("mac"),
+        "line", canonical(hashed).alias("payload"),
     )
-    return entries, lines.where("why is not null").select("job_id", "file_line", F.col("why").alias("problem"))
+    faults = lines.where("why is not null").select(*([job_id.alias("job_id")] if job_id is not None else ["path"]), "file_line", F.col("why").alias("problem"))
+    return entries, faults
+
+
+def read_trails(spark: SparkSession, folder: str, name: str = "audit.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(entries, problems) of all trails ``<folder>/<job>/<name>``, read line by line.
+
+    Entries are those intact, with their claimed job id beside the folder's, and the text
+    that their hash is of. A blank line, bad JSON, a wrong shape and an unfinished last
+    line are problems.
+    """
+    lines = trail_lines(spark, f"{folder}/*/{name}", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    return parsed_lines(lines, F.col("group"))
 
 
 def expired(jobs: DataFrame, trails: DataFrame, now: str, seconds: int, updated: str = "updated_at") -> DataFrame:
