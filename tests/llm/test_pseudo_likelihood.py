@@ -127,7 +127,33 @@ def test_rare_words_are_told_apart(spark):
                 own = counted.get(of[w], [])
                 want += math.log(discounted(w, (a, b), own) * (len(own) + 1) / (net.totals[of[w]] + 1))
         assert math.isclose(got[i], want, rel_tol=1e-5, abs_tol=1e-5), t
-    assert math.isclose(same[0], got[4], rel_tol=1e-5)
+    # within the corpus every token is predicted from all others
+    for i in (0, 7, 59):
+        want = pl.score_texts([texts[i]], net)[0][0]
+        for x in words(texts[i]):
+            if of[x[0]] >= pl.CLASSES - pl.RARE:
+                own = list(counted[of[x[0]]])
+                own.remove(x)
+                want += math.log(discounted(x[0], x[1:], own) * (len(own) + 1) / net.totals[of[x[0]]])
+        assert math.isclose(same[i], want, rel_tol=1e-5), i
+    assert same[0] < got[4]
+
+
+def test_junk_in_the_corpus_is_told_apart(spark):
+    """Texts, copies of them with half of their words garbled, and texts of random letters, all in the one table that is fitted and scored."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 300 and 5000").orderBy("doc_id").limit(660).select("text")
+    texts = sorted({r.text for r in df.collect()})
+    r = random.Random(9)
+    garble = lambda t: " ".join("".join(r.sample(w, len(w))) if r.random() < 0.5 else w for w in t.split())
+    garbled = [garble(t) for t in texts[::10]]
+    junk = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(200)) for _ in range(60)]
+    rows = [*((0, i, t) for i, t in enumerate(texts)), *((1, 10 * i, t) for i, t in enumerate(garbled)), *((2, i, t) for i, t in enumerate(junk))]
+    docs = spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    score = {x.doc_id: x.score for x in pl.score_documents(docs, pl.fit(docs)).collect()}
+    by = [{i: score[k] for k, (kind, i, _) in enumerate(rows) if kind == want} for want in range(3)]
+    worse = np.mean([by[0][i] > s for i, s in by[1].items()])
+    assert worse >= 0.97, worse
+    assert max(by[2].values()) < np.quantile(list(by[0].values()), 0.02), (max(by[2].values()), min(by[0].values()))
 
 
 def test_words_of_one_class_differ(spark):

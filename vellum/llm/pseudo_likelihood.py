@@ -306,20 +306,28 @@ def unpacked_tokens(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return word.view("<u8").ravel(), left, right, row
 
 
-def word_probabilities(word: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """P(word | subclass, left, right) of the tokens of one subclass; those that are ``known`` are what is counted."""
+def word_probabilities(word: np.ndarray, left: np.ndarray, right: np.ndarray, known: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """P(word | subclass, left, right) of the tokens of one subclass; those that are ``known`` are what is counted, but none of ``own`` counts for itself.
+
+    So a token that is itself part of the corpus is predicted from all others: at every
+    level its own occurrence is taken off the counts of its word, of its context and of
+    the kinds of words seen there.
+    """
     w = np.unique(word, return_inverse=True)[1]
+    size, off = int(w.max()) + 1, (known & own).astype(np.int64)
 
     def discounted(context: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
         c = np.unique(context, return_inverse=True)[1]
-        pairs, pair = np.unique(c * (int(w.max()) + 1) + w, return_inverse=True)
-        n = np.bincount(pair[known], minlength=len(pairs))
-        whole = np.bincount(c[known], minlength=int(c.max()) + 1)[c]
-        kinds = np.bincount((pairs // (int(w.max()) + 1))[n > 0], minlength=int(c.max()) + 1)[c]
-        return np.where(whole > 0, (np.maximum(n[pair] - DISCOUNT, 0) + DISCOUNT * kinds * otherwise) / np.maximum(whole, 1), otherwise)
-
-    seen = np.count_nonzero(np.bincount(w[known], minlength=1))
-    alone = discounted(np.zeros(len(w), np.int64), np.full(len(w), 1.0 / (seen + 1)))
+        pairs, pair = np.unique(c * size + w, return_inverse=True)
+        seen = np.bincount(pair[known], minlength=len(pairs))
+        n = seen[pair] - off
+        whole = np.bincount(c[known], minlength=int(c.max()) + 1)[c] - off
+        kinds = np.bincount((pairs // size)[seen > 0], minlength=int(c.max()) + 1)[c] - (off & (n == 0))
+        return np.where(whole > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds * otherwise) / np.maximum(whole, 1), otherwise)
+
+    each = np.bincount(w[known], minlength=size)
+    kinds = np.count_nonzero(each) - (off & (each[w] == 1))
+    alone = discounted(np.zeros(len(w), np.int64), 1.0 / (kinds + 1))
     either = (discounted(left, alone) + discounted(right, alone)) / 2
     return discounted((left.astype(np.uint64) << np.uint64(32)) | right, either)
 
@@ -330,7 +338,8 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
     log_likelihood is the sum over all tokens, score that sum a token; a null, empty or
     blank text has 0 tokens, a sum of 0 and a null score. Repeated rows repeat; an empty table gives no rows; other columns are not looked at.
     The words counted are those of the documents that the network is fitted on; where those
-    are ``docs`` itself, every token is dealt once.
+    are ``docs`` itself, every token is dealt once and is masked in the counts as well: no
+    occurrence speaks for itself.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     own_corpus = net.corpus is docs and net.text_col == text_col
@@ -390,8 +399,9 @@ def score_documents(docs: DataFrame, net: Network, id_col: str = "doc_id", text_
             word, left, right, row = (np.concatenate(x) for x in zip(*got, strict=True))
             base, known = np.repeat(np.array(bases, np.int64), sizes), np.repeat(np.array(known, bool), sizes)
             of = int(np.searchsorted(first, some["sub"][0].as_py(), "right")) - 1
-            log_p = np.log(word_probabilities(word, left, right, known)) + np.log((known.sum() + 1) / (total[of] + parts[of]))
             asked = base >= 0
+            off = known & asked
+            log_p = np.log(word_probabilities(word, left, right, known, asked)) + np.log((known.sum() - off + 1) / (total[of] + parts[of] - off))
             rows, at = np.unique(base[asked] + row[asked], return_inverse=True)
             if len(rows):
                 sums = np.bincount(at, log_p[asked])
