@@ -116,11 +116,69 @@ def test_sweep_is_of_both_numbers(spark, questions):
     assert {r.doc_id: r.thin for r in got} == {r.doc_id: short[r.doc_id] for r in got} and len(got) == 200
 
 
+def by_hand(own, medical):
+    """The best score of the sweep's strategies, from the options themselves."""
+    total = sum(r["points"] for r in own)
+    picks = {f"index{i}_last": lambda r, i=i: min(i, len(r["options"]) - 1) for i in range(4)} | {
+        "last": lambda r: len(r["options"]) - 1, "longest": lambda r: max(range(len(r["options"])), key=lambda i: len(r["options"][i])), "shortest": lambda r: min(range(len(r["options"])), key=lambda i: len(r["options"][i])),
+        "always_true": lambda r: 0 if r["type"] == "true_false" else None,
+    }
+    return [(100.0 * sum(r["points"] for r in own if p(r) == r["correct_answer"]) / total, name, medical) for name, p in picks.items()]
+
+
+def test_sweep_scores(spark, questions):
+    """The worst of every run and strategy, those by text included, with the pass mark of the run that gave it."""
+    _, rows = questions
+    want = {}
+    for (doc, medical, _), own in sorted(runs(rows).items()):
+        for score, name, kind in by_hand(own, medical):
+            if score > want.get(doc, (0.0, None, None))[0]:
+                want[doc] = (score, name, kind)
+    got = {r.doc_id: r for r in corpus_queries.sweep(spark, D).collect()}
+    assert len(got) == 200
+    for doc, (score, name, kind) in want.items():
+        r = got[doc]
+        assert r.ok and (round(r.worst, 6), r.strategy, r.medical, r.passing_score) == (round(score, 6), name, kind, 80 if kind else 70)
+        assert r.gameable == (score >= r.passing_score)
+    assert {"longest", "shortest"} & {r.strategy for r in got.values()}
+
+
+def one(doc, medical, score):
+    """A question that the last option answers, and one that nothing does, worth so much together."""
+    q = {"doc_id": doc, "doc_key": "k", "medical": medical, "requested": 5, "type": "multiple_choice", "n_options": 3}
+    return [q | {"id": "a", "options": ["aa", "bb", "cc"], "correct_answer": 2, "points": score}, q | {"id": "b", "options": ["x", "yyy", "zz"], "correct_answer": 9, "points": 100 - score}]
+
+
+def test_pass_marks_and_errors(spark):
+    """A medical run of 70 to 79 is safe and an ordinary one is not; a document that fails is one row and counted."""
+    schema = "doc_id long, doc_key string, medical boolean, requested int, type string, n_options int, id string, options array<string>, correct_answer int, points int"
+    rows = one(1, True, 75) + one(2, False, 75) + one(3, True, 80)
+    f = spark.createDataFrame([(i, ["x"], [], [], [], ["y"]) for i in range(1, 6)], "doc_id long, steps array<string>, warnings array<string>, definitions array<string>, purpose array<string>, scope array<string>")
+    errors = spark.createDataFrame([(4, True, 8, "late"), (4, False, 8, "ValueError: bad"), (4, True, 5, "x")], "doc_id long, medical boolean, requested int, error string")
+    risks = spark.createDataFrame([(i, "low") for i in range(1, 5)], "doc_id long, risk string")
+    df = A.swept(f, spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema), errors, risks)
+    got = {r.doc_id: r for r in df.collect()}
+    assert [(got[i].worst, got[i].passing_score, got[i].gameable, got[i].strategy) for i in (1, 2, 3)] == [(75.0, 80, False, "index2_last"), (75.0, 70, True, "index2_last"), (80.0, 80, True, "index2_last")]
+    assert (got[4].ok, got[4].error, got[4].worst, got[4].gameable, got[4].thin) == (False, "ValueError: bad", None, None, None)
+    assert (got[5].ok, got[5].worst, got[5].strategy, got[5].gameable, got[5].risk) == (True, 0.0, None, False, None)
+    (t,) = Z.sweep(df).collect()
+    assert (t.documents, t.errors, t.gameable, t.with_scope, t.risk_low) == (5, 1, 2, 4, 3)
+
+
+def test_one_bad_document_harms_no_other(spark, questions):
+    f, rows = questions
+    bad = f.withColumn("warnings", A.F.when(A.F.col("doc_id") == 7, A.F.array(A.F.lit(None).cast(f.schema["warnings"].dataType.elementType))).otherwise(A.F.col("warnings")))
+    out = A.attempted(bad, (5, 8), (False, True)).collect()
+    assert [(r.doc_id, r.medical, r.requested) for r in out if r.error] == [(7, m, n) for n in (5, 8) for m in (False, True)] and all(r.id is None for r in out if r.error)
+    assert sum(not r.error for r in out) == sum(r["doc_id"] != 7 for r in rows)
+
+
 def test_sweep_totals(spark):
-    rows = [(i, i % 13, 1, 2, True, i % 2 == 0, "low", float(i % 7 * 10), f"s{i}", i % 7 == 6, i % 3) for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, steps long, warnings long, definitions long, has_purpose boolean, has_scope boolean, risk string, worst double, strategy string, gameable boolean, thin long")
+    rows = [(i, i != 39, None, i % 13, 1, 2, True, i % 2 == 0, "low", float(i % 7 * 10), f"s{i}", 70, i % 7 == 6, i % 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, ok boolean, error string, steps long, warnings long, definitions long, has_purpose boolean, has_scope boolean, risk string, worst double, strategy string, passing_score int, gameable boolean, thin long")
     (got,) = Z.sweep(df).collect()
-    assert (got.documents, got.with_scope, got.warnings, got.definitions, got.risk_low, got.risk_none) == (40, 20, 40, 80, 40, 0)
+    rows = rows[:39]
+    assert (got.documents, got.errors, got.with_scope, got.warnings, got.definitions, got.risk_low, got.risk_none) == (40, 1, 20, 39, 78, 39, 0)
     assert got.thin == sum(r[-1] for r in rows) and got.gameable == sum(r[-2] for r in rows)
-    assert {x["steps"]: x["documents"] for x in json.loads(got.steps_per_document)} == Counter(min(r[1], 10) for r in rows)
-    assert [(x["doc_id"], x["worst"], x["strategy"]) for x in json.loads(got.worst)] == [(r[0], r[7], r[8]) for r in sorted(rows, key=lambda r: (-r[7], r[0]))[:5]]
+    assert {x["steps"]: x["documents"] for x in json.loads(got.steps_per_document)} == Counter(min(r[3], 10) for r in rows)
+    assert [(x["doc_id"], x["worst"], x["strategy"]) for x in json.loads(got.worst)] == [(r[0], r[9], r[10]) for r in sorted(rows, key=lambda r: (-r[9], r[0]))[:5]]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from vellum.functions import text as T
 from vellum.operators import quiz as Z
 from vellum.operators import structure as S
+from vellum.sources.shared import stored
 
 # Points, limits and the order in which categories are filled.
 CHOICE, TWO_WAY, SAFETY_CHOICE, SAFETY_TWO_WAY = 2, 1, 4, 2
@@ -47,19 +48,15 @@ def material(x: Column) -> Column:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_key and arrays of materials: purpose, scope, responsibilities, definitions (with term), steps (with number, in natural order), warnings."""
-    m = S.marked(S.lines(docs))
-    listed = lambda df, order, *cols: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order, *cols))).alias("x"))
-    texts = S.section_texts(m)
-    parts = {f"_{k}": texts.where(f"section = '{k}'").select("doc_id", T.sentences(F.col("text")).alias("x")) for k in ("purpose", "scope")}
-    parts["_resp"] = listed(S.responsibilities(m), "idx", "text")
-    parts["_defs"] = listed(S.definitions(m), "ord", "term", "definition")
-    parts["_steps"] = listed(S.steps(m).withColumn("k", S.step_key(F.col("step_number"))), "k", "ord", "step_number", "title", "body", "s", "e")
-    parts["_warn"] = listed(S.warnings(m), "idx", "text")
-    version = S.first_match(docs, S.VERSION, "version").select("doc_id", "version")
-    df = docs.select("doc_id").join(S.titles(m).select("doc_id", "title"), "doc_id", "left").join(version, "doc_id", "left")
-    for name, part in parts.items():
-        df = df.join(part.withColumnRenamed("x", name), "doc_id", "left")
+    """One row a document, in one pass and one exchange: doc_key and arrays of materials: purpose, scope, responsibilities, definitions (with term), steps (with number, in natural order), warnings."""
+    f = S.found(docs.select("doc_id", "text"))
+    of = lambda kind, x: F.when(F.col("kind") == kind, x)
+    listed = lambda kind, *cols: F.array_sort(F.collect_list(of(kind, F.struct(*cols))))
+    df = f.groupBy("doc_id").agg(
+        *[F.max(of(k, F.col("text"))).alias(k) for k in ("title", "version")], *[T.sentences(F.max(of(k, F.col("text")))).alias(f"_{k}") for k in ("purpose", "scope")],
+        listed("responsibilities", "ord", "text").alias("_resp"), listed("definition", "ord", F.col("key").alias("term"), F.col("text").alias("definition")).alias("_defs"),
+        listed("step", S.step_key(F.col("number")).alias("k"), "ord", F.col("number").alias("step_number"), "title", F.col("text").alias("body"), "s", "e").alias("_steps"), listed("safety", "ord", "text").alias("_warn"),
+    )
     each = lambda c, f: F.coalesce(F.transform(c, f), F.array())
     return df.select(
         "doc_id", T.document_key(F.col("title"), F.col("version")).alias("doc_key"), each("_purpose", material).alias("purpose"), each("_scope", material).alias("scope"), each("_resp", lambda r: material(r["text"])).alias("responsibilities"),
@@ -325,8 +322,8 @@ def assess(doc: dict, count: int, medical: bool) -> list[dict]:
 SCHEMA = "doc_id long, doc_key string, medical boolean, requested int, ord int, id string, category string, type string, text string, options array<string>, correct_answer int, points int, salt string, answer_hash string, leaks int, kind string, term string, step_number string, warning_index int, s int, e int"
 
 
-def assessments(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[bool, ...] = (False,)) -> DataFrame:
-    """Questions of every document for each requested number and with or without the required ones, right options first; see `placed`."""
+def attempted(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[bool, ...] = (False,)) -> DataFrame:
+    """Questions as `assessments` gives them, with ``error``: a run (document, number, kind) that fails is one row with its reason and no question, and harms no other."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,10 +333,20 @@ def assessments(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tupl
                 doc = {k: _plain(v) for k, v in doc.items()}
                 for n in counts:
                     for m in medical:
-                        rows += [{"doc_id": doc["doc_id"], "doc_key": doc["doc_key"], "medical": m} | r for r in assess(doc, n, m)]
-            yield pd.DataFrame(rows, columns=names).astype({k: "Int64" for k in ("warning_index", "s", "e")})
+                        own = {"doc_id": doc["doc_id"], "doc_key": doc["doc_key"], "medical": m, "requested": n}
+                        try:
+                            rows += [own | {"error": None} | r for r in assess(doc, n, m)]
+                        except Exception as e:
+                            rows.append(dict.fromkeys(names) | own | {"error": f"{type(e).__name__}: {str(e)[:160]}"})
+            made = pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
+            yield made.astype({k: "Int64" for k in ("ord", "correct_answer", "points", "leaks", "warning_index", "s", "e")})
+
+    return facts_.mapInPandas(run, f"{SCHEMA}, error string")
 
-    return facts_.mapInPandas(run, SCHEMA)
+
+def assessments(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[bool, ...] = (False,)) -> DataFrame:
+    """Questions of every document for each requested number and with or without the required ones, right options first; see `placed`. Runs that fail have none; see `attempted`."""
+    return attempted(facts_, counts, medical).where("error is null").drop("error")
 
 
 def _plain(v: object) -> object:
@@ -371,14 +378,37 @@ def relaid(questions: DataFrame) -> DataFrame:
 
 
 def sweep(docs: DataFrame, risks: DataFrame, counts: tuple[int, ...] = (5, 8)) -> DataFrame:
-    """(doc_id, steps, warnings, definitions, has_purpose, has_scope, risk, worst, strategy, gameable, thin): both kinds of assessment, every number, every strategy."""
-    f = facts(docs)
-    q = placed(assessments(f, counts, (False, True))).withColumn("_run", F.concat_ws("|", F.col("doc_id").cast("string"), F.col("medical").cast("string"), F.col("requested").cast("string")))
-    runs = q.groupBy("doc_id", "_run", "requested").agg(F.count(F.lit(1)).alias("n"))
-    thin = runs.groupBy("doc_id").agg(F.count_if(F.col("n") < F.col("requested")).alias("thin"))
-    scores = Z.naive_scores(q.select(F.col("_run").alias("doc_id"), "n_options", "correct_answer", "points"))
-    worst = Z.worst_strategy(scores, 70.0).withColumn("doc_id", F.split("doc_id", r"\|")[0].cast("long"))
-    worst = worst.groupBy("doc_id").agg(F.max("score").alias("worst"), F.max_by("strategy", F.struct("score", "strategy")).alias("strategy"), F.max("gameable").alias("gameable"))
+    """(doc_id, ok, error, steps, warnings, definitions, has_purpose, has_scope, risk, worst, strategy, medical, passing_score, gameable, thin): both kinds of assessment, every number, every strategy.
+
+    A document of which a run fails is a row with ok false and the first reason, without
+    scores. ``worst`` is the most that a strategy of SWEPT gets in a run, ``strategy``,
+    ``medical`` and ``passing_score`` those of the run that gave it, the first one of equals
+    by kind, number and order of SWEPT; gameable compares the two. Facts and questions
+    are made once and written to shared storage.
+    """
+    f = stored(facts(docs), "facts")
+    tried = stored(attempted(f, counts, (False, True)), "questions")
+    return swept(f, placed(tried.where("error is null").drop("error")), tried.where("error is not null").select("doc_id", "medical", "requested", "error"), risks)
+
+
+def swept(facts_: DataFrame, questions: DataFrame, errors: DataFrame, risks: DataFrame) -> DataFrame:
+    """The rows of `sweep` from facts, laid-out questions, failed runs and risks."""
+    run = ["doc_id", "medical", "requested"]
+    lengths = F.transform("options", lambda o: F.length(o))
+    q = questions.withColumn("_run", F.struct(*run)).select(F.col("_run").alias("doc_id"), "type", "n_options", "correct_answer", "points", lengths.alias("lengths"))
+    scores = Z.naive_scores(q, F.col("lengths")).where(F.col("strategy").isin(*Z.SWEPT))
+    order = F.array_position(F.array(*map(F.lit, Z.SWEPT)), F.col("strategy"))
+    best = F.max(F.struct("score", (~F.col("doc_id.medical")).alias("base"), (-F.col("doc_id.requested")).alias("n"), (-order).alias("o"), "strategy", F.col("doc_id.medical").alias("medical")))
+    worst = scores.groupBy(F.col("doc_id.doc_id").alias("doc_id")).agg(best.alias("x")).select("doc_id", F.col("x.score").alias("worst"), F.col("x.strategy").alias("strategy"), F.col("x.medical").alias("medical"))
+    thin = questions.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.count_if(F.col("n") < F.col("requested")).alias("thin"))
+    failed = errors.groupBy("doc_id").agg(F.min(F.struct("medical", "requested", "error"))["error"].alias("error"))
     n = lambda c: F.size(c).cast("long").alias(c)
-    out = f.select("doc_id", n("steps"), n("warnings"), n("definitions"), (F.size("purpose") > 0).alias("has_purpose"), (F.size("scope") > 0).alias("has_scope"))
-    return out.join(risks.select("doc_id", "risk"), "doc_id", "left").join(worst, "doc_id", "left").join(thin, "doc_id", "left").na.fill({"worst": 0.0, "gameable": False, "thin": 0})
+    out = facts_.select("doc_id", n("steps"), n("warnings"), n("definitions"), (F.size("purpose") > 0).alias("has_purpose"), (F.size("scope") > 0).alias("has_scope"))
+    out = out.join(risks.select("doc_id", "risk"), "doc_id", "left").join(worst, "doc_id", "left").join(thin, "doc_id", "left").join(failed, "doc_id", "left")
+    ok = F.col("error").isNull()
+    when = lambda c, x=None: F.when(ok, F.col(c) if x is None else F.coalesce(c, F.lit(x))).alias(c)
+    mark = F.when(F.col("medical"), Z.PASS_MARKS[True]).otherwise(Z.PASS_MARKS[False])
+    return out.select(
+        "doc_id", ok.alias("ok"), "error", "steps", "warnings", "definitions", "has_purpose", "has_scope", "risk", when("worst", 0.0), when("strategy"), when("medical"), F.when(ok & F.col("strategy").isNotNull(), mark).alias("passing_score"),
+        F.when(ok, F.coalesce(F.col("worst") >= mark, F.lit(False))).alias("gameable"), when("thin", 0),
+    )

@@ -16,9 +16,15 @@ CEILING, LENGTH_CEILING = 0.65, 0.35
 INTERACTIONS = {"multiple_choice": "choice", "true_false": "true-false", "sequence": "choice"}
 OPTION_IDS = "abcdefghijklmnopqrstuvwxyz"
 PROMPT_CHARS, SUSPEND_CHARS = 250, 4096
+#: Pass marks of ordinary and of medical assessments.
+PASS_MARKS = {False: 70, True: 80}
 RANK = {"purpose_scope": 0, "definition": 1, "step": 2, "sequence": 3, "safety": 4, "md_required": 5}
 #: (name, kind, index, what is picked where there is no such option)
 STRATEGIES = [(f"index{i}_{f}", "index", i, f) for i in range(4) for f in ("first", "last")] + [("last", "last", 0, "last")]
+#: Strategies that look at the options' texts rather than their places.
+BY_TEXT = ("longest", "shortest", "always_true")
+#: What a corpus sweep tries, in its order.
+SWEPT = ("index0_last", "index1_last", "index2_last", "index3_last", "last", *BY_TEXT)
 
 
 def strategies(spark) -> DataFrame:
@@ -32,15 +38,24 @@ def pick(n_options: Column) -> Column:
     return F.when(F.col("kind") == "last", last).when(F.col("aim") < n_options, F.col("aim")).when(F.col("fallback") == "first", 0).otherwise(last)
 
 
-def naive_scores(questions: DataFrame) -> DataFrame:
-    """(doc_id, strategy, score): the share of points, in per cent, that each strategy gets. Every question meets the nine strategies on its own row."""
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(k).alias("kind"), F.lit(a).alias("aim"), F.lit(f).alias("fallback")) for n, k, a, f in STRATEGIES]))
-    df = questions.select("*", each.alias("st")).select("*", "st.*")
+def naive_scores(questions: DataFrame, lengths: Column | None = None) -> DataFrame:
+    """(doc_id, strategy, score): the share of points, in per cent, that each strategy gets, every question on its own row.
+
+    Nine strategies go by place. With ``lengths`` (an array by option) three more go by
+    text: the longest option, the shortest, the first one of equals, and in two-way items
+    the first, "True", whereas other questions get no answer. Needs ``type`` then.
+    """
+    own = [F.struct(F.lit(n).alias("strategy"), F.lit(k).alias("kind"), F.lit(a).alias("aim"), F.lit(f).alias("fallback")) for n, k, a, f in STRATEGIES]
+    picked = lambda name, at: F.struct(F.lit(name).alias("strategy"), F.lit("option").alias("kind"), at.cast("int").alias("aim"), F.lit("last").alias("fallback"))
+    if lengths is not None:
+        by_text = (F.array_position(lengths, F.array_max(lengths)) - 1, F.array_position(lengths, F.array_min(lengths)) - 1, F.when(F.col("type") == "true_false", 0).otherwise(-1))
+        own += [picked(name, at) for name, at in zip(BY_TEXT, by_text, strict=True)]
+    df = questions.select("*", F.explode(F.array(*own)).alias("st")).select("*", "st.*")
     return df.groupBy("doc_id", "strategy").agg((100.0 * F.sum(F.when(pick(F.col("n_options")) == F.col("correct_answer"), F.col("points")).otherwise(0)) / F.greatest(F.sum("points"), F.lit(1))).alias("score"))
 
 
-def worst_strategy(scores: DataFrame, pass_mark: float) -> DataFrame:
-    """(doc_id, strategy, score, gameable): the best a learner gets without reading; of equal ones the first by name."""
+def worst_strategy(scores: DataFrame, pass_mark: float | Column) -> DataFrame:
+    """(doc_id, strategy, score, gameable): the best a learner gets without reading; of equal ones the first by name. ``pass_mark``: a number, or of doc_id."""
     best = scores.groupBy("doc_id").agg(F.max("score").alias("score")).join(scores, ["doc_id", "score"]).groupBy("doc_id", "score").agg(F.min("strategy").alias("strategy"))
     return best.select("doc_id", "strategy", "score", (F.col("score") >= pass_mark).alias("gameable"))
 
@@ -209,17 +224,19 @@ def interleaved(first: DataFrame, second: DataFrame, rotate: int = 0) -> DataFra
 
 
 def sweep(documents: DataFrame) -> DataFrame:
-    """One row over all documents (doc_id, steps, warnings, definitions, has_purpose, has_scope, risk, worst, strategy, gameable, thin): the totals of a corpus run.
+    """One row over all documents (ok, error and the columns of a sweep): the totals of a corpus run, over the documents that are ok.
 
-    steps_per_document is steps_histogram, worst the five documents with the highest scores, both as JSON.
+    steps_per_document is steps_histogram, worst the five documents with the highest
+    scores, both as JSON.
     """
+    good = F.col("ok")
     totals = documents.agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if("has_purpose").alias("with_purpose"), F.count_if("has_scope").alias("with_scope"), F.sum("warnings").alias("warnings"), F.sum("definitions").alias("definitions"), F.count_if("gameable").alias("gameable"),
-        F.sum("thin").alias("thin"), *[F.count_if(F.col("risk") == r).alias(f"risk_{r}") for r in ("high", "low", "none")],
+        F.count(F.lit(1)).alias("documents"), F.count_if(~good).alias("errors"), F.count_if(good & F.col("has_purpose")).alias("with_purpose"), F.count_if(good & F.col("has_scope")).alias("with_scope"), *[F.sum(F.when(good, F.col(c))).alias(c) for c in ("warnings", "definitions")],
+        F.count_if(good & F.col("gameable")).alias("gameable"), F.sum(F.when(good, F.col("thin"))).alias("thin"), *[F.count_if(good & (F.col("risk") == r)).alias(f"risk_{r}") for r in ("high", "low", "none")],
     )
     listed = lambda *c: F.to_json(F.array_sort(F.collect_list(F.struct(*c))))
-    steps = steps_histogram(documents).agg(listed("steps", "documents").alias("steps_per_document"))
-    worst = documents.orderBy(F.desc("worst"), "doc_id").limit(5).select((-F.col("worst")).alias("_less"), "doc_id", "worst", "strategy").agg(F.array_sort(F.collect_list(F.struct("_less", "doc_id", "worst", "strategy"))).alias("_w"))
+    steps = steps_histogram(documents.where(good)).agg(listed("steps", "documents").alias("steps_per_document"))
+    worst = documents.where(good).orderBy(F.desc("worst"), "doc_id").limit(5).select((-F.col("worst")).alias("_less"), "doc_id", "worst", "strategy", "passing_score").agg(F.array_sort(F.collect_list(F.struct("_less", "doc_id", "worst", "strategy", "passing_score"))).alias("_w"))
     worst = worst.select(F.to_json(F.transform("_w", lambda x: x.dropFields("_less"))).alias("worst"))
     return totals.crossJoin(steps).crossJoin(worst)
 

@@ -13,6 +13,7 @@ from vellum.plans import scan_queries as C
 from vellum.plans import structure_queries as Q
 from vellum.plans import text_queries as X
 from vellum.sources import sinks
+from vellum.sources.shared import stored
 
 
 def questions(spark, sf_dir):
@@ -32,7 +33,7 @@ def sweep(spark, sf_dir):
 
 
 def sweep_totals(spark, sf_dir):
-    return Z.sweep(_swept(spark, sf_dir))
+    return Z.sweep(stored(_swept(spark, sf_dir), "sweep"))
 
 
 def requests(spark, sf_dir):

@@ -8,6 +8,7 @@ from vellum.functions import text as T
 from vellum.operators import grounding as G
 from vellum.operators import quiz as Z
 from vellum.operators import structure as S
+from vellum.plans import quiz_queries as K
 from vellum.plans import structure_queries as Q
 from vellum.plans import synth
 
@@ -42,7 +43,7 @@ def proposals(spark, sf_dir):
 
 def reverted(spark, sf_dir):
     q = synth.view(spark, sf_dir, synth.QUESTIONS)
-    worst = Z.worst_strategy(Z.naive_scores(q), 70.0)
+    worst = Z.worst_strategy(Z.naive_scores(q, K.lengths()), 70.0)
     df = q.select("doc_id", F.lit("distractors").alias("task"), F.col("id").alias("target"), "ord", (F.col("pick") % 3 > 0).alias("ok"))
     out = G.reverted(G.applied(df, df), worst)
     return out.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
@@ -112,6 +113,6 @@ ORACLE_SQL = {
             case when overlap < {G.OVERLAP} and not (len(terms) > 0 and len(list_filter(terms, lambda w: not list_contains(known, w))) = 0) then 'overlap' end, case when len(un) > {G.UNSUPPORTED} then 'unsupported words' end, case when added <> '' then 'added clause' end], lambda r: r is not null) end as r from c3)
         select doc_id, cid, len(r) = 0 as ok, array_to_string(r, '; ') as reasons, overlap, array_to_string(un, ' ') as unsupported, added from c4""",
     "grounding_proposals": f"{_q}, p as (select doc_id, ord, case when ord % 4 = 0 then 'q1' else id end as target, pick % 2 = 0 as ok from q), n as (select *, row_number() over (partition by doc_id, target order by ord) as k from p) select doc_id, ord, target, case when not exists (select 1 from q where q.doc_id = n.doc_id and q.id = n.target and q.ord % 3 <> 0) then 'unknown target' when k > 1 then 'duplicate' when ok then 'accepted' else 'rejected' end as status from n",
-    "grounding_reverted": f"{_q}, st(strategy, kind, aim, fallback) as (values {', '.join(map(str, Z.STRATEGIES))}), s as (select doc_id, strategy, 100.0 * sum(case when case when kind = 'last' then n_options - 1 when aim < n_options then aim when fallback = 'first' then 0 else n_options - 1 end = correct_answer then points else 0 end) / greatest(sum(points), 1) as score from q, st group by all), g as (select doc_id, max(score) >= 70 as gameable from s group by doc_id) select case when pick % 3 > 0 and gameable then 'reverted' when pick % 3 > 0 then 'accepted' else 'rejected' end as status, count(*) as n from q join g using (doc_id) group by 1",
+    "grounding_reverted": f"{_q}, {K._all}, {K._scores}, g as (select doc_id, max(score) >= 70 as gameable from scores group by doc_id) select case when pick % 3 > 0 and gameable then 'reverted' when pick % 3 > 0 then 'accepted' else 'rejected' end as status, count(*) as n from q join g using (doc_id) group by 1",
     "grounding_by_task": f"{_q} select case when ord % 2 = 0 then 'summaries' else 'objectives' end as task, count(*) filter (where pick % 3 > 0) as accepted, count(*) filter (where pick % 3 = 0) as rejected, count(*) as total from q group by 1",
 }

@@ -15,17 +15,22 @@ def questions(spark, sf_dir):
     return synth.view(spark, sf_dir, synth.QUESTIONS)
 
 
+def lengths():
+    return F.slice(F.array("len_a", "len_b", "len_c", "len_d"), F.lit(1), F.col("n_options"))
+
+
 def naive_scores(spark, sf_dir):
-    return Z.naive_scores(questions(spark, sf_dir))
+    return Z.naive_scores(questions(spark, sf_dir), lengths())
 
 
 def worst_strategies(spark, sf_dir):
-    return Z.worst_strategy(Z.naive_scores(questions(spark, sf_dir)), 70.0)
+    """Every third document is medical, with the higher pass mark."""
+    mark = F.when(F.col("doc_id") % 3 == 0, Z.PASS_MARKS[True]).otherwise(Z.PASS_MARKS[False])
+    return Z.worst_strategy(Z.naive_scores(questions(spark, sf_dir), lengths()), mark)
 
 
 def length_tells(spark, sf_dir):
-    lengths = F.slice(F.array("len_a", "len_b", "len_c", "len_d"), F.lit(1), F.col("n_options"))
-    return Z.length_tells(questions(spark, sf_dir), lengths)
+    return Z.length_tells(questions(spark, sf_dir), lengths())
 
 
 def truth_values(spark, sf_dir):
@@ -91,14 +96,17 @@ QUERIES = {f"quiz_{f.__name__}": f for f in (naive_scores, worst_strategies, len
 _q = f"with q as ({synth.QUESTIONS})"
 _st = "st(strategy, kind, aim, fallback) as (values " + ", ".join(map(str, Z.STRATEGIES)) + ")"
 _pick = "case when kind = 'last' then n_options - 1 when aim < n_options then aim when fallback = 'first' then 0 else n_options - 1 end"
-_scores = f"scores as (select doc_id, strategy, 100.0::double * sum(case when {_pick} = correct_answer then points else 0 end) / greatest(sum(points), 1) as score from q, st group by all)"
+_lengths = "[len_a, len_b, len_c, len_d][:n_options]"
+_by_text = f"case strategy when 'longest' then list_position({_lengths}, list_max({_lengths})) - 1 when 'shortest' then list_position({_lengths}, list_min({_lengths})) - 1 when 'always_true' then case when type = 'true_false' then 0 else -1 end else {_pick} end"
+_all = _st.replace(" as (values ", " as (values ('longest', 'option', 0, 'last'), ('shortest', 'option', 0, 'last'), ('always_true', 'option', 0, 'last'), ")
+_scores = f"scores as (select doc_id, strategy, 100.0::double * sum(case when {_by_text} = correct_answer then points else 0 end) / greatest(sum(points), 1) as score from q, st group by all)"
 _okey = lambda x: f"trim(regexp_replace(lower({x}), '[^\\pL\\pN]+', ' ', 'g'))"
 _salt = "left(sha256(doc_id || '|' || id || '|salt'), 32)"
 _bis = ", ".join(map(str, Z.bisection(64)))
 ORACLE_SQL = {
     "quiz_question_types": f"{_q} select doc_id, type, count(*) as questions from q group by all",
-    "quiz_naive_scores": f"{_q}, {_st}, {_scores} select * from scores",
-    "quiz_worst_strategies": f"{_q}, {_st}, {_scores} select doc_id, strategy, score, score >= 70 as gameable from (select *, row_number() over (partition by doc_id order by score desc, strategy) as k from scores) where k = 1",
+    "quiz_naive_scores": f"{_q}, {_all}, {_scores} select * from scores",
+    "quiz_worst_strategies": f"{_q}, {_all}, {_scores} select doc_id, strategy, score, score >= case when doc_id % 3 = 0 then 80 else 70 end as gameable from (select *, row_number() over (partition by doc_id order by score desc, strategy) as k from scores) where k = 1",
     "quiz_length_tells": f"{_q}, l as (select *, [len_a, len_b, len_c, len_d][:n_options] as a from q) select doc_id, sum(case when type = 'true_false' then points / 2 when a[correct_answer + 1] = list_max(a) then points else 0 end)::double as longest, sum(case when type = 'true_false' then points / 2 when a[correct_answer + 1] = list_min(a) then points else 0 end)::double as shortest, sum(points)::bigint as total from l group by doc_id",
     "quiz_truth_values": f"{_q.replace('with q', 'with recursive q')}, t as (select *, row_number() over (partition by doc_id order by ord) as k from q where type = 'true_false' and not fixed), f as (select doc_id, count(*) filter (where type = 'true_false' and fixed) as n from q group by doc_id), r as (select doc_id, id, k, false as truth, f.n as yes, 1 as no from t join f using (doc_id) where k = 1 union all select t.doc_id, t.id, t.k, not (r.no <= r.yes), r.yes + (case when r.no <= r.yes then 0 else 1 end), r.no + (case when r.no <= r.yes then 1 else 0 end) from r join t on t.doc_id = r.doc_id and t.k = r.k + 1) select doc_id, id, truth from r union all select doc_id, id, true from q where type = 'true_false' and fixed",
     "quiz_layout": f"""{_q}, {_st}, m as (select *, type <> 'true_false' as many, row_number() over (partition by doc_id, type <> 'true_false', n_options order by sha256(doc_id || '|' || id)) - 1 as rk from q),
