@@ -97,11 +97,11 @@ ORACLE_SQL = {
     "grounding_token_usage": f"{_q} select doc_id, 'input_tokens' as key, sum(l_partkey)::bigint as tokens from q group by doc_id union all select doc_id, 'output_tokens', sum(pick)::bigint from q group by doc_id",
     "grounding_errors": f"{_q} select doc_id, ord as call, 'failed ' || id as error from q where pick % 7 = 0",
     "grounding_merged_notes": f"{_q}, n as (select 'note ' || (l_partkey % 50) as note, min((doc_id, ord)) as met from q group by 1) select note, row_number() over (order by met) as place from n",
-    "grounding_claims": f"""with {Q.MARKED}, c0 as (select doc_id, line_no as cid, trim({CLAIM}) as t, line_no as s, {SPAN} as e from lines where line <> ''), nl as (select doc_id, list(line order by line_no) as a from lines group by doc_id),
-        c1 as (select c0.*, s <= e and e <= len(a) as fine, case when s <= e and e <= len(a) then array_to_string(a[greatest(s - 1, 1):e + 1], chr(10)) else '' end as x from c0 join nl using (doc_id)),
-        c2 as (select *, {_content('x')} as known, {_content('t')} as words, {_terms} as terms from c1),
+    "grounding_claims": f"""with {Q.MARKED}, c0 as (select doc_id, line_no as cid, trim({CLAIM}) as t, line_no as s, {SPAN} as e from lines where line <> ''), nl as (select doc_id, list(line order by line_no) as a, list(ws order by line_no) as aw from (select doc_id, line_no, line, {_content('line')} as ws from lines) group by doc_id),
+        c1 as (select c0.*, s <= e and e <= len(a) as fine, case when s <= e and e <= len(a) then array_to_string(a[greatest(s - 1, 1):e + 1], chr(10)) else '' end as x, case when s <= e and e <= len(a) then list_distinct(flatten(aw[greatest(s - 1, 1):e + 1])) else [] end as known from c0 join nl using (doc_id)),
+        c2 as (select *, {_content('t')} as words, {_terms} as terms from c1),
         k1 as (select doc_id, cid, known, generate_subscripts(p, 1) as clause, unnest(p) as c from (select *, regexp_split_to_array(t, '[;:,.!?()\\[\\]–—]|\\s-\\s') as p from c2)),
-        k2 as (select doc_id, cid, known, clause, generate_subscripts(p, 1) as pos, unnest(p) as w from (select *, string_split({_norm('c')}, ' ') as p from k1)),
+        k2 as (select doc_id, cid, known, clause, generate_subscripts(p, 1) as pos, unnest(p) as w from (select *, string_split({_norm('c')}, ' ') as p from k1) where list_has_any(p, [{_in(T.CONNECTIVES).strip('()')}])),
         k3 as (select *, w in {_in(T.CONNECTIVES)} as opens, sum((w in {_in(T.CONNECTIVES)})::int) over (partition by doc_id, cid, clause order by pos) as run from k2 where w <> ''),
         k4 as (select doc_id, cid, clause, run, list(w order by pos) as ws, bool_or(list_contains(known, w)) as held from k3 where run > 0 and not opens and w not in {_in(T.STOPWORDS)} group by all),
         k5 as (select doc_id, cid, w, min(o) as o from (select doc_id, cid, unnest(ws) as w, clause * 1000000 + run * 1000 + generate_subscripts(ws, 1) as o from k4 where not held) group by all),

@@ -102,6 +102,9 @@ _all = _st.replace(" as (values ", " as (values ('longest', 'option', 0, 'last')
 _scores = f"scores as (select doc_id, strategy, 100.0::double * sum(case when {_by_text} = correct_answer then points else 0 end) / greatest(sum(points), 1) as score from q, st group by all)"
 _okey = lambda x: f"trim(regexp_replace(lower({x}), '[^\\pL\\pN]+', ' ', 'g'))"
 _salt = "left(sha256(doc_id || '|' || id || '|salt'), 32)"
+_earned = ", ".join(
+    f"sum(case when {'n_options - 1' if kind == 'last' else f'case when n_options > {aim} then {aim} else ' + ('0' if fallback == 'first' else 'n_options - 1') + ' end'} = position{'' if kind == 'last' else f' and {aim} < most'} then points else 0 end)" for _, kind, aim, fallback in Z.STRATEGIES
+)
 _bis = ", ".join(map(str, Z.bisection(64)))
 ORACLE_SQL = {
     "quiz_question_types": f"{_q} select doc_id, type, count(*) as questions from q group by all",
@@ -113,8 +116,7 @@ ORACLE_SQL = {
         d as (select doc_id, max(case when many and n_options = 2 then 1 else 0 end) as p2, max(case when many and n_options = 3 then 1 else 0 end) as p3, max(case when many and n_options = 4 then 1 else 0 end) as p4, max(case when many then n_options end) as most, sum(points) as total from m group by doc_id),
         o as (select d.*, a, b, c from d, range(2) as x(a), range(3) as y(b), range(4) as z(c) where most is not null and (p2 = 1 or a = 0) and (p3 = 1 or b = 0) and (p4 = 1 or c = 0)),
         p as (select m.*, o.a, o.b, o.c, most, total, case when many then ((case n_options when 2 then o.a when 3 then o.b else o.c end) + rk) % n_options else correct_answer end as position from m join o using (doc_id)),
-        e as (select doc_id, a, b, c, strategy, any_value(total) as total, sum(case when {_pick} = position then points else 0 end) as earned from p, st where kind = 'last' or aim < most group by all),
-        w as (select doc_id, a, b, c, max(earned) / any_value(total) as worst from e group by all),
+        w as (select doc_id, a, b, c, greatest({_earned}) / any_value(total) as worst from p group by all),
         k as (select *, min(worst) over (partition by doc_id) as least from w),
         s as (select *, row_number() over (partition by doc_id order by a, b, c) - 1 as place, count(*) over (partition by doc_id) as n from k where case when least <= {Z.CEILING} then worst <= {Z.CEILING} else worst = least end),
         ch as (select * from s where place = ('0x' || left(sha256(doc_id || '|answer-positions'), 8))::bigint % n)
