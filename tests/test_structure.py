@@ -80,8 +80,27 @@ def test_natural_order(spark):
 def test_excerpts(spark):
     docs = spark.createDataFrame([(1, "a\nb\nc")], "doc_id long, text string")
     spans = spark.createDataFrame([(1, 2, 2), (1, 1, 3), (1, 0, 1), (1, 3, 2), (1, 2, 4)], "doc_id long, s int, e int")
-    assert sorted(r.excerpt for r in S.excerpts(docs, spans, 1).collect()) == ["a\nb\nc", "a\nb\nc"]
-    assert sorted(r.excerpt for r in S.excerpts(docs, spans).collect()) == ["a\nb\nc", "b"]
+    assert sorted(r.excerpt for r in S.excerpts(docs, spans, 1).collect()) == ["a\nb\nc", "a\nb\nc", "a\nb\nc"]
+    assert sorted(r.excerpt for r in S.excerpts(docs, spans).collect()) == ["a\nb\nc", "b", "b\nc"]  # ends in the wrong order are exchanged
+
+
+def test_cited_against_slices(spark):
+    """Random spans, valid or not, repeated, null, in documents of any length, against slices of the line lists; other columns stay."""
+    import random
+
+    rng = random.Random(2)
+    texts = ["\n".join(f"l{i} {rng.random()}" for i in range(n)) for n in (1, 2, 5, 40, 300)] + [""]
+    docs = spark.createDataFrame([*enumerate(texts), (6, None)], "doc_id long, text string")
+    rows = [(rng.randrange(8), i, rng.choice([None, *range(-1, 45)]), rng.choice([None, *range(-1, 45)])) for i in range(400)] + [(4, 400, 2, 299), (4, 401, 2, 299), (4, 402, 1, 301)]
+    spans = spark.createDataFrame(rows, "doc_id long, cid long, s int, e int")
+    for context in (0, 2):
+        want = {}
+        for d, cid, s, e in rows:
+            lines = texts[d].split("\n") if d < len(texts) else []
+            a, b = (min(s, e), max(s, e)) if s is not None and e is not None else (0, 0)
+            want[cid] = "\n".join(lines[max(0, a - 1 - context) : b + context]) if 1 <= a and b <= len(lines) else None
+        got = {r.cid: r.excerpt for r in S.cited(spans, docs, context).collect()}
+        assert got == want
 
 
 def test_capitals_inside_a_body(spark):

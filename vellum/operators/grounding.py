@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -10,11 +11,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
+from vellum.operators import structure as S
 
 # Fixed values.
 OVERLAP, UNSUPPORTED, CHARS, CONTEXT = 0.7, 3, 300, 1
 NEAR, SAME_WORDS, CONTAINED = 0.88, 0.85, 20
 SENTENCES = (2, 4)
+#: How many times longer than the other one of two strings can be that are near.
+LIKE = (2 - NEAR) / NEAR
 
 
 def _reasons(*pairs: tuple[Column, str]) -> Column:
@@ -27,11 +31,7 @@ def verified(claims: DataFrame, docs: DataFrame, unicode: bool = False) -> DataF
     All reasons are collected; an empty text or a span outside the document is the only
     one. Named terms that the excerpt covers waive the overlap, never the other rules.
     """
-    arrays = docs.select("doc_id", F.split("text", "\n").alias("_lines"))
-    df = claims.join(arrays, "doc_id", "left").withColumn("_n", F.size("_lines"))
-    df = df.withColumn("_fine", F.coalesce((F.col("s") >= 1) & (F.col("s") <= F.col("e")) & (F.col("e") <= F.col("_n")), F.lit(False)))
-    a, b = F.greatest(F.col("s") - CONTEXT, F.lit(1)), F.least(F.col("e") + CONTEXT, F.col("_n"))
-    df = df.withColumn("_excerpt", F.when(F.col("_fine"), F.array_join(F.slice("_lines", a, b - a + 1), "\n")).otherwise("")).drop("_lines", "_n")
+    df = S.cited(claims, docs, CONTEXT).withColumn("_fine", F.col("excerpt").isNotNull()).withColumn("_excerpt", F.coalesce("excerpt", F.lit(""))).drop("excerpt")
     t = T.strip(F.coalesce("text", F.lit("")))
     df = df.withColumns({"_t": t, "_known": F.array_distinct(T.content_words(F.col("_excerpt"), unicode)), "_words": T.content_words(t, unicode)})
     hits = F.size(F.filter("_words", lambda w: F.array_contains("_known", w)))
@@ -48,34 +48,75 @@ def verified(claims: DataFrame, docs: DataFrame, unicode: bool = False) -> DataF
 
 
 def distractors(candidates: DataFrame, docs: DataFrame, unicode: bool = False) -> DataFrame:
-    """Adds ok and reasons to candidates (doc_id, cid, text, correct): wrong options have to differ from the correct one and not be asserted by the document.
-
-    A candidate meets only those sentences of its document that share a content word with
-    it (a join on document and word) and, for the costly comparison, are of like length.
-    """
+    """Adds ok and reasons to candidates (doc_id, cid, text, correct): wrong options have to differ from the correct one and not be asserted by the document; see `asserted`."""
     clip = T.clip(F.col("text"))
     key, right = T.option_key(clip, unicode), T.option_key(T.clip(F.col("correct")), unicode)
     df = candidates.withColumns({"_clip": clip, "_key": key, "_right": right, "_norm": T.normalized(clip, unicode)})
-    words = df.select("doc_id", "cid", "_norm", F.array_distinct(T.content_words(F.col("_clip"), unicode)).alias("_words"), T.content_words(F.col("_clip"), unicode).alias("_all"), T.polarity(F.col("_clip")).alias("_pol"))
-    sentences = docs.select("doc_id", F.posexplode(T.sentences(F.col("text"), 1)).alias("pos", "sentence")).select("doc_id", "pos", T.normalized(F.col("sentence"), unicode).alias("_s"), F.array_distinct(T.content_words(F.col("sentence"), unicode)).alias("_sw"), T.polarity(F.col("sentence")).alias("_sp"))
-    pairs = words.withColumn("w", F.explode("_words")).join(sentences.withColumn("w", F.explode("_sw")), ["doc_id", "w"]).dropDuplicates(["doc_id", "cid", "pos"])
-    same = (F.size(F.filter("_all", lambda w: F.array_contains("_sw", w))) / F.size("_all") >= SAME_WORDS) & (F.col("_pol") == F.col("_sp"))
-    like = 2 * F.least(F.length("_norm"), F.length("_s")) / (F.length("_norm") + F.length("_s")) >= NEAR
-    judged = pairs.select("doc_id", "cid", same.alias("same"), F.when(like & ~same, F.col("_norm")).alias("x"), F.col("_s").alias("y"))
-    judged = judged.withColumn("near", F.coalesce(T.similarity(F.col("x"), F.when(F.col("x").isNotNull(), F.col("y"))) >= NEAR, F.lit(False)))
-    told = judged.groupBy("doc_id", "cid").agg(F.max("same").alias("_same"), F.max("near").alias("_near"))
+    told = asserted(df.select("doc_id", "cid", "_clip", "_norm"), docs, unicode)
     whole = docs.select("doc_id", T.normalized(F.col("text"), unicode).alias("_whole"))
     df = df.join(told, ["doc_id", "cid"], "left").join(whole, "doc_id", "left")
     verbatim = (F.length("_norm") >= CONTAINED) & F.coalesce(F.col("_whole").contains(F.col("_norm")), F.lit(False))
     close = F.when((F.col("_key") != F.col("_right")) & ~F.col("_right").contains(F.col("_key")) & ~F.col("_key").contains(F.col("_right")), F.col("_key"))
     df = df.withColumn("_ratio", T.similarity(close, F.when(close.isNotNull(), F.col("_right"))))
-    asserted = F.when(verbatim, "stated verbatim").when(F.coalesce("_near", F.lit(False)), "nearly stated").when(F.coalesce("_same", F.lit(False)), "asserted in the same terms")
-    reasons = F.filter(F.array(F.when(F.length(T.strip(F.col("text"))) > T.OPTION_CHARS, F.lit("too long")), F.when(F.col("_key") == F.col("_right"), F.lit("is the correct answer")).when(close.isNull(), F.lit("contains or is contained")).when(F.col("_ratio") >= NEAR, F.lit("too similar to the correct answer")), asserted), lambda x: x.isNotNull())
+    stated = F.when(verbatim, "stated verbatim").otherwise(F.col("_told"))
+    reasons = F.filter(F.array(F.when(F.length(T.strip(F.col("text"))) > T.OPTION_CHARS, F.lit("too long")), F.when(F.col("_key") == F.col("_right"), F.lit("is the correct answer")).when(close.isNull(), F.lit("contains or is contained")).when(F.col("_ratio") >= NEAR, F.lit("too similar to the correct answer")), stated), lambda x: x.isNotNull())
     reasons = F.when(F.col("_clip") == "", F.array(F.lit("empty"))).when(F.col("_key") == "", F.array(F.lit("normalises to nothing"))).when(F.col("_right") == "", F.array(F.lit("no correct text"))).otherwise(reasons)
     df = df.withColumn("reasons", reasons).withColumn("ok", F.size("reasons") == 0)
     return df.select(*candidates.columns, "ok", "reasons")
 
 
+def sentences_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, sentence): the sentences of each line, in the document's order."""
+    every = F.flatten(F.transform(F.split("text", "\n"), lambda line: T.sentences(line, 1)))
+    return docs.select("doc_id", F.posexplode(every).alias("pos", "sentence"))
+
+
+def bag(x: Column) -> Column:
+    """A string's characters, each with its number among equal ones, so that the common part of two bags is as large as that of their multisets."""
+    letters = F.filter(F.array_distinct(F.split(x, "")), lambda c: c != "")
+    return F.flatten(F.transform(letters, lambda c: F.transform(F.sequence(F.lit(1), F.length(x) - F.length(F.replace(x, c, F.lit("")))), lambda i: F.concat(c, i.cast("string")))))
+
+
+def band(length: Column, share: float = 1.0) -> Column:
+    """Bands of lengths whose ends are as far apart as lengths of like strings can be."""
+    return F.floor(F.log(F.greatest(length.cast("double"), F.lit(1.0)) * share) / math.log(LIKE))
+
+
+def asserted(candidates: DataFrame, docs: DataFrame, unicode: bool = False) -> DataFrame:
+    """(doc_id, cid, _told) of candidates (doc_id, cid, _clip, _norm) that a sentence of their document says almost exactly or in the same terms; the first such sentence decides.
+
+    Two joins find the pairs, and neither lets one slip. In the same terms: all but a small
+    share of a candidate's content words are in the sentence, so one of its rarest words
+    is that make up more than this share; only these, by the document's own counts,
+    look up sentences. Almost exactly: lengths have to be alike, so candidates meet the
+    sentences of like length of their document, and the common characters bound the ratio,
+    which only what passes the bound is compared for. Without content words neither is asked.
+    """
+    words = candidates.select("doc_id", "cid", "_norm", F.length("_norm").alias("n"), T.content_words(F.col("_clip"), unicode).alias("_all"), T.polarity(F.col("_clip")).alias("_pol")).where(F.size("_all") > 0)
+    said = sentences_of(docs)
+    sentences = said.select("doc_id", "pos", T.normalized(F.col("sentence"), unicode).alias("_s"), F.array_distinct(T.content_words(F.col("sentence"), unicode)).alias("_sw"), T.polarity(F.col("sentence")).alias("_sp")).where("_s <> ''")
+    # in the same terms: rarest words first, until they are more than may be missing
+    index = sentences.select("doc_id", "pos", F.explode("_sw").alias("w"))
+    counts = index.groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("_df"))
+    own = words.select("doc_id", "cid", F.size("_all").alias("_n"), F.explode("_all").alias("w")).groupBy("doc_id", "cid", "w", "_n").agg(F.count(F.lit(1)).alias("_k"))
+    rare = W.partitionBy("doc_id", "cid").orderBy("_df", "w").rowsBetween(W.unboundedPreceding, -1)
+    own = own.join(counts, ["doc_id", "w"], "left").withColumn("_df", F.coalesce("_df", F.lit(0))).withColumn("_before", F.coalesce(F.sum("_k").over(rare), F.lit(0)))
+    least = F.ceil(F.col("_n") * SAME_WORDS - 1e-9)
+    asked = own.where((F.col("_before") <= F.col("_n") - least) & (F.col("_df") > 0)).select("doc_id", "cid", "w")
+    pairs = asked.join(index, ["doc_id", "w"]).select("doc_id", "cid", "pos").distinct()
+    hits = F.size(F.filter("_all", lambda w: F.array_contains("_sw", w)))
+    same = pairs.join(words, ["doc_id", "cid"]).join(sentences, ["doc_id", "pos"]).where((hits / F.size("_all") >= SAME_WORDS) & (F.col("_pol") == F.col("_sp")))
+    # almost exactly: like lengths, then common characters, then the ratio
+    x = words.select("doc_id", "cid", "n", F.col("_norm").alias("x"), bag(F.col("_norm")).alias("_bx"), F.explode(F.sequence(band(F.col("n"), 1 / LIKE), band(F.col("n"), LIKE))).alias("_band"))
+    y = sentences.select("doc_id", "pos", F.length("_s").alias("m"), F.col("_s").alias("y"), bag(F.col("_s")).alias("_by"), band(F.length("_s")).alias("_band"))
+    need = NEAR * (F.col("n") + F.col("m")) - 1e-9
+    like = x.join(y, ["doc_id", "_band"]).where((2 * F.least("n", "m") >= need) & (2 * F.size(F.array_intersect("_bx", "_by")) >= need)).select("doc_id", "cid", "pos", "x", "y")
+    near = like.where(T.similarity(F.col("x"), F.col("y")) >= NEAR)
+    kind = lambda df, rank, name: df.select("doc_id", "cid", F.struct("pos", F.lit(rank).alias("rank"), F.lit(name).alias("name")).alias("_x"))
+    both = kind(near, 0, "nearly stated").unionByName(kind(same, 1, "asserted in the same terms"))
+    return both.groupBy("doc_id", "cid").agg(F.min("_x")["name"].alias("_told"))
+
+
 def applied(proposals: DataFrame, targets: DataFrame) -> DataFrame:
     """Adds status to proposals (doc_id, task, target, ord, ok): accepted, rejected, unknown target, or duplicate of an earlier one for the same target."""
     known = targets.select("doc_id", "task", "target").distinct().withColumn("_known", F.lit(True))

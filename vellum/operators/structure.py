@@ -246,12 +246,27 @@ def step_key(number: Column) -> Column:
     return F.struct((~fine).alias("odd"), F.when(fine, key).alias("key"))
 
 
+def cited(spans: DataFrame, docs: DataFrame, context: int = 0) -> DataFrame:
+    """The rows of ``spans`` (doc_id, s, e and others) with ``excerpt``: their lines with so many more on either side, null where a span isn't within its document.
+
+    Ends that come in the wrong order are exchanged. A join of lines with the lines that
+    spans ask for: each distinct span is met by as many rows as it has lines, however long
+    its document is, and lines that nothing asks for go no further than the join.
+    """
+    a, b = F.least("s", "e"), F.greatest("s", "e")
+    asked = spans.select("doc_id", "s", "e").where("s is not null and e is not null").distinct().select("doc_id", "s", "e", a.alias("_a"), b.alias("_b")).where("_a >= 1")
+    # a span can't ask for more lines than its document has
+    sizes = docs.select("doc_id", F.size(F.split("text", "\n")).alias("_n")).where("_n > 0")
+    near = asked.join(sizes, "doc_id").where("_b <= _n").select("doc_id", "s", "e", F.explode(F.sequence(F.greatest(F.col("_a") - context, F.lit(1)), F.least(F.col("_b") + context, F.col("_n")))).alias("line_no"))
+    found_ = near.join(lines(docs).select("doc_id", "line_no", "line"), ["doc_id", "line_no"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    texts = found_.groupBy("doc_id", "s", "e").agg(F.array_join(parts, "\n").alias("excerpt"))
+    return spans.join(texts, ["doc_id", "s", "e"], "left").select(*[spans[c] for c in spans.columns], "excerpt")
+
+
 def excerpts(docs: DataFrame, spans: DataFrame, context: int = 0) -> DataFrame:
-    """(doc_id, s, e, excerpt): the lines of each span with context, by slicing the document's own array; spans outside it fall away."""
-    arrays = docs.select("doc_id", F.split("text", "\n").alias("_lines"))
-    df = spans.join(arrays, "doc_id").where((F.col("s") >= 1) & (F.col("s") <= F.col("e")) & (F.col("e") <= F.size("_lines")))
-    a, b = F.greatest(F.col("s") - context, F.lit(1)), F.least(F.col("e") + context, F.size("_lines"))
-    return df.select("doc_id", "s", "e", F.array_join(F.slice("_lines", a, b - a + 1), "\n").alias("excerpt"))
+    """(doc_id, s, e, excerpt): the lines of each span with context; spans outside the document fall away."""
+    return cited(spans.select("doc_id", "s", "e"), docs, context).where("excerpt is not null")
 
 
 def found(docs: DataFrame, **own: Column) -> DataFrame:
