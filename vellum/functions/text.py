@@ -212,7 +212,7 @@ def numbers(x: Column) -> Column:
 def named_terms(x: Column) -> Column:
     """Capitalised words but the first, normalised, without stop words, sorted."""
     found = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"([A-Za-z][\w/\-]*)"), 1)
-    rest = F.filter(F.slice(found, 2, 100_000), lambda w: w.rlike("^[A-Z]"))
+    rest = F.filter(F.slice(found, F.lit(2), F.greatest(F.size(found), F.lit(1))), lambda w: w.rlike("^[A-Z]"))
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(rest, lambda w: F.split(normalized(w), " "))), lambda w: (w != "") & ~F.array_contains(strings(STOPWORDS), w))))
 
 

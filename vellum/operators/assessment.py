@@ -30,6 +30,24 @@ CHOICE, TWO_WAY, SAFETY_CHOICE, SAFETY_TWO_WAY = 2, 1, 4, 2
 NEAR, LEAST_QUESTIONS, SWAPS = 0.88, 5, 12
 CYCLE = ("step", "purpose_scope", "safety", "step", "definition", "sequence", "step")
 ENDING = "No further action - the procedure ends here."
+# Wording of the questions.
+TRUE_OR_FALSE = "True or False: "
+ASK = {
+    "purpose": "What is the primary purpose of this procedure, as stated in the SOP?",
+    "scope": "According to the SOP, where and to whom does this procedure apply?",
+    "definition": 'As defined in this SOP, what does "{term}" mean?',
+    "step": 'According to Step {number} ("{title}"), what must be done?',
+    "bare_step": "What action does Step {number} of this procedure require?",
+    "sequence": 'Which action is performed immediately after Step {number} ("{title}")?',
+    "safety": "Which of the following safety warnings is stated in this SOP?",
+    "contradiction": "Which of the following statements CONTRADICTS a safety warning in this SOP?",
+}
+SAY = {
+    "purpose": "the SOP states this purpose",
+    "scope": "this procedure applies as follows",
+    "definition": 'in this SOP, "{term}" is defined as - ',
+    "safety": "this SOP requires the following - ",
+}
 REQUIRED = [
     ("md_req_1", 4, "What should you do if you cannot follow this procedure as written?", "Stop work and notify your supervisor or QA so the deviation can be approved and documented before you continue",
      ["Complete the work using your best judgement and record what you did in the batch record afterwards", "Follow the version of the procedure you were originally trained on, since that one is known to work", "Ask an experienced colleague how they normally handle it and follow the approach they describe"]),
@@ -165,20 +183,20 @@ def supported(doc: dict) -> list[Item]:
         return item if len(item.wrong) >= item.least else None
 
     mc, tf = [], []
-    for i, (name, own, other, ask, say) in enumerate([("purpose", purpose, scope, "What is the primary purpose of this procedure, as stated in the SOP?", "the SOP states this purpose"), ("scope", scope, purpose, "According to the SOP, where and to whom does this procedure apply?", "this procedure applies as follows")]):
+    for i, (name, own, other, ask, say) in enumerate([("purpose", purpose, scope, ASK["purpose"], SAY["purpose"]), ("scope", scope, purpose, ASK["scope"], SAY["scope"])]):
         if own:
             false = [t.false for t in own + other if t.alt]
             mc.append(choice("purpose_scope", i, f"{name}_mc_1", CHOICE, ask, own[0], like(own[0].form, other + people + meanings + false), least=2, ref={"kind": name}))
-            tf.append(Item("purpose_scope", 3 - i, f"{name}_tf_1", TWO_WAY, f"True or False: {say} - {own[0].clip}", own[0], two_way=True, false_prompt=own[0].alt and f"True or False: {say} - {own[0].alt_clip}", false_material=own[0].false, ref={"kind": name}))
+            tf.append(Item("purpose_scope", 3 - i, f"{name}_tf_1", TWO_WAY, f"{TRUE_OR_FALSE}{say} - {own[0].clip}", own[0], two_way=True, false_prompt=own[0].alt and f"{TRUE_OR_FALSE}{say} - {own[0].alt_clip}", false_material=own[0].false, ref={"kind": name}))
     out += turns([m for m in mc if m], sorted(tf, key=lambda t: t.order))
 
     mc, tf = [], []
     for i, (term, meaning) in enumerate(terms):
         others = [m for t, m in terms if t != term]
-        mc.append(choice("definition", i, f"def_mc_{i + 1}", CHOICE, f'As defined in this SOP, what does "{term}" mean?', meaning, like(meaning.form, others + purpose + scope + [s[2] for s in steps], 3), ref={"kind": "definition", "term": term}))
+        mc.append(choice("definition", i, f"def_mc_{i + 1}", CHOICE, ASK["definition"].format(term=term), meaning, like(meaning.form, others + purpose + scope + [s[2] for s in steps], 3), ref={"kind": "definition", "term": term}))
         if others:
             wrong = min(others, key=lambda m: digest(key, f"def_tf_{i + 1}", m.text))
-            say = f'True or False: in this SOP, "{term}" is defined as - '
+            say = TRUE_OR_FALSE + SAY["definition"].format(term=term)
             tf.append(Item("definition", i, f"def_tf_{i + 1}", TWO_WAY, say + meaning.clip, meaning, two_way=True, false_prompt=say + wrong.clip, false_material=wrong, ref={"kind": "definition", "term": term}))
     out += turns([m for m in mc if m], tf, 1)
 
@@ -186,13 +204,13 @@ def supported(doc: dict) -> list[Item]:
     if len(steps) >= 2:
         for order, i in enumerate(places):
             number, title, text, _, s, e, body = steps[i]
-            ask = f'According to Step {number} ("{title}"), what must be done?' if body else f"What action does Step {number} of this procedure require?"
+            ask = ASK["step" if body else "bare_step"].format(number=number, title=title)
             others = [x[2] if body else x[3] for j, x in enumerate(steps) if j != i]
             out.append(choice("step", order, f"step_mc_{_name(number)}", CHOICE, ask, text, like(text.form, others + meanings + scope, 3), ref={"kind": "step", "step_number": number, "s": s, "e": e}))
     if len(steps) >= 3:
         for order, i in enumerate(p for p in places if p < len(steps) - 1):
             number, title, after = steps[i][0], steps[i][1], steps[i + 1]
-            item = choice("sequence", order, f"seq_{_name(number)}", CHOICE, f'Which action is performed immediately after Step {number} ("{title}")?', after[3], [x[3] for j, x in enumerate(steps) if j not in (i, i + 1)], ref={"kind": "sequence", "step_number": after[0]}, kind="sequence")
+            item = choice("sequence", order, f"seq_{_name(number)}", CHOICE, ASK["sequence"].format(number=number, title=title), after[3], [x[3] for j, x in enumerate(steps) if j not in (i, i + 1)], ref={"kind": "sequence", "step_number": after[0]}, kind="sequence")
             if item and len(item.wrong) < 2:
                 end = Text(ENDING, ENDING, "no further action the procedure ends here", "statement")
                 item.wrong.append(end)
@@ -204,11 +222,11 @@ def supported(doc: dict) -> list[Item]:
     for i, w in enumerate(warnings):
         ref = {"kind": "safety", "warning_index": i}
         false = [v.false for j, v in enumerate(warnings) if j != i and v.alt]
-        mc.append(choice("safety", 2 * i, f"safety_mc_{i + 1}", SAFETY_CHOICE, "Which of the following safety warnings is stated in this SOP?", w, false, ref=ref))
-        say = "True or False: this SOP requires the following - "
+        mc.append(choice("safety", 2 * i, f"safety_mc_{i + 1}", SAFETY_CHOICE, ASK["safety"], w, false, ref=ref))
+        say = TRUE_OR_FALSE + SAY["safety"]
         tf.append(Item("safety", 2 * i + 1, f"safety_tf_{i + 1}", SAFETY_TWO_WAY, say + w.clip, w, two_way=True, false_prompt=w.alt and say + w.alt_clip, false_material=w.false, ref=ref))
         if len(warnings) >= 3 and i < 2 and w.alt:
-            mc.append(choice("safety", 100 + i, f"safety_neg_{i + 1}", SAFETY_CHOICE, "Which of the following statements CONTRADICTS a safety warning in this SOP?", w.false, [v for j, v in enumerate(warnings) if j != i], least=2, ref={"kind": "safety_contradiction", "warning_index": i}))
+            mc.append(choice("safety", 100 + i, f"safety_neg_{i + 1}", SAFETY_CHOICE, ASK["contradiction"], w.false, [v for j, v in enumerate(warnings) if j != i], least=2, ref={"kind": "safety_contradiction", "warning_index": i}))
     out += turns(sorted([m for m in mc if m], key=lambda m: m.order), tf, 1)
     return [x for x in out if x]
 

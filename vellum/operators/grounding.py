@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import structure as S
+from vellum.sources.shared import stored
 
 # Fixed values.
 OVERLAP, UNSUPPORTED, CHARS, CONTEXT = 0.7, 3, 300, 1
@@ -165,6 +166,12 @@ def merged(reports: Sequence[DataFrame]) -> DataFrame:
 
 
 def merged_notes(notes: DataFrame) -> DataFrame:
-    """(note, place) of (report, ord, note): each note once, where it first stands, places from 1."""
+    """(note, place) of (report, ord, note): each note once, where it first stands, places from 1.
+
+    Places are counted within ranges of the order and shifted by the ranges before, so no task sees all notes.
+    """
     first = notes.groupBy("note").agg(F.min(F.struct("report", "ord")).alias("at"))
-    return first.select("note", F.row_number().over(W.orderBy("at")).alias("place"))
+    cut = stored(first.repartitionByRange("at").withColumn("_part", F.spark_partition_id()), "notes")
+    parts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row a range
+    before = parts.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return cut.join(before, "_part").select("note", (F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy("at"))).alias("place"))
