@@ -164,14 +164,30 @@ def coverage(items: DataFrame) -> DataFrame:
     return df.select("doc_id", F.when(F.col("g") == 1, "overall").otherwise(F.col("bucket")).alias("bucket"), "total", "cited", "unresolvable", "not_grounded", F.bround(100.0 * F.col("cited") / F.col("total"), 1).alias("coverage_pct"))
 
 
-def reports(docs: DataFrame, marked: DataFrame, found: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
-    """One row a document: what was found, counts, scan risk (``not_scanned`` without one) and, with verdicts by doc_id, the trail's state."""
-    texts = S.section_texts(marked).groupBy("doc_id").agg(F.max((F.col("section") == "purpose").cast("int")).alias("p"), F.max((F.col("section") == "scope").cast("int")).alias("q"))
-    count = lambda df, name: df.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
-    df = docs.select("doc_id", F.md5("text").alias("source_md5")).join(S.titles(marked).select("doc_id", "title"), "doc_id", "left").join(texts, "doc_id", "left")
-    for part, name in ((S.steps(marked), "steps"), (S.warnings(marked), "warnings"), (S.definitions(marked), "definitions"), (S.responsibilities(marked), "responsibilities")):
-        df = df.join(count(part, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.lit(0)).cast("long"))
-    df = df.join(found.select("doc_id", "risk"), "doc_id", "left").withColumn("risk", F.coalesce("risk", F.lit("not_scanned")))
+#: Fields of an approval with what stands for a missing one.
+APPROVAL = {"approved_by": "", "role": "", "approved_at": "", "notes": "", "edits_count": 0}
+
+
+def reports(docs: DataFrame, risks: DataFrame, verdicts: DataFrame | None = None, approvals: DataFrame | None = None, shares: DataFrame | None = None) -> DataFrame:
+    """One row a document, from one pass over it: title, counts, what was found, scan risk (``not_scanned`` without one).
+
+    With ``verdicts`` (doc_id, ok) the trail's state, with ``approvals`` (doc_id and any of
+    APPROVAL, at most one a document) an approval block with defaults, null without an
+    approval, with ``shares`` (the rows of `coverage`) the overall coverage_pct, 0 without
+    citations.
+    """
+    number = lambda kind: F.count_if(F.col("kind") == kind)
+    names = {"step": "steps", "safety": "warnings", "definition": "definitions", "responsibilities": "responsibilities"}
+    found = S.found(docs.select("doc_id", "text"), source_md5=F.md5("text"))
+    df = found.groupBy("doc_id").agg(
+        F.max("doc.source_md5").alias("source_md5"), F.max(F.when(F.col("kind") == "title", F.col("text"))).alias("title"), *[number(k).alias(v) for k, v in names.items()], *[(number(k) > 0).alias(f"has_{k}") for k in ("purpose", "scope")],
+    )
+    df = df.join(risks.select("doc_id", "risk"), "doc_id", "left").withColumn("risk", F.coalesce("risk", F.lit("not_scanned")))
     if verdicts is not None:
         df = df.join(verdicts.select("doc_id", "ok"), "doc_id", "left").withColumn("trail", F.when(F.col("ok"), "intact").when(~F.col("ok"), "failed").otherwise("no_audit_trail")).drop("ok")
-    return df.withColumns({"has_purpose": F.coalesce(F.col("p") == 1, F.lit(False)), "has_scope": F.coalesce(F.col("q") == 1, F.lit(False))}).drop("p", "q")
+    if approvals is not None:
+        own = F.struct(*[F.coalesce(F.col(k) if k in approvals.columns else F.lit(None), F.lit(v)).alias(k) for k, v in APPROVAL.items()])
+        df = df.join(approvals.select("doc_id", own.alias("approval")), "doc_id", "left")
+    if shares is not None:
+        df = df.join(shares.where("bucket = 'overall'").select("doc_id", "coverage_pct"), "doc_id", "left").withColumn("coverage_pct", F.coalesce("coverage_pct", F.lit(0.0)))
+    return df

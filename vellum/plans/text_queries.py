@@ -9,6 +9,7 @@ from vellum.operators import generation as G
 from vellum.operators import structure as S
 from vellum.plans import structure_queries as Q
 from vellum.plans import synth
+from vellum.sources.shared import stored
 
 
 def _docs(spark, sf_dir):
@@ -98,7 +99,7 @@ def definition_html(spark, sf_dir):
 def citation_coverage(spark, sf_dir):
     """Coverage of section citations and of references that questions make, some of them to nothing."""
     docs = Q.sops(spark, sf_dir)
-    prov = S.provenance(docs)
+    prov = stored(S.provenance(docs), "provenance")  # what is found, once, for both buckets
     k = F.col("doc_id")
     ref = lambda kind, cond, **c: F.when(cond, F.struct(F.lit(kind).alias("kind"), c.get("term", F.lit(None)).cast("string").alias("term"), c.get("n", F.lit(None)).cast("string").alias("step_number"), c.get("w", F.lit(None)).cast("int").alias("warning_index"), c.get("s", F.lit(None)).cast("int").alias("s"), c.get("e", F.lit(None)).cast("int").alias("e")))
     every = F.filter(F.array(ref("purpose", k % 2 == 0), ref("scope", k % 2 == 1), ref("definition", k % 3 == 0, term=F.lit("E-Stop")), ref("step", k % 4 == 0, n=F.lit("2")), ref("step", k % 4 == 1, s=F.lit(3), e=F.lit(4)), ref("step", k % 4 == 2, s=F.lit(9), e=F.lit(999), n=F.lit("4.2")), ref("sequence", k % 5 == 0, n=F.lit("3")), ref("safety", k % 5 == 1, w=F.lit(1)), ref("md_required", k % 6 == 0)), lambda x: x.isNotNull())
@@ -114,10 +115,19 @@ def reports(spark, sf_dir):
     docs = Q.sops(spark, sf_dir)
     found = _scanned(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
     risks = C.risks(docs, found).where("doc_id % 10 <> 0")
-    return G.reports(docs, S.marked(S.lines(docs)), risks)
+    return G.reports(docs, risks)
 
 
-QUERIES = {f"text_{f.__name__}": f for f in (sentences, clipped, altered, registers, option_keys, content_words, numbers, keys, formats, durations_of_attempts, unicode_keys)} | {f"content_{f.__name__}": f for f in (objectives, sections, bodies, durations, definition_html, citation_coverage, reports)}
+def full_reports(spark, sf_dir):
+    """Reports with the approvals that some documents have, and the coverage of their citations."""
+    docs = Q.sops(spark, sf_dir)
+    none = spark.createDataFrame([], "doc_id long, risk string")
+    approvals = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).alias("approved_by"), F.lit("QA").alias("role"), (F.col("p_partkey") % 4).cast("int").alias("edits_count"))
+    df = G.reports(docs, none, approvals=approvals, shares=citation_coverage(spark, sf_dir))
+    return df.select("doc_id", "source_md5", "risk", "coverage_pct", *[F.col(f"approval.{c}").alias(c) for c in G.APPROVAL])
+
+
+QUERIES = {f"text_{f.__name__}": f for f in (sentences, clipped, altered, registers, option_keys, content_words, numbers, keys, formats, durations_of_attempts, unicode_keys)} | {f"content_{f.__name__}": f for f in (objectives, sections, bodies, durations, definition_html, citation_coverage, reports, full_reports)}
 
 _c = Q._collapse
 _l = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -203,3 +213,6 @@ ORACLE_SQL = {
     "content_reports": f"""{_w}, {Q.DEFS}, {Q.WARN}, {Q.STEPS}, tx as (select * from {Q._texts}) select d.doc_id, md5(text) as source_md5, title, (select count(*) from steps x where x.doc_id = d.doc_id) as steps, (select count(*) from warnings x where x.doc_id = d.doc_id) as warnings, (select count(*) from definitions x where x.doc_id = d.doc_id) as definitions,
         (select count(*) from {Q._resp} x where x.doc_id = d.doc_id) as responsibilities, case when d.doc_id % 10 = 0 then 'not_scanned' else 'none' end as risk, exists (select 1 from tx where tx.doc_id = d.doc_id and section = 'purpose') as has_purpose, exists (select 1 from tx where tx.doc_id = d.doc_id and section = 'scope') as has_scope from sops d left join {Q._title} t using (doc_id)""",
 }
+ORACLE_SQL["content_full_reports"] = f"""select doc_id, source_md5, 'not_scanned' as risk, coverage_pct, case when doc_id % 3 = 1 then p_brand when doc_id % 3 = 2 then '' end as approved_by, case when doc_id % 3 <> 0 then 'QA' end as role,
+    case when doc_id % 3 <> 0 then '' end as approved_at, case when doc_id % 3 <> 0 then '' end as notes, case when doc_id % 3 <> 0 then (doc_id % 4)::int end as edits_count
+    from (select doc_id, source_md5 from ({ORACLE_SQL["content_reports"]})) join (select doc_id, coverage_pct from ({ORACLE_SQL["content_citation_coverage"]}) where bucket = 'overall') using (doc_id) join part on p_partkey = doc_id"""
