@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -140,11 +140,17 @@ def digest(*parts: str) -> str:
     return hashlib.sha256("|".join(parts).encode()).hexdigest()
 
 
+def alike(a: str, b: str) -> bool:
+    """Whether two texts are near; most aren't by the bounds that lengths and common letters set."""
+    m = SequenceMatcher(None, a, b)
+    return m.real_quick_ratio() >= NEAR and m.quick_ratio() >= NEAR and m.ratio() >= NEAR
+
+
 def wrong_options(correct: Text, sources: list[Text], seed: str, most: int = 3) -> list[Text]:
     """Up to ``most`` of the sources that differ from the correct text, by turns the nearest longer and the nearest shorter one."""
     pool: dict[str, Text] = {}
     for s in sources:
-        if s.key and s.key not in pool and s.key != correct.key and s.key not in correct.key and correct.key not in s.key and SequenceMatcher(None, s.key, correct.key).ratio() < NEAR:
+        if s.key and s.key not in pool and s.key != correct.key and s.key not in correct.key and correct.key not in s.key and not alike(s.key, correct.key):
             pool[s.key] = s
     n = len(correct.clip)
     ranked = sorted(pool.values(), key=lambda s: (abs(len(s.clip) - n), digest(seed, s.key)))
@@ -315,9 +321,10 @@ def repair(chosen: list[Item], key: str) -> int:
     return left
 
 
-def assess(doc: dict, count: int, medical: bool) -> list[dict]:
-    """The rows of a document's questions, with the right option first."""
-    key, pool = doc["doc_key"], (required() if medical else []) + supported(doc)
+def assess(doc: dict, count: int, medical: bool, known: list[Item] | None = None) -> list[dict]:
+    """The rows of a document's questions, with the right option first; ``known``: what the document supports, where that is worked out already."""
+    own = supported(doc) if known is None else [replace(x, wrong=list(x.wrong)) for x in known]
+    key, pool = doc["doc_key"], (required() if medical else []) + own
     chosen, leaks = select(pool, max(count, LEAST_QUESTIONS)), 0
     for _ in range(2):
         rebalance(chosen, pool)
@@ -348,12 +355,13 @@ def attempted(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[
         for b in batches:
             rows = []
             for doc in b.to_dict("records"):
-                doc = {k: _plain(v) for k, v in doc.items()}
+                doc, known = {k: _plain(v) for k, v in doc.items()}, None
                 for n in counts:
                     for m in medical:
                         own = {"doc_id": doc["doc_id"], "doc_key": doc["doc_key"], "medical": m, "requested": n}
                         try:
-                            rows += [own | {"error": None} | r for r in assess(doc, n, m)]
+                            known = supported(doc) if known is None else known
+                            rows += [own | {"error": None} | r for r in assess(doc, n, m, known)]
                         except Exception as e:
                             rows.append(dict.fromkeys(names) | own | {"error": f"{type(e).__name__}: {str(e)[:160]}"})
             made = pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
@@ -405,7 +413,9 @@ def sweep(docs: DataFrame, risks: DataFrame, counts: tuple[int, ...] = (5, 8)) -
     are made once and written to shared storage.
     """
     f = stored(facts(docs), "facts")
-    tried = stored(attempted(f, counts, (False, True)), "questions")
+    # the one costly step, over all cores however small the table is
+    cores = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tried = stored(attempted(f.repartition(cores, "doc_id"), counts, (False, True)), "questions")
     return swept(f, placed(tried.where("error is null").drop("error")), tried.where("error is not null").select("doc_id", "medical", "requested", "error"), risks)
 
 
