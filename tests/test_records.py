@@ -122,7 +122,7 @@ def test_read_documents(spark, tmp_path):
     (tmp_path / "e.exe").write_bytes(b"\xff")
     (tmp_path / "f.txt").write_bytes(b"\xff\xfe")
     got = {r.path.rsplit("/", 1)[1]: r for r in documents.read_documents(spark, str(tmp_path)).collect()}
-    assert got["a.TXT"].text == "one\ntwo é" and got["b.md"].text == "Title\nbold link\nx code\n" and got["b.md"].raw.startswith("# Title") and got["c.docx"].text == "Hello you\n"
+    assert got["a.TXT"].text == "one\ntwo é" and got["b.md"].text == "Title\n\nbold link\nx code\n" and got["b.md"].raw.startswith("# Title") and got["c.docx"].text == "Hello you\n"
     assert got["d.docx"].text is None and got["d.docx"].error.startswith("BadZipFile") and got["e.exe"].error == "unsupported format: exe" and got["f.txt"].error == "not UTF-8"
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import importlib.util
 import io
-import re
 import xml.etree.ElementTree as ET
 import zipfile
 
@@ -12,23 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.sources.markdown import markdown_text
+
 FORMATS = ("txt", "md", "pdf", "docx")
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def markdown_text(text: str) -> str:
-    """Headings, bullets, emphasis, code and links without their marks, then without tags; numbers of ordered items are lost."""
-    out = []
-    for line in text.split("\n"):
-        line = re.sub(r"^\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$", r"\1", line)
-        line = re.sub(r"^\s*(?:[-*+]|\d+[.)])\s+", "", line)
-        line = re.sub(r"^\s*>\s?", "", line)
-        line = re.sub(r"!?\[([^\]]*)\]\([^)]*\)", r"\1", line)
-        line = re.sub(r"(\*\*|__|\*|`)(?=\S)(.+?)(?<=\S)\1", r"\2", line)
-        out.append(line)
-    return re.sub(r"<[^<]+?>", "", "\n".join(out))
-
-
 def docx_text(raw: bytes) -> str:
     """The paragraphs of the document part, one a line."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
