@@ -12,6 +12,7 @@ from vellum.operators import validation as V
 from vellum.plans import scan_queries as C
 from vellum.plans import structure_queries as Q
 from vellum.plans import text_queries as X
+from vellum.sources import packages as P
 from vellum.sources import sinks
 from vellum.sources.shared import stored
 
@@ -58,10 +59,36 @@ def manifests(spark, sf_dir):
     return sinks.manifest(G.sections(S.found(Q.sops(spark, sf_dir))))
 
 
-QUERIES = {f"corpus_{f.__name__}": f for f in (requests, edited_records, manifests, questions, sweep, sweep_totals)}
+def package_manifests(spark, sf_dir):
+    """Manifests of both versions; every third module is medical."""
+    found = stored(S.found(Q.sops(spark, sf_dir)), "found")
+    titles = found.groupBy("doc_id").agg(F.max(F.when(F.col("kind") == "title", F.col("text"))).alias("title"))
+    modules = titles.withColumn("passing_score", F.when(F.col("doc_id") % 3 == 0, Z.PASS_MARKS[True]).otherwise(Z.PASS_MARKS[False]))
+    return P.package_manifests(modules, G.sections(found)).select("doc_id", "version", F.md5("manifest").alias("manifest_md5"))
+
+
+QUERIES = {f"corpus_{f.__name__}": f for f in (requests, edited_records, manifests, package_manifests, questions, sweep, sweep_totals)}
 
 ORACLE_SQL = {
     "corpus_requests": "select case when o_orderkey % 31 = 0 then 'not integers' when o_orderkey % 25 not between 5 and 20 then 'questions out of range' when 40 + o_orderkey % 70 not between 50 and 100 then 'passing score out of range' when o_orderkey % 7 = 0 then 'output format' when o_orderkey % 5 = 0 then 'version' else '-' end as error, count(*) as requests from orders group by 1",
     "corpus_edited_records": "select case when p_partkey % 120 not between 1 and 100 then 'passing score' when p_partkey % 17 = 0 then 'too few questions' when p_partkey % 7 = 0 then 'equal options' when p_partkey % 5 = 0 then 'correct answer' when p_partkey % 13 = 0 then 'question without text' when p_partkey % 11 = 0 then 'id used twice' else '-' end as error, count(*) as records from part group by 1",
     "corpus_manifests": "with s as (" + X.ORACLE_SQL["content_sections"] + ") select doc_id, 'item_' || id as item, 'res_' || id as resource, id || '.html' as file, \"order\" as ord, '1.2' as schema_version from s union all select distinct doc_id, 'item_assessment', 'res_assessment', 'assessment.html', 99, '1.2' from s",
 }
+
+
+def _manifest_sql(version: str) -> str:
+    """The manifest of one version from title, pages (titles) and mark."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    item = """'<item identifier="ITEM-' || i || '" identifierref="RES-' || i || '" isvisible="true"><title>' || pages[i] || '</title></item>'"""
+    page = q(P.resource(version, "\0", "content_\0.html")).replace("\0", "' || i || '")
+    each = lambda x: f"coalesce(array_to_string(list_transform(range(1, len(pages) + 1), lambda i: {x}), ''), '')"
+    mark = "'<adlcp:masteryscore>' || mark || '</adlcp:masteryscore></item>'"
+    if version == "2004":
+        mark = """'<imsss:sequencing><imsss:objectives><imsss:primaryObjective objectiveID="OBJ-ASSESSMENT" satisfiedByMeasure="true"><imsss:minNormalizedMeasure>0.' || mark || '00</imsss:minNormalizedMeasure></imsss:primaryObjective></imsss:objectives></imsss:sequencing></item><imsss:sequencing><imsss:controlMode choice="true" flow="true"/></imsss:sequencing>'"""
+    test = """'<item identifier="ITEM-ASSESSMENT" identifierref="RES-ASSESSMENT" isvisible="true"><title>Assessment</title>'"""
+    return f"""{q(P.opening(version))} || title || '</title>' || {each(item)} || {test} || {mark} || '</organization></organizations><resources>' || {each(page)} || {q(P.closing(version))}"""
+
+
+ORACLE_SQL["corpus_package_manifests"] = f"""with s as ({X.ORACLE_SQL["content_sections"]}), p as (select doc_id, list(title order by "order") as pages, case when doc_id % 3 = 0 then 80 else 70 end as mark from s where citations > 0 or id in ('intro', 'procedures', 'summary') group by doc_id),
+    t as (select doc_id, title from ({X.ORACLE_SQL["content_reports"]}))
+    select doc_id, version, md5(case version when '1.2' then {_manifest_sql("1.2")} else {_manifest_sql("2004")} end) as manifest_md5 from p join t using (doc_id), (values ('1.2'), ('2004')) as v(version)"""
