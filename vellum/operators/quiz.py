@@ -168,6 +168,12 @@ def interaction_results(asked: DataFrame, answers: DataFrame) -> DataFrame:
     return df.select("doc_id", "id", "r.version", "type", "weighting", "r.response", "r.result")
 
 
+def with_latency(results: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Rows of `interaction_results` with ``latency``: that of the document's whole attempt, the same for all its questions, in each version's form; ``attempts``: doc_id, seconds. An attempt without a time has taken none."""
+    df = results.join(attempts.select("doc_id", "seconds"), "doc_id", "left")
+    return df.withColumn("latency", F.when(F.col("version") == "1.2", T.timespan(F.col("seconds"))).otherwise(T.duration(F.col("seconds")))).drop("seconds")
+
+
 def suspend_data(records: Column, limit: int = SUSPEND_CHARS) -> Column:
     """The records as a JSON list, without those at the end that would take it over the limit."""
     def add(s: Column, r: Column) -> Column:

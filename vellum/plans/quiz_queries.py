@@ -76,6 +76,13 @@ def interaction_results(spark, sf_dir):
     return Z.interaction_results(interactions(spark, sf_dir), said)
 
 
+def attempt_records(spark, sf_dir):
+    """Interaction results with the time that each document's attempt took; one in seven has none."""
+    results = interaction_results(spark, sf_dir).select("doc_id", "id", "version", "result")
+    attempts = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") * 37 % 100000 / 4.0).alias("seconds"))
+    return Z.with_latency(results, attempts)
+
+
 def suspended(spark, sf_dir):
     df = questions(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.concat("id", F.lit(":"), F.col("l_partkey").cast("string")))).alias("r"))
     return df.select("doc_id", Z.suspend_data(F.col("r"), 40).alias("data"))
@@ -91,7 +98,7 @@ def interleaved(spark, sf_dir):
     return Z.interleaved(own("type <> 'true_false'"), own("type = 'true_false'"), 1)
 
 
-QUERIES = {f"quiz_{f.__name__}": f for f in (naive_scores, worst_strategies, length_tells, truth_values, layout, grades, learner_view, interactions, interaction_results, suspended, spread_steps, interleaved, question_types)}
+QUERIES = {f"quiz_{f.__name__}": f for f in (naive_scores, worst_strategies, length_tells, truth_values, layout, grades, learner_view, interactions, interaction_results, attempt_records, suspended, spread_steps, interleaved, question_types)}
 
 _q = f"with q as ({synth.QUESTIONS})"
 _st = "st(strategy, kind, aim, fallback) as (values " + ", ".join(map(str, Z.STRATEGIES)) + ")"
@@ -133,3 +140,6 @@ ORACLE_SQL = {
     "quiz_spread_steps": f"with {Q.MARKED}, {Q.STEPS}, b(n, spread, place) as (values {_bis}), c as (select *, count(*) over (partition by doc_id) as n from steps) select doc_id, ord, step_number, spread from c join b on b.n = c.n and place = ord - 1",
     "quiz_interleaved": f"{_q}, a as (select doc_id, id, type = 'true_false' as tf, row_number() over (partition by doc_id, type = 'true_false' order by ord) as ord, count(*) over (partition by doc_id, type = 'true_false') as n from q) select doc_id, ord, id, row_number() over (partition by doc_id order by case when tf then (ord - 2 + n) % n else ord - 1 end, tf) as turn from a",
 }
+_cs = "case when doc_id % 7 = 0 then 0 else floor(doc_id * 37 % 100000 / 4.0 * 100)::bigint end"
+ORACLE_SQL["quiz_attempt_records"] = f"""select doc_id, id, version, result, case version when '1.2' then printf('%04d:%02d:%02d.%02d', cs // 360000, cs % 360000 // 6000, cs % 6000 // 100, cs % 100) else printf('PT%dH%dM%.2fS', cs // 360000, cs % 360000 // 6000, (cs % 6000) / 100.0::double) end as latency
+    from (select doc_id, id, version, result, {_cs} as cs from ({ORACLE_SQL["quiz_interaction_results"]}))"""
