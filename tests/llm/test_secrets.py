@@ -263,3 +263,19 @@ def test_compressed_cycles_end():
     secrets._driven(inside.feed(gzip.compress(b"x", mtime=0)))
     secrets._driven(inside.close())
     assert inside.child is None
+
+
+def test_every_escape_layer_is_scanned():
+    """Hexadecimal letters behind k more percent escapes: each of the k + 1 layers has a run of its own, two letters shorter than that of the layer before."""
+    for k in range(secrets.STEPS):
+        text = "%" + "25" * k + "6a" * 12
+        _, spans = secrets.find_all(text)
+        assert {x for x in spans if x[1] == 2} == {(1 + 2 * j, 2, len(text)) for j in range(k + 1)}, k
+
+
+def test_deeply_nested_escapes_end():
+    """Many more layers than steps: the innermost text is scanned all the same, in bounded time."""
+    text = "%" + "25" * 100_000 + "41 %70assword=hunter2hunter2"
+    began = time.time()
+    _, spans = secrets.find_all(text)
+    assert any(k == 0 for _, k, _ in spans) and time.time() - began < 30

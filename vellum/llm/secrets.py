@@ -65,7 +65,7 @@ URLSAFE = str.maketrans("-_", "+/")
 MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]", re.DOTALL)
 BYTES = re.compile("[\\x00-\\xff]+")
 #: So many steps of escapes within escapes are layers each; beyond that, one step undoes all that are left.
-STEPS = 4
+STEPS = 16
 #: Letters of the longest escape but one.
 REACH = 11
 #: What is unpacked at a time, the least window, and what of it the next one sees again.
