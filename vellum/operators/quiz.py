@@ -89,7 +89,7 @@ def layout(questions: DataFrame) -> DataFrame:
     digest; the cycles' offsets (2 x 3 x 4 combinations at most) are judged together by the
     share of points that the worst strategy gets, with what two-way items give it. Of the
     combinations at or below the ceiling, or else the least bad, the document's digest
-    picks one. All of it is one aggregation a document over an array of 24 offsets.
+    picks one. A question is met by at most 24 rows, one a combination, which one aggregation judges.
     """
     many = (F.col("type") != "true_false") & (F.col("n_options") >= 2)
     digest = T.question_digest(F.col("doc_id").cast("string"), F.col("id"))

@@ -9,6 +9,7 @@ from vellum.operators import audit as A
 from vellum.operators import metrics as M
 from vellum.plans import synth
 from vellum.sources import rebuild as R
+from vellum.sources.records import parsed_lines
 
 
 def trail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,6 +139,37 @@ def documents(spark, sf_dir):
     return df.select("job_id", "version", F.size("lines").alias("lines"), F.sha2("saved", 256).alias("saved_sha256"), F.size("faults").alias("faults"))
 
 
+def editable_items(spark, sf_dir):
+    """What reviewers could edit of saved modules and assessments."""
+    m = R.rebuild(synth.view(spark, sf_dir, MODULES), "module", keep=["job_id"]).select("job_id", "learning_objectives", "sections")
+    a = R.rebuild(synth.view(spark, sf_dir, ASSESSMENTS), "assessment", keep=["job_id"]).select("job_id", F.transform("questions", lambda q: F.struct(q["options"].alias("options"))).alias("questions"))
+    return m.join(a, "job_id").select("job_id", M.editable_items(F.col("learning_objectives"), F.col("sections"), F.col("questions")).cast("long").alias("items"))
+
+
+def review_times(spark, sf_dir):
+    """Seconds between two moments of a review, none where one can't be read, never below 0."""
+    return synth.view(spark, sf_dir, TIMES).select("job_id", M.seconds_between(F.col("began"), F.col("ended")).alias("seconds"))
+
+
+def line_problems(spark, sf_dir):
+    """What is wrong with damaged lines of trails."""
+    lines = synth.view(spark, sf_dir, LINES)
+    _, problems = parsed_lines(lines.select(F.col("job_id").alias("group"), F.lit("-").alias("path"), "file_line", "line", F.lit(False).alias("last")), F.col("group"))
+    return problems
+
+
+TIMES = """
+select o_orderkey as job_id, case when o_orderkey % 7 = 0 then 'yesterday' else '2024-01-01T10:00:00+00:00' end as began,
+  '2024-01-0' || (1 + o_orderkey % 3) || 'T' || lpad(cast(o_orderkey % 24 as string), 2, '0') || ':' || lpad(cast(o_orderkey % 60 as string), 2, '0') || ':00.250000+00:00' as ended
+from orders
+"""
+#: Entries as lines, one of eleven damaged in each of so many ways.
+LINES = """
+select cast(user_id as string) as job_id, cast(event_id as int) as file_line, case event_id % 11 when 0 then '   ' when 1 then '{"seq": ' when 2 then '[' || event_id || ']' else
+  '{"ts":' || case when event_id % 11 = 3 then '5' else '"2024-01-01T00:00:00+00:00"' end || ',"job_id":"j","event":"e","actor":' || case when event_id % 11 = 4 then '"x"' else '{"name":"x"}' end || case when event_id % 11 = 5 then '' else ',"details":{}' end
+  || case when event_id % 11 = 6 then ',"zone":1,"extra":2' else '' end || ',"content_hash":' || case when event_id % 11 = 7 then '1' else 'null' end || ',"mac":null,"prev_hash":"","hash":"","seq":' || case event_id % 11 when 8 then 'true' when 9 then '1.0' else '1' end || '}' end as line
+from events
+"""
 #: Saved modules: keys that are there or not, null, of another kind, or from a later version.
 MODULES = """
 select p_partkey as job_id, '{' || case when p_partkey % 3 <> 0 then '"title": "' || p_name || '", ' else '' end
@@ -162,7 +194,7 @@ select p_partkey as job_id, '{"title":"' || p_name || '","deep":' || repeat('{"k
     || case when p_partkey % 6 = 1 and m > 0 then ',"new"' else '' end || repeat(']}', m) || ',"title":"' || case when p_partkey % 7 = 0 then p_brand else p_name end || '"}' as new
 from (select *, cast(p_partkey % 12 as int) as n, cast(case when p_partkey % 5 = 0 then floor((p_partkey % 12) / 2) else p_partkey % 12 end as int) as m from part)
 """
-QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, continued_heads, problems, verdicts, states, content_hashes, canonical)} | {f"records_{f.__name__}": f for f in (modules, assessments, documents)} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts, deep_edits, deep_edit_counts)}
+QUERIES = {f"audit_{f.__name__}": f for f in (chain_heads, continued_heads, problems, verdicts, states, content_hashes, canonical)} | {f"records_{f.__name__}": f for f in (modules, assessments, documents, editable_items)} | {"metrics_review_times": review_times, "audit_line_problems": line_problems} | {f"metrics_{f.__name__}": f for f in (overall, by_status, by_source, edit_categories, failed_audits, edit_counts, deep_edits, deep_edit_counts)}
 
 _content = ", ".join(f"'{e}'" for e in A.CONTENT_EVENTS)
 _canon = """'{"actor":{"name":"' || {a} || '"},"content_hash":' || case when {c} is null then 'null' else '"' || {c} || '"' end || ',"details":{"n":1},"event":"' || {e} || '","job_id":"' || {j} || '","prev_hash":"' || {p} || '","seq":' || {s} || ',"ts":"' || {t} || '"}'"""
@@ -210,6 +242,10 @@ _modules = """select *, p_partkey % 3 <> 0 as titled, case when p_partkey % 5 =
   case when p_partkey % 4 = 0 then p_size when p_partkey % 4 = 2 then null else 0 end as minutes, case when p_partkey % 2 = 0 then '[{"citations":[[1,' || p_size || ']],"id":"s1","share":1.0},{}]' else '[]' end as secs from part"""
 _question = """'{"answer_hash":"' || hash || '","correct_answer":' || right_ || ',"explanation":"","id":"q1","options":["' || p_name || '","' || p_brand || '"],"points":' || points || ',"salt":"s' || p_partkey || '","source_ref":{},"text":"","topic":"","type":""}'"""
 ORACLE_SQL = {
+    "records_editable_items": "select p_partkey as job_id, (case when p_partkey % 5 = 1 then 2 else 0 end + case when p_partkey % 2 = 0 then 2 else 0 end + 3 + case when p_partkey % 5 = 0 then 1 else 0 end)::bigint as items from part",
+    "metrics_review_times": "select o_orderkey as job_id, case when o_orderkey % 7 <> 0 then greatest(0, (o_orderkey % 3) * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + 0.25::double - 36000) end as seconds from orders",
+    "audit_line_problems": """select * from (select user_id::varchar as job_id, event_id::int as file_line, case event_id % 11 when 0 then 'blank line' when 1 then 'not valid JSON' when 2 then 'entry is not an object' when 3 then 'ts is not a string' when 4 then 'actor is not an object'
+        when 5 then 'missing fields: details' when 6 then 'unknown fields: extra, zone' when 7 then 'content_hash is not a string or null' when 8 then 'seq is not an integer' when 9 then 'seq is not an integer' end as problem from events) where problem is not null""",
     "records_modules": f"""select p_partkey as job_id, case when titled then p_name else '' end as title, minutes::bigint as estimated_duration, case when p_partkey % 5 = 1 then p_type || '|' || p_brand else '' end as objectives,
         case when p_partkey % 2 = 0 then 2 else 0 end as sections, p_brand || ' é' as summary, case when p_partkey % 7 = 0 then '{{"future":{{"n":' || p_partkey || '}}}}' end as rest,
         concat_ws(',', case when p_partkey % 4 = 1 then 'estimated_duration' end, case when p_partkey % 5 = 2 then 'learning_objectives' end, case when p_partkey % 2 = 1 then 'sections' end) as faults,
