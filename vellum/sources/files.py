@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vellum.operators import audit as A
 from vellum.sources.records import read_trails
+from vellum.sources.shared import stored
 
 #: Up to this many bytes a file is digested from its row, beyond it piece by piece; bytes of a piece.
 WHOLE, PIECE = 1 << 28, 1 << 20
@@ -63,12 +64,21 @@ def _each(df: DataFrame, act) -> DataFrame:
 
 
 def _aside(fs: pafs.FileSystem, source: str, target: str) -> None:
-    if fs.get_file_info(target).type != pafs.FileType.NotFound:
+    """Renames a folder; one that is renamed already, as by a task that was lost, is left as it is."""
+    here, there = (fs.get_file_info(x).type != pafs.FileType.NotFound for x in (source, target))
+    if there and not here:
+        return
+    if there:
         raise FileExistsError(f"{target} is there already")
     fs.create_dir(target.rsplit("/", 1)[0])
     fs.move(source, target)
 
 
+def _deleted(fs: pafs.FileSystem, source: str, _: str) -> None:
+    if fs.get_file_info(source).type != pafs.FileType.NotFound:
+        fs.delete_dir(source)
+
+
 def retire(spark: SparkSession, folder: str, store: str, now: str, seconds: int, key: bytes | None = None) -> DataFrame:
     """(job_id, state, head_hash, error) of the job folders ``<folder>/<job>`` whose newest file is older than ``seconds`` before ``now`` (UTC): states "gone" and "kept".
 
@@ -85,7 +95,7 @@ def retire(spark: SparkSession, folder: str, store: str, now: str, seconds: int,
     inner = F.regexp_extract("path", re.escape(opened(folder)[1].rstrip("/")) + r"/([^/]+)/", 1)
     newest = files.select(inner.alias("job_id"), "modificationTime").where(~F.col("job_id").isin("", RETIRED)).groupBy("job_id").agg(F.max("modificationTime").alias("at"))
     old = newest.where(F.unix_timestamp("at") < F.unix_timestamp(F.lit(now).cast("timestamp")) - seconds).select("job_id", F.concat(F.lit(f"{folder}/"), "job_id").alias("source"), F.concat(F.lit(f"{aside}/"), "job_id").alias("target"))
-    moved = spark.createDataFrame(_each(old, _aside).collect(), "job_id string, error string")  # a row a folder that was old: names, not contents
+    moved = stored(_each(old, _aside), "moved")  # written, so that it happens once
     kept = moved.where("error is not null").select("job_id", F.lit("kept").alias("state"), F.lit(None).cast("string").alias("head_hash"), "error")
     fs, path = opened(aside)
     names = [x.base_name for x in fs.get_file_info(pafs.FileSelector(path)) if x.type == pafs.FileType.Directory] if fs.get_file_info(path).type == pafs.FileType.Directory else []
@@ -94,7 +104,7 @@ def retire(spark: SparkSession, folder: str, store: str, now: str, seconds: int,
     gone = spark.createDataFrame([(n,) for n in sorted(names)], "job_id string")
     last = read_trails(spark, aside)[0].where(A.is_hash(F.col("hash"))).groupBy("job_id").agg(F.max_by("hash", "file_line").alias("head_hash"))
     gone = gone.join(last, "job_id", "left").select("job_id", F.coalesce("head_hash", F.lit(A.GENESIS)).alias("head_hash"))
-    gone = spark.createDataFrame(gone.collect(), "job_id string, head_hash string")
+    gone = stored(gone, "gone")  # before the trails go
     told = F.to_json(F.struct("head_hash", "job_id", F.lit(seconds).alias("retention_seconds")))
     requests = gone.select(
         F.concat(F.lit("retention-"), "job_id").alias("request_id"), F.lit(now).alias("asked"), F.lit("global").alias("job_id"), F.lit("retention.deleted").alias("event"),
@@ -105,6 +115,6 @@ def retire(spark: SparkSession, folder: str, store: str, now: str, seconds: int,
         known = read_store(spark, store)[0].where("event = 'retention.deleted'").select(F.get_json_object("details", "$.job_id").alias("j"), F.get_json_object("details", "$.head_hash").alias("h")).distinct()
         requests = requests.withColumns({"j": F.get_json_object("details", "$.job_id"), "h": F.get_json_object("details", "$.head_hash")}).join(known, ["j", "h"], "left_anti").drop("j", "h")
     append(requests, store, number + 1, key=key)
-    done = _each(gone.select("job_id", F.concat(F.lit(f"{aside}/"), "job_id").alias("source"), F.concat(F.lit(f"{aside}/"), "job_id").alias("target")), lambda fs, source, _: fs.delete_dir(source))
-    done = spark.createDataFrame(done.collect(), "job_id string, error string")
+    done = _each(gone.select("job_id", F.concat(F.lit(f"{aside}/"), "job_id").alias("source"), F.concat(F.lit(f"{aside}/"), "job_id").alias("target")), _deleted)
+    done = stored(done, "done")
     return kept.unionByName(gone.join(done, "job_id").select("job_id", F.when(F.col("error").isNull(), "gone").otherwise("kept").alias("state"), "head_hash", "error"))
