@@ -246,21 +246,27 @@ def step_key(number: Column) -> Column:
     return F.struct((~fine).alias("odd"), F.when(fine, key).alias("key"))
 
 
+#: Lines that a join of spans moves together.
+BLOCK = 16
+
+
 def cited(spans: DataFrame, docs: DataFrame, context: int = 0) -> DataFrame:
     """The rows of ``spans`` (doc_id, s, e and others) with ``excerpt``: their lines with so many more on either side, null where a span isn't within its document.
 
-    Ends that come in the wrong order are exchanged. A join of lines with the lines that
-    spans ask for: each distinct span is met by as many rows as it has lines, however long
-    its document is, and lines that nothing asks for go no further than the join.
+    Ends that come in the wrong order are exchanged. A join of blocks of BLOCK lines with
+    the blocks that spans reach into: each distinct span meets no more lines than it has
+    and two blocks hold, however long its document is.
     """
     a, b = F.least("s", "e"), F.greatest("s", "e")
-    asked = spans.select("doc_id", "s", "e").where("s is not null and e is not null").distinct().select("doc_id", "s", "e", a.alias("_a"), b.alias("_b")).where("_a >= 1")
-    # a span can't ask for more lines than its document has
-    sizes = docs.select("doc_id", F.size(F.split("text", "\n")).alias("_n")).where("_n > 0")
-    near = asked.join(sizes, "doc_id").where("_b <= _n").select("doc_id", "s", "e", F.explode(F.sequence(F.greatest(F.col("_a") - context, F.lit(1)), F.least(F.col("_b") + context, F.col("_n")))).alias("line_no"))
-    found_ = near.join(lines(docs).select("doc_id", "line_no", "line"), ["doc_id", "line_no"])
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
-    texts = found_.groupBy("doc_id", "s", "e").agg(F.array_join(parts, "\n").alias("excerpt"))
+    asked = spans.select("doc_id", "s", "e").where("s is not null and e is not null").distinct().select("doc_id", "s", "e", b.alias("_end"), F.greatest(a - context, F.lit(1)).alias("_a"), (b + context).alias("_b")).where(a >= 1)
+    asked = asked.select("*", F.explode(F.expr(f"sequence((_a - 1) div {BLOCK}, (_b - 1) div {BLOCK})")).alias("block"))
+    own = docs.select("doc_id", F.split("text", "\n").alias("_l")).where("_l is not null")
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(_l) - 1) div {BLOCK} as int)")), lambda i: F.slice("_l", i * BLOCK + 1, F.lit(BLOCK)))
+    blocks = own.select("doc_id", F.size("_l").alias("_n"), F.posexplode(cut).alias("block", "_part")).withColumn("block", F.col("block").cast("long"))
+    first, last = F.greatest(F.col("_a") - F.col("block") * BLOCK, F.lit(1)).cast("int"), F.least(F.col("_b") - F.col("block") * BLOCK, F.size("_part")).cast("int")
+    met = asked.join(blocks, ["doc_id", "block"]).where("_end <= _n").select("doc_id", "s", "e", "block", F.when(last >= first, F.array_join(F.slice("_part", first, last - first + 1), "\n")).alias("_t"))
+    parts = F.transform(F.array_sort(F.collect_list(F.when(F.col("_t").isNotNull(), F.struct("block", "_t")))), lambda x: x["_t"])
+    texts = met.groupBy("doc_id", "s", "e").agg(F.array_join(parts, "\n").alias("excerpt"))
     return spans.join(texts, ["doc_id", "s", "e"], "left").select(*[spans[c] for c in spans.columns], "excerpt")
 
 
