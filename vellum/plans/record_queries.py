@@ -78,7 +78,7 @@ def failed_audits(spark, sf_dir):
 
 def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Drafts and edited records as JSON, from parts."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    p = synth.table(spark, sf_dir, "part")
     q = lambda text, b, c: F.struct(F.lit("q1").alias("id"), text.alias("text"), F.array(F.lit("a"), b, F.lit("c")).alias("options"), c.alias("correct_answer"))
     k = F.col("p_partkey")
     record = lambda title, objs, qs: F.to_json(F.struct(title.alias("title"), objs.alias("learning_objectives"), qs.alias("questions")), {"ignoreNullFields": "false"})
@@ -133,7 +133,7 @@ def assessments(spark, sf_dir):
 
 def documents(spark, sf_dir):
     """Records of all documents, lines and text, through JSON and back."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = synth.table(spark, sf_dir, "documents")
     json = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("raw_content"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"), F.col("lang").alias("version")))
     df = R.rebuild(docs.select(F.col("doc_id").alias("job_id"), json.alias("json")), "document", keep=["job_id"])
     return df.select("job_id", "version", F.size("lines").alias("lines"), F.sha2("saved", 256).alias("saved_sha256"), F.size("faults").alias("faults"))
@@ -143,7 +143,7 @@ def editable_items(spark, sf_dir):
     """What reviewers could edit of saved modules and assessments."""
     m = R.rebuild(synth.view(spark, sf_dir, MODULES), "module", keep=["job_id"]).select("job_id", "learning_objectives", "sections")
     a = R.rebuild(synth.view(spark, sf_dir, ASSESSMENTS), "assessment", keep=["job_id"]).select("job_id", F.transform("questions", lambda q: F.struct(q["options"].alias("options"))).alias("questions"))
-    return m.join(a, "job_id").select("job_id", M.editable_items(F.col("learning_objectives"), F.col("sections"), F.col("questions")).cast("long").alias("items"))
+    return m.join(a.hint("merge"), "job_id").select("job_id", M.editable_items(F.col("learning_objectives"), F.col("sections"), F.col("questions")).cast("long").alias("items"))
 
 
 def review_times(spark, sf_dir):

@@ -18,7 +18,7 @@ def hostile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synth.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "doc_id")
+    return synth.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def risk_rollup(spark, sf_dir):
 def risk_by_source(spark, sf_dir):
     docs = documents(spark, sf_dir)
     found = _scanned(docs).withColumn("severity", F.when(F.col("kind").isin(*R.HIGH_KINDS), "high").otherwise("low"))
-    df = C.risks(docs, found).join(docs.select("doc_id", "source"), "doc_id")
+    df = C.risks(docs, found).join(docs.select("doc_id", "source").hint("merge"), "doc_id")
     return df.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), *[F.count_if(F.col("risk") == r).alias(f"risk_{r}") for r in ("high", "low", "none")], F.sum("findings").alias("findings"))
 
 

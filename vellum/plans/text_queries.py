@@ -13,7 +13,7 @@ from vellum.sources.shared import stored
 
 
 def _docs(spark, sf_dir):
-    return synth.dealt(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    return synth.table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _lines(spark, sf_dir):
