@@ -82,7 +82,7 @@ def durations(docs: DataFrame, steps: DataFrame) -> DataFrame:
     """(doc_id, minutes): reading time, a minute a step and five for the assessment; five at least."""
     n = steps.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     words = F.size(F.filter(F.split("text", r"(?U)\s+"), lambda w: w != ""))
-    return docs.join(n, "doc_id", "left").select("doc_id", F.greatest(F.lit(5), F.floor(words / WORDS_A_MINUTE + F.coalesce("n", F.lit(0)) + 5)).cast("long").alias("minutes"))
+    return docs.join(n.hint("merge"), "doc_id", "left").select("doc_id", F.greatest(F.lit(5), F.floor(words / WORDS_A_MINUTE + F.coalesce("n", F.lit(0)) + 5)).cast("long").alias("minutes"))
 
 
 def definition_html(defs: DataFrame) -> DataFrame:
@@ -145,7 +145,7 @@ def resolved(refs: DataFrame, provenance: DataFrame, docs: DataFrame) -> DataFra
     known = F.when(F.col("kind").isin("purpose", "scope"), F.col("kind")).when(F.col("kind") == "definition", F.concat(F.lit("definition:"), F.col("term"))).when(F.col("kind") == "step", F.concat(F.lit("step:"), F.col("term"))).when(F.col("kind") == "safety", F.concat(F.lit("safety:"), F.col("idx").cast("string")))
     spans = provenance.select("doc_id", known.alias("_key"), "idx", F.col("s").alias("ps"), F.col("e").alias("pe")).where("_key is not null").groupBy("doc_id", "_key").agg(F.min(F.struct("idx", "ps", "pe")).alias("p"))
     lines = docs.select("doc_id", F.size(F.split("text", "\n")).alias("_n"))
-    df = refs.withColumn("_key", key).join(spans, ["doc_id", "_key"], "left").join(lines, "doc_id", "left")
+    df = refs.withColumn("_key", key).join(spans.hint("merge"), ["doc_id", "_key"], "left").join(lines.hint("merge"), "doc_id", "left")
     fine = lambda s, e: (s >= 1) & (s <= e) & (e <= F.col("_n"))
     own = (F.col("kind") == "step") & fine(F.col("s"), F.col("e"))
     s = F.when(own, F.col("s")).when(fine(F.col("p.ps"), F.col("p.pe")), F.col("p.ps"))
@@ -182,12 +182,12 @@ def reports(docs: DataFrame, risks: DataFrame, verdicts: DataFrame | None = None
     df = found.groupBy("doc_id").agg(
         F.max("doc.source_md5").alias("source_md5"), F.max(F.when(F.col("kind") == "title", F.col("text"))).alias("title"), *[number(k).alias(v) for k, v in names.items()], *[(number(k) > 0).alias(f"has_{k}") for k in ("purpose", "scope")],
     )
-    df = df.join(risks.select("doc_id", "risk"), "doc_id", "left").withColumn("risk", F.coalesce("risk", F.lit("not_scanned")))
+    df = df.join(risks.select("doc_id", "risk").hint("merge"), "doc_id", "left").withColumn("risk", F.coalesce("risk", F.lit("not_scanned")))
     if verdicts is not None:
-        df = df.join(verdicts.select("doc_id", "ok"), "doc_id", "left").withColumn("trail", F.when(F.col("ok"), "intact").when(~F.col("ok"), "failed").otherwise("no_audit_trail")).drop("ok")
+        df = df.join(verdicts.select("doc_id", "ok").hint("merge"), "doc_id", "left").withColumn("trail", F.when(F.col("ok"), "intact").when(~F.col("ok"), "failed").otherwise("no_audit_trail")).drop("ok")
     if approvals is not None:
         own = F.struct(*[F.coalesce(F.col(k) if k in approvals.columns else F.lit(None), F.lit(v)).alias(k) for k, v in APPROVAL.items()])
-        df = df.join(approvals.select("doc_id", own.alias("approval")), "doc_id", "left")
+        df = df.join(approvals.select("doc_id", own.alias("approval")).hint("merge"), "doc_id", "left")
     if shares is not None:
-        df = df.join(shares.where("bucket = 'overall'").select("doc_id", "coverage_pct"), "doc_id", "left").withColumn("coverage_pct", F.coalesce("coverage_pct", F.lit(0.0)))
+        df = df.join(shares.where("bucket = 'overall'").select("doc_id", "coverage_pct").hint("merge"), "doc_id", "left").withColumn("coverage_pct", F.coalesce("coverage_pct", F.lit(0.0)))
     return df

@@ -114,7 +114,7 @@ def edits_by_category(old: DataFrame, new: DataFrame, json_col: str = "json", ke
     """(key, category, edits) between two versions of records with title, learning_objectives, sections and questions; answers are counted by the correct option's text."""
     parts = differences(old, new, json_col, key).select(key, category(F.col("path")).alias("category")).where("category is not null")
     texts = lambda df, name: df.select(key, F.expr(CORRECT.format(json_col)).alias(name))
-    both = texts(old, "_a").join(texts(new, "_b"), key)
+    both = texts(old, "_a").join(texts(new, "_b").hint("merge"), key)
     moved = both.select(key, F.expr("size(filter(arrays_zip(slice(_a, 1, least(size(_a), size(_b))), slice(_b, 1, least(size(_a), size(_b)))), z -> not z.`0` <=> z.`1`))").alias("n")).where("n > 0")
     counts = parts.groupBy(key, "category").agg(F.count(F.lit(1)).alias("edits"))
     return counts.unionByName(moved.select(key, F.lit("question_answers").alias("category"), F.col("n").cast("long").alias("edits")))

@@ -137,7 +137,7 @@ def all_findings(lines: DataFrame, **how) -> DataFrame:
 def risks(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, risk, findings, kinds, gates) for every document: high if any finding is, low if there is one, else none."""
     per = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("kind").alias("kinds"), F.max((F.col("severity") == "high").cast("int")).alias("high"))
-    df = docs.select("doc_id").join(per, "doc_id", "left")
+    df = docs.select("doc_id").join(per.hint("merge"), "doc_id", "left")
     risk = F.when(F.col("high") == 1, "high").when(F.col("findings") > 0, "low").otherwise("none")
     return df.select("doc_id", risk.alias("risk"), F.coalesce("findings", F.lit(0)).cast("long").alias("findings"), F.coalesce("kinds", F.lit(0)).cast("long").alias("kinds"), (risk == "high").alias("gates"))
 
