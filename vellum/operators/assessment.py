@@ -386,7 +386,7 @@ def placed(questions: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "doc_key", F.col("doc_id").cast("string"), F.col("medical").cast("string"), F.col("requested").cast("string"))
     df = questions.withColumn("_real", F.col("doc_id")).withColumn("doc_id", key).withColumn("n_options", F.size("options"))
     at = Z.layout(df.select("doc_id", "id", "ord", "type", "n_options", "correct_answer", "points")).drop("worst")
-    df = df.join(at, ["doc_id", "id"], "left").withColumn("correct_answer", F.coalesce("position", "correct_answer"))
+    df = df.join(at.hint("merge"), ["doc_id", "id"], "left").withColumn("correct_answer", F.coalesce("position", "correct_answer"))
     rest = F.slice("options", F.lit(2), F.size("options"))
     moved = F.concat(F.slice(rest, F.lit(1), F.col("position")), F.slice("options", 1, 1), F.slice(rest, F.col("position") + 1, F.size("options")))
     return df.withColumn("options", F.when(F.col("position").isNull(), F.col("options")).otherwise(moved)).withColumn("doc_id", F.col("_real")).drop("_real", "position")
@@ -414,15 +414,17 @@ def sweep(docs: DataFrame, risks: DataFrame, counts: tuple[int, ...] = (5, 8)) -
     """
     f = stored(facts(docs), "facts")
     # the one costly step, over all cores however small the table is
-    cores = max(docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tried = stored(attempted(f.repartition(cores, "doc_id"), counts, (False, True)), "questions")
-    return swept(f, placed(tried.where("error is null").drop("error")), tried.where("error is not null").select("doc_id", "medical", "requested", "error"), risks)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    tried = stored(attempted(f if f.rdd.getNumPartitions() >= cores else f.repartition(cores, "doc_id"), counts, (False, True)), "questions")
+    # places are found for the options' lengths, which are all that a strategy sees of texts
+    sizes = tried.where("error is null").select("doc_id", "doc_key", "medical", "requested", "ord", "id", "type", "correct_answer", "points", F.transform("options", lambda o: F.length(o)).alias("options"))
+    return swept(f, placed(sizes), tried.where("error is not null").select("doc_id", "medical", "requested", "error"), risks, F.col("options"))
 
 
-def swept(facts_: DataFrame, questions: DataFrame, errors: DataFrame, risks: DataFrame) -> DataFrame:
-    """The rows of `sweep` from facts, laid-out questions, failed runs and risks."""
+def swept(facts_: DataFrame, questions: DataFrame, errors: DataFrame, risks: DataFrame, lengths: Column | None = None) -> DataFrame:
+    """The rows of `sweep` from facts, laid-out questions, failed runs and risks; ``lengths``: of the questions' options, where these aren't texts."""
     run = ["doc_id", "medical", "requested"]
-    lengths = F.transform("options", lambda o: F.length(o))
+    lengths = F.transform("options", lambda o: F.length(o)) if lengths is None else lengths
     q = questions.withColumn("_run", F.struct(*run)).select(F.col("_run").alias("doc_id"), "type", "n_options", "correct_answer", "points", lengths.alias("lengths"))
     scores = Z.naive_scores(q, F.col("lengths")).where(F.col("strategy").isin(*Z.SWEPT))
     order = F.array_position(F.array(*map(F.lit, Z.SWEPT)), F.col("strategy"))
@@ -432,7 +434,9 @@ def swept(facts_: DataFrame, questions: DataFrame, errors: DataFrame, risks: Dat
     failed = errors.groupBy("doc_id").agg(F.min(F.struct("medical", "requested", "error"))["error"].alias("error"))
     n = lambda c: F.size(c).cast("long").alias(c)
     out = facts_.select("doc_id", n("steps"), n("warnings"), n("definitions"), (F.size("purpose") > 0).alias("has_purpose"), (F.size("scope") > 0).alias("has_scope"))
-    out = out.join(risks.select("doc_id", "risk"), "doc_id", "left").join(worst, "doc_id", "left").join(thin, "doc_id", "left").join(failed, "doc_id", "left")
+    out = out.join(risks.select("doc_id", "risk").hint("merge"), "doc_id", "left")
+    for own in (worst, thin, failed):
+        out = out.join(own.hint("merge"), "doc_id", "left")
     ok = F.col("error").isNull()
     when = lambda c, x=None: F.when(ok, F.col(c) if x is None else F.coalesce(c, F.lit(x))).alias(c)
     mark = F.when(F.col("medical"), Z.PASS_MARKS[True]).otherwise(Z.PASS_MARKS[False])

@@ -19,7 +19,7 @@ from vellum.sources.shared import stored
 
 def questions(spark, sf_dir):
     """The questions of every procedure document, options laid out."""
-    q = A.placed(A.assessments(A.facts(Q.sops(spark, sf_dir)), (5,), (True,)))
+    q = A.placed(stored(A.assessments(A.facts(Q.sops(spark, sf_dir)), (5,), (True,)), "questions"))  # made once, for the layout and the join
     return q.select("doc_id", "ord", "id", "category", "type", "text", F.to_json("options").alias("options"), "correct_answer", "points", "answer_hash")
 
 
