@@ -61,3 +61,10 @@ def test_lines_are_not_broadcast(spark):
     json = docs.select(F.col("doc_id").alias("job_id"), F.to_json(F.struct("text")).alias("json"))
     for df in (S.excerpts(docs, spans, 1), G.verified(spans, docs), G.distractors(wrong, docs), C.risks(docs, found), M.edits_by_category(json, json)):
         assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
+
+
+def test_spans_beyond_a_document_make_no_rows(spark):
+    """Each of these would ask for as many blocks as a list can't hold."""
+    docs = spark.createDataFrame([(i, "a\nb\nc") for i in range(20)], "doc_id long, text string")
+    spans = spark.createDataFrame([(i, 2, 2_000_000_000 + i) for i in range(20)] + [(3, 2, 3)], "doc_id long, s long, e long")
+    assert [tuple(r) for r in S.excerpts(docs, spans, 1).collect()] == [(3, 2, 3, "a\nb\nc")]
