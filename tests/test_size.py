@@ -13,6 +13,7 @@ from vellum.plans import quiz_queries as K
 from vellum.plans import scan_queries as N
 from vellum.plans import structure_queries as Q
 from vellum.plans import synth
+from vellum.plans import text_queries as T
 
 D = "/root/testdata/sf0.001"
 
@@ -68,3 +69,13 @@ def test_spans_beyond_a_document_make_no_rows(spark):
     docs = spark.createDataFrame([(i, "a\nb\nc") for i in range(20)], "doc_id long, text string")
     spans = spark.createDataFrame([(i, 2, 2_000_000_000 + i) for i in range(20)] + [(3, 2, 3)], "doc_id long, s long, e long")
     assert [tuple(r) for r in S.excerpts(docs, spans, 1).collect()] == [(3, 2, 3, "a\nb\nc")]
+
+
+def test_registers_sort_no_lines(spark):
+    p = plan(T.registers(spark, D))
+    assert "Sort [" not in p and "hashpartitioning(register" not in p
+
+
+def test_registers_that_do_not_occur_make_no_rows(spark):
+    lines = spark.createDataFrame([("Wear gloves.",), ("Check it.",), ("Operator: wears gloves",)], "line string")
+    assert sorted(map(tuple, T.register_counts(lines).collect())) == [("imperative", 2, "Check it."), ("role", 1, "Operator: wears gloves")]

@@ -33,7 +33,15 @@ def altered(spark, sf_dir):
 
 
 def registers(spark, sf_dir):
-    return _lines(spark, sf_dir).groupBy(T.register(F.col("line")).alias("register")).agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first_line"))
+    return register_counts(_lines(spark, sf_dir))
+
+
+def register_counts(lines):
+    """(register, lines, first_line) of the registers that occur. Grouped by register, every task would sort all its lines, as a least text can't be kept in a hash table; one row of all registers takes no sort and no memory."""
+    own = lambda r: F.col("register") == r
+    row = lines.select("line", T.register(F.col("line")).alias("register")).agg(*[c for r in T.REGISTERS for c in (F.count_if(own(r)).alias(f"n_{r}"), F.min(F.when(own(r), F.col("line"))).alias(f"first_{r}"))])
+    each = F.array(*[F.struct(F.lit(r).alias("register"), F.col(f"n_{r}").alias("lines"), F.col(f"first_{r}").alias("first_line")) for r in T.REGISTERS])
+    return row.select(F.inline(each)).where("lines > 0")
 
 
 def option_keys(spark, sf_dir):
