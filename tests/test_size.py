@@ -79,3 +79,11 @@ def test_registers_sort_no_lines(spark):
 def test_registers_that_do_not_occur_make_no_rows(spark):
     lines = spark.createDataFrame([("Wear gloves.",), ("Check it.",), ("Operator: wears gloves",)], "line string")
     assert sorted(map(tuple, T.register_counts(lines).collect())) == [("imperative", 2, "Check it."), ("role", 1, "Operator: wears gloves")]
+
+
+def test_only_lines_with_a_word_of_a_flip_are_altered(spark):
+    p = plan(T.altered(spark, D))
+    assert re.search(r"RLIKE\(line#\d+, \(\?i\)\\b\(\?:must\|", p)
+    texts = [t for old, _ in T.T.FLIPS for t in (f"x {old.upper()} y", old.replace(" ", " \t"), f"a{old}b")] + ["", "Check it."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.T.altered(F.col("t")).isNotNull().alias("a"), F.col("t"))
+    assert {r["t"] for r in df.where("not a").collect()} == {"", "Check it.", *(f"a{old}b" for old, _ in T.T.FLIPS)}

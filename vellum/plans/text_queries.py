@@ -29,7 +29,8 @@ def clipped(spark, sf_dir):
 
 
 def altered(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", "line_no", T.altered(F.col("line")).alias("altered")).where("altered is not null")
+    lines = _lines(spark, sf_dir).where(T.alterable(F.col("line")))
+    return lines.select("doc_id", "line_no", T.altered(F.col("line")).alias("altered")).where("altered is not null")
 
 
 def registers(spark, sf_dir):
