@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import rules as R
-from vellum.functions.guards import required
+from vellum.functions.guards import among, candidates, loose, required
 from vellum.functions.text import collapse, strings, strip
 
 Rule = tuple[str, bool, str]
@@ -29,26 +29,43 @@ def negated(line: Column, at: Column) -> Column:
     return F.substring(line, start, at - start).rlike("(?i)" + R.NEGATION)
 
 
-def rule_hit(line: Column, rule: Rule, low: Column | None = None) -> Column:
-    """Whether the line meets the rule. ``low``, the line in lower case, is first searched for what every match must hold."""
+def rule_hit(line: Column, rule: Rule) -> Column:
+    """Whether the line meets the rule. Its lower case is first searched for what every match must hold."""
     hit = line.rlike(pattern(rule))
     if rule[0] == "instruction_override":  # only the first match of an override rule is looked at
         hit = hit & ~negated(line, F.regexp_instr(line, F.lit(pattern(rule))))
     needs = required(rule[2])
     if not needs:
         return hit
-    low = F.lower(line) if low is None else low
+    low = F.lower(line)
     some = low.contains(needs[0])
     for n in needs[1:]:
         some = some | low.contains(n)
     return some & hit
 
 
-def rule_kinds(line: Column, rules: Sequence[Rule] = R.RULES, low: Column | None = None) -> Column:
+#: Characters that a kind of hidden ones needs, or a long run of base64.
+HIDDEN = "[" + R.ZERO_WIDTH + R.BIDI + R.INVISIBLE + R.CONFUSABLES + r"\xad\x1b\x{E0000}-\x{E007F}\x{FE00}-\x{FE0F}" + R.CONTROL[1:-1] + r"]|[A-Za-z0-9+/]{40}"
+
+
+def marks(rules: Sequence[Rule]) -> list[str]:
+    """The patterns of a mask: of each rule's candidates and, last, of hidden characters."""
+    return [*(loose(r[2].replace(R.FOLLOWS, "")) for r in rules), HIDDEN]
+
+
+def kinds_found(line: Column, mask: Column, rules: Sequence[Rule], hidden: bool) -> Column:
+    """Kinds of rules and of hidden characters of a line, which is tested only for those that the mask of marks() leaves."""
+    none = F.array().cast("array<string>")
+    kinds = F.when(mask != 0, rule_kinds(line, rules, mask)).otherwise(none)
+    return F.concat(kinds, F.when(among(mask, len(rules)), hidden_kinds(line)).otherwise(none)) if hidden else kinds
+
+
+def rule_kinds(line: Column, rules: Sequence[Rule], mask: Column) -> Column:
     """The kinds of rules that the line meets, each once, in order."""
     by: dict[str, Column] = {}
-    for r in rules:
-        by[r[0]] = by[r[0]] | rule_hit(line, r, low) if r[0] in by else rule_hit(line, r, low)
+    for i, r in enumerate(rules):
+        hit = among(mask, i) & rule_hit(line, r)
+        by[r[0]] = by[r[0]] | hit if r[0] in by else hit
     return F.filter(F.array(*[F.when(hit, F.lit(k)) for k, hit in by.items()]), lambda k: k.isNotNull())
 
 
@@ -59,7 +76,7 @@ def hidden_kinds(line: Column) -> Column:
     return F.filter(
         F.array(
             F.when(line.rlike(f"[{R.ZERO_WIDTH}]"), "zero_width"), F.when(invisible, "invisible_chars"), F.when(line.rlike(f"[{R.BIDI}]"), "bidi_override"), F.when(line.contains("\x1b"), "ansi_escape"),
-            F.when(line.rlike(R.CONTROL), "control_char"), F.when(F.exists(word, lambda w: w.rlike(f"[{R.CONFUSABLES}]") & w.rlike("[A-Za-z]")), "homoglyph"), F.when(line.rlike(R.BASE64), "base64_blob"),
+            F.when(line.rlike(R.CONTROL), "control_char"), F.when(line.rlike(f"[{R.CONFUSABLES}]") & F.exists(word, lambda w: w.rlike(f"[{R.CONFUSABLES}]") & w.rlike("[A-Za-z]")), "homoglyph"), F.when(line.rlike(R.BASE64), "base64_blob"),
         ),
         lambda k: k.isNotNull(),
     )
@@ -108,9 +125,8 @@ def for_terminal(x: Column) -> Column:
 def findings(lines: DataFrame, rules: Sequence[Rule] = R.RULES, hidden: bool = True, blobs: bool = True) -> DataFrame:
     """(doc_id, line_no, kind, line): rule hits, hidden characters and hits inside decoded base64; a kind once a line, but for decoded ones."""
     line = F.col("line")
-    kinds = rule_kinds(line, rules, F.col("_low"))
-    kinds = F.concat(kinds, hidden_kinds(line)) if hidden else kinds
-    out = lines.where("line <> ''").withColumn("_low", F.lower("line")).select("doc_id", "line_no", F.explode(kinds).alias("kind"), "line")
+    some = lines.where("line <> ''").withColumn("_mask", candidates(line, marks(rules))).where("_mask <> 0")
+    out = some.select("doc_id", "line_no", F.explode(kinds_found(line, F.col("_mask"), rules, hidden)).alias("kind"), "line")
     if not blobs:
         return out
     text = lines.where(line.rlike(R.BASE64)).select("doc_id", "line_no", decoded_blob(line).alias("line")).where("line is not null")
@@ -171,11 +187,15 @@ META = ["instruction", "instructions", "prompt", "prompts", "assistant", "ai", "
 
 def output_reasons(item: Column, source: Column, rules: Sequence[Rule] = R.RULES, hidden: bool = True) -> Column:
     """Why a generated item must not be used, in order and each once; empty if it may be."""
+    # every line's candidates among the rules, hidden characters, telephone patterns and words on the writer
+    said = "|".join(META) + "|\u0130"  # whose lower case begins with an i
+    mask = candidates(item, [*marks(rules), *map(loose, PHONES), said])
     phone = F.lit(False)
-    for p in PHONES:
-        phone = phone | item.rlike(p)
+    for i, p in enumerate(PHONES):
+        phone = phone | among(mask, len(rules) + 1 + i) & item.rlike(p)
     meta = F.filter(F.array(*[F.when(F.lower(item).rlike(rf"\b{w}\b") & ~F.lower(F.coalesce(source, F.lit(""))).rlike(rf"\b{w}\b"), F.lit(w)) for w in sorted(META)]), lambda w: w.isNotNull())
-    kinds = F.concat(rule_kinds(item, rules), hidden_kinds(item)) if hidden else rule_kinds(item, rules)
+    meta = F.when(among(mask, len(rules) + 1 + len(PHONES)), meta).otherwise(F.array().cast("array<string>"))
+    kinds = kinds_found(item, mask, rules, hidden)
     more = F.array(F.when(phone, "phone_number"), F.when(item.rlike("[<>]"), "markup"), F.when(F.size(meta) > 0, F.concat(F.lit("meta_reference: "), F.array_join(meta, ", "))))
     found = F.array_distinct(F.filter(F.concat(F.array_sort(kinds), more), lambda r: r.isNotNull()))
     return F.when(strip(F.coalesce(item, F.lit(""))) == "", F.array(F.lit("empty"))).otherwise(found)
