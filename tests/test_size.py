@@ -10,10 +10,12 @@ from vellum.operators import quiz as Z
 from vellum.operators import scan as C
 from vellum.operators import structure as S
 from vellum.plans import quiz_queries as K
+from vellum.plans import record_queries as J
 from vellum.plans import scan_queries as N
 from vellum.plans import structure_queries as Q
 from vellum.plans import synth
 from vellum.plans import text_queries as T
+from vellum.sources import rebuild as B
 
 D = "/root/testdata/sf0.001"
 
@@ -87,3 +89,18 @@ def test_only_lines_with_a_word_of_a_flip_are_altered(spark):
     texts = [t for old, _ in T.T.FLIPS for t in (f"x {old.upper()} y", old.replace(" ", " \t"), f"a{old}b")] + ["", "Check it."]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.T.altered(F.col("t")).isNotNull().alias("a"), F.col("t"))
     assert {r["t"] for r in df.where("not a").collect()} == {"", "Check it.", *(f"a{old}b" for old, _ in T.T.FLIPS)}
+
+
+def test_editable_items_move_and_make_no_more_than_they_need(spark):
+    p = plan(J.editable_items(spark, D))
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", p)) == {"p_partkey"} and "explode(array(concat(" not in p
+
+
+def test_some_fields_are_those_of_the_whole_record(spark):
+    texts = [None, "no", "[]", "null", "{}", '{"questions": null}', '{"questions": [{"options": ["a", "é"]}, {}, {"options": [1]}]}', '{"questions": [5]}', '{"learning_objectives": ["a"], "sections": [{"b": 1.0}], "title": 5, "x": 1}']
+    df = spark.createDataFrame(list(enumerate(texts)), "job_id int, json string")
+    for record, only in (("module", ["learning_objectives", "sections"]), ("assessment", ["questions"])):
+        some, whole = B.rebuild(df, record, keep=["job_id"], only=only), B.rebuild(df, record, keep=["job_id"])
+        if record == "assessment":
+            some, whole = (d.withColumn("questions", F.transform("questions", lambda q: F.struct(q["options"].alias("options")))) for d in (some, whole))
+        assert some.columns == ["job_id", *only] and sorted(map(str, some.collect())) == sorted(map(str, whole.select("job_id", *only).collect()))

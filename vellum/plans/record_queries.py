@@ -141,9 +141,12 @@ def documents(spark, sf_dir):
 
 def editable_items(spark, sf_dir):
     """What reviewers could edit of saved modules and assessments."""
-    m = R.rebuild(synth.view(spark, sf_dir, MODULES), "module", keep=["job_id"]).select("job_id", "learning_objectives", "sections")
-    a = R.rebuild(synth.view(spark, sf_dir, ASSESSMENTS), "assessment", keep=["job_id"]).select("job_id", F.transform("questions", lambda q: F.struct(q["options"].alias("options"))).alias("questions"))
-    return m.join(a.hint("merge"), "job_id").select("job_id", M.editable_items(F.col("learning_objectives"), F.col("sections"), F.col("questions")).cast("long").alias("items"))
+    saved = lambda sql, name: synth.view(spark, sf_dir, sql).withColumnRenamed("json", name)
+    # saved texts meet where they are dealt, before they are read
+    both = saved(MODULES, "_module").join(saved(ASSESSMENTS, "_assessment").hint("merge"), "job_id")
+    m = R.rebuild(both, "module", "_module", ["job_id", "_assessment"], only=["learning_objectives", "sections"])
+    a = R.rebuild(m, "assessment", "_assessment", ["job_id", "learning_objectives", "sections"], only=["questions"])
+    return a.select("job_id", M.editable_items(F.col("learning_objectives"), F.col("sections"), F.col("questions")).cast("long").alias("items"))
 
 
 def review_times(spark, sf_dir):

@@ -76,9 +76,9 @@ def _token(kind: str, token: str) -> Column:
     return F.lit(token if kind == "part" else token[1:-1]) if kind in ("part", "text") else F.lit(token).cast(KINDS[kind])
 
 
-def rebuilt(json: Column, record: str) -> Column:
-    """A struct of the record's fields, rest and faults, from canonical JSON (null or other JSON than an object: all defaults)."""
-    fields = RECORDS[record]
+def rebuilt(json: Column, record: str, only: list[str] | None = None) -> Column:
+    """A struct of the record's fields, rest and faults, from canonical JSON (null or other JSON than an object: all defaults). With ``only``, of those fields alone."""
+    fields = [f for f in RECORDS[record] if only is None or f.name in only]
     known = [*(f.name for f in fields), *COMPUTED.get(record, ())]
 
     def body(x: Column) -> Column:
@@ -93,6 +93,8 @@ def rebuilt(json: Column, record: str) -> Column:
             if f.name == "requested_questions":
                 default = F.coalesce(F.size(F.when(_fits("parts", F.try_element_at(kinds, F.lit("questions"))), value["questions"])), F.lit(0)).cast("bigint")
             columns.append(F.when(is_ == "VOID", _token(f.kind, f.null)).when(_fits(f.kind, is_), value[f.name]).otherwise(default).alias(f.name))
+        if only is not None:
+            return F.struct(*columns)
         rest = F.map_filter(F.coalesce(x["all"], F.expr("cast(map() as map<string,variant>)")), lambda k, _: ~k.isin(*known))
         readable = kinds.isNotNull()
         return F.struct(
@@ -101,6 +103,8 @@ def rebuilt(json: Column, record: str) -> Column:
         )
 
     whole = F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")
+    if only is not None:
+        whole = F.map_filter(whole, lambda k, _: k.isin(only))
     schema = ", ".join(f"`{f.name}` {KINDS[f.kind]}" for f in fields)
     parts = F.struct(json.alias("text"), F.from_json(json, schema).alias("value"), whole.alias("all"), F.transform_values(whole, lambda _, v: F.schema_of_variant(v)).alias("kinds"))
     return X.let(parts, body)
@@ -137,18 +141,24 @@ def _once(x: Column) -> Column:
     return F.explode(F.array(x))
 
 
-def rebuild(records: DataFrame, record: str, json_col: str = "json", keep: list[str] | None = None) -> DataFrame:
+def rebuild(records: DataFrame, record: str, json_col: str = "json", keep: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """One row a record: the columns that ``keep`` names, the record's fields, rest, faults and ``saved``.
 
     In assessments, ``questions`` are rebuilt structs with answer_hash, rest and faults of
     their own. ``saved`` is canonical. Texts that are no JSON give all defaults and the
     fault "not an object"; null gives defaults. Columns of other names are not looked at.
+    With ``only``, those fields are all that is made; its questions have options only.
     """
     keep = keep or []
     df = records.select(F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)] or [F.lit(1).alias("k")]).alias("_keep"), F.col(json_col).alias("_text"), canonical(F.col(json_col)).alias("_json"))
     # text that is no JSON at all is told apart from null
-    df = df.select("_keep", _once(rebuilt(F.when(F.col("_text").isNotNull(), F.coalesce("_json", F.lit('""'))), record)).alias("r"))
-    columns = {f.name: F.col(f"r.{f.name}") for f in RECORDS[record]}
+    df = df.select("_keep", _once(rebuilt(F.when(F.col("_text").isNotNull(), F.coalesce("_json", F.lit('""'))), record, only)).alias("r"))
+    columns = {f.name: F.col(f"r.{f.name}") for f in RECORDS[record] if only is None or f.name in only}
+    kept = [F.col(f"_keep.k{i}").alias(c) for i, c in enumerate(keep)]
+    if only is not None:
+        if record == "assessment" and "questions" in only:
+            columns["questions"] = F.transform("r.questions", lambda q: rebuilt(q, "question", ["options"]))
+        return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
     text = saved(F.col("r"), record)
     if record == "assessment":
         # each question with its hash and its JSON, made once
@@ -158,6 +168,5 @@ def rebuild(records: DataFrame, record: str, json_col: str = "json", keep: list[
         text = saved(F.col("r").withField("questions", F.transform("q", lambda x: x["saved"])), record)
     if record == "question":
         columns["answer_hash"] = answer_hash(F.col("r"))
-    kept = [F.col(f"_keep.k{i}").alias(c) for i, c in enumerate(keep)]
     out = df.select(*kept, *[c.alias(n) for n, c in columns.items()], F.col("r.rest").alias("rest"), F.col("r.faults").alias("faults"), _once(text).alias("_saved"))
     return out.withColumn("saved", canonical(F.col("_saved"))).drop("_saved")
