@@ -104,3 +104,11 @@ def test_some_fields_are_those_of_the_whole_record(spark):
         if record == "assessment":
             some, whole = (d.withColumn("questions", F.transform("questions", lambda q: F.struct(q["options"].alias("options")))) for d in (some, whole))
         assert some.columns == ["job_id", *only] and sorted(map(str, some.collect())) == sorted(map(str, whole.select("job_id", *only).collect()))
+
+
+def test_pairs_of_records_are_made_once(spark):
+    old = spark.createDataFrame([(1, '{"a": [1, {"b": 1}, null], "c": {"d": 2}}'), (2, "{}"), (3, '{"a": 1}')], "job_id int, json string")
+    new = spark.createDataFrame([(1, '{"a": [1, {"b": 2}], "c": {"d": 2}}'), (2, "{}"), (4, '{"a": 1}')], "job_id int, json string")
+    df = M.differences(old, new)
+    assert "Arrow" not in plan(df) and "Join" not in plan(df)
+    assert sorted((r["job_id"], r["path"].replace("\x01", "/")) for r in df.collect()) == [(1, "/a/#1/b"), (1, "/a/#2"), (3, ""), (4, "")]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.jsons import canonical, depth
+from vellum.sources.shared import stored
 
 # Fixed values.
 CATEGORIES = ("title", "objectives", "sections", "questions", "question_options", "question_answers")
@@ -73,14 +74,16 @@ def differences(old: DataFrame, new: DataFrame, json_col: str = "json", key: str
     version, or that is no JSON, is compared with null. Paths are separated by U+0001 and list places are
     written as #n.
 
-    Every level is one step without a shuffle; how many there are is measured first.
+    Every level is one step without a shuffle; how many there are is measured first, on
+    pairs that are made once. Parts that are the same text on both sides go no further.
     """
     side = lambda df, name: df.select(key, canonical(F.col(json_col)).alias(name))
     pairs = side(old, "_a").join(side(new, "_b"), key, "full").where("not _a <=> _b")
-    least = pairs.select(F.least(depth(F.coalesce("_a", F.lit("null"))), depth(F.coalesce("_b", F.lit("null")))).alias("d")).agg(F.max("d")).first()[0] or 0
+    least = F.least(depth(F.coalesce("_a", F.lit("null"))), depth(F.coalesce("_b", F.lit("null"))))
+    pairs = stored(pairs.withColumn("_d", least), "pairs")
     df = pairs.select(key, F.lit("").alias("path"), F.struct(F.coalesce(F.try_parse_json("_a"), F.parse_json(F.lit("null"))).alias("a"), F.coalesce(F.try_parse_json("_b"), F.parse_json(F.lit("null"))).alias("b")).alias("x"))
-    for _ in range(least):
-        df = df.select(key, "path", F.explode(F.expr(CHILDREN)).alias("c")).select(key, F.concat("path", "c.step").alias("path"), F.col("c.x").alias("x"))
+    for _ in range(pairs.agg(F.max("_d")).first()[0] or 0):
+        df = df.select(key, "path", F.explode(F.expr(CHILDREN)).alias("c")).where(~F.expr(SAME)).select(key, F.concat("path", "c.step").alias("path"), F.col("c.x").alias("x"))
     return df.where(~F.expr(EQUAL)).select(key, "path", F.to_json(F.col("x.a")).alias("old"), F.to_json(F.col("x.b")).alias("new"))
 
 
@@ -93,6 +96,8 @@ when schema_of_variant(x.a) like 'ARRAY%' and schema_of_variant(x.b) like 'ARRAY
   transform(array(struct(try_variant_get(x.a, '$', 'array<variant>') as a, try_variant_get(x.b, '$', 'array<variant>') as b)),
     m -> transform(filter(sequence(0, greatest(size(m.a), size(m.b))), i -> i < greatest(size(m.a), size(m.b))), i -> struct('\\u0001#' || i as step, struct(get(m.a, i) as a, get(m.b, i) as b) as x)))[0]
 else array(struct('' as step, x)) end"""
+#: Whether a child is the same text on both sides.
+SAME = "coalesce(c.x.a is not null and c.x.b is not null and to_json(c.x.a) = to_json(c.x.b), false)"
 _whole = "(schema_of_variant({0}) = 'BIGINT' or schema_of_variant({0}) like 'DECIMAL(%,0)')"
 _number = "(schema_of_variant({0}) in ('BIGINT', 'DOUBLE', 'BOOLEAN') or schema_of_variant({0}) like 'DECIMAL%')"
 _value = "coalesce(try_variant_get({0}, '$', 'double'), cast(try_variant_get({0}, '$', 'boolean') as double))"
