@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from vellum.operators import assessment as A
 from vellum.operators import grounding as G
 from vellum.operators import metrics as M
 from vellum.operators import quiz as Z
@@ -56,6 +57,23 @@ def test_a_layout_moves_no_combinations(spark):
     assert "Exchange hashpartitioning(doc_id" not in plan(Z.worst_strategy(Z.naive_scores(K.questions(spark, D), K.lengths()), 70.0))
 
 
+def test_a_layout_and_its_scores_multiply_no_questions(spark):
+    """Offsets and strategies are sums of one aggregation, not rows."""
+    q = K.questions(spark, D)
+    assert "Generate " not in plan(Z.layout(q))
+    scores = plan(Z.naive_scores(q, K.lengths()))
+    assert scores.index("Generate ") < scores.index("HashAggregate(keys=[doc_id#") and "strategy" not in "".join(re.findall(r"keys=\[.*?\]", scores))
+
+
+def test_a_sweep_makes_no_texts(spark):
+    f = A.facts(Q.sops(spark, D).where("doc_id < 30")).cache()
+    sizes, whole = (A.attempted(f, (5,), (True,), texts=texts) for texts in (False, True))
+    columns = [c for c in sizes.columns if c != "options"]
+    want = whole.select(*columns, F.transform("options", lambda o: F.length(o)).alias("options"))
+    assert dict(sizes.dtypes)["options"] == "array<int>" and "salt" not in sizes.columns
+    assert sorted(map(str, sizes.select(*columns, "options").collect())) == sorted(map(str, want.collect()))
+
+
 def test_lines_are_not_broadcast(spark):
     docs = Q.sops(spark, D)
     spans = S.lines(docs).select("doc_id", F.lit("x").alias("text"), F.col("line_no").alias("s"), F.col("line_no").alias("e"))

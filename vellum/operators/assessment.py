@@ -12,9 +12,11 @@ the machine or on the rows' order.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from difflib import SequenceMatcher
+from functools import cached_property, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -95,11 +97,11 @@ class Text:
     alt_key: str | None = None
     alt_form: str | None = None
 
-    @property
+    @cached_property
     def false(self) -> Text | None:
         return Text(self.alt, self.alt_clip, self.alt_key, self.alt_form) if self.alt else None
 
-    @property
+    @cached_property
     def related(self) -> set[str]:
         """A statement and its negation are one material."""
         return {k for k in (self.key, self.alt_key if self.alt else None) if k}
@@ -122,7 +124,7 @@ class Item:
     ref: dict = field(default_factory=dict)
     kind: str = "multiple_choice"
 
-    @property
+    @cached_property
     def answers(self) -> set[str]:
         return self.correct.related | (self.false_material.related if self.false_material else set())
 
@@ -130,6 +132,11 @@ class Item:
     def worth(self) -> int:
         return self.points if self.two_way or len(self.wrong) > 1 else max(1, self.points // 2)
 
+    @cached_property
+    def usable(self) -> list[Text]:
+        """The sources that neither hold the right option nor are held by it."""
+        return [s for s in self.sources if s.key not in self.correct.key and self.correct.key not in s.key]
+
     def extreme(self, longest: bool) -> bool:
         lengths = [len(w.clip) for w in self.wrong]
         own = len(self.correct.clip)
@@ -142,8 +149,15 @@ def digest(*parts: str) -> str:
 
 def alike(a: str, b: str) -> bool:
     """Whether two texts are near; most aren't by the bounds that lengths and common letters set."""
-    m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() >= NEAR and m.quick_ratio() >= NEAR and m.ratio() >= NEAR
+    return 2 * min(len(a), len(b)) >= (NEAR - 1e-9) * (len(a) + len(b)) and _alike(a, b)
+
+
+@lru_cache(1 << 15)
+def _alike(a: str, b: str) -> bool:
+    """For texts of like lengths. Documents of one house share many texts, so a task keeps what it compared last."""
+    if 2 * (Counter(a) & Counter(b)).total() < (NEAR - 1e-9) * (len(a) + len(b)):
+        return False
+    return SequenceMatcher(None, a, b).ratio() >= NEAR
 
 
 def wrong_options(correct: Text, sources: list[Text], seed: str, most: int = 3) -> list[Text]:
@@ -153,7 +167,8 @@ def wrong_options(correct: Text, sources: list[Text], seed: str, most: int = 3)
         if s.key and s.key not in pool and s.key != correct.key and s.key not in correct.key and correct.key not in s.key and not alike(s.key, correct.key):
             pool[s.key] = s
     n = len(correct.clip)
-    ranked = sorted(pool.values(), key=lambda s: (abs(len(s.clip) - n), digest(seed, s.key)))
+    gaps = Counter(abs(len(s.clip) - n) for s in pool.values())  # only equal ones need a digest
+    ranked = sorted(pool.values(), key=lambda s: (gap := abs(len(s.clip) - n), digest(seed, s.key) if gaps[gap] > 1 else ""))
     sides = [[s for s in ranked if len(s.clip) > n], [s for s in ranked if len(s.clip) <= n]]
     out: list[Text] = []
     while len(out) < most and any(sides):
@@ -241,8 +256,12 @@ def _name(number: str) -> str:
     return "_".join(filter(None, "".join(c if c.isascii() and c.isalnum() else " " for c in number).split(" ")))
 
 
+@lru_cache(1024)
+def flat(s: str) -> Text:
+    return Text(s, s, " ".join("".join(c if c.isalnum() else " " for c in s.lower()).split()), "statement")
+
+
 def required() -> list[Item]:
-    flat = lambda s: Text(s, s, " ".join("".join(c if c.isalnum() else " " for c in s.lower()).split()), "statement")
     return [Item("md_required", i, qid, points, ask, flat(right or ask), [], [flat(w) for w in wrong], 3 if wrong else 0, two_way=right is None, ref={"kind": "md_required"}) for i, (qid, points, ask, right, wrong) in enumerate(REQUIRED)]
 
 
@@ -255,7 +274,13 @@ def repairable(item: Item, others: list[Item]) -> bool:
     if item.two_way or item.category == "md_required":
         return True
     bad = blocked(item, others)
-    return len({s.key for s in item.sources if not s.related & bad and s.key not in item.correct.key and item.correct.key not in s.key}) >= item.least
+    left: set[str] = set()
+    for s in item.usable:
+        if len(left) >= item.least:
+            break
+        if s.related.isdisjoint(bad):
+            left.add(s.key)
+    return len(left) >= item.least
 
 
 def select(pool: list[Item], count: int) -> list[Item]:
@@ -269,7 +294,7 @@ def select(pool: list[Item], count: int) -> list[Item]:
         queue = queues.get(category, [])
         while queue and len(chosen) < count:
             x = queue.pop(0)
-            if not x.answers & blocked(x, chosen) and repairable(x, chosen) and all(repairable(c, [*chosen, x]) for c in chosen):
+            if x.answers.isdisjoint(blocked(x, chosen)) and repairable(x, chosen) and all(repairable(c, [*chosen, x]) for c in chosen):
                 chosen.append(x)
                 return True
         return False
@@ -321,10 +346,19 @@ def repair(chosen: list[Item], key: str) -> int:
     return left
 
 
-def assess(doc: dict, count: int, medical: bool, known: list[Item] | None = None) -> list[dict]:
-    """The rows of a document's questions, with the right option first; ``known``: what the document supports, where that is worked out already."""
-    own = supported(doc) if known is None else [replace(x, wrong=list(x.wrong)) for x in known]
+def assess(doc: dict, count: int, medical: bool, known: list[Item] | None = None, texts: bool = True) -> list[dict]:
+    """The rows of a document's questions, with the right option first; ``known``: what the document supports, where that is worked out already. Without ``texts``, what SIZES holds: of options their lengths."""
+    own = supported(doc) if known is None else known
     key, pool = doc["doc_key"], (required() if medical else []) + own
+    before = [x.wrong for x in own]
+    try:
+        return _assessed(key, pool, count, texts)
+    finally:
+        for x, wrong in zip(own, before, strict=True):  # a repair gives an item another list
+            x.wrong = wrong
+
+
+def _assessed(key: str, pool: list[Item], count: int, texts: bool) -> list[dict]:
     chosen, leaks = select(pool, max(count, LEAST_QUESTIONS)), 0
     for _ in range(2):
         rebalance(chosen, pool)
@@ -336,8 +370,11 @@ def assess(doc: dict, count: int, medical: bool, known: list[Item] | None = None
         if x.two_way and x.false_prompt:
             free += 1
             true = not (free <= fixed + 1 or (free - fixed - 1) % 2 == 0)
-        salt = digest(key, x.id, "salt")[:32]
         options = ["True", "False"] if x.two_way else [x.correct.clip, *[w.clip for w in sorted(x.wrong, key=lambda w: digest(key, x.id, w.key))]]
+        if not texts:
+            out.append({"ord": i + 1, "id": x.id, "type": "true_false" if x.two_way else x.kind, "options": [len(o) for o in options], "correct_answer": 0 if true else 1, "points": x.worth})
+            continue
+        salt = digest(key, x.id, "salt")[:32]
         right = ("true" if true else "false") if x.two_way else x.correct.key
         row = {"ord": i + 1, "id": x.id, "category": x.category, "type": "true_false" if x.two_way else x.kind, "text": x.prompt if true else x.false_prompt, "options": options, "correct_answer": 0 if true else 1, "points": x.worth}
         out.append(row | {"salt": salt, "answer_hash": digest(salt, right), "leaks": leaks, "requested": count} | {k: x.ref.get(k) for k in ("kind", "term", "step_number", "warning_index", "s", "e")})
@@ -345,11 +382,14 @@ def assess(doc: dict, count: int, medical: bool, known: list[Item] | None = None
 
 
 SCHEMA = "doc_id long, doc_key string, medical boolean, requested int, ord int, id string, category string, type string, text string, options array<string>, correct_answer int, points int, salt string, answer_hash string, leaks int, kind string, term string, step_number string, warning_index int, s int, e int"
+#: What is left of it without texts.
+SIZES = "doc_id long, doc_key string, medical boolean, requested int, ord int, id string, type string, options array<int>, correct_answer int, points int"
 
 
-def attempted(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[bool, ...] = (False,)) -> DataFrame:
-    """Questions as `assessments` gives them, with ``error``: a run (document, number, kind) that fails is one row with its reason and no question, and harms no other."""
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
+def attempted(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[bool, ...] = (False,), texts: bool = True) -> DataFrame:
+    """Questions as `assessments` gives them, or what SIZES holds of them, with ``error``: a run (document, number, kind) that fails is one row with its reason and no question, and harms no other."""
+    schema = SCHEMA if texts else SIZES
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -361,13 +401,13 @@ def attempted(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[
                         own = {"doc_id": doc["doc_id"], "doc_key": doc["doc_key"], "medical": m, "requested": n}
                         try:
                             known = supported(doc) if known is None else known
-                            rows += [own | {"error": None} | r for r in assess(doc, n, m, known)]
+                            rows += [own | {"error": None} | r for r in assess(doc, n, m, known, texts)]
                         except Exception as e:
                             rows.append(dict.fromkeys(names) | own | {"error": f"{type(e).__name__}: {str(e)[:160]}"})
             made = pd.DataFrame(rows, columns=[*names, "error"], dtype=object)
-            yield made.astype({k: "Int64" for k in ("ord", "correct_answer", "points", "leaks", "warning_index", "s", "e")})
+            yield made.astype({k: "Int64" for k in ("ord", "correct_answer", "points", "leaks", "warning_index", "s", "e") if k in names})
 
-    return facts_.mapInPandas(run, f"{SCHEMA}, error string")
+    return facts_.mapInPandas(run, f"{schema}, error string")
 
 
 def assessments(facts_: DataFrame, counts: tuple[int, ...] = (5,), medical: tuple[bool, ...] = (False,)) -> DataFrame:
@@ -385,8 +425,7 @@ def placed(questions: DataFrame) -> DataFrame:
     """Questions with their right options where the layout puts them."""
     key = F.concat_ws("|", "doc_key", F.col("doc_id").cast("string"), F.col("medical").cast("string"), F.col("requested").cast("string"))
     df = questions.withColumn("_real", F.col("doc_id")).withColumn("doc_id", key).withColumn("n_options", F.size("options"))
-    at = Z.layout(df.select("doc_id", "id", "ord", "type", "n_options", "correct_answer", "points")).drop("worst")
-    df = df.join(at.hint("merge"), ["doc_id", "id"], "left").withColumn("correct_answer", F.coalesce("position", "correct_answer"))
+    df = Z.laid(df).drop("worst").withColumn("correct_answer", F.coalesce("position", "correct_answer"))
     rest = F.slice("options", F.lit(2), F.size("options"))
     moved = F.concat(F.slice(rest, F.lit(1), F.col("position")), F.slice("options", 1, 1), F.slice(rest, F.col("position") + 1, F.size("options")))
     return df.withColumn("options", F.when(F.col("position").isNull(), F.col("options")).otherwise(moved)).withColumn("doc_id", F.col("_real")).drop("_real", "position")
@@ -415,10 +454,8 @@ def sweep(docs: DataFrame, risks: DataFrame, counts: tuple[int, ...] = (5, 8)) -
     f = stored(facts(docs), "facts")
     # the one costly step, over all cores however small the table is
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    tried = stored(attempted(f if f.rdd.getNumPartitions() >= cores else f.repartition(cores, "doc_id"), counts, (False, True)), "questions")
-    # places are found for the options' lengths, which are all that a strategy sees of texts
-    sizes = tried.where("error is null").select("doc_id", "doc_key", "medical", "requested", "ord", "id", "type", "correct_answer", "points", F.transform("options", lambda o: F.length(o)).alias("options"))
-    return swept(f, placed(sizes), tried.where("error is not null").select("doc_id", "medical", "requested", "error"), risks, F.col("options"))
+    tried = stored(attempted(f if f.rdd.getNumPartitions() >= cores else f.repartition(cores, "doc_id"), counts, (False, True), texts=False), "questions")
+    return swept(f, placed(tried.where("error is null").drop("error")), tried.where("error is not null").select("doc_id", "medical", "requested", "error"), risks, F.col("options"))
 
 
 def swept(facts_: DataFrame, questions: DataFrame, errors: DataFrame, risks: DataFrame, lengths: Column | None = None) -> DataFrame:
@@ -426,16 +463,17 @@ def swept(facts_: DataFrame, questions: DataFrame, errors: DataFrame, risks: Dat
     run = ["doc_id", "medical", "requested"]
     lengths = F.transform("options", lambda o: F.length(o)) if lengths is None else lengths
     q = questions.withColumn("_run", F.struct(*run)).select(F.col("_run").alias("doc_id"), "type", "n_options", "correct_answer", "points", lengths.alias("lengths"))
-    scores = Z.naive_scores(q, F.col("lengths")).where(F.col("strategy").isin(*Z.SWEPT))
-    order = F.array_position(F.array(*map(F.lit, Z.SWEPT)), F.col("strategy"))
-    best = F.max(F.struct("score", (~F.col("doc_id.medical")).alias("base"), (-F.col("doc_id.requested")).alias("n"), (-order).alias("o"), "strategy", F.col("doc_id.medical").alias("medical")))
-    worst = scores.groupBy(F.col("doc_id.doc_id").alias("doc_id")).agg(best.alias("x")).select("doc_id", F.col("x.score").alias("worst"), F.col("x.strategy").alias("strategy"), F.col("x.medical").alias("medical"))
-    thin = questions.groupBy(*run).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.count_if(F.col("n") < F.col("requested")).alias("thin"))
+    scores = Z.run_scores(q, F.col("lengths"))
+    order = lambda name: F.array_position(F.array(*map(F.lit, Z.SWEPT)), name)
+    ranked = lambda x: F.struct(x["score"].alias("score"), (~F.col("doc_id.medical")).alias("base"), (-F.col("doc_id.requested")).alias("n"), (-order(x["strategy"])).alias("o"), x["strategy"].alias("strategy"), F.col("doc_id.medical").alias("medical"))
+    best = F.array_max(F.transform(F.filter("scores", lambda x: x["strategy"].isin(*Z.SWEPT)), ranked))
+    worst = scores.select(F.col("doc_id.doc_id").alias("_doc"), best.alias("x"), (F.col("n") < F.col("doc_id.requested")).alias("short")).groupBy(F.col("_doc").alias("doc_id")).agg(F.max("x").alias("x"), F.count_if("short").alias("thin"))
+    worst = worst.select("doc_id", F.col("x.score").alias("worst"), F.col("x.strategy").alias("strategy"), F.col("x.medical").alias("medical"), "thin")
     failed = errors.groupBy("doc_id").agg(F.min(F.struct("medical", "requested", "error"))["error"].alias("error"))
     n = lambda c: F.size(c).cast("long").alias(c)
     out = facts_.select("doc_id", n("steps"), n("warnings"), n("definitions"), (F.size("purpose") > 0).alias("has_purpose"), (F.size("scope") > 0).alias("has_scope"))
     out = out.join(risks.select("doc_id", "risk").hint("merge"), "doc_id", "left")
-    for own in (worst, thin, failed):
+    for own in (worst, failed):
         out = out.join(own.hint("merge"), "doc_id", "left")
     ok = F.col("error").isNull()
     when = lambda c, x=None: F.when(ok, F.col(c) if x is None else F.coalesce(c, F.lit(x))).alias(c)
