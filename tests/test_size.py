@@ -74,6 +74,22 @@ def test_a_sweep_makes_no_texts(spark):
     assert sorted(map(str, sizes.select(*columns, "options").collect())) == sorted(map(str, want.collect()))
 
 
+def test_stop_words_are_a_set(spark):
+    """No list of them is read through for each word of a claim."""
+    docs = Q.sops(spark, D)
+    spans = S.lines(docs).select("doc_id", F.col("line").alias("text"), F.col("line_no").alias("s"), F.col("line_no").alias("e"))
+    p = plan(G.verified(spans, docs))
+    assert "INSET" in p and "array_contains([" not in p
+
+
+def test_words_of_plain_and_other_texts(spark):
+    texts = [None, "", "  ", "The A-1, 50% of_it!\t(Now)\n", "\x00a\x1fb\x7fc\x85d", "Ünder the Straße - 50 %", "ÀB c\u2003d", "A\u00a0b", "[x]\\^`{|}~;:'\"<>?/"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.T.normalized(F.col("t")).alias("n"), T.T.content_words(F.col("t")).alias("w"))
+    for r in df.collect():
+        want = re.sub(r"[^\w%]+", " ", (r.t or "").lower()).strip(" ")
+        assert (r.n, r.w) == (want, [w for w in want.split(" ") if w and w not in T.T.STOPWORDS])
+
+
 def test_lines_are_not_broadcast(spark):
     docs = Q.sops(spark, D)
     spans = S.lines(docs).select("doc_id", F.lit("x").alias("text"), F.col("line_no").alias("s"), F.col("line_no").alias("e"))

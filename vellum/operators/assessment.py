@@ -71,7 +71,7 @@ def facts(docs: DataFrame) -> DataFrame:
     """One row a document, in one pass and one exchange: doc_key and arrays of materials: purpose, scope, responsibilities, definitions (with term), steps (with number, in natural order), warnings."""
     f = S.found(docs.select("doc_id", "text"))
     of = lambda kind, x: F.when(F.col("kind") == kind, x)
-    listed = lambda kind, *cols: F.array_sort(F.collect_list(of(kind, F.struct(*cols))))
+    listed = lambda kind, *cols: F.sort_array(F.collect_list(of(kind, F.struct(*cols))))
     df = f.groupBy("doc_id").agg(
         *[F.max(of(k, F.col("text"))).alias(k) for k in ("title", "version")], *[T.sentences(F.max(of(k, F.col("text")))).alias(f"_{k}") for k in ("purpose", "scope")],
         listed("responsibilities", "ord", "text").alias("_resp"), listed("definition", "ord", F.col("key").alias("term"), F.col("text").alias("definition")).alias("_defs"),
