@@ -90,6 +90,13 @@ def test_words_of_plain_and_other_texts(spark):
         assert (r.n, r.w) == (want, [w for w in want.split(" ") if w and w not in T.T.STOPWORDS])
 
 
+def test_bags_are_made_of_sentences_that_candidates_are_as_long_as(spark):
+    docs = Q.sops(spark, D)
+    wrong = docs.select("doc_id", F.lit(1).alias("cid"), F.lit("never open it").alias("_clip"), F.lit("never open it").alias("_norm"))
+    p = plan(G.asserted(wrong, docs))
+    assert "LeftSemi" in p
+
+
 def test_lines_are_not_broadcast(spark):
     docs = Q.sops(spark, D)
     spans = S.lines(docs).select("doc_id", F.lit("x").alias("text"), F.col("line_no").alias("s"), F.col("line_no").alias("e"))
